@@ -1,6 +1,6 @@
 """HTML text -> one flat DOM row. The only parsing done in Python; all analysis is Spark expressions.
 
-Runs inside ``mapInArrow``: Arrow batches of (page_id, html) come in, Arrow batches of DOM rows go out.
+Runs inside ``mapInArrow``: Arrow batches of (page_id, url, html) come in, Arrow batches of DOM rows go out.
 Nodes are numbered in document order, so the subtree of node ``n`` is ``node_id..subtree_end`` and its
 text is the slice ``t0..t1`` of the page's visible strings.
 """
@@ -46,7 +46,7 @@ NODE_TYPE = pa.struct(NODE_FIELDS)
 HIDDEN_TYPE = pa.struct([("node_id", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
 
 DOM_SCHEMA = (
-    "page_id long, html_len int, nodes array<struct<node_id:int, parent_id:int, depth:int, tag:string, "
+    "page_id long, url string, html_len int, nodes array<struct<node_id:int, parent_id:int, depth:int, tag:string, "
     "elem_idx:int, tag_idx:int, tag_total:int, n_children:int, subtree_end:int, attrs:map<string,string>, "
     "id:string, classes:array<string>, t0:int, t1:int, only_seg:int, only_hidden:int>>, segs array<string>, "
     "hidden array<struct<node_id:int, kind:string, text:string>>, warning string"
@@ -258,20 +258,21 @@ def _struct_lists(offsets, columns, struct_type):
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, fields=fields))
 
 
-def _dom_batch(page_ids, htmls):
+def _dom_batch(page_ids, urls, htmls):
     parsed = [parse_html(html) for html in htmls]
     node_columns = [chain.from_iterable(page) for page in zip(*(p[0] for p in parsed))]
     hidden = list(chain.from_iterable(p[2] for p in parsed))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(page_ids, pa.int64()),
+            pa.array(urls, pa.string()),
             pa.array([len(html) if html is not None else 0 for html in htmls], pa.int32()),
             _struct_lists(_offsets([p[0][0] for p in parsed]), node_columns, NODE_TYPE),
             _typed([p[1] for p in parsed], pa.list_(pa.string())),
             _struct_lists(_offsets([p[2] for p in parsed]), list(zip(*hidden)) or [(), (), ()], HIDDEN_TYPE),
             pa.array([p[3] for p in parsed], pa.string()),
         ],
-        names=["page_id", "html_len", "nodes", "segs", "hidden", "warning"],
+        names=["page_id", "url", "html_len", "nodes", "segs", "hidden", "warning"],
     )
 
 
@@ -280,4 +281,4 @@ def parse_batches(batches):
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS_PER_OUTPUT_BATCH):
             part = batch.slice(start, ROWS_PER_OUTPUT_BATCH)
-            yield _dom_batch(part.column(0).to_pylist(), part.column(1).to_pylist())
+            yield _dom_batch(*(column.to_pylist() for column in part.columns))

@@ -6,16 +6,20 @@ needed to walk the tree. Everything after ``parse_pages`` is JVM-side expression
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from crawlgrain.functions import dom_kernel
 from crawlgrain.functions import nodes as N
-from crawlgrain.functions.dom_kernel import DOM_SCHEMA, parse_batches
 from crawlgrain.functions.expr import let
 
+# The kernel travels with the task, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(dom_kernel)
+
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, html) -> page_id, html_len, nodes, segs, hidden, warning. A page that fails has no nodes."""
-    return pages.select("page_id", "html").mapInArrow(parse_batches, DOM_SCHEMA)
+    """(page_id, url, html) -> page_id, url, html_len, nodes, segs, hidden, warning. A failing page has no nodes."""
+    return pages.select("page_id", "url", "html").mapInArrow(dom_kernel.parse_batches, dom_kernel.DOM_SCHEMA)
 
 
 def dom_nodes(dom: DataFrame) -> DataFrame:

@@ -335,31 +335,42 @@ def site_archetype(dom: DataFrame) -> DataFrame:
 
 
 # -- snapshot comparison -------------------------------------------------------------------------
-def snapshot_features(dom: DataFrame) -> DataFrame:
-    """The few numbers per page that two snapshots are compared on."""
-    return dom.select(
-        "page_id", "html_len", text_length_column().alias("text_len"),
+def snapshot_column() -> Column:
+    """The few numbers of a page that two snapshots are compared on."""
+    clickable = F.filter(NODES, lambda n: (n["tag"] == "button") | N.matches(n, attr_eq={"role": "button"})
+                         | F.array_contains(n["classes"], "btn"))
+    return F.struct(
+        HTML_LEN.alias("html_len"), text_length_column().alias("text_len"),
         count_nodes(class_re=V.SNAPSHOT_CONTAINER_CLASS).alias("n_containers"),
         count_nodes(tags=V.SNAPSHOT_ITEM_TAGS, class_re=V.SNAPSHOT_ITEM_CLASS).alias("n_items"),
-        *[count_nodes(tags=[tag]).alias(name) for name, tag in
-          (("forms", "form"), ("tables", "table"), ("iframes", "iframe"))],
-        count_nodes(tags=["button"]).alias("buttons"),
-        F.size(F.filter(NODES, lambda n: (n["tag"] == "button") | F.coalesce(N.attr(n, "role") == "button", F.lit(False))
-                        | F.array_contains(n["classes"], "btn"))).alias("clickables"),
+        count_nodes(tags=["form"]).alias("forms"), count_nodes(tags=["table"]).alias("tables"),
+        count_nodes(tags=["iframe"]).alias("iframes"), count_nodes(tags=["button"]).alias("buttons"),
+        F.size(clickable).alias("clickables"),
     )
 
 
-def snapshot_diff(static: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Is the rendered page materially larger than the static one, and the larger component counts."""
-    s, r = snapshot_features(static).alias("s"), snapshot_features(rendered).alias("r")
-    grown = lambda name, factor: F.col(f"r.{name}") > F.col(f"s.{name}") * F.lit(factor)
-    reason = (
-        F.when(grown("html_len", 1.2), "html").when(grown("text_len", 1.2), "text")
-        .when(grown("n_containers", 1.2), "containers").when(grown("n_items", 1.1), "items")
+# Which count of the rendered page each static count is compared with.
+RENDERED_COUNTS = {"forms": "forms", "tables": "tables", "iframes": "iframes", "buttons": "clickables"}
+
+
+def grown_by(s: Column, r: Column) -> Column:
+    """The first measure in which the rendered page clearly exceeds the static one, or null."""
+    over = lambda name, factor: r[name] > s[name] * F.lit(factor)
+    return (
+        F.when(over("html_len", 1.2), "html").when(over("text_len", 1.2), "text")
+        .when(over("n_containers", 1.2), "containers").when(over("n_items", 1.1), "items")
     )
-    counts = [(name, name) for name in ("forms", "tables", "iframes")] + [("buttons", "clickables")]
-    return s.join(r, "page_id").select(
+
+
+def snapshot_diff(static: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Is the rendered page materially larger than the static one, and the larger component counts. Only the
+    numbers are joined, never the pages."""
+    pairs = static.select("page_id", snapshot_column().alias("s")).join(
+        rendered.select("page_id", snapshot_column().alias("r")), "page_id")
+    s, r = F.col("s"), F.col("r")
+    reason = grown_by(s, r)
+    return pairs.select(
         "page_id", reason.isNotNull().alias("is_dynamic"), reason.alias("grown_by"),
-        *[F.greatest(F.col(f"s.{a}"), F.col(f"r.{b}")).alias(a) for a, b in counts],
-        reduce(lambda x, y: x | y, [F.col(f"r.{b}") > F.col(f"s.{a}") * 1.5 for a, b in counts]).alias("grew_50pct"),
+        *[F.greatest(s[a], r[b]).alias(a) for a, b in RENDERED_COUNTS.items()],
+        reduce(lambda x, y: x | y, [r[b] > s[a] * 1.5 for a, b in RENDERED_COUNTS.items()]).alias("grew_50pct"),
     )
