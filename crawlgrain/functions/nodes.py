@@ -17,7 +17,14 @@ class _Row:
         return F.col(name)
 
 
-ROW = _Row()
+class _Page:
+    """The array columns of a DOM row: PAGE.nodes, PAGE.segs, PAGE.hidden, PAGE.html_len."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+ROW, PAGE = _Row(), _Page()
 
 
 def class_like(n, pattern: str) -> Column:

@@ -15,16 +15,14 @@ from crawlgrain.functions import nodes as N
 from crawlgrain.functions.expr import (
     any_contains, counted_runs, drop_nulls, first_of_runs, let, non_empty, strip,
 )
-
-NODES, SEGS, HIDDEN, HTML_LEN = F.col("nodes"), F.col("segs"), F.col("hidden"), F.col("html_len")
-
+from crawlgrain.functions.nodes import PAGE
 
 def count_nodes(**tests) -> Column:
-    return F.size(F.filter(NODES, lambda n: N.matches(n, **tests)))
+    return F.size(F.filter(PAGE.nodes, lambda n: N.matches(n, **tests)))
 
 
 def any_node(test) -> Column:
-    return F.exists(NODES, test)
+    return F.exists(PAGE.nodes, test)
 
 
 # -- structure counts ----------------------------------------------------------------------------
@@ -57,13 +55,13 @@ def content_hierarchy(dom: DataFrame) -> DataFrame:
 # -- text ----------------------------------------------------------------------------------------
 def text_length_column() -> Column:
     """Length of the page text with every string trimmed."""
-    return F.aggregate(SEGS, F.lit(0), lambda total, s: total + F.length(strip(s)))
+    return F.aggregate(PAGE.segs, F.lit(0), lambda total, s: total + F.length(strip(s)))
 
 
 def text_ratio_column() -> Column:
     """Text length over html length, two decimals; whole percents are rounded so that ties do not depend on
     how an engine prints doubles."""
-    percent = F.round(text_length_column() * 100.0 / F.nullif(HTML_LEN, F.lit(0)))
+    percent = F.round(text_length_column() * 100.0 / F.nullif(PAGE.html_len, F.lit(0)))
     return F.coalesce(percent / 100.0, F.lit(0.0))
 
 
@@ -74,7 +72,7 @@ def text_ratio(dom: DataFrame) -> DataFrame:
 
 def words_column() -> Column:
     """Words of at least four word characters of the lower-cased page text (strings joined without separator)."""
-    return F.regexp_extract_all(F.lower(F.array_join(SEGS, "")), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.array_join(PAGE.segs, "")), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
 
 
 def keyword_density_column(k: int = V.KEYWORD_LIMIT) -> Column:
@@ -92,7 +90,7 @@ def keyword_density(dom: DataFrame, k: int = V.KEYWORD_LIMIT) -> DataFrame:
 
 
 def language_sample_column() -> Column:
-    return F.left(F.array_join(SEGS, ""), F.lit(V.LANGUAGE_SAMPLE_CHARS))
+    return F.left(F.array_join(PAGE.segs, ""), F.lit(V.LANGUAGE_SAMPLE_CHARS))
 
 
 # -- metadata ------------------------------------------------------------------------------------
@@ -101,7 +99,7 @@ def seo_entries_column() -> Column:
     def key(n):
         return F.coalesce(*[non_empty(N.attr(n, name)) for name in ("name", "property", "itemprop")])
 
-    tags = F.filter(NODES, lambda n: (n["tag"] == "meta") & key(n).isNotNull())
+    tags = F.filter(PAGE.nodes, lambda n: (n["tag"] == "meta") & key(n).isNotNull())
     ordered = F.sort_array(F.transform(tags, lambda n: F.struct(
         key(n).alias("key"), (-n["node_id"]).alias("neg"), N.attr(n, "content").alias("content"))))
     return F.transform(first_of_runs(ordered, lambda e: e["key"]),
@@ -118,7 +116,7 @@ def seo_meta(dom: DataFrame) -> DataFrame:
 
 def frameworks_column() -> Column:
     sources = F.filter(
-        F.transform(F.filter(NODES, lambda n: n["tag"] == "script"), lambda n: F.lower(N.attr(n, "src"))),
+        F.transform(F.filter(PAGE.nodes, lambda n: n["tag"] == "script"), lambda n: F.lower(N.attr(n, "src"))),
         lambda s: F.coalesce(s != "", F.lit(False)))
 
     def loaded(ss, name):
@@ -134,8 +132,8 @@ def frameworks(dom: DataFrame) -> DataFrame:
 def structured_data_column() -> Column:
     """Bodies of the JSON-LD scripts that parse, as JSON text in document order."""
     bodies = F.transform(
-        F.filter(NODES, lambda n: N.matches(n, tags=["script"], attr_eq={"type": "application/ld+json"})),
-        lambda n: N.only_string(n, SEGS, HIDDEN))
+        F.filter(PAGE.nodes, lambda n: N.matches(n, tags=["script"], attr_eq={"type": "application/ld+json"})),
+        lambda n: N.only_string(n, PAGE.segs, PAGE.hidden))
     return F.filter(bodies, lambda b: F.try_parse_json(b).isNotNull())
 
 
@@ -150,7 +148,7 @@ def dynamic_attributes_column() -> Column:
     def is_dynamic(name):
         return reduce(lambda a, b: a | b, [name.startswith(p) for p in V.DYNAMIC_ATTRIBUTE_PREFIXES])
 
-    names = F.flatten(F.transform(NODES, lambda n: F.filter(F.map_keys(n["attrs"]), is_dynamic)))
+    names = F.flatten(F.transform(PAGE.nodes, lambda n: F.filter(F.map_keys(n["attrs"]), is_dynamic)))
     return F.sort_array(F.array_distinct(names))
 
 
@@ -159,8 +157,8 @@ def dynamic_attributes(dom: DataFrame) -> DataFrame:
 
 
 def pagination_column() -> Column:
-    numbered = F.exists(SEGS, lambda s: s.rlike(V.PAGE_NUMBER_TEXT)) | F.exists(
-        HIDDEN, lambda h: h["text"].rlike(V.PAGE_NUMBER_TEXT))
+    numbered = F.exists(PAGE.segs, lambda s: s.rlike(V.PAGE_NUMBER_TEXT)) | F.exists(
+        PAGE.hidden, lambda h: h["text"].rlike(V.PAGE_NUMBER_TEXT))
     linked = any_node(lambda n: N.matches(n, attr_re={"href": V.PAGE_LINK}))
     marked = any_node(lambda n: N.matches(n, has_attr="data-page"))
     return drop_nulls(F.when(numbered, "page_numbers"), F.when(linked, "next_buttons"),
@@ -186,7 +184,7 @@ def content_patterns_column() -> Column:
     """Parents whose first three element children look alike. In document order the first child directly follows
     its parent and each next sibling follows the previous subtree, so the three are array look-ups."""
     def child_after(node_id):
-        return F.get(NODES, node_id + 1)
+        return F.get(PAGE.nodes, node_id + 1)
 
     def trio(p):
         return let(child_after(p["node_id"]), lambda a: let(child_after(a["subtree_end"]), lambda b: let(
@@ -202,16 +200,16 @@ def content_patterns_column() -> Column:
     def all_classed(t):
         return (F.size(t["a"]["classes"]) > 0) & (F.size(t["b"]["classes"]) > 0) & (F.size(t["c"]["classes"]) > 0)
 
-    parents = F.filter(NODES, lambda n: n["tag"].isin(V.PATTERN_PARENT_TAGS) & (n["n_children"] >= 3))
+    parents = F.filter(PAGE.nodes, lambda n: n["tag"].isin(V.PATTERN_PARENT_TAGS) & (n["n_children"] >= 3))
     return F.transform(F.filter(F.transform(parents, trio), alike), lambda t: _pattern(
         t["p"], t["a"]["tag"], t["p"]["n_children"], F.when(all_classed(t), "high").otherwise("medium")))
 
 
 def list_patterns_column() -> Column:
     """Parents holding at least five li, ordered by their first li."""
-    firsts = F.filter(NODES, lambda n: (n["tag"] == "li") & (n["tag_idx"] == 1) & (n["tag_total"] >= 5))
+    firsts = F.filter(PAGE.nodes, lambda n: (n["tag"] == "li") & (n["tag_idx"] == 1) & (n["tag_total"] >= 5))
     return F.transform(firsts, lambda n: _pattern(
-        F.get(NODES, n["parent_id"]), F.lit("li"), n["tag_total"], F.lit("high")))
+        F.get(PAGE.nodes, n["parent_id"]), F.lit("li"), n["tag_total"], F.lit("high")))
 
 
 def all_patterns_column() -> Column:
@@ -247,11 +245,11 @@ def best_pattern(dom: DataFrame) -> DataFrame:
 def extraction_heuristics_column() -> Column:
     """The extraction patterns with enough hits, most hits first."""
     def heuristic(order, name, tags, class_re, over, samples, selector):
-        hits = F.filter(NODES, lambda n: N.matches(n, tags=tags, class_re=class_re))
+        hits = F.filter(PAGE.nodes, lambda n: N.matches(n, tags=tags, class_re=class_re))
         return let(hits, lambda hs: F.when(F.size(hs) > over, F.struct(
             (-F.size(hs)).alias("neg"), F.lit(order).alias("ord"), F.lit(name).alias("pattern"),
             F.lit(selector).alias("selector"),
-            F.filter(F.transform(F.slice(hs, 1, samples), lambda n: N.preview(n, SEGS, HIDDEN)),
+            F.filter(F.transform(F.slice(hs, 1, samples), lambda n: N.preview(n, PAGE.segs, PAGE.hidden)),
                      lambda s: s != "").alias("sample"))))
 
     ranked = F.sort_array(drop_nulls(*[heuristic(i, *h) for i, h in enumerate(V.HEURISTICS)]))
@@ -274,7 +272,7 @@ def dom_outline_column(max_depth: int = 3, k: int = 10) -> Column:
                         F.coalesce(N.class_selector(n), F.lit("")))
 
     def rest(n, level):
-        more = F.get(NODES, n["parent_id"])["n_children"] - k
+        more = F.get(PAGE.nodes, n["parent_id"])["n_children"] - k
         return F.concat(F.repeat(F.lit(" "), level), F.lit("|_ ... ("), more.cast("string"), F.lit(" more)"))
 
     def shown(n, body):
@@ -284,17 +282,17 @@ def dom_outline_column(max_depth: int = 3, k: int = 10) -> Column:
         for step in range(max_depth + 1):
             limit = k + 1 if step == 0 else k
             ok = ok & ((n["depth"] - step <= body["depth"]) | (node["elem_idx"] <= limit))
-            node = F.get(NODES, node["parent_id"])
+            node = F.get(PAGE.nodes, node["parent_id"])
         level = n["depth"] - body["depth"]
         return ok & ((level <= max_depth) | ((level == max_depth + 1) & (n["elem_idx"] == k + 1)))
 
     def lines(body):
-        inside = F.slice(NODES, body["node_id"] + 1, body["subtree_end"] - body["node_id"] + 1)
+        inside = F.slice(PAGE.nodes, body["node_id"] + 1, body["subtree_end"] - body["node_id"] + 1)
         return F.transform(F.filter(inside, lambda n: shown(n, body)), lambda n: let(
             n["depth"] - body["depth"], lambda level: F.when(
                 (level > 0) & (n["elem_idx"] == k + 1), rest(n, level)).otherwise(line(n, level))))
 
-    body = F.get(F.filter(NODES, lambda n: n["tag"] == "body"), F.lit(0))
+    body = F.get(F.filter(PAGE.nodes, lambda n: n["tag"] == "body"), F.lit(0))
     empty = F.array().cast("array<string>")
     return F.coalesce(let(body, lambda b: F.when(b.isNotNull(), lines(b))), empty)
 
@@ -337,10 +335,10 @@ def site_archetype(dom: DataFrame) -> DataFrame:
 # -- snapshot comparison -------------------------------------------------------------------------
 def snapshot_column() -> Column:
     """The few numbers of a page that two snapshots are compared on."""
-    clickable = F.filter(NODES, lambda n: (n["tag"] == "button") | N.matches(n, attr_eq={"role": "button"})
+    clickable = F.filter(PAGE.nodes, lambda n: (n["tag"] == "button") | N.matches(n, attr_eq={"role": "button"})
                          | F.array_contains(n["classes"], "btn"))
     return F.struct(
-        HTML_LEN.alias("html_len"), text_length_column().alias("text_len"),
+        PAGE.html_len.alias("html_len"), text_length_column().alias("text_len"),
         count_nodes(class_re=V.SNAPSHOT_CONTAINER_CLASS).alias("n_containers"),
         count_nodes(tags=V.SNAPSHOT_ITEM_TAGS, class_re=V.SNAPSHOT_ITEM_CLASS).alias("n_items"),
         count_nodes(tags=["form"]).alias("forms"), count_nodes(tags=["table"]).alias("tables"),

@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from crawlgrain import fixed_values as V
 from crawlgrain.functions import nodes as N
 from crawlgrain.functions.expr import drop_nulls, first, let, non_empty, strip
+from crawlgrain.functions.nodes import PAGE
 from crawlgrain.operators.dom import below
-from crawlgrain.operators.page_features import HIDDEN, NODES, SEGS
 
 UNSTABLE_ATTRIBUTES = ["class", "id", "style", "accesskey", "dropzone"]  # the last two hold lists, not one value
 
 
 # -- strategies ----------------------------------------------------------------------------------
 def strategy_targets() -> Column:
-    return F.slice(F.filter(NODES, lambda n: N.matches(n, tags=V.STRATEGY_TAGS, class_re=V.STRATEGY_CLASS)), 1, 5)
+    return F.slice(F.filter(PAGE.nodes, lambda n: N.matches(n, tags=V.STRATEGY_TAGS, class_re=V.STRATEGY_CLASS)), 1, 5)
 
 
 def _strategy(order: int, selector: Column, reliability: Column, method: str, count: Column | None = None) -> Column:
@@ -27,14 +27,14 @@ def _strategy(order: int, selector: Column, reliability: Column, method: str, co
 
 def strategies_of(n) -> Column:
     """Up to three selector strategies of one element, best first."""
-    parent = F.get(NODES, n["parent_id"])
+    parent = F.get(PAGE.nodes, n["parent_id"])
     nth = F.concat(F.lit(" > "), n["tag"], F.lit(":nth-child("), n["tag_idx"].cast("string"), F.lit(")"))
     parent_id = F.concat(F.lit("#"), non_empty(parent["id"]), nth)
     parent_class = F.when(parent_id.isNull(), F.concat(N.class_selector(parent), nth))
-    alone = strip(N.only_string(n, SEGS, HIDDEN))
+    alone = strip(N.only_string(n, PAGE.segs, PAGE.hidden))
     anchor = F.when(F.length(alone) > 10, F.concat(
         n["tag"], F.lit(":contains('"), F.left(alone, F.lit(20)), F.lit("')")))
-    uses = F.size(F.filter(NODES, lambda m: F.size(F.array_except(n["classes"], m["classes"])) == 0))
+    uses = F.size(F.filter(PAGE.nodes, lambda m: F.size(F.array_except(n["classes"], m["classes"])) == 0))
     by_class = let(uses, lambda count: _strategy(
         1, N.class_selector(n), F.when(count < 5, 0.8).when(count < 20, 0.6).otherwise(0.4), "class", count))
     stable = F.filter(F.map_entries(n["attrs"]), lambda e: ~e["key"].isin(UNSTABLE_ATTRIBUTES)
@@ -72,7 +72,7 @@ def selector_strategies(dom: DataFrame) -> DataFrame:
 def selector_suggestions_column() -> Column:
     """At most two sentences: ids of long elements, and main content containers, five of each."""
     long_ids = F.slice(F.transform(F.filter(
-        NODES, lambda n: n["id"].isNotNull() & (F.length(N.text(n, SEGS, HIDDEN)) > 100)), lambda n: n["id"]), 1, 5)
+        PAGE.nodes, lambda n: n["id"].isNotNull() & (F.length(N.text(n, PAGE.segs, PAGE.hidden)) > 100)), lambda n: n["id"]), 1, 5)
 
     def names(n):
         by_id = F.coalesce(non_empty(n["id"]).rlike(V.SUGGESTION_PATTERN), F.lit(False))
@@ -80,7 +80,7 @@ def selector_suggestions_column() -> Column:
         return F.when(by_id, F.array(F.concat(F.lit("#"), n["id"]))).otherwise(
             F.transform(classes, lambda c: F.concat(F.lit("."), c)))
 
-    mains = F.slice(F.flatten(F.transform(F.filter(NODES, lambda n: n["tag"].isin(V.SUGGESTION_TAGS)), names)), 1, 5)
+    mains = F.slice(F.flatten(F.transform(F.filter(PAGE.nodes, lambda n: n["tag"].isin(V.SUGGESTION_TAGS)), names)), 1, 5)
     return let(long_ids, lambda ids: let(mains, lambda ms: drop_nulls(
         F.when(F.size(ids) > 0, F.concat(F.lit("High-content IDs: #"), F.array_join(ids, ", #"))),
         F.when(F.size(ms) > 0, F.concat(F.lit("Main content containers: "), F.array_join(ms, ", "))))))
@@ -94,7 +94,7 @@ def selector_suggestions(dom: DataFrame) -> DataFrame:
 def template_selectors_column() -> Column:
     """array<struct<role, selector>>: the first element of each role that exists."""
     def role(name, tags, class_re):
-        hit = first(F.filter(NODES, lambda n: N.matches(n, tags=tags, class_re=class_re)))
+        hit = first(F.filter(PAGE.nodes, lambda n: N.matches(n, tags=tags, class_re=class_re)))
         return let(hit, lambda n: F.when(n.isNotNull(), F.struct(
             F.lit(name).alias("role"), N.css_selector(n).alias("selector"))))
 
@@ -109,13 +109,13 @@ def template_selectors(dom: DataFrame) -> DataFrame:
 def common_classes(uses: int = 5) -> Column:
     """Classes carried by at least ``uses`` elements: in the sorted list of all class uses such a class equals
     the entry ``uses - 1`` places further on."""
-    ordered = F.sort_array(F.flatten(F.transform(NODES, lambda n: F.array_distinct(n["classes"]))))
+    ordered = F.sort_array(F.flatten(F.transform(PAGE.nodes, lambda n: F.array_distinct(n["classes"]))))
     return let(ordered, lambda cs: F.array_distinct(F.filter(
         cs, lambda c, i: F.coalesce(c == F.get(cs, i + (uses - 1)), F.lit(False)))))
 
 
 def _unique_selector(n, common: Column) -> Column:
-    parent = F.get(NODES, n["parent_id"])
+    parent = F.get(PAGE.nodes, n["parent_id"])
     rare = first(F.filter(n["classes"], lambda c: ~F.array_contains(common, c)))
     return F.coalesce(
         F.concat(F.lit("#"), non_empty(n["id"])),
@@ -136,18 +136,18 @@ def interactive_elements_column() -> Column:
             (n["tag"] == "button") | N.matches(n, attr_eq={"role": "button"}) | F.array_contains(n["classes"], "btn")
             | ((n["tag"] == "a") & N.matches(n, attr_eq={"href": "#"}))
             | _class_attr(n).contains("load") | _class_attr(n).contains("more")
-        ) & N.text(n, SEGS, HIDDEN).rlike(f"(?i){V.LOADING_BUTTON_TEXT}")
+        ) & N.text(n, PAGE.segs, PAGE.hidden).rlike(f"(?i){V.LOADING_BUTTON_TEXT}")
 
-    pagers = F.filter(NODES, lambda n: _class_attr(n).contains("pag"))
+    pagers = F.filter(PAGE.nodes, lambda n: _class_attr(n).contains("pag"))
 
     def elements(hits, common, kind):
         return F.transform(hits, lambda n: F.struct(
-            _unique_selector(n, common).alias("selector"), N.preview(n, SEGS, HIDDEN, 30).alias("text"),
+            _unique_selector(n, common).alias("selector"), N.preview(n, PAGE.segs, PAGE.hidden, 30).alias("text"),
             F.lit(kind).alias("type")))
 
-    links = let(pagers, lambda ps: F.filter(NODES, lambda n: ((n["tag"] == "a") & below(ps, n)) | F.coalesce(
+    links = let(pagers, lambda ps: F.filter(PAGE.nodes, lambda n: ((n["tag"] == "a") & below(ps, n)) | F.coalesce(
         N.attr(n, "aria-label").contains("page"), F.lit(False))))
-    buttons = F.filter(NODES, is_button)
+    buttons = F.filter(PAGE.nodes, is_button)
     return let(common_classes(), lambda common: F.concat(
         elements(buttons, common, "button"), elements(links, common, "pagination")))
 
