@@ -121,13 +121,6 @@ def tree(source: str = "pages_plus") -> str:
     return "WITH RECURSIVE " + before + body
 
 
-def renamed(ctes: str, suffix: str) -> str:
-    for name in ("parts", "toks", "numbered", "walk", "placed", "nodes", "strings", "page_strings", "texts"):
-        ctes = re.sub(rf"(?<![\w.]){name}(?=( AS | [a-z]\b|\)|$| FROM| WHERE| n | w | p | LEFT))(?! AS tok)",
-                      f"{name}{suffix}", ctes)
-    return ctes
-
-
 def has_class(pattern: str, alias: str = "") -> str:
     return f"len(list_filter({alias}classes, lambda c: regexp_matches(c, {quoted(pattern)}))) > 0"
 
@@ -276,18 +269,16 @@ signals AS (SELECT page_id, {ordinal('i')} AS ord, signal FROM (
   UNION ALL SELECT DISTINCT page_id, 1, 'next_buttons' FROM nodes
     WHERE regexp_matches(coalesce({attr('href')}, ''), 'page|next')
   UNION ALL SELECT DISTINCT page_id, 2, 'data_attributes' FROM nodes WHERE regexp_matches(head, ' data-page[= >]')))"""
-MEASURES = f"""SELECT p.page_id, p.html_len, p.text_len, n.* EXCLUDE (page_id) FROM @STRINGS@ p JOIN (SELECT page_id,
+MEASURES = f"""SELECT p.page_id, p.html_len, p.text_len, n.* EXCLUDE (page_id) FROM page_strings p JOIN (SELECT page_id,
   {count_if(has_class(V.SNAPSHOT_CONTAINER_CLASS))} AS n_containers,
   {count_if(f"tag IN {in_list(V.SNAPSHOT_ITEM_TAGS)} AND {has_class(V.SNAPSHOT_ITEM_CLASS)}")} AS n_items,
   {count_if("tag = 'form'")} AS forms, {count_if("tag = 'table'")} AS tables, {count_if("tag = 'iframe'")} AS iframes,
   {count_if("tag = 'button'")} AS buttons,
   {count_if(f"tag = 'button' OR list_contains(classes, 'btn') OR coalesce({attr('role')} = 'button', FALSE)")} AS clickables
-  FROM @NODES@ GROUP BY page_id) n USING (page_id)"""
+  FROM nodes GROUP BY page_id) n USING (page_id)"""
 
 
 def outline() -> str:
-    chain = "coalesce(list_max(list_transform(list_filter(above, lambda x: x > b.node_id), lambda x: x)), 0)"
-    del chain
     return f"""
 body AS (SELECT page_id, min(node_id) AS node_id FROM nodes WHERE tag = 'body' GROUP BY page_id),
 inside AS (SELECT n.*, n.depth - b.depth AS level, b.node_id AS body_id FROM nodes n
@@ -378,5 +369,397 @@ def page_queries() -> dict[str, str]:
     }
 
 
+def snapshot_sql(columns: str) -> str:
+    static, rendered = (f"({tree(name)} {MEASURES})" for name in ("pages_plus", "pages_rendered"))
+    return f"""SELECT page_id, {columns} FROM {static} s JOIN {rendered} r USING (page_id)"""
+
+
+GROWN = ("CASE WHEN r.html_len > s.html_len * 1.2 THEN 'html' WHEN r.text_len > s.text_len * 1.2 THEN 'text' "
+         "WHEN r.n_containers > s.n_containers * 1.2 THEN 'containers' WHEN r.n_items > s.n_items * 1.1 THEN 'items' END")
+LARGER = ("greatest(s.forms, r.forms) AS forms, greatest(s.tables, r.tables) AS tables, "
+          "greatest(s.iframes, r.iframes) AS iframes, greatest(s.buttons, r.clickables) AS buttons")
+
+ROBOTS = """SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/robots.txt' AS robots_url,
+  CASE WHEN error IS NOT NULL THEN 'Error fetching' WHEN status = 200 THEN body ELSE 'Not found' END AS robots_txt,
+  CASE WHEN error IS NOT NULL THEN 'Could not fetch robots.txt: ' || error END AS warning
+  FROM pages LEFT JOIN robots ON host = regexp_extract(url, 'https?://([^/]+)', 1)"""
+HEADERS = "SELECT p.page_id, " + ", ".join(
+    f"max(CASE WHEN lower(name) = '{h.lower()}' THEN value END) AS {h.lower().replace('-', '_')}"
+    for h in V.SECURITY_HEADERS) + " FROM pages p LEFT JOIN response_headers h ON h.page_id = p.page_id GROUP BY p.page_id"
+API_CALLS = """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY seq) AS INT) AS rank, url, method
+  FROM resource_log WHERE resource_type IN ('xhr', 'fetch') QUALIFY rank <= 10"""
+PERFORMANCE = """SELECT n.page_id, coalesce(nav_load_end, timing_load_end - navigation_start) AS load_time,
+  CAST(length(html) AS INT) AS dom_size, coalesce(r.n, 0) AS resource_count, coalesce(r.x, 0) AS ajax_count
+  FROM navigation n JOIN pages p ON p.page_id = n.page_id LEFT JOIN (SELECT page_id, count(*) AS n,
+  count(*) FILTER (WHERE initiator_type = 'xmlhttprequest') AS x FROM resource_log GROUP BY page_id) r
+  ON r.page_id = n.page_id"""
+AGE = f"({NOW} - coalesce(cache_time, 0))"
+EXPIRED = f"(NOT readable OR {AGE} >= 86400)"
+CACHE = "cache_key, url, cache_time, size_bytes, readable, version"
+NEWEST = "row_number() OVER (PARTITION BY cache_key ORDER BY coalesce(cache_time, 0) DESC, version DESC) = 1"
+
+REJECT = """CASE WHEN url IS NULL THEN 'missing url' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN
+  'url is not http or https' WHEN NOT regexp_matches(url, '(?i)^https?://[^/?#]+') THEN 'url has no host'
+  WHEN expected_data IS NULL THEN 'missing expected_data' WHEN llm_model IS NULL THEN 'missing llm_model' END"""
+
+
+def source_queries() -> dict[str, str]:
+    return {
+        "page_scan": "SELECT page_id, url, CAST(length(html) AS INT) AS html_len FROM pages",
+        "request_valid": over("requests") + f"SELECT * FROM requests WHERE {REJECT} IS NULL",
+        "request_rejected": over("requests") + f"""SELECT request_id, {REJECT} AS reject_reason FROM requests
+            WHERE {REJECT} IS NOT NULL""",
+        "robots_lookup": over("robots") + ROBOTS,
+        "security_headers": over("response_headers") + HEADERS,
+        "cache_fresh": over("analysis_cache") + f"""SELECT {CACHE} FROM (SELECT * FROM analysis_cache QUALIFY {NEWEST})
+            WHERE readable AND {AGE} < 86400""",
+        "cache_upsert": over("analysis_cache", "analysis_cache_new") + f"""SELECT {CACHE} FROM (SELECT * FROM analysis_cache
+            UNION ALL SELECT * FROM analysis_cache_new) QUALIFY {NEWEST}""",
+        "cache_clear_urls": over("analysis_cache", "analysis_cache_new") + f"""SELECT {CACHE} FROM analysis_cache c
+            WHERE NOT EXISTS (SELECT 1 FROM analysis_cache_new n WHERE n.url = c.url)""",
+        "cache_clear_all": over("analysis_cache") + f"SELECT {CACHE} FROM analysis_cache WHERE FALSE",
+        "cache_expire_kept": over("analysis_cache") + f"SELECT {CACHE} FROM analysis_cache WHERE NOT {EXPIRED}",
+        "cache_expire_count": over("analysis_cache") + f"""SELECT count(*) FILTER (WHERE {EXPIRED}) AS removed
+            FROM analysis_cache""",
+        "cache_stats": over("analysis_cache") + f"""SELECT count(*) AS total_entries,
+            count(*) FILTER (WHERE {EXPIRED}) AS expired_entries, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
+            round(sum({AGE}) FILTER (WHERE readable) / count(*) / 3600, 6) AS average_age_hours FROM analysis_cache""",
+        "json_rows": over("attempt_log") + """SELECT CAST(to_json(struct_pack(request_id, attempt_no, success, code, stdout))
+            AS VARCHAR) AS value FROM attempt_log""",
+        "access_log_filter": over("access_log") + """SELECT * FROM access_log
+            WHERE NOT (n_args >= 3 AND contains(path, '/api/status/'))""",
+        "page_performance": over("resource_log", "navigation") + PERFORMANCE,
+        "api_calls": over("resource_log") + API_CALLS,
+        "snapshot_diff": snapshot_sql(f"""{GROWN} IS NOT NULL AS is_dynamic, {GROWN} AS grown_by, {LARGER},
+            r.forms > s.forms * 1.5 OR r.tables > s.tables * 1.5 OR r.iframes > s.iframes * 1.5
+            OR r.clickables > s.buttons * 1.5 AS grew_50pct"""),
+        "incremental_analysis": over("analysis_cache") + f""", live AS (SELECT * FROM (SELECT * FROM analysis_cache
+            QUALIFY {NEWEST}) WHERE readable AND {AGE} < 86400)
+            SELECT page_id, CASE WHEN l.cache_key IS NULL THEN 'fresh' ELSE 'cache' END AS origin, size_bytes
+            FROM pages p LEFT JOIN live l ON l.cache_key = md5(p.url)""",
+        "stream_page_analysis": tree("pages") + "," + PATTERNS + f""" SELECT p.page_id, {RATIO} AS text_ratio,
+            navigation, CAST(coalesce(k.n, 0) AS INT) AS n_patterns FROM page_strings p
+            JOIN (SELECT page_id, {count_if(COMPONENT_TESTS["navigation"])} AS navigation FROM nodes GROUP BY page_id) c
+            USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM patterns GROUP BY page_id) k USING (page_id)""",
+    }
+
+
+# -- whole analysis ------------------------------------------------------------------------------
+def advice_sql() -> str:
+    """Ordered recommendation lines of every page, from the page features and the context tables."""
+    tests = {
+        0: ("TRUE", "CASE WHEN likely_dynamic THEN 'Use Playwright/Selenium for JavaScript rendering' ELSE "
+                    "'Static content: Use Requests + BeautifulSoup for efficient scraping' END"),
+        1: ("likely_dynamic AND (react OR angular OR vue)", "concat_ws(', ', CASE WHEN react THEN 'React' END, CASE WHEN "
+            "angular THEN 'Angular' END, CASE WHEN vue THEN 'Vue' END) || ' framework detected: Wait for dynamic content to load'"),
+        2: ("forms > 0", "'Found ' || forms || ' forms: Consider form submission handling'"),
+        3: ("tables > 0", "'Found ' || tables || ' tables: Use pandas for structured data extraction'"),
+        4: ("secured", "'Security headers detected: Consider using proper headers in requests'"),
+        5: ("paginated", "'Pagination detected: Implement pagination handling'"),
+        6: ("pagers > 0", "'Interactive pagination detected: Implement pagination navigation'"),
+        7: ("buttons > 0 AND loads_more",
+            "'Load more functionality detected: Implement click interaction to get all content'"),
+        8: ("child_selector IS NOT NULL", "'Repeating content pattern detected: Use selector ''' || child_selector || "
+            "''' for content items'"),
+        9: ("pattern IS NOT NULL", "'Extraction pattern ''' || pattern || ''' found ' || count || ' items with selector ''' "
+            "|| selector || ''''"),
+    }
+    lines = " UNION ALL ".join(
+        f"SELECT page_id, {i} AS part, 0 AS pos, {text} AS recommendation FROM facts WHERE {test}"
+        for i, (test, text) in tests.items())
+    lines += " UNION ALL SELECT page_id, 10, ord, 'Selector suggestion: ' || suggestion FROM suggestions"
+    return f"""
+frame AS (SELECT page_id, {", ".join(f"{t} AS {n}" for n, t in FRAMEWORK_TESTS.items())},
+  {count_if("tag = 'form'")} AS forms, {count_if("tag = 'table'")} AS tables FROM nodes GROUP BY page_id),
+best AS (SELECT page_id, {PATTERN_COLUMNS} FROM patterns QUALIFY row_number() OVER (PARTITION BY page_id
+  ORDER BY n DESC, ord) = 1),
+top_hit AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY count DESC, i) = 1),
+facts AS (SELECT f.page_id, l.likely_dynamic, f.react, f.angular, f.vue, f.forms, f.tables,
+    h.content_security_policy IS NOT NULL OR h.x_frame_options IS NOT NULL OR h.strict_transport_security IS NOT NULL AS secured,
+    s.page_id IS NOT NULL AS paginated, coalesce(e.pagers, 0) AS pagers, coalesce(e.buttons, 0) AS buttons,
+    coalesce(e.loads_more, FALSE) AS loads_more, b.child_selector, t.pattern, t.count, t.selector
+  FROM frame f JOIN likely l USING (page_id) LEFT JOIN ({HEADERS}) h USING (page_id)
+  LEFT JOIN (SELECT DISTINCT page_id FROM signals) s USING (page_id)
+  LEFT JOIN (SELECT page_id, count(*) FILTER (WHERE type = 'pagination') AS pagers,
+    count(*) FILTER (WHERE type = 'button') AS buttons, bool_or(regexp_matches(lower(text), 'load|more')) AS loads_more
+    FROM interactive GROUP BY page_id) e USING (page_id)
+  LEFT JOIN best b USING (page_id) LEFT JOIN top_hit t USING (page_id)),
+advice AS ({lines})"""
+
+
+def analysis_queries() -> dict[str, str]:
+    everything = tree() + LIKELY + "," + ",".join([PATTERNS, heuristics(), SIGNALS, INTERACTIVE, SUGGESTIONS]) + ", " \
+        + fixture_ctes("response_headers", "robots", "resource_log", "navigation")
+    growth = snapshot_sql(f"{GROWN} IS NOT NULL AS is_dynamic, {LARGER}")
+    return {
+        "recommendations": everything + "," + advice_sql() + f"""
+            SELECT page_id, {ordinal('part, pos')} AS ord, recommendation FROM advice""",
+        "page_analysis": everything + "," + KEYWORDS + f"""
+            SELECT p.page_id, p.url, g.is_dynamic, {RATIO} AS text_ratio, rb.robots_txt,
+              CASE WHEN g.is_dynamic THEN 'dynamic_content' WHEN k.shop THEN 'e-commerce' WHEN k.news THEN 'news'
+                ELSE 'dynamic_content' END AS archetype,
+              c.navigation, g.forms, g.buttons, c.modals, g.tables, g.iframes,
+              CAST(coalesce(d.n, 0) AS INT) AS n_attributes, CAST(coalesce(pt.n, 0) AS INT) AS n_patterns,
+              CAST(coalesce(i.n, 0) AS INT) AS n_interactive, CAST(a.n AS INT) AS n_apis, m.load_time,
+              concat_ws('|', rb.warning, 'Language detection not available') AS warnings
+            FROM page_strings p JOIN ({growth}) g USING (page_id)
+            JOIN (SELECT page_id, {", ".join(f"{count_if(t)} AS {n}" for n, t in COMPONENT_TESTS.items())}
+              FROM nodes GROUP BY page_id) c USING (page_id)
+            LEFT JOIN ({ROBOTS}) rb USING (page_id)
+            LEFT JOIN (SELECT page_id, bool_or(regexp_matches(word, 'product|price|shop|cart|store|buy')) AS shop,
+              bool_or(regexp_matches(word, 'article|news|post|blog|story')) AS news FROM keywords GROUP BY page_id) k
+              USING (page_id)
+            LEFT JOIN (SELECT page_id, count(*) AS n FROM attribute_names GROUP BY page_id) d USING (page_id)
+            LEFT JOIN (SELECT page_id, count(*) AS n FROM patterns GROUP BY page_id) pt USING (page_id)
+            LEFT JOIN (SELECT page_id, count(*) AS n FROM interactive GROUP BY page_id) i USING (page_id)
+            LEFT JOIN (SELECT page_id, count(*) AS n FROM ({API_CALLS}) GROUP BY page_id) a USING (page_id)
+            LEFT JOIN ({PERFORMANCE}) m USING (page_id)""",
+    }
+
+
+# -- language ------------------------------------------------------------------------------------
+def language_queries() -> dict[str, str]:
+    profiles = r"""
+doc_words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word
+  FROM documents) GROUP BY ALL),
+doc_grams AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, n, substr(' ' || word || ' ', i, size) AS gram
+  FROM doc_words, range(1, 4) s(size), LATERAL range(1, length(word) + 4 - size) r(i)) GROUP BY ALL),
+profiles AS (SELECT lang, gram, CAST(round((ln(n / sum(n) OVER (PARTITION BY lang)) - ln(1e-7)) * 1000) AS BIGINT) AS weight
+  FROM doc_grams QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300)"""
+    detect = r""",
+page_words AS (SELECT page_id, unnest(regexp_extract_all(lower(left(body, 1000)), '\p{L}+')) AS word FROM page_strings),
+page_grams AS (SELECT page_id, substr(' ' || word || ' ', i, size) AS gram
+  FROM page_words, range(1, 4) s(size), LATERAL range(1, length(word) + 4 - size) r(i)),
+scores AS (SELECT page_id, lang, sum(weight) AS score FROM page_grams JOIN profiles USING (gram) GROUP BY ALL)
+SELECT p.page_id, coalesce(lang, '') AS language FROM page_strings p LEFT JOIN (SELECT page_id, lang FROM scores
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, lang) = 1) b ON b.page_id = p.page_id"""
+    return {
+        "language_profiles": "WITH " + profiles + " SELECT lang, gram, weight FROM profiles",
+        "page_language": tree("pages") + "," + profiles + detect,
+    }
+
+
+# -- extraction jobs -----------------------------------------------------------------------------
+CODE_OK = f"(success AND {strip('stdout')} <> '')"
+
+
+def parsed_sql(text: str) -> tuple[str, str]:
+    """(kind, data) expressions of an output text."""
+    whole = f"(starts_with({text}, '{{') OR starts_with({text}, '['))"
+    inner = f"nullif(regexp_extract({text}, '(?s)(\\{{.*\\}}|\\[.*\\])', 1), '')"
+    kind = (f"CASE WHEN {whole} AND json_valid({text}) THEN 'json' WHEN NOT {whole} AND coalesce(json_valid({inner}), FALSE) "
+            f"THEN 'embedded_json' ELSE 'text' END")
+    return kind, f"CASE WHEN {kind} = 'embedded_json' THEN {inner} ELSE {text} END"
+
+
+def values_table(rows, columns: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(
+        quoted(v) if isinstance(v, str) else repr(v) for v in row) + ")" for row in rows) + f") AS v({columns})"
+
+
+SCRIPT_TYPE = """CASE WHEN contains(code, 'selenium') OR contains(code, 'webdriver') THEN 'selenium'
+  WHEN contains(code, 'playwright') THEN 'playwright' WHEN contains(code, 'scrapy') THEN 'scrapy'
+  WHEN contains(code, 'beautifulsoup') OR contains(code, 'bs4') THEN 'beautifulsoup'
+  WHEN contains(code, 'requests') THEN 'requests' ELSE 'unknown' END"""
+IMPORTS = r"""
+lines AS (SELECT doc_id, unnest(string_split(code, chr(10))) AS line FROM code_rows),
+imports AS (SELECT DISTINCT doc_id, module FROM (
+  SELECT doc_id, regexp_extract(unnest(string_split(regexp_extract(line, '^\s*import\s+(.*)$', 1), ',')), '^\s*(\w+)', 1) AS module
+    FROM lines WHERE regexp_matches(line, '^\s*import\s')
+  UNION ALL SELECT doc_id, regexp_extract(line, '^\s*from\s+(\w+)', 1) FROM lines
+    WHERE regexp_matches(line, '^\s*from\s+[\w.]+\s+import')) WHERE module <> '')"""
+
+
+def job_queries() -> dict[str, str]:
+    kind, data = parsed_sql(strip("stdout"))
+    out_kind, out_data = parsed_sql("output")
+    errors = values_table([(i, *p) for i, p in enumerate(V.ERROR_PATTERNS)],
+                          "i, error_type, explanation, recommendation")
+    text = "lower(expected_data)"
+    types = values_table([(i, w, w) for i, w in enumerate(V.DATA_TYPES)] + [
+        (len(V.DATA_TYPES) + i, name, word) for i, (name, words) in enumerate(V.DATA_TYPE_SYNONYMS) for word in words],
+        "i, data_type, word")
+    verdict = strip(f"upper({strip('response')})")
+    issue = ", ".join(f"{quoted(v)} AS {c}" for v, c in zip(
+        V.TIMEOUT_ISSUE, ("error_type", "explanation", "recommendation")))
+    return {
+        "classify_errors": over("attempt_log") + f"""SELECT request_id, attempt_no,
+            {ordinal('i', 'request_id, attempt_no')} AS ord, error_type, explanation, recommendation
+            FROM attempt_log JOIN {errors} ON contains(lower(stderr), lower(error_type))""",
+        "timeout_issues": over("attempt_log") + f"""SELECT request_id, attempt_no, {SCRIPT_TYPE} AS scraper_type,
+            'Execution timed out after ' || CAST(trunc(execution_time) AS BIGINT) || 's' || CASE
+            WHEN {SCRIPT_TYPE} IN ('selenium', 'playwright') THEN {quoted(V.TIMEOUT_BROWSER_HINT)}
+            WHEN {SCRIPT_TYPE} = 'requests' THEN {quoted(V.TIMEOUT_REQUESTS_HINT)} ELSE '' END AS message, {issue}
+            FROM attempt_log WHERE timed_out""",
+        "import_census": over("code_rows") + "," + IMPORTS + """ SELECT module, count(*) AS n_rows FROM imports
+            GROUP BY module""",
+        "blocked_imports": over("code_rows") + "," + IMPORTS + f""" SELECT doc_id, module FROM imports
+            WHERE module NOT IN {in_list(sorted(sys.stdlib_module_names) + V.ALLOWED_MODULES)}""",
+        "code_checks": over("code_rows") + rf"""SELECT doc_id, {SCRIPT_TYPE} AS script_type,
+            regexp_matches(code, '(?m)^\s*(import|from)\s+\w+') AND (regexp_matches(code, '(?m)^\s*def\s+\w+')
+            OR regexp_matches(code, '(?m)^\s*class\s+\w+') OR regexp_matches(code, '(?m)^\s*\w+\s*=')) AS looks_like_code
+            FROM code_rows""",
+        "extract_code": over("llm_responses") + rf"""SELECT conv_id, turn, CASE
+            WHEN regexp_matches(response, '(?s)```python\s*(.*?)\s*```')
+              THEN {strip(r"regexp_extract(response, '(?s)```python\s*(.*?)\s*```', 1)")}
+            WHEN regexp_matches(response, '(?s)```\s*(.*?)\s*```')
+              THEN {strip(r"regexp_extract(response, '(?s)```\s*(.*?)\s*```', 1)")} END AS code FROM llm_responses""",
+        "parse_output": over("attempt_log") + f"""SELECT request_id, attempt_no, {kind} AS kind, {data} AS data
+            FROM attempt_log WHERE {CODE_OK}""",
+        "parse_verdicts": over("verdicts") + f"""SELECT doc_id, starts_with(v, 'YES') AS is_valid,
+            CASE WHEN NOT starts_with(v, 'YES') AND contains(v, '-') THEN {strip("substr(v, instr(v, '-') + 1)")}
+            ELSE '' END AS reason, contains(v, 'YES') AS loose_success
+            FROM (SELECT doc_id, {verdict} AS v FROM verdicts)""",
+        "match_data_types": over("requests") + f""", found AS (SELECT request_id, data_type,
+              row_number() OVER (PARTITION BY request_id ORDER BY i) AS rn FROM (
+              SELECT request_id, data_type, min(i) AS i FROM requests JOIN {types} ON contains({text}, word) GROUP BY ALL)
+              QUALIFY rn <= 3),
+            sized AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM found),
+            listed AS (SELECT request_id, rn, data_type FROM sized
+              UNION ALL SELECT s.request_id, 2, data_type FROM sized s JOIN requests r USING (request_id)
+                WHERE n = 1 AND regexp_matches({text}, 'list|multiple')
+              UNION ALL SELECT request_id, 1, 'generic' FROM requests r
+                WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.request_id = r.request_id))
+            SELECT request_id, CAST(rn - 1 AS INT) AS ord, data_type FROM listed""",
+        "resolve_attempts": over("attempt_log") + f""", tries AS (SELECT request_id, attempt_no, {CODE_OK} AS ok,
+              {CODE_OK} AND is_valid AS valid, code, {strip('stdout')} AS output,
+              min(CASE WHEN {CODE_OK} AND is_valid THEN attempt_no END) OVER (PARTITION BY request_id) AS stop
+              FROM attempt_log WHERE attempt_no <= 5),
+            done AS (SELECT request_id, CAST(count(*) AS INT) AS attempts, bool_or(valid) AS success,
+              max_by(code, attempt_no) FILTER (WHERE ok) AS final_code,
+              max_by(output, attempt_no) FILTER (WHERE ok) AS output
+              FROM tries WHERE stop IS NULL OR attempt_no <= stop GROUP BY request_id)
+            SELECT request_id, attempts, success, final_code,
+              CASE WHEN final_code IS NOT NULL THEN {out_kind} END AS data_kind,
+              CASE WHEN final_code IS NOT NULL THEN {out_data} END AS final_data,
+              CASE WHEN final_code IS NOT NULL THEN 'Code OK' ELSE 'No Code' END AS code_flag,
+              CASE WHEN final_code IS NOT NULL THEN 'Data OK' ELSE 'No Data' END AS data_flag,
+              attempts || ' of 5 attempts' AS attempts_label FROM done""",
+    }
+
+
+# -- model ledger --------------------------------------------------------------------------------
+PREFIX_CASE = "CASE " + " ".join(
+    f"WHEN regexp_matches(lower(model), '{rule}') THEN '{provider}'" for provider, rule in V.PROVIDER_PREFIXES) + " END"
+SUBSTRING_CASE = "CASE " + " ".join(
+    f"WHEN regexp_matches(lower(model), '{'|'.join(words)}') THEN '{provider}'"
+    for provider, words in V.PROVIDER_SUBSTRINGS) + " END"
+PRICED = f"""
+usage AS (SELECT call_id, request_id, role, model, content,
+    CAST(CASE WHEN has_response_metadata THEN coalesce(nullif(prompt_tokens, 0), input_tokens, 0)
+      WHEN has_usage_metadata THEN coalesce(input_tokens, 0) ELSE 0 END AS BIGINT) AS tokens_in,
+    CAST(CASE WHEN has_response_metadata THEN coalesce(nullif(completion_tokens, 0), output_tokens, 0)
+      WHEN has_usage_metadata THEN coalesce(output_tokens, 0) ELSE coalesce(length(content) // 4, 0) END AS BIGINT) AS tokens_out
+  FROM llm_calls),
+priced AS (SELECT u.*, tokens_in / 1000 * coalesce(p_in, {V.DEFAULT_PRICE[0]})
+    + tokens_out / 1000 * coalesce(p_out, {V.DEFAULT_PRICE[1]}) AS cost
+  FROM usage u LEFT JOIN {values_table([(m, a, b) for m, a, b in V.PRICES], "name, p_in, p_out")} ON name = model)"""
+
+
+def ledger_queries() -> dict[str, str]:
+    calls = over("llm_calls")
+
+    def routed(case):
+        return calls + f"""SELECT call_id, model, {case} AS provider, CASE WHEN {case} IS NULL
+            THEN 'Unknown model provider: ' || model END AS reason FROM llm_calls"""
+
+    def role_sum(value, role):
+        return f"coalesce(sum({value}) FILTER (WHERE role = '{role}'), 0)"
+
+    totals = ", ".join(
+        f"CAST({role_sum('tokens_in', r)} AS BIGINT) AS {r}_input, CAST({role_sum('tokens_out', r)} AS BIGINT) AS {r}_output, "
+        f"CAST({role_sum('tokens_in + tokens_out', r)} AS BIGINT) AS {r}_total, round({role_sum('cost', r)}, 8) AS {r}_cost"
+        for r in ("helper", "coding"))
+    totals_cte = f"totals AS (SELECT request_id, {totals}, round(sum(cost), 8) AS total_cost FROM priced GROUP BY request_id)"
+
+    def running(keys):
+        frame = f"OVER (PARTITION BY {keys} ORDER BY call_id ROWS UNBOUNDED PRECEDING)"
+        return calls + "," + PRICED + f""" SELECT call_id, request_id, role,
+            CAST(sum(tokens_in) {frame} AS BIGINT) AS running_tokens_in,
+            CAST(sum(tokens_out) {frame} AS BIGINT) AS running_tokens_out,
+            CAST(sum(tokens_in + tokens_out) {frame} AS BIGINT) AS running_total,
+            round(sum(cost) {frame}, 8) AS running_cost FROM priced"""
+
+    names = values_table(V.MODEL_API_NAMES, "name, api")
+    listed = [m for models in V.MODEL_CATALOG.values() for m in models]
+    total = "nullif(helper_total + coding_total, 0)"
+    return {
+        "route_models_regex": routed(PREFIX_CASE),
+        "route_models_substring": routed(SUBSTRING_CASE),
+        "map_model_names": calls + f"""SELECT call_id, model, coalesce(api, model) AS api_name FROM llm_calls
+            LEFT JOIN {names} ON name = model""",
+        "unlisted_models": calls + f"SELECT call_id, model FROM llm_calls WHERE model NOT IN {in_list(listed)}",
+        "normalise_usage": calls + "," + PRICED + """ SELECT call_id, request_id, role, model, tokens_in, tokens_out,
+            left(content, 500) || CASE WHEN length(content) > 500 THEN '...' ELSE '' END AS preview FROM usage""",
+        "price_calls": calls + "," + PRICED + """ SELECT call_id, request_id, role, model, tokens_in, tokens_out,
+            round(cost, 8) AS cost FROM priced""",
+        "usage_totals": calls + "," + PRICED + "," + totals_cte + " SELECT * FROM totals",
+        "usage_report": calls + "," + PRICED + "," + totals_cte + f""" SELECT request_id,
+            round(round(helper_total * 1000.0 / {total}) / 10.0, 1) AS helper_percent,
+            round(round(coding_total * 1000.0 / {total}) / 10.0, 1) AS coding_percent,
+            CASE WHEN total_cost > 0.1 THEN 'danger' WHEN total_cost > 0.05 THEN 'warning' ELSE 'success' END AS cost_band
+            FROM totals""",
+        "running_usage_request": running("request_id, role"),
+        "running_usage_log": running("role"),
+    }
+
+
+# -- status --------------------------------------------------------------------------------------
+PROGRESS_CASE = "CASE stage " + " ".join(
+    f"WHEN '{name}' THEN least(95.0, {i} / 7.0 * 100)" for i, name in enumerate(V.STAGES)) + " END"
+EVENTS_IN_ORDER = f"""
+firsts AS (SELECT request_id, stage, min(event_id) AS first_id FROM stage_events WHERE action = 'start' GROUP BY ALL),
+seen AS (SELECT e.*, f.first_id, action = 'start' OR coalesce(e.event_id > f.first_id, FALSE) AS applies
+  FROM stage_events e LEFT JOIN firsts f USING (request_id, stage)),
+ended AS (SELECT request_id, first_id, max_by(ts_s, event_id) AS end_time, max_by(action, event_id) AS ended_as,
+    max_by(details, event_id) FILTER (WHERE action = 'fail' OR details <> '') AS note
+  FROM seen WHERE applies AND action <> 'start' GROUP BY ALL),
+entries AS (SELECT s.request_id, s.event_id, s.stage, s.ts_s AS start_time, e.end_time, e.end_time - s.ts_s AS duration,
+    CASE e.ended_as WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'in_progress' END AS status,
+    coalesce(e.note, s.details) AS details
+  FROM seen s LEFT JOIN ended e ON e.request_id = s.request_id AND e.first_id = s.event_id WHERE s.action = 'start'),
+verdicts_at AS (SELECT request_id, event_id, stage, action, details FROM seen WHERE applies
+  AND (action = 'fail' OR (action = 'complete' AND stage IN {in_list(V.FINAL_STAGES)}))),
+states AS (SELECT q.request_id,
+    coalesce((SELECT max_by(CASE action WHEN 'fail' THEN 'failed' ELSE 'completed' END, event_id) FROM verdicts_at v
+      WHERE v.request_id = q.request_id), 'initializing') AS status,
+    (SELECT max_by(stage, event_id) FROM entries e WHERE e.request_id = q.request_id) AS current_stage,
+    coalesce((SELECT max_by(p, event_id) FROM (
+      SELECT request_id, event_id, {PROGRESS_CASE} AS p FROM entries WHERE stage IN {in_list(V.STAGES)}
+      UNION ALL SELECT request_id, event_id, 100.0 FROM verdicts_at WHERE action = 'complete') g
+      WHERE g.request_id = q.request_id), 0) AS progress,
+    (SELECT count(*) FROM entries e WHERE e.request_id = q.request_id) AS n_stages,
+    coalesce((SELECT max_by(CASE action WHEN 'fail' THEN 'Failed during ' || stage || ': ' || details
+      ELSE 'Processing completed' END, event_id) FROM verdicts_at v WHERE v.request_id = q.request_id),
+      'Request initialized') AS message,
+    (SELECT max_by(details, event_id) FROM verdicts_at v WHERE v.request_id = q.request_id AND action = 'fail') AS error,
+    (SELECT min_by(start_time, event_id) FROM entries e WHERE e.request_id = q.request_id) AS first_started,
+    (SELECT arg_max_null(end_time, event_id) FROM entries e WHERE e.request_id = q.request_id) AS last_ended
+  FROM (SELECT DISTINCT request_id FROM stage_events) q)"""
+STATE_COLUMNS = ("request_id, status, current_stage, round(CAST(progress AS DOUBLE), 6) AS progress, n_stages, message, "
+                 "error, first_started, last_ended")
+ALIVE = (f"NOT (n_stages > 0 AND first_started < {STATUS_NOW} - 300) AND NOT coalesce(n_stages > 0 AND "
+         f"status IN ('completed', 'failed') AND last_ended < {STATUS_NOW} - 60, FALSE)")
+
+
+def status_queries() -> dict[str, str]:
+    states = over("stage_events") + "," + EVENTS_IN_ORDER
+    all_states = states + f" SELECT {STATE_COLUMNS} FROM states"
+    cache_left = f"NOT (NOT readable OR {STATUS_NOW} - coalesce(cache_time, 0) >= 86400)"
+    return {
+        "stage_state": all_states,
+        "stream_stage_status": all_states,
+        "stage_entries": states + " SELECT * FROM entries",
+        "status_expiry": states + f" SELECT {STATE_COLUMNS} FROM states WHERE coalesce({ALIVE}, TRUE)",
+        "latest_status": over("stage_events") + """SELECT l.doc_id AS request_id, max_by(stage, event_id) AS stage,
+            max_by(action, event_id) AS action, max_by(details, event_id) FILTER (WHERE action = 'fail') AS details
+            FROM labels l LEFT JOIN stage_events e ON e.request_id = l.doc_id GROUP BY l.doc_id""",
+        "maintenance_run": over("stage_events", "analysis_cache") + "," + EVENTS_IN_ORDER + f"""
+            SELECT 'status' AS store, CAST(request_id AS VARCHAR) AS key FROM states WHERE coalesce({ALIVE}, TRUE)
+            UNION ALL SELECT 'cache', cache_key FROM analysis_cache WHERE {cache_left}""",
+    }
+
+
 def oracle_queries() -> dict[str, str]:
-    return {**page_queries()}
+    return {**source_queries(), **page_queries(), **analysis_queries(), **language_queries(), **job_queries(),
+            **ledger_queries(), **status_queries()}

@@ -128,7 +128,9 @@ FROM documents
 
 LLM_RESPONSES = """
 SELECT conv_id, turn, CASE turn % 3
-  WHEN 0 THEN 'Sure:' || chr(10) || '
+  WHEN 0 THEN 'Sure:' || chr(10) || '```python' || chr(10) || 'x = ' || turn || chr(10) || '```' || chr(10) || '```python' || chr(10) || 'second' || chr(10) || '```'
+  WHEN 1 THEN 'See ```' || chr(10) || 'y = ' || turn || chr(10) || '``` end' ELSE text END AS response
+FROM conversations
 """
 
 VERDICTS = """
