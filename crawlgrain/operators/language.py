@@ -6,24 +6,30 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crawlgrain.functions.expr import let
+
 PROFILE_SIZE = 300
 BROADCAST_ROWS = 100_000
 FLOOR = math.log(1e-7)
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+# Pieces of a blank-padded word, by length. Look-ahead lets the matches overlap.
+PIECES = [
+    r"(?=([ \p{L}]))",
+    r"(?=( \p{L}|\p{L}{2}|\p{L} ))",
+    r"(?=( \p{L}{2}|\p{L}{3}|\p{L}{2} | \p{L} ))",
+]
 
 
-def grams_of(word: Column) -> Column:
-    """All 1- to 3-character pieces of the word padded with blanks."""
-    chars = F.split(F.concat(F.lit(" "), word, F.lit(" ")), "")
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
-    def pieces(cs):
-        return F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(
-            F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.array_join(F.slice(cs, i, n), ""))))
 
-    return F.flatten(F.transform(F.array(chars), pieces))
+def grams_of(text: Column) -> Column:
+    """All 1- to 3-character pieces of the words of ``text``, each word padded with a blank on both sides."""
+    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", "  ")), F.lit(" "))
+    return let(padded, lambda words: F.when(F.length(words) > 2, F.concat(
+        *[F.regexp_extract_all(words, F.lit(piece), F.lit(1)) for piece in PIECES])))
 
 
 def train_profiles(documents: DataFrame, k: int = PROFILE_SIZE) -> DataFrame:
@@ -52,12 +58,10 @@ def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def detect_language(samples: DataFrame, profiles: DataFrame) -> DataFrame:
     """page_id, language for samples(page_id, sample); '' where no known n-gram occurs.
 
-    Gram rows of a page stay in one task and combine there, so one row per page and language is shuffled.
+    The gram rows of a page are made and summed within one task, so one row per page and language is shuffled.
     """
-    grams = samples.select("page_id", F.explode(words_of(F.col("sample"))).alias("word")).select(
-        "page_id", F.explode(grams_of(F.col("word"))).alias("gram"))
-    scores = grams.join(sized_broadcast(profiles), "gram").groupBy("page_id", "lang").agg(
+    grams = samples.select("page_id", F.explode_outer(grams_of(F.col("sample"))).alias("gram"))
+    scores = grams.join(sized_broadcast(profiles), "gram", "left").groupBy("page_id", "lang").agg(
         F.sum("weight").alias("score"))
-    best = scores.groupBy("page_id").agg(F.min_by("lang", F.struct((-F.col("score")).alias("s"), "lang")).alias("best"))
-    return samples.select("page_id").join(best, "page_id", "left").select(
-        "page_id", F.coalesce("best", F.lit("")).alias("language"))
+    rank = F.when(F.col("lang").isNotNull(), F.struct((-F.col("score")).alias("s"), "lang"))
+    return scores.groupBy("page_id").agg(F.coalesce(F.min_by("lang", rank), F.lit("")).alias("language"))
