@@ -49,8 +49,9 @@ def over(*names: str) -> str:
 
 
 # -- element trees -------------------------------------------------------------------------------
-VISIBLE_DECODED = ("replace(replace(replace(replace(tok, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), "
-                   "'&amp;', '&')")
+# References in the given pages; the last one of a cut-off text may lack its semicolon.
+VISIBLE_DECODED = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(tok, '&quot;?', '\"', 'g'), "
+                   "'&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')")
 
 TREE = r"""
 parts AS (SELECT page_id, url, length(html) AS html_len, regexp_extract_all(html,
