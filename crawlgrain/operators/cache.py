@@ -36,10 +36,13 @@ def upsert_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     return latest_per_key(cache.unionByName(new))
 
 
-def write_cache(cache: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write to a new path, partitioned by key prefix so that a lookup by key reads one folder."""
-    bucket = F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).cast("int")
-    cache.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
+def write_cache(cache: DataFrame, path: str, buckets: int = 256, files_per_bucket: int = 4) -> None:
+    """Write to a new path, partitioned by key hash so that a lookup by key reads one folder. Rows are gathered per
+    file first, so the number of files does not grow with the number of tasks."""
+    hashed = F.xxhash64("cache_key")
+    bucket = F.pmod(hashed, F.lit(buckets)).cast("int")
+    part = F.pmod(F.shiftright(hashed, 32), F.lit(files_per_bucket))
+    cache.withColumn("bucket", bucket).repartition("bucket", part).write.partitionBy("bucket").parquet(path)
 
 
 def clear_cache(cache: DataFrame, urls: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crawlgrain.functions.expr import let
+from crawlgrain.session import sized_broadcast
 
 PROFILE_SIZE = 300
-BROADCAST_ROWS = 100_000
 FLOOR = math.log(1e-7)
 
 
@@ -49,12 +49,6 @@ def train_profiles(documents: DataFrame, k: int = PROFILE_SIZE) -> DataFrame:
         "lang", "gram", F.round((F.log(F.col("n") / F.col("total")) - FLOOR) * 1000).cast("long").alias("weight"))
 
 
-def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it is small; beyond that the join shuffles on its key."""
-    df = df.persist()
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def detect_language(samples: DataFrame, profiles: DataFrame) -> DataFrame:
     """page_id, language for samples(page_id, sample); '' where no known n-gram occurs.
 

@@ -12,7 +12,7 @@ from crawlgrain.operators.cache import cache_key, fresh_cache
 from crawlgrain.operators.context import api_calls, page_performance, security_headers, with_robots
 from crawlgrain.operators.dom import parse_pages
 from crawlgrain.operators.language import detect_language
-from crawlgrain.session import materialize
+from crawlgrain.session import materialize, sized_broadcast
 
 FAILED_PAGE = "Static analysis failed, using basic scraping approach"
 
@@ -20,7 +20,7 @@ FAILED_PAGE = "Static analysis failed, using basic scraping approach"
 def page_features(dom: DataFrame) -> DataFrame:
     """One row per page with every feature that needs the page alone. No shuffle."""
     return dom.select(
-        "page_id", "url", F.col("warning").alias("parse_error"),
+        "page_id", "url", "html_len", F.col("warning").alias("parse_error"),
         P.components_column().alias("components"),
         P.snapshot_column().alias("snapshot"),
         P.content_hierarchy_column().alias("content_hierarchy"),
@@ -114,7 +114,7 @@ def analyze_pages(
         "*", recommendations_column().alias("recommendations"), warnings.alias("warnings"),
         P.archetype_of(F.col("is_dynamic"), F.col("keyword_density")).alias("archetype"))
     return advised.withColumn("keyword_counts", keywords).select(
-        "page_id", "url", "is_dynamic", "content_hierarchy", "components", "dynamic_attributes", "text_ratio",
+        "page_id", "url", "html_len", "is_dynamic", "content_hierarchy", "components", "dynamic_attributes", "text_ratio",
         "language", "keyword_density", "keyword_counts", "structured_data", "frameworks", "apis",
         "pagination_patterns", "performance_metrics", "seo_meta", "security_headers", "robots_txt",
         "content_patterns", "extraction_test_results", "interactive_elements", "selector_strategies",
@@ -169,15 +169,14 @@ def analyze_incremental(pages: DataFrame, cache: DataFrame, now: float, **contex
     """(hits, fresh analyses): only pages without a fresh cache entry are parsed.
 
     ``cache`` is the key table; the hits come back as its newest entries, so the caller reads their stored analyses
-    and unions them with the new ones. The anti-join moves (key, page_id) rows, never HTML: the HTML is read again
-    for the misses.
+    and unions them with the new ones. Keys and page ids are matched without HTML. The ids of the misses are then
+    counted: a usual, small set is broadcast and the HTML is filtered in its scan; a large one is a shuffled semi-join.
     """
     keyed = pages.select("page_id", cache_key(F.col("url")).alias("cache_key"))
     live = fresh_cache(cache, now)
     hits = keyed.join(live, "cache_key").select("page_id", *live.columns)
-    misses = pages.withColumn("cache_key", cache_key(F.col("url"))).join(
-        live.select("cache_key"), "cache_key", "left_anti").drop("cache_key")
-    return hits, analyze_pages(misses, **context)
+    misses = keyed.join(live.select("cache_key"), "cache_key", "left_anti").select("page_id")
+    return hits, analyze_pages(pages.join(sized_broadcast(misses), "page_id", "left_semi"), **context)
 
 
 # -- brief ---------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime settings the operators rely on. Partition counts and memory stay with the cluster.
 RUNTIME_SETTINGS = {
@@ -54,3 +54,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a narrow ``df`` only after counting that it is small; beyond that the join shuffles on its key."""
+    df = df.persist()
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -18,17 +18,25 @@ def page_stream(spark: SparkSession, in_dir: str, file_filter: str = "*.parquet"
 
 def stream_analyze(pages: DataFrame, out_dir: str, checkpoint: str, now: float, cache: DataFrame | None = None,
                    **trigger) -> StreamingQuery:
-    """Write ``out_dir/analysis`` and ``out_dir/cache``, one folder per batch. A batch that is retried after a
-    failure overwrites its own folder, so results are written once."""
+    """Write ``out_dir/analysis`` and ``out_dir/cache``, one folder per batch. Pages with a fresh entry, given or
+    written by an earlier batch, are skipped. A batch retried after a failure overwrites its own folder, so results
+    are written once."""
     spark = pages.sparkSession
-    known = cache if cache is not None else spark.createDataFrame([], CACHE_SCHEMA)
+    given = cache if cache is not None else spark.createDataFrame([], CACHE_SCHEMA)
+
+    def known(batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return given
+        written = spark.read.schema(f"{CACHE_SCHEMA}, batch int").parquet(f"{out_dir}/cache")
+        return given.unionByName(written.filter(F.col("batch") < batch_id).drop("batch"))
 
     def analyze(batch: DataFrame, batch_id: int) -> None:
-        _, fresh = analyze_incremental(batch, known, now)
-        fresh.write.mode("overwrite").parquet(f"{out_dir}/analysis/batch={batch_id}")
-        entries = batch.select(
+        _, fresh = analyze_incremental(batch, known(batch_id), now)
+        folder = f"{out_dir}/analysis/batch={batch_id}"
+        fresh.write.mode("overwrite").parquet(folder)
+        entries = spark.read.parquet(folder).select(
             cache_key(F.col("url")).alias("cache_key"), "url", F.lit(now).alias("cache_time"),
-            F.length("html").cast("long").alias("size_bytes"), F.lit(True).alias("readable"),
+            F.col("html_len").cast("long").alias("size_bytes"), F.lit(True).alias("readable"),
             F.col("page_id").alias("version"))
         entries.write.mode("overwrite").parquet(f"{out_dir}/cache/batch={batch_id}")
 

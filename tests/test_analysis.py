@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from crawlgrain.operators import language
 from crawlgrain.operators.cache import cache_key
 from crawlgrain.plans import analysis as A
+from crawlgrain.session import sized_broadcast
 from crawlgrain.sources import tables
 from crawlgrain.streaming import pages as page_streams
 
@@ -105,8 +106,8 @@ def test_grams_stay_inside_words(spark):
 
 def test_profiles_beyond_the_broadcast_size_still_join(spark):
     profiles = spark.createDataFrame([("xx", "a", 5), ("yy", "b", 6)], "lang string, gram string, weight long")
-    assert "broadcast" not in language.sized_broadcast(profiles, rows=1)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" in language.sized_broadcast(profiles, rows=2)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in sized_broadcast(profiles, rows=1)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in sized_broadcast(profiles, rows=2)._jdf.queryExecution().logical().toString().lower()
 
 
 def test_page_stream_equals_batch(spark, tmp_path):
@@ -121,3 +122,25 @@ def test_page_stream_equals_batch(spark, tmp_path):
     assert key(spark.read.parquet(f"{out}/analysis")) == key(A.analyze_pages(pages))
     assert spark.read.parquet(f"{out}/analysis").select("batch").distinct().count() == 3
     assert spark.read.parquet(f"{out}/cache").count() == pages.count()
+
+
+def test_page_stream_skips_pages_of_earlier_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), PAGES).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(PAGES).parquet(source)
+        page_streams.stream_analyze(stream, out, str(tmp_path / "checkpoint"), now=5.0).awaitTermination()
+
+    land((1, "u1", "<p>a</p>"), (2, "u2", "<p>b</p>"))
+    land((2, "u2", "<p>b</p>"), (3, "u3", "<p>c</p>"))
+    got = spark.read.parquet(f"{out}/analysis").select("batch", "page_id").collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (0, 2), (1, 3)]
+
+
+def test_many_misses_fall_back_to_a_shuffled_join(spark, monkeypatch):
+    pages = tables.load_pages(spark, SF)
+    empty = spark.createDataFrame([], CACHE)
+    monkeypatch.setattr(A, "sized_broadcast", lambda df: sized_broadcast(df, rows=3))
+    _, fresh = A.analyze_incremental(pages, empty, 1.0)
+    assert fresh.count() == pages.count()
