@@ -1,6 +1,7 @@
 """Results depend on these exact words, numbers and patterns. Plain data, no logic."""
 
 # --- page analysis ------------------------------------------------------------------------------
+COMPONENTS = ["navigation", "forms", "buttons", "modals", "tables", "iframes"]
 NAVIGATION_TAGS = ["nav", "header"]
 MODAL_CLASS = "modal|popup"
 SEMANTIC_TAGS = ["article", "section", "header", "footer", "aside", "main"]
@@ -8,6 +9,7 @@ CONTENT_CONTAINER_CLASS = "content|container|main|body|wrapper"
 FRAMEWORKS = ["react", "angular", "vue"]
 SECURITY_HEADERS = ["Content-Security-Policy", "X-Frame-Options", "Strict-Transport-Security"]
 DYNAMIC_ATTRIBUTE_PREFIXES = ["data-", "aria-", "ng-"]
+KEYWORD = r"[\p{L}\p{N}_]{4,}"
 KEYWORD_LIMIT = 20
 LANGUAGE_SAMPLE_CHARS = 1000
 PAGE_NUMBER_TEXT = r"Page \p{Nd}+"

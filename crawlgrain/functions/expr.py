@@ -1,4 +1,4 @@
-"""Column helpers shared by the page operators."""
+"""Column helpers shared by the log operators."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITESPACE))
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def or_zero(value: Column) -> Column:
@@ -27,10 +27,6 @@ def non_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def first(items: Column) -> Column:
-    return F.get(items, F.lit(0))
-
-
 def drop_nulls(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
@@ -40,29 +36,3 @@ def any_contains(text: Column, terms: list[str]) -> Column:
     for term in terms:
         found = found | text.contains(term)
     return found
-
-
-def first_of_runs(ordered: Column, key: Callable[[Column], Column]) -> Column:
-    """First element of each run of equal keys in an already sorted array."""
-    return let(ordered, lambda xs: F.filter(
-        xs, lambda x, i: (i == 0) | (key(x) != key(F.get(xs, i - 1)))))
-
-
-def counted_runs(words: Column) -> Column:
-    """array<string> -> array<struct<word, n, pos>>: each distinct word, its count and first position.
-
-    Sorting (word, position) pairs makes equal words adjacent, so counts are distances between run starts:
-    n log n within the row, and no shuffle of word rows.
-    """
-    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
-
-    def count(xs: Column) -> Column:
-        starts = F.filter(
-            F.transform(xs, lambda x, i: F.when((i == 0) | (x["word"] != F.get(xs, i - 1)["word"]), i)),
-            lambda s: s.isNotNull())
-        return let(starts, lambda ss: F.transform(ss, lambda s, j: F.struct(
-            F.get(xs, s)["word"].alias("word"),
-            (F.coalesce(F.get(ss, j + 1), F.size(xs)) - s).alias("n"),
-            F.get(xs, s)["pos"].alias("pos"))))
-
-    return let(pairs, count)

@@ -6,12 +6,14 @@ needed to walk the tree. Everything after ``parse_pages`` is JVM-side expression
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from crawlgrain.functions import dom_kernel
 from crawlgrain.functions import nodes as N
-from crawlgrain.functions.expr import let
+from crawlgrain.functions.sql import let, struct
 
 # The kernel travels with the task, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(dom_kernel)
@@ -33,48 +35,34 @@ def page_text(dom: DataFrame) -> DataFrame:
 
 
 def select_nodes(nodes: DataFrame, **tests) -> DataFrame:
-    """Element select: keep the nodes for which every given test holds (see ``nodes.matches``)."""
-    return nodes.filter(N.matches(N.ROW, **tests))
-
-
-def pick(dom: DataFrame, fields, **tests) -> DataFrame:
-    """Select elements inside the DOM row and emit ``fields(n)`` for each; only chosen nodes become rows."""
-    chosen = F.filter("nodes", lambda n: N.matches(n, **tests))
-    return dom.select("page_id", F.inline(F.transform(chosen, lambda n: F.struct(
-        n["node_id"].alias("node_id"), n["tag"].alias("tag"), *fields(n)))))
+    """Element select: keep the node rows for which every given test holds (see ``nodes.matches``)."""
+    return nodes.filter(N.matches("", **tests))
 
 
 def node_text(dom: DataFrame, **tests) -> DataFrame:
-    """Text and 50-char preview of the selected elements."""
-    segs, hidden = F.col("segs"), F.col("hidden")
-    return pick(dom, lambda n: [
-        N.text(n, segs, hidden).alias("text"), N.preview(n, segs, hidden).alias("preview")], **tests)
+    """Text and 50-char preview of the selected elements. Only chosen nodes become rows."""
+    row = struct(node_id="n.node_id", tag="n.tag", text=N.text("n"), preview=N.preview("n"))
+    return dom.selectExpr("page_id", f"inline(transform({N.select(**tests)}, n -> {row}))")
 
 
 def with_selector(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("selector", N.css_selector(N.ROW))
+    return nodes.withColumn("selector", F.expr(N.css_selector("")))
 
 
 def with_children(dom: DataFrame) -> DataFrame:
-    """Parent-child pairs: child order, the parent's child count and the child's descendant count."""
-    pairs = F.transform(F.filter("nodes", lambda c: c["parent_id"] >= 0), lambda c: let(
-        F.get("nodes", c["parent_id"]), lambda p: F.struct(
-            p["node_id"].alias("parent_id"), p["tag"].alias("parent_tag"), p["n_children"].alias("n_children"),
-            c["node_id"].alias("child_id"), c["tag"].alias("child_tag"), c["elem_idx"].alias("child_order"),
-            (c["subtree_end"] - c["node_id"]).alias("n_descendants"))))
-    return dom.select("page_id", F.inline(pairs))
-
-
-def below(ancestors: Column, n) -> Column:
-    """The element lies strictly inside one of ``ancestors`` (interval test on document order)."""
-    return F.exists(ancestors, lambda a: (a["node_id"] < n["node_id"]) & (n["node_id"] <= a["subtree_end"]))
-
-
-def has_ancestor(dom: DataFrame, node_test, ancestor_test) -> DataFrame:
-    """Interval semi-join inside the page: nodes passing ``node_test`` below a node passing ``ancestor_test``."""
-    hits = let(F.filter("nodes", ancestor_test), lambda ancestors: F.filter(
-        "nodes", lambda n: node_test(n) & below(ancestors, n)))
-    return dom.select("page_id", F.inline(hits))
+    """Parent-child pairs: child order, the parent's child count and the child's descendant count. The parent is an
+    array look-up, so the self join needs no shuffle."""
+    pair = struct(parent_id="p.node_id", parent_tag="p.tag", n_children="p.n_children", child_id="c.node_id",
+                  child_tag="c.tag", child_order="c.elem_idx", n_descendants="c.subtree_end - c.node_id")
+    pairs = f"transform(filter(nodes, c -> c.parent_id >= 0), c -> {let('p', N.parent('c'), pair)})"
+    return dom.selectExpr("page_id", f"inline({pairs})")
+
+
+def has_ancestor(dom: DataFrame, node: Callable[[str], str], ancestor: Callable[[str], str]) -> DataFrame:
+    """Interval semi-join inside the page: nodes passing ``node`` below a node passing ``ancestor``."""
+    hits = let("ancestors", f"filter(nodes, m -> {ancestor('m')})",
+               f"filter(nodes, n -> {node('n')} AND {N.inside('n', 'ancestors')})")
+    return dom.selectExpr("page_id", f"inline({hits})")
 
 
 def sibling_position(nodes: DataFrame) -> DataFrame:

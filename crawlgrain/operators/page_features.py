@@ -1,374 +1,314 @@
 """Page features: each is one expression on a DOM row, so a whole page is analysed without a shuffle.
 
-``*_column`` functions are the expressions (``plans.analysis`` puts them in one select); the functions named
+Functions ending in ``_sql`` give the expression (``plans.analysis`` puts them in one select); the functions named
 after the feature return it as a table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from crawlgrain import fixed_values as V
 from crawlgrain.functions import nodes as N
-from crawlgrain.functions.expr import (
-    any_contains, counted_runs, drop_nulls, first_of_runs, let, non_empty, strip,
+from crawlgrain.functions.sql import (
+    any_of, counted_runs, drop_nulls, first_of_runs, in_list, let, lit, non_empty, strip, struct,
 )
-from crawlgrain.functions.nodes import PAGE
 
-def count_nodes(**tests) -> Column:
-    return F.size(F.filter(PAGE.nodes, lambda n: N.matches(n, **tests)))
+
+def count_nodes(**tests) -> str:
+    return f"size({N.select(**tests)})"
+
+
+def spread_struct(dom: DataFrame, expression: str) -> DataFrame:
+    return dom.selectExpr("page_id", f"{expression} AS s").select("page_id", "s.*")
+
+
+def listed(dom: DataFrame, expression: str, ordinal: str = "ord", start: int = 0) -> DataFrame:
+    """One row per struct of an array, numbered in its order."""
+    rows = dom.selectExpr("page_id", f"posexplode({expression}) AS (pos, item)")
+    return rows.selectExpr("page_id", f"pos + {start} AS {ordinal}", "item.*")
 
 
-def any_node(test) -> Column:
-    return F.exists(PAGE.nodes, test)
+def listed_values(dom: DataFrame, expression: str, name: str, ordinal: str = "ord") -> DataFrame:
+    return dom.selectExpr("page_id", f"posexplode({expression}) AS ({ordinal}, {name})")
 
 
 # -- structure counts ----------------------------------------------------------------------------
-def components_column() -> Column:
-    return F.struct(
-        count_nodes(tags=V.NAVIGATION_TAGS).alias("navigation"),
-        count_nodes(tags=["form"]).alias("forms"),
-        count_nodes(tags=["button"]).alias("buttons"),
-        count_nodes(class_re=V.MODAL_CLASS).alias("modals"),
-        count_nodes(tags=["table"]).alias("tables"),
-        count_nodes(tags=["iframe"]).alias("iframes"),
-    )
+def components_sql() -> str:
+    return struct(
+        navigation=count_nodes(tags=V.NAVIGATION_TAGS), forms=count_nodes(tags=["form"]),
+        buttons=count_nodes(tags=["button"]), modals=count_nodes(class_re=V.MODAL_CLASS),
+        tables=count_nodes(tags=["table"]), iframes=count_nodes(tags=["iframe"]))
 
 
 def components(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", components_column().alias("c")).select("page_id", "c.*")
+    return spread_struct(dom, components_sql())
 
 
-def content_hierarchy_column() -> Column:
-    return F.struct(
-        *[count_nodes(tags=[tag]).alias(tag) for tag in V.SEMANTIC_TAGS],
-        count_nodes(class_re=V.CONTENT_CONTAINER_CLASS).alias("content_containers"),
-    )
+def content_hierarchy_sql() -> str:
+    return struct(**{tag: count_nodes(tags=[tag]) for tag in V.SEMANTIC_TAGS},
+                  content_containers=count_nodes(class_re=V.CONTENT_CONTAINER_CLASS))
 
 
 def content_hierarchy(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", content_hierarchy_column().alias("c")).select("page_id", "c.*")
+    return spread_struct(dom, content_hierarchy_sql())
 
 
 # -- text ----------------------------------------------------------------------------------------
-def text_length_column() -> Column:
+def text_length_sql() -> str:
     """Length of the page text with every string trimmed."""
-    return F.aggregate(PAGE.segs, F.lit(0), lambda total, s: total + F.length(strip(s)))
+    return f"aggregate(segs, 0, (total, s) -> total + length({strip('s')}))"
 
 
-def text_ratio_column() -> Column:
+def text_ratio_sql() -> str:
     """Text length over html length, two decimals; whole percents are rounded so that ties do not depend on
     how an engine prints doubles."""
-    percent = F.round(text_length_column() * 100.0 / F.nullif(PAGE.html_len, F.lit(0)))
-    return F.coalesce(percent / 100.0, F.lit(0.0))
+    return f"coalesce(round({text_length_sql()} * 100.0D / nullif(html_len, 0)) / 100.0D, 0.0D)"
 
 
 def text_ratio(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", text_length_column().alias("text_length"), "html_len",
-                      text_ratio_column().alias("text_ratio"))
+    return dom.selectExpr("page_id", f"{text_length_sql()} AS text_length", "html_len", f"{text_ratio_sql()} AS text_ratio")
 
 
-def words_column() -> Column:
+def words_sql() -> str:
     """Words of at least four word characters of the lower-cased page text (strings joined without separator)."""
-    return F.regexp_extract_all(F.lower(F.array_join(PAGE.segs, "")), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
+    return f"regexp_extract_all(lower(array_join(segs, '')), {lit(V.KEYWORD)}, 0)"
 
 
-def keyword_density_column(k: int = V.KEYWORD_LIMIT) -> Column:
+def keyword_density_sql(k: int = V.KEYWORD_LIMIT) -> str:
     """array<struct<word, n>>: the k most frequent words, ties by first appearance."""
-    ranked = F.sort_array(F.transform(counted_runs(words_column()), lambda r: F.struct(
-        (-r["n"]).alias("neg"), r["pos"].alias("pos"), r["word"].alias("word"))))
-    return F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["word"].alias("word"), (-r["neg"]).alias("n")))
+    ranked = f"sort_array(transform({counted_runs(words_sql())}, r -> {struct(neg='-r.n', pos='r.pos', word='r.word')}))"
+    return f"transform(slice({ranked}, 1, {k}), r -> {struct(word='r.word', n='-r.neg')})"
 
 
 def keyword_density(dom: DataFrame, k: int = V.KEYWORD_LIMIT) -> DataFrame:
-    return (
-        dom.select("page_id", F.posexplode(keyword_density_column(k)).alias("pos", "kw"))
-        .select("page_id", (F.col("pos") + 1).alias("rank"), "kw.word", "kw.n")
-    )
+    return listed(dom, keyword_density_sql(k), "rank", 1)
 
 
-def language_sample_column() -> Column:
-    return F.left(F.array_join(PAGE.segs, ""), F.lit(V.LANGUAGE_SAMPLE_CHARS))
+def language_sample_sql() -> str:
+    return f"left(array_join(segs, ''), {V.LANGUAGE_SAMPLE_CHARS})"
 
 
 # -- metadata ------------------------------------------------------------------------------------
-def seo_entries_column() -> Column:
+def seo_entries_sql() -> str:
     """array<struct<key, content>>, one per key, the last tag winning, ordered by key."""
-    def key(n):
-        return F.coalesce(*[non_empty(N.attr(n, name)) for name in ("name", "property", "itemprop")])
+    key = "coalesce(" + ", ".join(non_empty(N.attr("n", name)) for name in ("name", "property", "itemprop")) + ")"
+    entry = struct(key=key, neg="-n.node_id", content=N.attr("n", "content"))
+    ordered = f"sort_array(transform(filter(nodes, n -> n.tag = 'meta' AND {key} IS NOT NULL), n -> {entry}))"
+    return f"transform({first_of_runs(ordered, 'key')}, e -> {struct(key='e.key', content='e.content')})"
 
-    tags = F.filter(PAGE.nodes, lambda n: (n["tag"] == "meta") & key(n).isNotNull())
-    ordered = F.sort_array(F.transform(tags, lambda n: F.struct(
-        key(n).alias("key"), (-n["node_id"]).alias("neg"), N.attr(n, "content").alias("content"))))
-    return F.transform(first_of_runs(ordered, lambda e: e["key"]),
-                       lambda e: F.struct(e["key"].alias("key"), e["content"].alias("content")))
 
-
-def seo_meta_column() -> Column:
-    return F.map_from_entries(seo_entries_column())
+def seo_meta_sql() -> str:
+    return f"map_from_entries({seo_entries_sql()})"
 
 
 def seo_meta(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.inline(seo_entries_column()))
-
-
-def frameworks_column() -> Column:
-    sources = F.filter(
-        F.transform(F.filter(PAGE.nodes, lambda n: n["tag"] == "script"), lambda n: F.lower(N.attr(n, "src"))),
-        lambda s: F.coalesce(s != "", F.lit(False)))
+    return dom.selectExpr("page_id", f"inline({seo_entries_sql()})")
 
-    def loaded(ss, name):
-        return F.exists(ss, lambda s: s.contains(name)).alias(name)
 
-    return let(sources, lambda ss: F.struct(*[loaded(ss, name) for name in V.FRAMEWORKS]))
+def frameworks_sql() -> str:
+    sources = (f"filter(transform(filter(nodes, n -> n.tag = 'script'), n -> lower({N.attr('n', 'src')})), "
+               "s -> coalesce(s <> '', FALSE))")
+    return let("ss", sources, struct(**{name: f"exists(ss, s -> contains(s, '{name}'))" for name in V.FRAMEWORKS}))
 
 
 def frameworks(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", frameworks_column().alias("f")).select("page_id", "f.*")
+    return spread_struct(dom, frameworks_sql())
 
 
-def structured_data_column() -> Column:
+def structured_data_sql() -> str:
     """Bodies of the JSON-LD scripts that parse, as JSON text in document order."""
-    bodies = F.transform(
-        F.filter(PAGE.nodes, lambda n: N.matches(n, tags=["script"], attr_eq={"type": "application/ld+json"})),
-        lambda n: N.only_string(n, PAGE.segs, PAGE.hidden))
-    return F.filter(bodies, lambda b: F.try_parse_json(b).isNotNull())
+    scripts = N.select(tags=["script"], attr_eq={"type": "application/ld+json"})
+    return f"filter(transform({scripts}, n -> {N.only_string('n')}), b -> try_parse_json(b) IS NOT NULL)"
 
 
 def structured_data(dom: DataFrame) -> DataFrame:
     """One row per parsed JSON-LD body, as VARIANT."""
-    return dom.select("page_id", F.posexplode(structured_data_column()).alias("ord", "body")).select(
-        "page_id", "ord", F.try_parse_json("body").alias("data"))
+    return listed_values(dom, structured_data_sql(), "body").selectExpr("page_id", "ord", "try_parse_json(body) AS data")
 
 
-def dynamic_attributes_column() -> Column:
+def dynamic_attributes_sql() -> str:
     """Distinct data-/aria-/ng- attribute names, sorted."""
-    def is_dynamic(name):
-        return reduce(lambda a, b: a | b, [name.startswith(p) for p in V.DYNAMIC_ATTRIBUTE_PREFIXES])
-
-    names = F.flatten(F.transform(PAGE.nodes, lambda n: F.filter(F.map_keys(n["attrs"]), is_dynamic)))
-    return F.sort_array(F.array_distinct(names))
+    dynamic = any_of(*[f"startswith(k, {lit(p)})" for p in V.DYNAMIC_ATTRIBUTE_PREFIXES])
+    return f"sort_array(array_distinct(flatten(transform(nodes, n -> filter(map_keys(n.attrs), k -> {dynamic})))))"
 
 
 def dynamic_attributes(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.explode(dynamic_attributes_column()).alias("attribute"))
+    return dom.selectExpr("page_id", f"explode({dynamic_attributes_sql()}) AS attribute")
 
 
-def pagination_column() -> Column:
-    numbered = F.exists(PAGE.segs, lambda s: s.rlike(V.PAGE_NUMBER_TEXT)) | F.exists(
-        PAGE.hidden, lambda h: h["text"].rlike(V.PAGE_NUMBER_TEXT))
-    linked = any_node(lambda n: N.matches(n, attr_re={"href": V.PAGE_LINK}))
-    marked = any_node(lambda n: N.matches(n, has_attr="data-page"))
-    return drop_nulls(F.when(numbered, "page_numbers"), F.when(linked, "next_buttons"),
-                      F.when(marked, "data_attributes"))
+def pagination_sql() -> str:
+    numbered = lit(V.PAGE_NUMBER_TEXT)
+    return drop_nulls(
+        f"CASE WHEN exists(segs, s -> rlike(s, {numbered})) OR exists(hidden, h -> rlike(h.text, {numbered})) "
+        "THEN 'page_numbers' END",
+        f"CASE WHEN exists(nodes, n -> {N.matches('n', attr_re={'href': V.PAGE_LINK})}) THEN 'next_buttons' END",
+        f"CASE WHEN exists(nodes, n -> {N.matches('n', has_attr='data-page')}) THEN 'data_attributes' END")
 
 
 def pagination_patterns(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(pagination_column()).alias("ord", "signal"))
+    return listed_values(dom, pagination_sql(), "signal")
 
 
 # -- repeating structure -------------------------------------------------------------------------
-def _pattern(parent, child_tag, count, confidence) -> Column:
-    selector = F.coalesce(N.css_selector(parent), F.lit("[document]"))
-    return F.struct(
-        selector.alias("parent_selector"),
-        F.concat(selector, F.lit(" > "), child_tag).alias("child_selector"),
-        count.alias("count"),
-        confidence.alias("confidence"),
-    )
+def _pattern(parent: str, child_tag: str, count: str, confidence: str) -> str:
+    return let("selector", f"coalesce({N.css_selector(parent)}, '[document]')", struct(
+        parent_selector="selector", child_selector=f"selector || ' > ' || {child_tag}", count=count,
+        confidence=confidence))
 
 
-def content_patterns_column() -> Column:
+def content_patterns_sql() -> str:
     """Parents whose first three element children look alike. In document order the first child directly follows
     its parent and each next sibling follows the previous subtree, so the three are array look-ups."""
-    def child_after(node_id):
-        return F.get(PAGE.nodes, node_id + 1)
-
-    def trio(p):
-        return let(child_after(p["node_id"]), lambda a: let(child_after(a["subtree_end"]), lambda b: let(
-            child_after(b["subtree_end"]), lambda c: F.struct(p.alias("p"), a.alias("a"), b.alias("b"), c.alias("c")))))
-
-    def alike(t):
-        kids = [t["a"], t["b"], t["c"]]
-        sizes = [k["subtree_end"] - k["node_id"] for k in kids]
-        shared = F.array_intersect(F.array_intersect(kids[0]["classes"], kids[1]["classes"]), kids[2]["classes"])
-        same_tag = (kids[0]["tag"] == kids[1]["tag"]) & (kids[1]["tag"] == kids[2]["tag"])
-        return same_tag & (~all_classed(t) | (F.size(shared) > 0)) & (F.greatest(*sizes) - F.least(*sizes) <= 2)
-
-    def all_classed(t):
-        return (F.size(t["a"]["classes"]) > 0) & (F.size(t["b"]["classes"]) > 0) & (F.size(t["c"]["classes"]) > 0)
-
-    parents = F.filter(PAGE.nodes, lambda n: n["tag"].isin(V.PATTERN_PARENT_TAGS) & (n["n_children"] >= 3))
-    return F.transform(F.filter(F.transform(parents, trio), alike), lambda t: _pattern(
-        t["p"], t["a"]["tag"], t["p"]["n_children"], F.when(all_classed(t), "high").otherwise("medium")))
+    trio = let("a", "get(nodes, p.node_id + 1)", let("b", "get(nodes, a.subtree_end + 1)", let(
+        "c", "get(nodes, b.subtree_end + 1)", struct(p="p", a="a", b="b", c="c"))))
+    classed = "(size(t.a.classes) > 0 AND size(t.b.classes) > 0 AND size(t.c.classes) > 0)"
+    shared = "size(array_intersect(array_intersect(t.a.classes, t.b.classes), t.c.classes)) > 0"
+    sizes = ", ".join(f"t.{k}.subtree_end - t.{k}.node_id" for k in "abc")
+    alike = (f"t.a.tag = t.b.tag AND t.b.tag = t.c.tag AND (NOT {classed} OR {shared}) "
+             f"AND greatest({sizes}) - least({sizes}) <= 2")
+    parents = f"filter(nodes, p -> p.tag IN {in_list(V.PATTERN_PARENT_TAGS)} AND p.n_children >= 3)"
+    pattern = _pattern("t.p", "t.a.tag", "t.p.n_children", f"CASE WHEN {classed} THEN 'high' ELSE 'medium' END")
+    return f"transform(filter(transform({parents}, p -> {trio}), t -> {alike}), t -> {pattern})"
+
+
+def list_patterns_sql() -> str:
+    """Parents holding at least five li, ordered by their first li."""
+    firsts = "filter(nodes, n -> n.tag = 'li' AND n.tag_idx = 1 AND n.tag_total >= 5)"
+    return f"transform({firsts}, n -> {let('p', N.parent('n'), _pattern('p', lit('li'), 'n.tag_total', lit('high')))})"
 
 
-def list_patterns_column() -> Column:
-    """Parents holding at least five li, ordered by their first li."""
-    firsts = F.filter(PAGE.nodes, lambda n: (n["tag"] == "li") & (n["tag_idx"] == 1) & (n["tag_total"] >= 5))
-    return F.transform(firsts, lambda n: _pattern(
-        F.get(PAGE.nodes, n["parent_id"]), F.lit("li"), n["tag_total"], F.lit("high")))
+def all_patterns_sql() -> str:
+    return f"concat({content_patterns_sql()}, {list_patterns_sql()})"
 
 
-def all_patterns_column() -> Column:
-    return F.concat(content_patterns_column(), list_patterns_column())
+def by_count(patterns: str) -> str:
+    """Patterns with the highest count first, ties in their given order: array<struct<neg, ord, p>>."""
+    return f"sort_array(transform({patterns}, (p, i) -> {struct(neg='-p.count', ord='i', p='p')}))"
 
 
-def best_pattern_of(patterns: Column) -> Column:
-    """The pattern with the highest count, the first one on ties; null when there is none."""
-    ranked = F.transform(patterns, lambda p, i: F.struct((-p["count"]).alias("neg"), i.alias("ord"), p.alias("p")))
-    return F.array_min(ranked)["p"]
+def best_pattern_of(patterns: str) -> str:
+    return f"get({by_count(patterns)}, 0).p"
 
 
 def content_patterns(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(content_patterns_column()).alias("ord", "p")).select(
-        "page_id", "ord", "p.*")
+    return listed(dom, content_patterns_sql())
 
 
 def list_patterns(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(list_patterns_column()).alias("ord", "p")).select(
-        "page_id", "ord", "p.*")
+    return listed(dom, list_patterns_sql())
 
 
 def all_patterns(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(all_patterns_column()).alias("ord", "p")).select(
-        "page_id", "ord", "p.*")
+    return listed(dom, all_patterns_sql())
 
 
 def best_pattern(dom: DataFrame) -> DataFrame:
-    best = dom.select("page_id", best_pattern_of(all_patterns_column()).alias("p"))
-    return best.filter(F.col("p").isNotNull()).select("page_id", "p.*")
+    best = dom.selectExpr("page_id", f"{best_pattern_of(all_patterns_sql())} AS p")
+    return best.filter("p IS NOT NULL").select("page_id", "p.*")
 
 
-def extraction_heuristics_column() -> Column:
+def extraction_heuristics_sql() -> str:
     """The extraction patterns with enough hits, most hits first."""
     def heuristic(order, name, tags, class_re, over, samples, selector):
-        hits = F.filter(PAGE.nodes, lambda n: N.matches(n, tags=tags, class_re=class_re))
-        return let(hits, lambda hs: F.when(F.size(hs) > over, F.struct(
-            (-F.size(hs)).alias("neg"), F.lit(order).alias("ord"), F.lit(name).alias("pattern"),
-            F.lit(selector).alias("selector"),
-            F.filter(F.transform(F.slice(hs, 1, samples), lambda n: N.preview(n, PAGE.segs, PAGE.hidden)),
-                     lambda s: s != "").alias("sample"))))
+        sample = f"filter(transform(slice(hs, 1, {samples}), n -> {N.preview('n')}), s -> s <> '')"
+        found = struct(neg="-size(hs)", ord=str(order), pattern=lit(name), selector=lit(selector), sample=sample)
+        return let("hs", N.select(tags=tags, class_re=class_re), f"CASE WHEN size(hs) > {over} THEN {found} END")
 
-    ranked = F.sort_array(drop_nulls(*[heuristic(i, *h) for i, h in enumerate(V.HEURISTICS)]))
-    return F.transform(ranked, lambda r: F.struct(
-        r["pattern"].alias("pattern"), r["selector"].alias("selector"), r["sample"].alias("sample"),
-        (-r["neg"]).alias("count")))
+    ranked = f"sort_array({drop_nulls(*[heuristic(i, *h) for i, h in enumerate(V.HEURISTICS)])})"
+    return f"transform({ranked}, r -> {struct(pattern='r.pattern', selector='r.selector', sample='r.sample', count='-r.neg')})"
 
 
 def extraction_heuristics(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(extraction_heuristics_column()).alias("ord", "h")).select(
-        "page_id", (F.col("ord") + 1).alias("rank"), "h.*")
+    return listed(dom, extraction_heuristics_sql(), "rank", 1)
 
 
 # -- outline -------------------------------------------------------------------------------------
-def dom_outline_column(max_depth: int = 3, k: int = 10) -> Column:
-    """Indented tag lines from body down to ``max_depth``; at the place of child k+1 a line counts the rest."""
-    def line(n, level):
-        ident = F.coalesce(F.concat(F.lit("#"), non_empty(n["id"])), F.lit(""))
-        return F.concat(F.repeat(F.lit(" "), level), F.lit("|_ "), n["tag"], ident,
-                        F.coalesce(N.class_selector(n), F.lit("")))
-
-    def rest(n, level):
-        more = F.get(PAGE.nodes, n["parent_id"])["n_children"] - k
-        return F.concat(F.repeat(F.lit(" "), level), F.lit("|_ ... ("), more.cast("string"), F.lit(" more)"))
-
-    def shown(n, body):
-        """Neither the element nor an ancestor below body comes after the k-th child of its parent; the element
-        itself may be child k+1, whose place the count line takes."""
-        ok, node = F.lit(True), n
-        for step in range(max_depth + 1):
-            limit = k + 1 if step == 0 else k
-            ok = ok & ((n["depth"] - step <= body["depth"]) | (node["elem_idx"] <= limit))
-            node = F.get(PAGE.nodes, node["parent_id"])
-        level = n["depth"] - body["depth"]
-        return ok & ((level <= max_depth) | ((level == max_depth + 1) & (n["elem_idx"] == k + 1)))
-
-    def lines(body):
-        inside = F.slice(PAGE.nodes, body["node_id"] + 1, body["subtree_end"] - body["node_id"] + 1)
-        return F.transform(F.filter(inside, lambda n: shown(n, body)), lambda n: let(
-            n["depth"] - body["depth"], lambda level: F.when(
-                (level > 0) & (n["elem_idx"] == k + 1), rest(n, level)).otherwise(line(n, level))))
-
-    body = F.get(F.filter(PAGE.nodes, lambda n: n["tag"] == "body"), F.lit(0))
-    empty = F.array().cast("array<string>")
-    return F.coalesce(let(body, lambda b: F.when(b.isNotNull(), lines(b))), empty)
+def dom_outline_sql(max_depth: int = 3, k: int = 10) -> str:
+    """Indented tag lines from body down to ``max_depth``; at the place of child k+1 a line counts the rest.
+
+    An element shows when neither it nor an ancestor below body comes after the k-th child of its parent. Child k+1
+    itself passes, since the count line takes its place.
+    """
+    ancestor, in_first_k = "n", []
+    for step in range(max_depth + 1):
+        in_first_k.append(f"(n.depth - {step} <= b.depth OR {ancestor}.elem_idx <= {k if step else k + 1})")
+        ancestor = N.parent(ancestor)
+    level = "(n.depth - b.depth)"
+    shown = " AND ".join(in_first_k) + (
+        f" AND ({level} <= {max_depth} OR ({level} = {max_depth + 1} AND n.elem_idx = {k + 1}))")
+    line = f"n.tag || coalesce('#' || {non_empty('n.id')}, '') || coalesce({N.class_selector('n')}, '')"
+    rest = f"'... (' || ({N.parent('n')}.n_children - {k}) || ' more)'"
+    text = f"repeat(' ', {level}) || '|_ ' || CASE WHEN {level} > 0 AND n.elem_idx = {k + 1} THEN {rest} ELSE {line} END"
+    inside = "slice(nodes, b.node_id + 1, b.subtree_end - b.node_id + 1)"
+    lines = f"transform(filter({inside}, n -> {shown}), n -> {text})"
+    body = "get(filter(nodes, n -> n.tag = 'body'), 0)"
+    return f"coalesce({let('b', body, f'CASE WHEN b IS NOT NULL THEN {lines} END')}, CAST(array() AS array<string>))"
 
 
 def dom_outline(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(dom_outline_column()).alias("line_no", "line"))
+    return listed_values(dom, dom_outline_sql(), "line", "line_no")
 
 
 # -- site verdicts -------------------------------------------------------------------------------
-def likely_dynamic_of(frameworks: Column, dynamic_attributes: Column, text_ratio: Column) -> Column:
-    flags = [frameworks[name] for name in V.FRAMEWORKS]
-    return reduce(lambda a, b: a | b, flags) | (F.size(dynamic_attributes) > 5) | (text_ratio < 0.1)
+def likely_dynamic_of(frameworks: str, dynamic_attributes: str, text_ratio: str) -> str:
+    return any_of(*[f"{frameworks}.{name}" for name in V.FRAMEWORKS], f"size({dynamic_attributes}) > 5",
+                  f"{text_ratio} < 0.1D")
 
 
-def likely_dynamic(dom: DataFrame) -> DataFrame:
-    parts = dom.select("page_id", frameworks_column().alias("f"), dynamic_attributes_column().alias("d"),
-                       text_ratio_column().alias("r"))
-    return parts.select("page_id", likely_dynamic_of(F.col("f"), F.col("d"), F.col("r")).alias("likely_dynamic"))
+def archetype_of(is_dynamic: str, keywords: str) -> str:
+    def mentions(terms):
+        return f"exists({keywords}, k -> {any_of(*[f'contains(k.word, {lit(t)})' for t in terms])})"
 
+    return (f"CASE WHEN {is_dynamic} THEN 'dynamic_content' WHEN {mentions(V.SHOP_TERMS)} THEN 'e-commerce' "
+            f"WHEN {mentions(V.NEWS_TERMS)} THEN 'news' ELSE 'dynamic_content' END")
 
-def archetype_of(is_dynamic: Column, keywords: Column) -> Column:
-    def mentions(terms):
-        return F.exists(keywords, lambda k: any_contains(k["word"], terms))
 
-    return (
-        F.when(is_dynamic, "dynamic_content")
-        .when(mentions(V.SHOP_TERMS), "e-commerce")
-        .when(mentions(V.NEWS_TERMS), "news")
-        .otherwise("dynamic_content")
-    )
+def _judged(dom: DataFrame, *more: str) -> DataFrame:
+    parts = dom.selectExpr("page_id", f"{frameworks_sql()} AS f", f"{dynamic_attributes_sql()} AS d",
+                           f"{text_ratio_sql()} AS r", *more)
+    return parts.selectExpr("*", f"{likely_dynamic_of('f', 'd', 'r')} AS likely_dynamic")
+
+
+def likely_dynamic(dom: DataFrame) -> DataFrame:
+    return _judged(dom).select("page_id", "likely_dynamic")
 
 
 def site_archetype(dom: DataFrame) -> DataFrame:
-    parts = dom.select("page_id", frameworks_column().alias("f"), dynamic_attributes_column().alias("d"),
-                       text_ratio_column().alias("r"), keyword_density_column().alias("k"))
-    return parts.select("page_id", archetype_of(
-        likely_dynamic_of(F.col("f"), F.col("d"), F.col("r")), F.col("k")).alias("archetype"))
+    judged = _judged(dom, f"{keyword_density_sql()} AS keywords")
+    return judged.selectExpr("page_id", f"{archetype_of('likely_dynamic', 'keywords')} AS archetype")
 
 
 # -- snapshot comparison -------------------------------------------------------------------------
-def snapshot_column() -> Column:
+def snapshot_sql() -> str:
     """The few numbers of a page that two snapshots are compared on."""
-    clickable = F.filter(PAGE.nodes, lambda n: (n["tag"] == "button") | N.matches(n, attr_eq={"role": "button"})
-                         | F.array_contains(n["classes"], "btn"))
-    return F.struct(
-        PAGE.html_len.alias("html_len"), text_length_column().alias("text_len"),
-        count_nodes(class_re=V.SNAPSHOT_CONTAINER_CLASS).alias("n_containers"),
-        count_nodes(tags=V.SNAPSHOT_ITEM_TAGS, class_re=V.SNAPSHOT_ITEM_CLASS).alias("n_items"),
-        count_nodes(tags=["form"]).alias("forms"), count_nodes(tags=["table"]).alias("tables"),
-        count_nodes(tags=["iframe"]).alias("iframes"), count_nodes(tags=["button"]).alias("buttons"),
-        F.size(clickable).alias("clickables"),
-    )
+    return struct(
+        html_len="html_len", text_len=text_length_sql(), n_containers=count_nodes(class_re=V.SNAPSHOT_CONTAINER_CLASS),
+        n_items=count_nodes(tags=V.SNAPSHOT_ITEM_TAGS, class_re=V.SNAPSHOT_ITEM_CLASS),
+        forms=count_nodes(tags=["form"]), tables=count_nodes(tags=["table"]), iframes=count_nodes(tags=["iframe"]),
+        buttons=count_nodes(tags=["button"]), clickables=f"size(filter(nodes, n -> {N.is_clickable('n')}))")
 
 
 # Which count of the rendered page each static count is compared with.
 RENDERED_COUNTS = {"forms": "forms", "tables": "tables", "iframes": "iframes", "buttons": "clickables"}
 
 
-def grown_by(s: Column, r: Column) -> Column:
+def grown_by(s: str, r: str) -> str:
     """The first measure in which the rendered page clearly exceeds the static one, or null."""
-    over = lambda name, factor: r[name] > s[name] * F.lit(factor)
-    return (
-        F.when(over("html_len", 1.2), "html").when(over("text_len", 1.2), "text")
-        .when(over("n_containers", 1.2), "containers").when(over("n_items", 1.1), "items")
-    )
+    def over(name, factor):
+        return f"{r}.{name} > {s}.{name} * {factor}D"
+
+    return (f"CASE WHEN {over('html_len', 1.2)} THEN 'html' WHEN {over('text_len', 1.2)} THEN 'text' "
+            f"WHEN {over('n_containers', 1.2)} THEN 'containers' WHEN {over('n_items', 1.1)} THEN 'items' END")
 
 
 def snapshot_diff(static: DataFrame, rendered: DataFrame) -> DataFrame:
     """Is the rendered page materially larger than the static one, and the larger component counts. Only the
     numbers are joined, never the pages."""
-    pairs = static.select("page_id", snapshot_column().alias("s")).join(
-        rendered.select("page_id", snapshot_column().alias("r")), "page_id")
-    s, r = F.col("s"), F.col("r")
-    reason = grown_by(s, r)
-    return pairs.select(
-        "page_id", reason.isNotNull().alias("is_dynamic"), reason.alias("grown_by"),
-        *[F.greatest(s[a], r[b]).alias(a) for a, b in RENDERED_COUNTS.items()],
-        reduce(lambda x, y: x | y, [r[b] > s[a] * 1.5 for a, b in RENDERED_COUNTS.items()]).alias("grew_50pct"),
-    )
+    pairs = static.selectExpr("page_id", f"{snapshot_sql()} AS s").join(
+        rendered.selectExpr("page_id", f"{snapshot_sql()} AS r"), "page_id")
+    counts = RENDERED_COUNTS.items()
+    return pairs.selectExpr(
+        "page_id", f"{grown_by('s', 'r')} IS NOT NULL AS is_dynamic", f"{grown_by('s', 'r')} AS grown_by",
+        *[f"greatest(s.{a}, r.{b}) AS {a}" for a, b in counts],
+        f"{any_of(*[f'r.{b} > s.{a} * 1.5D' for a, b in counts])} AS grew_50pct")

@@ -2,156 +2,122 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from crawlgrain import fixed_values as V
 from crawlgrain.functions import nodes as N
-from crawlgrain.functions.expr import drop_nulls, first, let, non_empty, strip
-from crawlgrain.functions.nodes import PAGE
-from crawlgrain.operators.dom import below
+from crawlgrain.functions.sql import any_of, drop_nulls, in_list, let, lit, non_empty, strip, struct
+from crawlgrain.operators.page_features import listed, listed_values
 
-UNSTABLE_ATTRIBUTES = ["class", "id", "style", "accesskey", "dropzone"]  # the last two hold lists, not one value
+# Attributes that are no stable selector; the last two hold lists rather than one value.
+UNSTABLE_ATTRIBUTES = ["class", "id", "style", "accesskey", "dropzone"]
 
 
 # -- strategies ----------------------------------------------------------------------------------
-def strategy_targets() -> Column:
-    return F.slice(F.filter(PAGE.nodes, lambda n: N.matches(n, tags=V.STRATEGY_TAGS, class_re=V.STRATEGY_CLASS)), 1, 5)
+def _candidate(order: int, selector: str, score: str, method: str, count: str = "CAST(NULL AS INT)", pos: str = "0") -> str:
+    """A sortable candidate: best score first, then the given order."""
+    return struct(neg=f"-{score}", ord=str(order), pos=pos, selector=selector, method=lit(method), count=count)
 
 
-def _strategy(order: int, selector: Column, reliability: Column, method: str, count: Column | None = None) -> Column:
-    """A sortable candidate: best score first, then the given order; null without a selector."""
-    return F.when(selector.isNotNull(), F.struct(
-        (-reliability).alias("neg"), F.lit(order).alias("ord"), F.lit(0).alias("pos"), selector.alias("selector"),
-        F.lit(method).alias("method"), (count if count is not None else F.lit(None)).cast("int").alias("count")))
+def _candidate_if(order: int, selector: str, score: str, method: str) -> str:
+    return let("sel", selector, f"CASE WHEN sel IS NOT NULL THEN {_candidate(order, 'sel', score, method)} END")
 
 
-def strategies_of(n) -> Column:
+def strategies_sql(n: str) -> str:
     """Up to three selector strategies of one element, best first."""
-    parent = F.get(PAGE.nodes, n["parent_id"])
-    nth = F.concat(F.lit(" > "), n["tag"], F.lit(":nth-child("), n["tag_idx"].cast("string"), F.lit(")"))
-    parent_id = F.concat(F.lit("#"), non_empty(parent["id"]), nth)
-    parent_class = F.when(parent_id.isNull(), F.concat(N.class_selector(parent), nth))
-    alone = strip(N.only_string(n, PAGE.segs, PAGE.hidden))
-    anchor = F.when(F.length(alone) > 10, F.concat(
-        n["tag"], F.lit(":contains('"), F.left(alone, F.lit(20)), F.lit("')")))
-    uses = F.size(F.filter(PAGE.nodes, lambda m: F.size(F.array_except(n["classes"], m["classes"])) == 0))
-    by_class = let(uses, lambda count: _strategy(
-        1, N.class_selector(n), F.when(count < 5, 0.8).when(count < 20, 0.6).otherwise(0.4), "class", count))
-    stable = F.filter(F.map_entries(n["attrs"]), lambda e: ~e["key"].isin(UNSTABLE_ATTRIBUTES)
-                      & (F.length(e["value"]) < 50))
-    by_attribute = F.transform(stable, lambda e, i: F.struct(
-        F.lit(-0.7).alias("neg"), F.lit(5).alias("ord"), i.alias("pos"),
-        F.concat(n["tag"], F.lit("["), e["key"], F.lit("='"), e["value"], F.lit("']")).alias("selector"),
-        F.lit("attribute").alias("method"), F.lit(None).cast("int").alias("count")))
-    candidates = F.concat(drop_nulls(
-        _strategy(0, F.concat(F.lit("#"), non_empty(n["id"])), F.lit(0.9), "id"),
-        by_class,
-        _strategy(2, parent_id, F.lit(0.8), "parent-child-id"),
-        _strategy(3, parent_class, F.lit(0.7), "parent-child-class"),
-        _strategy(4, anchor, F.lit(0.5), "text-content"),
-    ), by_attribute)
-    return F.transform(F.slice(F.sort_array(candidates), 1, 3), lambda c: F.struct(
-        c["selector"].alias("selector"), (-c["neg"]).alias("reliability"), c["method"].alias("method"),
-        c["count"].alias("count"),
-        F.when(c["method"] == "text-content", "Requires jQuery or XPath").alias("note")))
-
-
-def selector_strategies_column() -> Column:
-    return F.transform(strategy_targets(), lambda n: F.struct(
-        n["tag"].alias("element"), strategies_of(n).alias("strategies")))
+    nth = f"' > ' || {n}.tag || ':nth-child(' || {n}.tag_idx || ')'"
+    by_parent_id = f"'#' || {non_empty('p.id')} || {nth}"
+    by_parent_class = f"CASE WHEN {non_empty('p.id')} IS NULL THEN {N.class_selector('p')} || {nth} END"
+    anchor = let("alone", strip(N.only_string(n)), f"CASE WHEN length(alone) > 10 THEN {n}.tag || ':contains(\\'' || "
+                 "left(alone, 20) || '\\')' END")
+    uses = f"size(filter(nodes, m -> size(array_except({n}.classes, m.classes)) = 0))"
+    score = "(CASE WHEN uses < 5 THEN 0.8D WHEN uses < 20 THEN 0.6D ELSE 0.4D END)"
+    by_class = let("uses", uses, f"CASE WHEN size({n}.classes) > 0 THEN "
+                   f"{_candidate(1, N.class_selector(n), score, 'class', 'uses')} END")
+    stable = f"filter(map_entries({n}.attrs), e -> e.key NOT IN {in_list(UNSTABLE_ATTRIBUTES)} AND length(e.value) < 50)"
+    by_attribute = (f"transform({stable}, (e, i) -> " + _candidate(
+        5, f"{n}.tag || '[' || e.key || '=\\'' || e.value || '\\']'", "0.7D", "attribute", pos="i") + ")")
+    named = let("p", N.parent(n), drop_nulls(
+        _candidate_if(0, f"'#' || {non_empty(n + '.id')}", "0.9D", "id"), by_class,
+        _candidate_if(2, by_parent_id, "0.8D", "parent-child-id"),
+        _candidate_if(3, by_parent_class, "0.7D", "parent-child-class"),
+        _candidate_if(4, anchor, "0.5D", "text-content")))
+    strategy = struct(selector="s.selector", reliability="-s.neg", method="s.method", count="s.count",
+                      note="CASE WHEN s.method = 'text-content' THEN 'Requires jQuery or XPath' END")
+    return f"transform(slice(sort_array(concat({named}, {by_attribute})), 1, 3), s -> {strategy})"
+
+
+def selector_strategies_sql() -> str:
+    """For the first five content containers: array<struct<element, strategies>>."""
+    targets = f"slice({N.select(tags=V.STRATEGY_TAGS, class_re=V.STRATEGY_CLASS)}, 1, 5)"
+    return f"transform({targets}, t -> {struct(element='t.tag', strategies=strategies_sql('t'))})"
 
 
 def selector_strategies(dom: DataFrame) -> DataFrame:
     """One row per page, target element and rank."""
-    targets = dom.select("page_id", F.posexplode(selector_strategies_column()).alias("target", "t"))
-    return targets.select("page_id", "target", "t.element", F.posexplode("t.strategies").alias("pos", "s")).select(
-        "page_id", "target", "element", (F.col("pos") + 1).alias("rank"), "s.*")
+    return listed(dom, selector_strategies_sql(), "target").selectExpr(
+        "page_id", "target", "element", "posexplode(strategies) AS (pos, s)").selectExpr(
+        "page_id", "target", "element", "pos + 1 AS rank", "s.*")
 
 
 # -- suggestions ---------------------------------------------------------------------------------
-def selector_suggestions_column() -> Column:
+def selector_suggestions_sql() -> str:
     """At most two sentences: ids of long elements, and main content containers, five of each."""
-    long_ids = F.slice(F.transform(F.filter(
-        PAGE.nodes, lambda n: n["id"].isNotNull() & (F.length(N.text(n, PAGE.segs, PAGE.hidden)) > 100)), lambda n: n["id"]), 1, 5)
-
-    def names(n):
-        by_id = F.coalesce(non_empty(n["id"]).rlike(V.SUGGESTION_PATTERN), F.lit(False))
-        classes = F.filter(n["classes"], lambda c: c.rlike(V.SUGGESTION_PATTERN))
-        return F.when(by_id, F.array(F.concat(F.lit("#"), n["id"]))).otherwise(
-            F.transform(classes, lambda c: F.concat(F.lit("."), c)))
-
-    mains = F.slice(F.flatten(F.transform(F.filter(PAGE.nodes, lambda n: n["tag"].isin(V.SUGGESTION_TAGS)), names)), 1, 5)
-    return let(long_ids, lambda ids: let(mains, lambda ms: drop_nulls(
-        F.when(F.size(ids) > 0, F.concat(F.lit("High-content IDs: #"), F.array_join(ids, ", #"))),
-        F.when(F.size(ms) > 0, F.concat(F.lit("Main content containers: "), F.array_join(ms, ", "))))))
+    pattern = lit(V.SUGGESTION_PATTERN)
+    long_ids = f"slice(transform(filter(nodes, n -> n.id IS NOT NULL AND length({N.text('n')}) > 100), n -> n.id), 1, 5)"
+    names = (f"CASE WHEN {N.truth('rlike(' + non_empty('n.id') + ', ' + pattern + ')')} THEN array('#' || n.id) "
+             f"ELSE transform(filter(n.classes, c -> rlike(c, {pattern})), c -> '.' || c) END")
+    mains = f"slice(flatten(transform({N.select(tags=V.SUGGESTION_TAGS)}, n -> {names})), 1, 5)"
+    return let("ids", long_ids, let("ms", mains, drop_nulls(
+        "CASE WHEN size(ids) > 0 THEN 'High-content IDs: #' || array_join(ids, ', #') END",
+        "CASE WHEN size(ms) > 0 THEN 'Main content containers: ' || array_join(ms, ', ') END")))
 
 
 def selector_suggestions(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(selector_suggestions_column()).alias("ord", "suggestion"))
+    return listed_values(dom, selector_suggestions_sql(), "suggestion")
 
 
 # -- template roles ------------------------------------------------------------------------------
-def template_selectors_column() -> Column:
+def template_selectors_sql() -> str:
     """array<struct<role, selector>>: the first element of each role that exists."""
     def role(name, tags, class_re):
-        hit = first(F.filter(PAGE.nodes, lambda n: N.matches(n, tags=tags, class_re=class_re)))
-        return let(hit, lambda n: F.when(n.isNotNull(), F.struct(
-            F.lit(name).alias("role"), N.css_selector(n).alias("selector"))))
+        return let("r", f"get({N.select(tags=tags, class_re=class_re)}, 0)",
+                   f"CASE WHEN r IS NOT NULL THEN {struct(role=lit(name), selector=N.css_selector('r'))} END")
 
     return drop_nulls(*[role(*r) for r in V.TEMPLATE_ROLES])
 
 
 def template_selectors(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.inline(template_selectors_column()))
+    return dom.selectExpr("page_id", f"inline({template_selectors_sql()})")
 
 
 # -- interactive elements ------------------------------------------------------------------------
-def common_classes(uses: int = 5) -> Column:
+def common_classes_sql(uses: int = 5) -> str:
     """Classes carried by at least ``uses`` elements: in the sorted list of all class uses such a class equals
     the entry ``uses - 1`` places further on."""
-    ordered = F.sort_array(F.flatten(F.transform(PAGE.nodes, lambda n: F.array_distinct(n["classes"]))))
-    return let(ordered, lambda cs: F.array_distinct(F.filter(
-        cs, lambda c, i: F.coalesce(c == F.get(cs, i + (uses - 1)), F.lit(False)))))
-
-
-def _unique_selector(n, common: Column) -> Column:
-    parent = F.get(PAGE.nodes, n["parent_id"])
-    rare = first(F.filter(n["classes"], lambda c: ~F.array_contains(common, c)))
-    return F.coalesce(
-        F.concat(F.lit("#"), non_empty(n["id"])),
-        F.concat(F.lit("."), rare),
-        F.concat(F.lit("#"), non_empty(parent["id"]), F.lit(" > "), n["tag"], F.lit(":nth-child("),
-                 n["elem_idx"].cast("string"), F.lit(")")),
-        n["tag"])
-
-
-def _class_attr(n) -> Column:
-    return F.coalesce(N.attr(n, "class"), F.lit(""))
+    ordered = "sort_array(flatten(transform(nodes, n -> array_distinct(n.classes))))"
+    return let("cs", ordered, f"array_distinct(filter(cs, (c, i) -> coalesce(c = get(cs, i + {uses - 1}), FALSE)))")
 
 
-def interactive_elements_column() -> Column:
+def interactive_elements_sql() -> str:
     """Buttons that load content, then pagination links, each in document order."""
-    def is_button(n):
-        return (
-            (n["tag"] == "button") | N.matches(n, attr_eq={"role": "button"}) | F.array_contains(n["classes"], "btn")
-            | ((n["tag"] == "a") & N.matches(n, attr_eq={"href": "#"}))
-            | _class_attr(n).contains("load") | _class_attr(n).contains("more")
-        ) & N.text(n, PAGE.segs, PAGE.hidden).rlike(f"(?i){V.LOADING_BUTTON_TEXT}")
+    def class_attr(n):
+        return f"coalesce({N.attr(n, 'class')}, '')"
 
-    pagers = F.filter(PAGE.nodes, lambda n: _class_attr(n).contains("pag"))
+    button = any_of(N.is_clickable("n"), f"(n.tag = 'a' AND {N.matches('n', attr_eq={'href': '#'})})",
+                    f"contains({class_attr('n')}, 'load')", f"contains({class_attr('n')}, 'more')")
+    buttons = f"filter(nodes, n -> {button} AND rlike({N.text('n')}, {lit('(?i)' + V.LOADING_BUTTON_TEXT)}))"
+    link = any_of(f"(n.tag = 'a' AND {N.inside('n', 'pagers')})", N.truth(f"contains({N.attr('n', 'aria-label')}, 'page')"))
+    links = let("pagers", f"filter(nodes, n -> contains({class_attr('n')}, 'pag'))", f"filter(nodes, n -> {link})")
+    selector = let("p", N.parent("n"), (
+        f"coalesce('#' || {non_empty('n.id')}, '.' || get(filter(n.classes, c -> NOT array_contains(common, c)), 0), "
+        f"'#' || {non_empty('p.id')} || ' > ' || n.tag || ':nth-child(' || n.elem_idx || ')', n.tag)"))
 
-    def elements(hits, common, kind):
-        return F.transform(hits, lambda n: F.struct(
-            _unique_selector(n, common).alias("selector"), N.preview(n, PAGE.segs, PAGE.hidden, 30).alias("text"),
-            F.lit(kind).alias("type")))
+    def elements(hits, kind):
+        return f"transform({hits}, n -> {struct(selector=selector, text=N.preview('n', 30), type=lit(kind))})"
 
-    links = let(pagers, lambda ps: F.filter(PAGE.nodes, lambda n: ((n["tag"] == "a") & below(ps, n)) | F.coalesce(
-        N.attr(n, "aria-label").contains("page"), F.lit(False))))
-    buttons = F.filter(PAGE.nodes, is_button)
-    return let(common_classes(), lambda common: F.concat(
-        elements(buttons, common, "button"), elements(links, common, "pagination")))
+    return let("common", common_classes_sql(), f"concat({elements(buttons, 'button')}, {elements(links, 'pagination')})")
 
 
 def interactive_elements(dom: DataFrame) -> DataFrame:
-    return dom.select("page_id", F.posexplode(interactive_elements_column()).alias("ord", "e")).select(
-        "page_id", "ord", "e.*")
+    return listed(dom, interactive_elements_sql())

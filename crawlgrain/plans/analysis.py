@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlgrain import fixed_values as V
 from crawlgrain.functions.expr import any_contains, drop_nulls, strip
+from crawlgrain.functions.sql import struct
 from crawlgrain.operators import page_features as P
 from crawlgrain.operators import selectors as S
 from crawlgrain.operators.cache import cache_key, fresh_cache
@@ -19,27 +20,28 @@ FAILED_PAGE = "Static analysis failed, using basic scraping approach"
 
 def page_features(dom: DataFrame) -> DataFrame:
     """One row per page with every feature that needs the page alone. No shuffle."""
-    return dom.select(
-        "page_id", "url", "html_len", F.col("warning").alias("parse_error"),
-        P.components_column().alias("components"),
-        P.snapshot_column().alias("snapshot"),
-        P.content_hierarchy_column().alias("content_hierarchy"),
-        P.text_ratio_column().alias("text_ratio"),
-        P.language_sample_column().alias("sample"),
-        P.keyword_density_column().alias("keyword_density"),
-        P.seo_meta_column().alias("seo_meta"),
-        P.structured_data_column().alias("structured_data"),
-        P.frameworks_column().alias("frameworks"),
-        P.dynamic_attributes_column().alias("dynamic_attributes"),
-        P.pagination_column().alias("pagination_patterns"),
-        P.all_patterns_column().alias("content_patterns"),
-        P.extraction_heuristics_column().alias("extraction_test_results"),
-        P.dom_outline_column().alias("dom_visualization"),
-        S.interactive_elements_column().alias("interactive_elements"),
-        S.selector_strategies_column().alias("selector_strategies"),
-        S.selector_suggestions_column().alias("selector_suggestions"),
-        S.template_selectors_column().alias("template_selectors"),
-    )
+    features = {
+        "components": P.components_sql(),
+        "snapshot": P.snapshot_sql(),
+        "content_hierarchy": P.content_hierarchy_sql(),
+        "text_ratio": P.text_ratio_sql(),
+        "sample": P.language_sample_sql(),
+        "keyword_density": P.keyword_density_sql(),
+        "seo_meta": P.seo_meta_sql(),
+        "structured_data": P.structured_data_sql(),
+        "frameworks": P.frameworks_sql(),
+        "dynamic_attributes": P.dynamic_attributes_sql(),
+        "pagination_patterns": P.pagination_sql(),
+        "content_patterns": P.all_patterns_sql(),
+        "extraction_test_results": P.extraction_heuristics_sql(),
+        "dom_visualization": P.dom_outline_sql(),
+        "interactive_elements": S.interactive_elements_sql(),
+        "selector_strategies": S.selector_strategies_sql(),
+        "selector_suggestions": S.selector_suggestions_sql(),
+        "template_selectors": S.template_selectors_sql(),
+    }
+    return dom.selectExpr("page_id", "url", "html_len", "warning AS parse_error",
+                          *[f"{sql} AS {name}" for name, sql in features.items()])
 
 
 def recommendations_column() -> Column:
@@ -49,7 +51,7 @@ def recommendations_column() -> Column:
     interactive = F.col("interactive_elements")
     has_type = lambda kind: F.exists(interactive, lambda e: e["type"] == kind)
     loads_more = F.exists(interactive, lambda e: any_contains(F.lower(e["text"]), ["load", "more"]))
-    best = P.best_pattern_of(F.col("content_patterns"))
+    best = F.expr(P.best_pattern_of("content_patterns"))
     extraction = F.get("extraction_test_results", F.lit(0))
     advice = drop_nulls(
         F.when(F.col("is_dynamic"), "Use Playwright/Selenium for JavaScript rendering").otherwise(
@@ -102,8 +104,8 @@ def analyze_pages(
     joined = _with_snapshot(joined, rendered)
     joined = _with_network(joined, pages, resources, navigation)
 
-    likely = P.likely_dynamic_of(F.col("frameworks"), F.col("dynamic_attributes"), F.col("text_ratio"))
-    judged = joined.withColumn("is_dynamic", F.coalesce("rendered_dynamic", likely))
+    likely = P.likely_dynamic_of("frameworks", "dynamic_attributes", "text_ratio")
+    judged = joined.withColumn("is_dynamic", F.expr(f"coalesce(rendered_dynamic, {likely})"))
     warnings = drop_nulls(
         F.col("robots_warning"),
         F.concat(F.lit("Static analysis error: "), "parse_error"),
@@ -112,7 +114,7 @@ def analyze_pages(
     keywords = F.map_from_entries("keyword_density")
     advised = judged.select(
         "*", recommendations_column().alias("recommendations"), warnings.alias("warnings"),
-        P.archetype_of(F.col("is_dynamic"), F.col("keyword_density")).alias("archetype"))
+        F.expr(P.archetype_of("is_dynamic", "keyword_density")).alias("archetype"))
     return advised.withColumn("keyword_counts", keywords).select(
         "page_id", "url", "html_len", "is_dynamic", "content_hierarchy", "components", "dynamic_attributes", "text_ratio",
         "language", "keyword_density", "keyword_counts", "structured_data", "frameworks", "apis",
@@ -141,13 +143,12 @@ def _with_snapshot(df, rendered):
     """Compare against the rendered page, keep the larger component counts."""
     if rendered is None:
         return df.withColumn("rendered_dynamic", F.lit(None).cast("boolean"))
-    seen = parse_pages(rendered).select("page_id", P.snapshot_column().alias("r"))
-    static, later, found = F.col("snapshot"), F.col("r"), F.col("components")
-    larger = F.when(later.isNull(), found).otherwise(F.struct(*[
-        (F.greatest(found[name], later[P.RENDERED_COUNTS[name]]) if name in P.RENDERED_COUNTS else found[name]).alias(name)
-        for name in ("navigation", "forms", "buttons", "modals", "tables", "iframes")]))
+    seen = parse_pages(rendered).selectExpr("page_id", f"{P.snapshot_sql()} AS r")
+    larger = {name: f"greatest(components.{name}, r.{P.RENDERED_COUNTS[name]})" if name in P.RENDERED_COUNTS
+              else f"components.{name}" for name in V.COMPONENTS}
     return df.join(seen, "page_id", "left").withColumns({
-        "rendered_dynamic": F.when(later.isNotNull(), P.grown_by(static, later).isNotNull()), "components": larger})
+        "rendered_dynamic": F.expr(f"CASE WHEN r IS NOT NULL THEN {P.grown_by('snapshot', 'r')} IS NOT NULL END"),
+        "components": F.expr(struct(**larger))})
 
 
 def _with_network(df, pages, resources, navigation):
@@ -193,8 +194,7 @@ def _counts(struct: str, names: list[str]) -> Column:
 
 def page_brief(analysis: DataFrame) -> DataFrame:
     """A readable summary per page; sections without content are left out."""
-    patterns = F.transform(F.slice(F.sort_array(F.transform("content_patterns", lambda p, i: F.struct(
-        (-p["count"]).alias("neg"), i.alias("ord"), p.alias("p")))), 1, 3), lambda r: F.concat(
+    patterns = F.transform(F.slice(F.expr(P.by_count("content_patterns")), 1, 3), lambda r: F.concat(
         r["p"]["child_selector"], F.lit(" ("), r["p"]["count"].cast("string"), F.lit(" items, "),
         r["p"]["confidence"], F.lit(" confidence)")))
     best = F.get("extraction_test_results", F.lit(0))
@@ -215,7 +215,7 @@ def page_brief(analysis: DataFrame) -> DataFrame:
     hierarchy = [*V.SEMANTIC_TAGS, "content_containers"]
     sections = [
         line("Dynamic content", F.when(F.coalesce("is_dynamic", F.lit(False)), "Yes").otherwise("No")),
-        line("Components detected", _counts("components", ["navigation", "forms", "buttons", "modals", "tables", "iframes"])),
+        line("Components detected", _counts("components", V.COMPONENTS)),
         line("Frameworks", F.when(flags == "", "None detected").otherwise(flags)),
         line("Text ratio", F.format_string("%.2f", "text_ratio")),
         line("Language", F.when(F.coalesce("language", F.lit("")) == "", "Not detected").otherwise(F.col("language"))),

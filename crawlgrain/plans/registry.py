@@ -174,7 +174,7 @@ def parent_child(t):
 
 @query
 def has_ancestor(t):
-    hits = dom.has_ancestor(t.dom(), lambda n: n["tag"] == "a", lambda n: N.class_like(n, "pag") | (n["tag"] == "ul"))
+    hits = dom.has_ancestor(t.dom(), lambda n: f"{n}.tag = 'a'", lambda n: f"({n}.tag = 'ul' OR {N.class_like(n, 'pag')})")
     return hits.select("page_id", "node_id", "tag")
 
 
@@ -307,7 +307,7 @@ def language_profiles(t):
 
 @query
 def page_language(t):
-    samples = t.dom("pages").select("page_id", P.language_sample_column().alias("sample"))
+    samples = t.dom("pages").selectExpr("page_id", f"{P.language_sample_sql()} AS sample")
     return language.detect_language(samples, _profiles(t))
 
 

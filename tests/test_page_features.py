@@ -119,7 +119,7 @@ def test_outline_cuts_late_branches(dom_of):
 
 def test_has_ancestor(dom_of):
     html = "<div class=pages><p><a>1</a></p></div><a>2</a><div class=pages><a>3</a></div>"
-    hits = D.has_ancestor(dom_of(html), lambda n: n["tag"] == "a", lambda n: F.array_contains(n["classes"], "pages"))
+    hits = D.has_ancestor(dom_of(html), lambda n: f"{n}.tag = 'a'", lambda n: f"array_contains({n}.classes, 'pages')")
     assert [r.node_id for r in hits.orderBy("node_id").collect()] == [2, 5]
 
 
