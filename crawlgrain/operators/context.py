@@ -26,31 +26,42 @@ def with_robots(pages: DataFrame, robots: DataFrame) -> DataFrame:
     )
 
 
-def security_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
-    """The three security headers per page, null if absent. Other headers are dropped before the shuffle."""
+HEADER_COLUMNS = {header: header.lower().replace("-", "_") for header in V.SECURITY_HEADERS}
+
+
+def header_table(headers: DataFrame) -> DataFrame:
+    """One row per page that sent a security header. Other headers are dropped before the shuffle."""
     wanted = headers.withColumn("name", F.lower("name")).filter(
         F.col("name").isin([h.lower() for h in V.SECURITY_HEADERS]))
-    columns = {h: h.lower().replace("-", "_") for h in V.SECURITY_HEADERS}
-    per_page = wanted.groupBy("page_id").agg(
-        *[F.max(F.when(F.col("name") == h.lower(), F.col("value"))).alias(c) for h, c in columns.items()])
-    return pages.select("page_id").join(per_page, "page_id", "left")
+    return wanted.groupBy("page_id").agg(
+        *[F.max(F.when(F.col("name") == h.lower(), F.col("value"))).alias(c) for h, c in HEADER_COLUMNS.items()])
 
 
-def page_performance(resources: DataFrame, navigation: DataFrame, pages: DataFrame) -> DataFrame:
-    """Load time, html size and resource counts of every page that has a navigation entry."""
+def security_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
+    """The three security headers of every page, null if absent."""
+    return pages.select("page_id").join(header_table(headers), "page_id", "left")
+
+
+def load_metrics(resources: DataFrame, navigation: DataFrame) -> DataFrame:
+    """Load time and resource counts of every page that has a navigation entry."""
     counts = resources.groupBy("page_id").agg(
         F.count("*").alias("resource_count"),
         F.count_if(F.col("initiator_type") == "xmlhttprequest").alias("ajax_count"))
-    sizes = pages.select("page_id", F.length("html").alias("dom_size"))
-    return navigation.join(sizes, "page_id").join(counts, "page_id", "left").select(
+    return navigation.join(counts, "page_id", "left").select(
         "page_id",
         F.coalesce("nav_load_end", F.col("timing_load_end") - F.col("navigation_start")).alias("load_time"),
-        "dom_size",
         F.coalesce("resource_count", F.lit(0)).alias("resource_count"),
         F.coalesce("ajax_count", F.lit(0)).alias("ajax_count"),
     )
 
 
+def page_performance(resources: DataFrame, navigation: DataFrame, pages: DataFrame) -> DataFrame:
+    """Load metrics with the html size. Only the length of the html is moved."""
+    sizes = pages.select("page_id", F.length("html").alias("dom_size"))
+    return load_metrics(resources, navigation).join(sizes, "page_id").select(
+        "page_id", "load_time", "dom_size", "resource_count", "ajax_count")
+
+
 def api_calls(resources: DataFrame, k: int = 10) -> DataFrame:
     """The first k xhr/fetch requests of each page. The rank filter is applied below the shuffle too, so a page
     with most of the log sends at most k rows per task."""

@@ -112,7 +112,7 @@ def usage_report(totals: DataFrame) -> DataFrame:
 def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], bits: int = 16) -> DataFrame:
     """Running sums of ``values`` in ``order`` per ``keys``, without putting a whole key into one task.
 
-    ``order`` is a unique non-negative whole number. Rows fall into blocks of 2**bits consecutive order values,
+    ``order`` is a unique non-negative whole number; keys are not null. Rows fall into blocks of 2**bits consecutive order values,
     blocks into super-blocks likewise. Each window sees one block, the blocks of one super-block, or the
     super-blocks of one key, so a key holding most of the log still spreads over all tasks.
     """
@@ -122,9 +122,10 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
     def sums(names, window):
         return [F.sum(v).over(window).alias(n) for n, v in names.items()]
 
-    blocked = df.withColumn("_block", F.shiftright(order, bits))
+    # Not nullable, so that every branch below reads the same blocks and Spark reuses their shuffle.
+    blocked = df.withColumn("_block", or_zero(F.shiftright(order, bits)))
     blocks = blocked.groupBy(*keys, "_block").agg(*[F.sum(v).alias(v) for v in values]).withColumn(
-        "_super", F.shiftright("_block", bits))
+        "_super", or_zero(F.shiftright("_block", bits)))
     supers = blocks.groupBy(*keys, "_super").agg(*[F.sum(v).alias(v) for v in values])
     in_super = Window.partitionBy(*keys, "_super").orderBy("_block").rowsBetween(*before)
     in_key = Window.partitionBy(*keys).orderBy("_super").rowsBetween(*before)

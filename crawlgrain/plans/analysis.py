@@ -10,7 +10,7 @@ from crawlgrain.functions.sql import struct
 from crawlgrain.operators import page_features as P
 from crawlgrain.operators import selectors as S
 from crawlgrain.operators.cache import cache_key, fresh_cache
-from crawlgrain.operators.context import api_calls, page_performance, security_headers, with_robots
+from crawlgrain.operators.context import HEADER_COLUMNS, api_calls, header_table, load_metrics, with_robots
 from crawlgrain.operators.dom import parse_pages
 from crawlgrain.operators.language import detect_language
 from crawlgrain.session import materialize, sized_broadcast
@@ -100,9 +100,9 @@ def analyze_pages(
     else:
         features = features.withColumn("language", F.lit(""))
     joined = _with_robots(features.drop("sample"), pages, robots)
-    joined = _with_headers(joined, pages, headers)
+    joined = _with_headers(joined, headers)
     joined = _with_snapshot(joined, rendered)
-    joined = _with_network(joined, pages, resources, navigation)
+    joined = _with_network(joined, resources, navigation)
 
     likely = P.likely_dynamic_of("frameworks", "dynamic_attributes", "text_ratio")
     judged = joined.withColumn("is_dynamic", F.expr(f"coalesce(rendered_dynamic, {likely})"))
@@ -130,13 +130,11 @@ def _with_robots(df, pages, robots):
     return df.join(found, "page_id", "left")
 
 
-def _with_headers(df, pages, headers):
-    names = {h: h.lower().replace("-", "_") for h in V.SECURITY_HEADERS}
+def _with_headers(df, headers):
     if headers is None:
         return df.withColumn("security_headers", F.lit(None).cast("map<string,string>"))
-    pairs = [part for h, c in names.items() for part in (F.lit(h), F.col(c))]
-    return df.join(security_headers(pages, headers).select(
-        "page_id", F.create_map(*pairs).alias("security_headers")), "page_id", "left")
+    pairs = [part for header, column in HEADER_COLUMNS.items() for part in (F.lit(header), F.col(column))]
+    return df.join(header_table(headers), "page_id", "left").withColumn("security_headers", F.create_map(*pairs))
 
 
 def _with_snapshot(df, rendered):
@@ -151,7 +149,7 @@ def _with_snapshot(df, rendered):
         "components": F.expr(struct(**larger))})
 
 
-def _with_network(df, pages, resources, navigation):
+def _with_network(df, resources, navigation):
     if resources is None or navigation is None:
         return df.withColumns({
             "apis": F.lit(None).cast("array<struct<url:string,method:string>>"),
@@ -160,10 +158,10 @@ def _with_network(df, pages, resources, navigation):
     calls = api_calls(resources).groupBy("page_id").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("rank", "url", "method"))),
         lambda c: F.struct(c["url"].alias("url"), c["method"].alias("method"))).alias("apis"))
-    metrics = page_performance(resources, navigation, pages)
-    metrics = metrics.select("page_id", F.struct(*[c for c in metrics.columns if c != "page_id"]).alias(
-        "performance_metrics"))
-    return df.join(calls, "page_id", "left").join(metrics, "page_id", "left")
+    metrics = load_metrics(resources, navigation).select("page_id", F.struct("*").alias("m"))
+    metric = F.struct("m.load_time", F.col("html_len").alias("dom_size"), "m.resource_count", "m.ajax_count")
+    return df.join(calls, "page_id", "left").join(metrics, "page_id", "left").withColumn(
+        "performance_metrics", F.when(F.col("m").isNotNull(), metric))
 
 
 def analyze_incremental(pages: DataFrame, cache: DataFrame, now: float, **context) -> tuple[DataFrame, DataFrame]:
