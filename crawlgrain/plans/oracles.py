@@ -488,11 +488,74 @@ facts AS (SELECT f.page_id, l.likely_dynamic, f.react, f.angular, f.vue, f.forms
 advice AS ({lines})"""
 
 
+def brief_sql() -> str:
+    """The lines of every page's brief, numbered by section."""
+    def counted(names, prefix=""):
+        return "concat_ws(', ', " + ", ".join(
+            f"CASE WHEN {prefix}{n} > 0 THEN '{n} (' || {prefix}{n} || ')' END" for n in names) + ")"
+
+    def bullets(part, label, table, order, limit, text):
+        return f"""SELECT page_id, {part}, '- {label}: ' || string_agg(chr(10) || '  * ' || {text}, '' ORDER BY {order})
+            FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS nth FROM {table})
+            WHERE nth <= {limit} GROUP BY page_id"""
+
+    def row(part, label, table, order, limit, text):
+        return f"""SELECT page_id, {part}, '- {label}: ' || string_agg({text}, ', ' ORDER BY {order})
+            FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS nth FROM {table})
+            WHERE nth <= {limit} GROUP BY page_id"""
+
+    headers = " UNION ALL ".join(
+        f"SELECT page_id, {i} AS pos, '{h}' AS name FROM ({HEADERS}) WHERE {h.lower().replace('-', '_')} IS NOT NULL"
+        for i, h in enumerate(V.SECURITY_HEADERS))
+    roles = " UNION ALL ".join(
+        f"""SELECT page_id, {i} AS pos, '{role}: ' || min_by(selector, node_id) AS name FROM nodes
+            WHERE tag IN {in_list(tags)} AND {has_class(pattern)} GROUP BY page_id"""
+        for i, (role, tags, pattern) in enumerate(V.TEMPLATE_ROLES))
+    hierarchy = [*V.SEMANTIC_TAGS, "content_containers"]
+    structure = ", ".join([f"""{count_if(f"tag = '{tag}'")} AS {tag}""" for tag in V.SEMANTIC_TAGS]
+                          + [f"{count_if(has_class(V.CONTENT_CONTAINER_CLASS))} AS content_containers"])
+    flags = "concat_ws(', ', " + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in V.FRAMEWORKS) + ")"
+    return f"""
+sections AS (
+  SELECT page_id, 1 AS part, '- Dynamic content: ' || CASE WHEN likely_dynamic THEN 'Yes' ELSE 'No' END AS line FROM likely
+  UNION ALL SELECT page_id, 2, '- Components detected: ' || {counted(COMPONENT_TESTS)} FROM (SELECT page_id,
+    {", ".join(f"{count_if(t)} AS {n}" for n, t in COMPONENT_TESTS.items())} FROM nodes GROUP BY page_id)
+  UNION ALL SELECT page_id, 3, '- Frameworks: ' || coalesce(nullif({flags}, ''), 'None detected') FROM frame
+  UNION ALL SELECT page_id, 4, '- Text ratio: ' || printf('%.2f', {RATIO}) FROM page_strings
+  UNION ALL SELECT page_id, 5, '- Language: ' || coalesce(nullif(language, ''), 'Not detected') FROM languages
+  UNION ALL SELECT page_id, 6, '- Content structure: ' || {counted(hierarchy)}
+    FROM (SELECT page_id, {structure} FROM nodes GROUP BY page_id)
+  UNION ALL {bullets(7, 'Technical recommendations', 'advice', 'part, pos', 5, 'recommendation')}
+  UNION ALL {bullets(8, 'Suggested selectors', 'suggestions', 'ord', 3, 'suggestion')}
+  UNION ALL {bullets(9, 'Content patterns detected', 'patterns', 'n DESC, ord', 3,
+                     "selector || ' > ' || child_tag || ' (' || n || ' items, ' || confidence || ' confidence)'")}
+  UNION ALL SELECT page_id, 10, '- Best extraction pattern: ' || pattern || ' using ''' || selector || ''' found ' || count
+    || ' items' FROM top_hit
+  UNION ALL SELECT page_id, 11, '- Interactive buttons detected: ' || count(*) || ' (e.g., ' || min_by(text, ord) || ')'
+    FROM interactive WHERE type = 'button' GROUP BY page_id
+  UNION ALL SELECT page_id, 12, '- Pagination elements detected: ' || count(*) FROM interactive WHERE type = 'pagination'
+    GROUP BY page_id
+  UNION ALL {row(13, 'Pagination detected', 'signals', 'ord', 3, 'signal')}
+  UNION ALL SELECT page_id, 14, '- Dynamic attributes: ' || string_agg(attribute, ', ' ORDER BY attribute)
+    FILTER (WHERE nth <= 5) || CASE WHEN count(*) > 5 THEN '...' ELSE '' END FROM (SELECT *, row_number() OVER (
+    PARTITION BY page_id ORDER BY attribute) AS nth FROM attribute_names) GROUP BY page_id
+  UNION ALL SELECT page_id, 15, '- APIs detected: ' || count(*) FROM ({API_CALLS}) GROUP BY page_id
+  UNION ALL SELECT page_id, 16, '- Load time: ' || CAST(trunc(coalesce(load_time, 0)) AS BIGINT) || 'ms' FROM ({PERFORMANCE})
+  UNION ALL {row(17, 'Top keywords', 'keywords', 'rank', 5, "word || ' (' || n || ')'")}
+  UNION ALL {row(18, 'Security headers', f'({headers})', 'pos', 3, 'name')}
+  UNION ALL {bullets(19, 'Recommended selectors for extraction', f'({roles})', 'pos', 4, 'name')})"""
+
+
 def analysis_queries() -> dict[str, str]:
     everything = tree() + LIKELY + "," + ",".join([PATTERNS, heuristics(), SIGNALS, INTERACTIVE, SUGGESTIONS]) + ", " \
         + fixture_ctes("response_headers", "robots", "resource_log", "navigation")
     growth = snapshot_sql(f"{GROWN} IS NOT NULL AS is_dynamic, {LARGER}")
+    profiles, languages = language_ctes()
     return {
+        "page_brief": everything + "," + ",".join([KEYWORDS, advice_sql(), profiles, f"languages AS ({languages})",
+                                                   brief_sql()]) + f"""
+            SELECT p.page_id, p.url, {strip("string_agg(line, chr(10) ORDER BY part)")} AS brief
+            FROM page_strings p JOIN sections s USING (page_id) GROUP BY ALL""",
         "recommendations": everything + "," + advice_sql() + f"""
             SELECT page_id, {ordinal('part, pos')} AS ord, recommendation FROM advice""",
         "page_analysis": everything + "," + KEYWORDS + f"""
@@ -519,24 +582,29 @@ def analysis_queries() -> dict[str, str]:
 
 
 # -- language ------------------------------------------------------------------------------------
-def language_queries() -> dict[str, str]:
+def language_ctes() -> tuple[str, str]:
+    """(profile CTEs, statement giving page_id and language)."""
     profiles = r"""
 doc_words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word
   FROM documents) GROUP BY ALL),
 doc_grams AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, n, substr(' ' || word || ' ', i, size) AS gram
   FROM doc_words, range(1, 4) s(size), LATERAL range(1, length(word) + 4 - size) r(i)) GROUP BY ALL),
 profiles AS (SELECT lang, gram, CAST(round((ln(n / sum(n) OVER (PARTITION BY lang)) - ln(1e-7)) * 1000) AS BIGINT) AS weight
-  FROM doc_grams QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300)"""
-    detect = r""",
+  FROM doc_grams QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300),
 page_words AS (SELECT page_id, unnest(regexp_extract_all(lower(left(body, 1000)), '\p{L}+')) AS word FROM page_strings),
 page_grams AS (SELECT page_id, substr(' ' || word || ' ', i, size) AS gram
   FROM page_words, range(1, 4) s(size), LATERAL range(1, length(word) + 4 - size) r(i)),
-scores AS (SELECT page_id, lang, sum(weight) AS score FROM page_grams JOIN profiles USING (gram) GROUP BY ALL)
-SELECT p.page_id, coalesce(lang, '') AS language FROM page_strings p LEFT JOIN (SELECT page_id, lang FROM scores
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, lang) = 1) b ON b.page_id = p.page_id"""
+scores AS (SELECT page_id, lang, sum(weight) AS score FROM page_grams JOIN profiles USING (gram) GROUP BY ALL)"""
+    return profiles, r"""SELECT p.page_id, coalesce(lang, '') AS language FROM page_strings p LEFT JOIN (SELECT page_id,
+  lang FROM scores QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, lang) = 1) b ON b.page_id = p.page_id"""
+
+
+def language_queries() -> dict[str, str]:
+    profiles, languages = language_ctes()
     return {
-        "language_profiles": "WITH " + profiles + " SELECT lang, gram, weight FROM profiles",
-        "page_language": tree("pages") + "," + profiles + detect,
+        "language_profiles": tree("pages") + "," + profiles
+        + " SELECT lang, gram, weight FROM profiles",
+        "page_language": tree("pages") + "," + profiles + " " + languages,
     }
 
 
