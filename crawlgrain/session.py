@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -33,6 +34,11 @@ def get_session(master: str | None = None, app_name: str = "crawlgrain", **setti
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="crawlgrain-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,9 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="crawlgrain-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -58,5 +62,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def sized_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """Broadcast a narrow ``df`` only after counting that it is small; beyond that the join shuffles on its key."""
-    df = df.persist()
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    kept = df.persist()
+    if kept.limit(rows + 1).count() <= rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
