@@ -70,7 +70,7 @@ FROM documents
 
 ATTEMPT_LOG = """
 SELECT user_id || '-' || CAST(floor(event_id / 2000) AS BIGINT) AS request_id,
-  row_number() OVER (PARTITION BY user_id, floor(event_id / 2000) ORDER BY event_id) AS attempt_no,
+  CAST(row_number() OVER (PARTITION BY user_id, floor(event_id / 2000) ORDER BY event_id) AS INT) AS attempt_no,
   event_type <> 'error' AS success,
   CASE event_type WHEN 'view' THEN '{"results":[1,2]}' WHEN 'click' THEN 'Done: [1, 2] ok' WHEN 'purchase' THEN '{bad json' WHEN 'signup' THEN '  ' ELSE '' END AS stdout,
   CASE WHEN event_type <> 'error' THEN '' ELSE CASE event_id % 8 WHEN 0 THEN 'Connection refused by host' WHEN 1 THEN 'httperror: 403 Forbidden'
