@@ -7,6 +7,7 @@ text is the slice ``t0..t1`` of the page's visible strings.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
@@ -23,6 +24,12 @@ VOID_TAGS = frozenset(
 HIDDEN_TEXT_TAGS = frozenset(("script", "style", "template"))
 KEEP_BLANKS_TAGS = frozenset(("pre", "textarea"))
 ASCII_BLANKS = " \n\t\f\r"
+# Elements whose content some parser versions read as raw text.
+RAW_TEXT_TAGS = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
+PLAIN_START = re.compile("<([a-zA-Z][a-zA-Z0-9]*)>")
+PLAIN_END = re.compile("</([a-zA-Z][a-zA-Z0-9]*)>")
+# Mark of an element with more than one child or string.
+MANY = ("many", None)
 
 NODE_FIELDS = [
     ("node_id", pa.int32()),
@@ -67,7 +74,6 @@ class DomBuilder(HTMLParser):
         self.t0: list[int] = []
         self.t1: list[int] = []
         self.end: list[int] = []
-        self.n_contents: list[int] = []
         self.sole: list[tuple | None] = []
         self.segs: list[str] = []
         self.hidden: list[tuple] = []
@@ -81,6 +87,21 @@ class DomBuilder(HTMLParser):
         """Line numbers are not needed."""
         return j
 
+    # Most tags are plain <p> or </p>: read those with one match, leave every other form to the base class.
+    def parse_starttag(self, i):
+        plain = PLAIN_START.match(self.rawdata, i)
+        if plain is None or (tag := plain[1].lower()) in RAW_TEXT_TAGS:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, ())
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if plain is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
     # -- strings ---------------------------------------------------------------------------------
     def handle_data(self, data):
         self.pending.append(data)
@@ -111,13 +132,12 @@ class DomBuilder(HTMLParser):
             self._special("declaration", data)
 
     def _special(self, kind, data):
-        self._flush()
+        if self.pending:
+            self._flush()
         self._add_string(data, kind)
 
     def _flush(self):
         """End the current run of character data and references: they form one string."""
-        if not self.pending:
-            return
         text = "".join(self.pending)
         self.pending.clear()
         if not self.keeping_blanks and not text.strip(ASCII_BLANKS):
@@ -133,8 +153,7 @@ class DomBuilder(HTMLParser):
             ref = ("hidden", len(self.hidden))
             self.hidden.append((owner, kind, text))
         if owner >= 0:
-            self.n_contents[owner] += 1
-            self.sole[owner] = ref
+            self.sole[owner] = MANY if self.sole[owner] else ref
 
     # -- elements --------------------------------------------------------------------------------
     def handle_starttag(self, tag, attrs):
@@ -147,18 +166,19 @@ class DomBuilder(HTMLParser):
         self._pop()
 
     def handle_endtag(self, tag):
-        self._flush()
+        if self.pending:
+            self._flush()
         if self.open_tags[tag]:
             while self._pop() != tag:
                 pass
 
     def _open(self, tag, attrs):
-        self._flush()
+        if self.pending:
+            self._flush()
         node = len(self.tag)
         parent = self.stack[-1] if self.stack else -1
         if parent >= 0:
-            self.n_contents[parent] += 1
-            self.sole[parent] = ("node", node)
+            self.sole[parent] = MANY if self.sole[parent] else ("node", node)
         self.tag.append(tag)
         self.parent.append(parent)
         self.depth.append(len(self.stack))
@@ -166,7 +186,6 @@ class DomBuilder(HTMLParser):
         self.t0.append(len(self.segs))
         self.t1.append(0)
         self.end.append(0)
-        self.n_contents.append(0)
         self.sole.append(None)
         self.stack.append(node)
         self.open_tags[tag] += 1
@@ -189,7 +208,8 @@ class DomBuilder(HTMLParser):
 
     def finish(self):
         self.close()
-        self._flush()
+        if self.pending:
+            self._flush()
         while self.stack:
             self._pop()
         return self
@@ -205,13 +225,12 @@ class DomBuilder(HTMLParser):
             elem_idx[node], tag_idx[node] = siblings[key[0]], same_tag[key]
         lone = {"seg": [None] * size, "hidden": [None] * size}
         for node in range(size - 1, -1, -1):
-            if self.n_contents[node] == 1:
-                kind, ref = self.sole[node]
-                if kind == "node":
-                    for refs in lone.values():
-                        refs[node] = refs[ref]
-                else:
-                    lone[kind][node] = ref
+            kind, ref = self.sole[node] or MANY
+            if kind == "node":
+                for refs in lone.values():
+                    refs[node] = refs[ref]
+            elif kind != "many":
+                lone[kind][node] = ref
         return [
             range(size), self.parent, self.depth, self.tag, elem_idx, tag_idx,
             [same_tag[key] for key in zip(self.parent, self.tag)], [siblings[node] for node in range(size)],
