@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crawlgrain import fixed_values as V
 from crawlgrain.functions.expr import or_zero
+from crawlgrain.functions.sql import lit
 
 COST_DECIMALS = 8  # prices have five decimals per 1000 tokens, so every cost is a multiple of 1e-8
 
@@ -31,26 +32,27 @@ def route_models(calls: DataFrame, mode: str = "regex") -> DataFrame:
         "reason", F.when(F.col("provider").isNull(), F.concat(F.lit("Unknown model provider: "), "model")))
 
 
-def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A broadcast side whose size is fixed in the source code."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def fixed_table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A broadcast side whose size is fixed in the source code, as an inline table: no Python task reads it."""
+    value = lambda v: lit(v) if isinstance(v, str) else f"{v!r}D"
+    listed = ", ".join("(" + ", ".join(map(value, row)) + ")" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names)})"))
 
 
 def map_model_names(calls: DataFrame) -> DataFrame:
-    names = fixed_table(calls.sparkSession, V.MODEL_API_NAMES, "model string, api_name string")
+    names = fixed_table(calls.sparkSession, V.MODEL_API_NAMES, "model", "api_name")
     return calls.join(names, "model", "left").select(
         "call_id", "model", F.coalesce("api_name", "model").alias("api_name"))
 
 
 def model_catalog(spark: SparkSession) -> DataFrame:
     """provider, model."""
-    providers = spark.createDataFrame(list(V.MODEL_CATALOG.items()), "provider string, models array<string>")
-    return providers.select("provider", F.explode("models").alias("model"))
+    return fixed_table(spark, [(p, m) for p, models in V.MODEL_CATALOG.items() for m in models], "provider", "model")
 
 
 def unlisted_models(calls: DataFrame) -> DataFrame:
     """Calls to models the catalogue does not list."""
-    return calls.join(F.broadcast(model_catalog(calls.sparkSession)), "model", "left_anti").select("call_id", "model")
+    return calls.join(model_catalog(calls.sparkSession), "model", "left_anti").select("call_id", "model")
 
 
 # -- tokens and cost -----------------------------------------------------------------------------
@@ -76,7 +78,7 @@ def normalise_usage(calls: DataFrame) -> DataFrame:
 
 def price_calls(calls: DataFrame) -> DataFrame:
     """Cost per call; a model without a price pays the default."""
-    prices = fixed_table(calls.sparkSession, V.PRICES, "model string, price_in double, price_out double")
+    prices = fixed_table(calls.sparkSession, V.PRICES, "model", "price_in", "price_out")
     usage = normalise_usage(calls).join(prices, "model", "left")
     cost = (F.col("tokens_in") / 1000 * F.coalesce("price_in", F.lit(V.DEFAULT_PRICE[0]))
             + F.col("tokens_out") / 1000 * F.coalesce("price_out", F.lit(V.DEFAULT_PRICE[1])))
