@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlgrain.session import shared_folder
@@ -80,7 +81,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> I
         n = batch.num_rows
         if not n:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0)
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0)
         ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
         start = 0
         while start < n:
