@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlgrain.llm import bpe, language_id
+from crawlgrain.llm import bpe, language_id, licenses, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": language_id.op6_language_id,
+    "op7_licenses": licenses.op7_licenses,
+    "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_licenses": licenses.oracle(),
+    "op9_quality": quality.ORACLE,
+}
