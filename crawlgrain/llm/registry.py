@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlgrain.llm import bpe, language_id, licenses, quality
+from crawlgrain.llm import bpe, language_id, licenses, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": url_filter.op3_url_filter,
     "op6_language_id": language_id.op6_language_id,
     "op7_licenses": licenses.op7_licenses,
     "op9_quality": quality.op9_quality,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": url_filter.oracle(),
     "op7_licenses": licenses.oracle(),
     "op9_quality": quality.ORACLE,
 }
