@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlgrain.llm import bpe, language_id, licenses, near_dedup, pii, quality, url_filter
+from crawlgrain.llm import bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_pii": pii.op4_pii,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": language_id.op6_language_id,
     "op7_licenses": licenses.op7_licenses,
     "op9_quality": quality.op9_quality,
