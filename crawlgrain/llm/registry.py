@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlgrain.llm import bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, url_filter
+from crawlgrain.llm import bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, repeated_bytes, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": language_id.op6_language_id,
     "op7_licenses": licenses.op7_licenses,
+    "op8_repeated_bytes": repeated_bytes.op8_repeated_bytes,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
