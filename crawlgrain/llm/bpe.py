@@ -34,7 +34,8 @@ WORD_ENTRIES, CHUNK_ENTRIES = 500_000, 250_000
 _CACHED_LENGTH = 64
 
 # White space as the tokenizer's patterns see it; Python's own also counts \x1c-\x1f.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_WIDE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_SPACE = "\t-\r " + _WIDE
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _CHUNK = re.compile(f"[^{_SPACE}]+")
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlgrain.llm import bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, repeated_bytes, url_filter
+from crawlgrain.llm import bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, repeated_bytes, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_token_files": token_files.op2_token_files,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_pii": pii.op4_pii,
     "op5_decontaminate": decontaminate.op5_decontaminate,
