@@ -97,9 +97,9 @@ class WordBpe:
         pair_rank[at_end[1:]] = self.byte_ranks_last[signs[:-1], signs[1:]][at_end[1:]]
         pair_rank[at_end[:-1]] = -1
         where = np.flatnonzero(pair_rank >= 0)
-        where = where[np.argsort(pair_rank[where], kind="stable")]
+        where = where[np.argsort(pair_rank[where])]  # each list is sorted when its turn comes
         active, first = np.unique(pair_rank[where], return_index=True)
-        places = {r: where[i:j].tolist() for r, i, j in zip(active.tolist(), first, [*first[1:], len(where)], strict=True)}
+        places = {r: where[i:j].tolist() for r, i, j in zip(active.tolist(), first, np.append(first, len(where))[1:], strict=True)}
         active = active.tolist()  # ascending, so a heap already
         ids, following, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         for end in ends.tolist():
