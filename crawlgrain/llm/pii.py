@@ -249,13 +249,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``text`` removed or generalised; ``n_chars``, where there is one, follows the text."""
     found = find_spans(docs, Scratch(docs.sparkSession, "pii")).where(F.size("spans") > 0)
     # Rows of equal id and text have equal spans: one of them is enough for the join.
-    found = found.groupBy("row").agg(F.first("spans").alias("__spans"))
+    found = found.groupBy(F.col("row").alias("__row")).agg(F.first("spans").alias("__spans"))
 
     @F.pandas_udf("string")
     def clean(texts, spans):
         return texts.combine(spans, lambda t, s: t if s is None or t is None else replace_spans(t, s))
 
-    joined = docs.withColumn("__row", _row_key()).join(found, F.col("__row") == F.col("row"), "left")
+    joined = docs.withColumn("__row", _row_key()).join(found, "__row", "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean("text", "__spans"))
     columns = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
                for c in docs.columns]
