@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crawlgrain.llm.common import kept_columns, map_arrow, read_table, text_slices
+from crawlgrain.llm.common import kept_columns, map_arrow, prepare, read_table, text_slices
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -148,8 +148,8 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE_PER_LANGUAGE)
     return Model(languages, weights, priors)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (with a ``text``) plus ``lang_pred`` and ``score``. Existing columns of these names are replaced."""
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` and a struct ``__found`` of lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.priors))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -163,8 +163,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             scores.append(b)
         return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
 
-    quoted = [F.col(f"`{c}`") for c in kept_columns(docs, ("lang_pred", "score"))]
-    return docs.select(*quoted, score("text").alias("__found")).select(*quoted, "__found.lang_pred", "__found.score")
+    prepare(docs.sparkSession)
+    return docs.withColumn("__found", score("text"))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (with a ``text``) plus ``lang_pred`` and ``score``. Existing columns of these names are replaced."""
+    kept = [F.col(f"`{c}`") for c in kept_columns(docs, ("lang_pred", "score"))]
+    return _scored(docs, model).select(*kept, "__found.lang_pred", "__found.score")
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -180,6 +186,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents of a recognised language: learned as in the query, those without one are left out."""
-    found = predict(docs, train(docs, remainder() != 2))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(
+    found = _scored(docs, train(docs, remainder() != 2))
+    return found.where((F.col("__found.lang_pred") != "und") & (F.col("__found.score") >= min_score)).select(
         *[F.col(f"`{c}`") for c in docs.columns])
