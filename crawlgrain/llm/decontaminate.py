@@ -107,7 +107,7 @@ class Items:
         every = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
         item = np.repeat(np.arange(len(found)), sizes)
         place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         self.item, self.place = item[order], place[order]
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << _TABLE, dtype=bool)

@@ -99,18 +99,18 @@ def oracle(templates: dict[str, str] = TEMPLATES, least: int = LEAST) -> str:
     rows = ", ".join(f"({_quoted(name)}, {_quoted(gram)})" for name, text in templates.items() for gram in bigrams(text))
     return rf"""
 WITH templates(name, gram) AS (VALUES {rows}), m AS (SELECT name, count(*) AS m FROM templates GROUP BY name),
-n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS t FROM documents),
-c AS (SELECT doc_id, regexp_replace(t, ' ?\n ?', chr(10), 'g') AS t FROM n),
-s AS (SELECT doc_id, unnest(list_distinct(list_transform(list_concat(list_concat(string_split(t, chr(10)),
+n AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS t FROM documents),
+c AS (SELECT r, regexp_replace(t, ' ?\n ?', chr(10), 'g') AS t FROM n),
+s AS (SELECT r, unnest(list_distinct(list_transform(list_concat(list_concat(string_split(t, chr(10)),
              list_transform(regexp_split_to_array(t, '\n\n+'), lambda p: replace(p, chr(10), ' '))), [replace(t, chr(10), ' ')]),
              lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))))) AS s FROM c),
-w AS (SELECT doc_id, s, string_split(s, ' ') AS w FROM s),
-g AS (SELECT DISTINCT doc_id, s, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, s, w, unnest(range(1, len(w))) AS i FROM w)),
-k AS (SELECT doc_id, s, count(*) AS n FROM g GROUP BY doc_id, s),
-hits AS (SELECT g.doc_id, g.s, name, count(*) AS common FROM g JOIN templates USING (gram) GROUP BY ALL),
-f AS (SELECT doc_id, name, max(2.0 * common / (n + m)) AS dice FROM hits JOIN k USING (doc_id, s) JOIN m USING (name)
-      WHERE 200 * common >= {least} * (n + m) GROUP BY doc_id, name),
-best AS (SELECT doc_id, first(name ORDER BY dice DESC, name) AS license, round(max(dice), 6) AS dice,
-                string_agg(name, ',' ORDER BY name) AS licenses FROM f GROUP BY doc_id)
-SELECT d.doc_id, license, CAST(dice AS DOUBLE) AS dice, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN best USING (doc_id)
+w AS (SELECT r, s, string_split(s, ' ') AS w FROM s),
+g AS (SELECT DISTINCT r, s, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, s, w, unnest(range(1, len(w))) AS i FROM w)),
+k AS (SELECT r, s, count(*) AS n FROM g GROUP BY r, s),
+hits AS (SELECT g.r, g.s, name, count(*) AS common FROM g JOIN templates USING (gram) GROUP BY ALL),
+f AS (SELECT r, name, max(2.0 * common / (n + m)) AS dice FROM hits JOIN k USING (r, s) JOIN m USING (name)
+      WHERE 200 * common >= {least} * (n + m) GROUP BY r, name),
+best AS (SELECT r, first(name ORDER BY dice DESC, name) AS license, round(max(dice), 6) AS dice,
+                string_agg(name, ',' ORDER BY name) AS licenses FROM f GROUP BY r)
+SELECT doc_id, license, CAST(dice AS DOUBLE) AS dice, coalesce(licenses, '') AS licenses FROM n LEFT JOIN best USING (r)
 """

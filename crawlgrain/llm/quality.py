@@ -84,7 +84,7 @@ class Document:
         if size >= 1 << 21:  # three numbers no longer fit in 63 bits
             pairs = np.unique(pairs, return_inverse=True)[1]
         windows = pairs[:-1] * size + ids[2:]
-        order = np.argsort(windows, kind="stable")
+        order = np.argsort(windows)
         same = windows[order[1:]] == windows[order[:-1]]
         again = np.zeros(n - 2, dtype=bool)
         again[order[1:][same]] = True
@@ -174,19 +174,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS ws,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS ls FROM d),
-windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win
-            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
-repeats AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
+windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win
+            FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+repeats AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY r),
 f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(t, '[ \x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
              len(ls) AS n_lines, length(regexp_replace(t, '\PL', '', 'g')) AS letters
-      FROM w LEFT JOIN repeats USING (doc_id))
+      FROM w LEFT JOIN repeats USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 4 * n_lines
