@@ -36,16 +36,16 @@ from crawlgrain.llm.common import Scratch, map_arrow, read_table, text_slices
 MAGIC = b"TIDS1\n"
 BLOCK = 4096
 #: Ids of one file at most, plus those of its last document.
-FILE_IDS = 6_000_000
+FILE_IDS = 8_000_000
 END_ID = 0
 #: Blocks coded in step.
-LANES = 1024
+LANES = 2048
 _ONE_BITS, _TWO_BITS = 11, 12
 _CONFIDENCES = 8
 _TOTAL = 1 << 16
 _WORD = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
-WORDS_KEPT = 400_000
+WORDS_KEPT = 700_000
 
 
 # -- texts to ids --------------------------------------------------------------------------------
@@ -85,7 +85,13 @@ class Encoder:
         return parts
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        """Ids of each piece: given as ready cut, all are one encoding that says which piece an id is of."""
+        if not pieces:
+            return []
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(found.word_ids), np.arange(len(pieces)), side="right").tolist()
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit integers."""
