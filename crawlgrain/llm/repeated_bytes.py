@@ -36,12 +36,12 @@ LENGTH, GRAM = 50, 16
 _WINDOW = LENGTH - GRAM + 1
 CHUNK_BYTES = 1 << 20
 #: Bytes of input for each hash bucket and for each shard.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
 #: Chunks whose pieces of one anchor may meet in one shard; anchors found in more are split.
 CHUNKS_A_SPLIT = 4096
 _PARTS = 16
 _PLACE = np.uint64((1 << 21) - 1)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -115,7 +115,7 @@ def _count_anchors(bits: int):
                 key, docs = np.unique(key[new], return_counts=True)
                 bucket = (key >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                parts = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True)]
+                parts = [slice(a, b) for a, b in zip(cuts, np.append(cuts, len(key))[1:], strict=True)]
                 rest = key.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[cuts], pa.int64()), pa.array([row["chunk"]] * len(cuts), pa.int64()),
@@ -191,7 +191,7 @@ def _pieces(row, ends, copies, wanted, many, bits, shards, splits) -> list[tuple
     keep = free[doc]
     use, doc = use[keep], doc[keep]
     # The smallest id first: it stands for all equal pieces of the chunk.
-    order = np.argsort(number[doc], kind="stable")
+    order = np.argsort(number[doc])
     use, doc = use[order], doc[order]
     begin = np.concatenate(([0], ends[:-1]))
     shard = (mix64(key[use]) % np.uint64(shards)).astype(np.int64)
@@ -233,7 +233,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     padded = np.concatenate((t, np.zeros(8, np.uint8)))
     key = as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.ones(n + 1, dtype=bool)
     new[1:n] = key[sa[1:]] != key[sa[:-1]]
     rank = np.zeros(n + 1, dtype=np.int64)  # 0: past the end, before all others
@@ -249,7 +249,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             return sa
         own = sa[tied]
         pair = rank[own] * (n + 2) + rank[np.minimum(own + step, n)]
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         own, pair = own[order], pair[order]
         sa[tied] = own
         fresh = np.ones(len(pair), dtype=bool)
@@ -266,7 +266,7 @@ def _doubling(t: np.ndarray) -> np.ndarray:
     step = 1
     while True:
         pair = rank[:n] * (n + 258) + rank[np.minimum(np.arange(n) + step, n)]
-        sa = np.argsort(pair, kind="stable")
+        sa = np.argsort(pair)
         fresh = np.ones(n, dtype=np.int64)
         fresh[1:] = pair[sa[1:]] != pair[sa[:-1]]
         if fresh.all():
