@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from crawlgrain.session import shared_folder
 
 # Bytes of one Arrow batch sent to Python, and of the texts worked on at once.
-BATCH_BYTES = 8 << 20
-SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

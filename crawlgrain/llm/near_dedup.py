@@ -53,7 +53,7 @@ _WORDS = _WordHash()
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     out = []
     for raw in texts:

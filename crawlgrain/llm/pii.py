@@ -127,7 +127,7 @@ class TermTable:
         if known is None:
             at = zlib.crc32(term.encode("utf-8", "surrogatepass")) % TABLE_BITS
             known = bool(self.bits[at >> 3] >> (at & 7) & 1)
-            if len(self.seen) > 300_000:
+            if len(self.seen) > 150_000:
                 self.seen.clear()
             self.seen[term] = known
         return known
