@@ -48,6 +48,8 @@ NODE_FIELDS = [
     ("t1", pa.int32()),
     ("only_seg", pa.int32()),
     ("only_hidden", pa.int32()),
+    ("text_len", pa.int32()),
+    ("in_pager", pa.bool_()),
 ]
 NODE_TYPE = pa.struct(NODE_FIELDS)
 HIDDEN_TYPE = pa.struct([("node_id", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
@@ -55,11 +57,15 @@ HIDDEN_TYPE = pa.struct([("node_id", pa.int32()), ("kind", pa.string()), ("text"
 DOM_SCHEMA = (
     "page_id long, url string, html_len int, nodes array<struct<node_id:int, parent_id:int, depth:int, tag:string, "
     "elem_idx:int, tag_idx:int, tag_total:int, n_children:int, subtree_end:int, attrs:map<string,string>, "
-    "id:string, classes:array<string>, t0:int, t1:int, only_seg:int, only_hidden:int>>, segs array<string>, "
+    "id:string, classes:array<string>, t0:int, t1:int, only_seg:int, only_hidden:int, text_len:int, in_pager:boolean>>, "
+    "segs array<string>, "
     "hidden array<struct<node_id:int, kind:string, text:string>>, warning string"
 )
 
 ROWS_PER_OUTPUT_BATCH = 64
+# A page's row is some times its html: this bounds what one output batch holds.
+BYTES_PER_OUTPUT_BATCH = 4 << 20
+PARTS = ("nodes", "segs", "hidden")
 
 
 class DomBuilder(HTMLParser):
@@ -237,14 +243,38 @@ class DomBuilder(HTMLParser):
             self.end, [a.items() if a else () for a in self.attrs],
             [a.get("id") if a else None for a in self.attrs],
             [a["class"].split() if a and "class" in a else () for a in self.attrs],
-            self.t0, self.t1, lone["seg"], lone["hidden"],
+            self.t0, self.t1, lone["seg"], lone["hidden"], self._text_lengths(), self._in_pagers(),
         ]
 
+    def _text_lengths(self):
+        """Characters of each element's text, from running sums over the strings."""
+        shown = list(accumulate(map(len, self.segs), initial=0))
+        out = [shown[b] - shown[a] for a, b in zip(self.t0, self.t1)]
+        # Script, style and template show their own hidden strings instead; such elements seldom nest.
+        for node, tag in enumerate(self.tag):
+            if tag in HIDDEN_TEXT_TAGS:
+                out[node] = 0
+        for owner, kind, text in self.hidden:
+            while owner >= 0:
+                if self.tag[owner] == kind:
+                    out[owner] += len(text)
+                owner = self.parent[owner] if kind == "template" else -1
+        return out
+
+    def _in_pagers(self):
+        """Whether an element lies inside one whose class names contain 'pag': the furthest end of those seen so far."""
+        out, furthest = [], -1
+        for node, attrs in enumerate(self.attrs):
+            out.append(node <= furthest)
+            if attrs and "pag" in attrs.get("class", ""):
+                furthest = max(furthest, self.end[node])
+        return out
+
 
 NO_NODES = [()] * len(NODE_FIELDS)
 
 
-def parse_html(html):
+def parse_html(html, with_nodes=True):
     """(node columns, segs, hidden, warning); a document that fails gives no nodes and a warning."""
     if html is None:
         return NO_NODES, [], [], "no html"
@@ -254,7 +284,7 @@ def parse_html(html):
         dom.finish()
     except Exception as exc:  # one bad page must not fail the job
         return NO_NODES, [], [], f"{type(exc).__name__}: {exc}"
-    return dom.node_columns(), dom.segs, dom.hidden, None
+    return dom.node_columns() if with_nodes else NO_NODES, dom.segs, dom.hidden, None
 
 
 def _offsets(rows):
@@ -277,8 +307,11 @@ def _struct_lists(offsets, columns, struct_type):
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, fields=fields))
 
 
-def _dom_batch(page_ids, urls, htmls):
-    parsed = [parse_html(html) for html in htmls]
+def _dom_batch(page_ids, urls, htmls, parts=PARTS):
+    parsed = [parse_html(html, "nodes" in parts) for html in htmls]
+    empty = lambda name, rows: rows if name in parts else [[]] * len(rows)
+    parsed = [(p[0], s, h, p[3]) for p, s, h in zip(
+        parsed, empty("segs", [p[1] for p in parsed]), empty("hidden", [p[2] for p in parsed]))]
     node_columns = [chain.from_iterable(page) for page in zip(*(p[0] for p in parsed))]
     hidden = list(chain.from_iterable(p[2] for p in parsed))
     return pa.RecordBatch.from_arrays(
@@ -295,9 +328,19 @@ def _dom_batch(page_ids, urls, htmls):
     )
 
 
-def parse_batches(batches):
-    """``mapInArrow`` function: small output batches, since a page may be far larger than its row suggests."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_PER_OUTPUT_BATCH):
-            part = batch.slice(start, ROWS_PER_OUTPUT_BATCH)
-            yield _dom_batch(*(column.to_pylist() for column in part.columns))
+def parser(parts=PARTS):
+    """``mapInArrow`` function that fills the given parts of a DOM row and leaves the others empty. Output batches are
+    small in rows and in html, since a page may be far larger than its row suggests."""
+    def parse_batches(batches):
+        for batch in batches:
+            sizes = [len(html or "") for html in batch.column("html").to_pylist()]
+            start = held = 0
+            for row, size in enumerate(sizes):
+                if row > start and (row - start == ROWS_PER_OUTPUT_BATCH or held + size > BYTES_PER_OUTPUT_BATCH):
+                    yield _dom_batch(*(c.to_pylist() for c in batch.slice(start, row - start).columns), parts)
+                    start, held = row, 0
+                held += size
+            if start < len(sizes):
+                yield _dom_batch(*(c.to_pylist() for c in batch.slice(start).columns), parts)
+
+    return parse_batches

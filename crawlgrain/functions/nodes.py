@@ -79,10 +79,5 @@ def only_string(n: str) -> str:
     return f"coalesce(get(segs, {n}.only_seg), get(hidden, {n}.only_hidden).text)"
 
 
-def inside(n: str, ancestors: str) -> str:
-    """The element lies strictly inside one of ``ancestors`` (interval test on document order)."""
-    return f"exists({ancestors}, a -> a.node_id < {n}.node_id AND {n}.node_id <= a.subtree_end)"
-
-
 def is_clickable(n: str) -> str:
     return any_of(f"{n}.tag = 'button'", matches(n, attr_eq={"role": "button"}), f"array_contains({n}.classes, 'btn')")

@@ -1,8 +1,9 @@
-"""Analysis cache: a Parquet table of dated entries per url key, with a lifetime."""
+"""Analysis cache: a Parquet table of dated entries per url key, with a lifetime. Entries may carry the stored analysis
+as JSON in a column ``analysis``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crawlgrain import fixed_values as V
 
@@ -17,12 +18,10 @@ def age(now: float) -> Column:
 
 
 def latest_per_key(cache: DataFrame) -> DataFrame:
-    """Newest entry of each key, the higher version on equal times. Combines in the map tasks, so a key with very
-    many versions sends one row per task."""
-    rows = F.struct(*[F.col(c) for c in cache.columns if c != "cache_key"])
-    newest = F.struct(F.coalesce("cache_time", F.lit(0.0)).alias("t"), F.col("version").alias("v"))
-    best = cache.groupBy("cache_key").agg(F.max_by(rows, newest).alias("row"))
-    return best.select("cache_key", "row.*").select(*cache.columns)
+    """Newest entry of each key, the higher version on equal times. The rank is cut below the shuffle as well, so a key
+    with very many versions sends one row per task."""
+    newest = Window.partitionBy("cache_key").orderBy(F.desc(F.coalesce("cache_time", F.lit(0.0))), F.desc("version"))
+    return cache.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select(*cache.columns)
 
 
 def fresh_cache(cache: DataFrame, now: float, ttl: int = V.CACHE_SECONDS) -> DataFrame:
@@ -45,6 +44,16 @@ def write_cache(cache: DataFrame, path: str, buckets: int = 256, files_per_bucke
     cache.withColumn("bucket", bucket).repartition("bucket", part).write.partitionBy("bucket").parquet(path)
 
 
+def read_cache(spark: SparkSession, path: str, keys: DataFrame | None = None, buckets: int = 256) -> DataFrame:
+    """The cache written by ``write_cache``; with a table of ``cache_key``, only the folders its keys fall into, at most
+    ``buckets`` numbers on the driver."""
+    cache = spark.read.parquet(path)
+    if keys is not None:
+        bucket = F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).cast("int")
+        cache = cache.where(F.col("bucket").isin([r[0] for r in keys.select(bucket).distinct().collect()]))
+    return cache.drop("bucket")
+
+
 def clear_cache(cache: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     """The cache without the given urls, or empty when none are given."""
     if urls is None:

@@ -14,7 +14,7 @@ def site_host(url: Column) -> Column:
 def with_robots(pages: DataFrame, robots: DataFrame) -> DataFrame:
     """Robots text of each page's host. Only (page_id, url) is moved; ``robots`` has one row per host and grows
     with the crawl, so the join strategy and the splitting of popular hosts are left to adaptive execution."""
-    answers = robots.select(F.col("host").alias("robots_host"), "status", "body", "error")
+    answers = robots.select(F.col("host").alias("robots_host"), "status", "body", "error").dropDuplicates(["robots_host"])
     joined = pages.select("page_id", "url").join(answers, site_host(F.col("url")) == F.col("robots_host"), "left")
     failed = F.col("error").isNotNull()
     return joined.select(
@@ -42,24 +42,30 @@ def security_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
     return pages.select("page_id").join(header_table(headers), "page_id", "left")
 
 
-def load_metrics(resources: DataFrame, navigation: DataFrame) -> DataFrame:
-    """Load time and resource counts of every page that has a navigation entry."""
-    counts = resources.groupBy("page_id").agg(
+def load_metrics(resources: DataFrame | None, navigation: DataFrame | None) -> DataFrame:
+    """Load times and resource counts of every page that has a navigation entry or resources."""
+    counts = None if resources is None else resources.groupBy("page_id").agg(
         F.count("*").alias("resource_count"),
         F.count_if(F.col("initiator_type") == "xmlhttprequest").alias("ajax_count"))
-    return navigation.join(counts, "page_id", "left").select(
+    times = None if navigation is None else navigation.select(
         "page_id",
         F.coalesce("nav_load_end", F.col("timing_load_end") - F.col("navigation_start")).alias("load_time"),
-        F.coalesce("resource_count", F.lit(0)).alias("resource_count"),
-        F.coalesce("ajax_count", F.lit(0)).alias("ajax_count"),
-    )
-
-
-def page_performance(resources: DataFrame, navigation: DataFrame, pages: DataFrame) -> DataFrame:
+        F.coalesce("nav_dom_end", F.col("timing_dom_end") - F.col("navigation_start")).alias("dom_content_loaded"))
+    if times is None:
+        both = counts.withColumns({"load_time": F.lit(0.0), "dom_content_loaded": F.lit(0.0)})
+    elif counts is None:
+        both = times.withColumns({c: F.lit(0).cast("long") for c in ("resource_count", "ajax_count")})
+    else:
+        both = times.join(counts, "page_id", "full")
+    return both.select("page_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("load_time", "dom_content_loaded")],
+                       *[F.coalesce(c, F.lit(0)).alias(c) for c in ("resource_count", "ajax_count")])
+
+
+def page_performance(resources: DataFrame | None, navigation: DataFrame | None, pages: DataFrame) -> DataFrame:
     """Load metrics with the html size. Only the length of the html is moved."""
     sizes = pages.select("page_id", F.length("html").alias("dom_size"))
     return load_metrics(resources, navigation).join(sizes, "page_id").select(
-        "page_id", "load_time", "dom_size", "resource_count", "ajax_count")
+        "page_id", "load_time", "dom_content_loaded", "dom_size", "resource_count", "ajax_count")
 
 
 def api_calls(resources: DataFrame, k: int = 10) -> DataFrame:

@@ -9,19 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from crawlgrain.functions import dom_kernel
 from crawlgrain.functions import nodes as N
-from crawlgrain.functions.sql import let, struct
+from crawlgrain.functions.sql import counted_runs, let, struct
 
 # The kernel travels with the task, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(dom_kernel)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> page_id, url, html_len, nodes, segs, hidden, warning. A failing page has no nodes."""
-    return pages.select("page_id", "url", "html").mapInArrow(dom_kernel.parse_batches, dom_kernel.DOM_SCHEMA)
+def parse_pages(pages: DataFrame, *parts: str) -> DataFrame:
+    """(page_id, url, html) -> page_id, url, html_len, nodes, segs, hidden, warning. A failing page has no nodes.
+
+    With ``parts`` named, only those of nodes, segs and hidden are filled: text features need no nodes."""
+    work = dom_kernel.parser(parts or dom_kernel.PARTS)
+    return pages.select("page_id", "url", "html").mapInArrow(work, dom_kernel.DOM_SCHEMA)
 
 
 def dom_nodes(dom: DataFrame) -> DataFrame:
@@ -29,6 +32,12 @@ def dom_nodes(dom: DataFrame) -> DataFrame:
     return dom.select("page_id", F.inline("nodes"))
 
 
+def tag_counts(dom: DataFrame) -> DataFrame:
+    """How often each tag occurs on a page, counted within its row."""
+    counts = f"transform({counted_runs('transform(nodes, n -> n.tag)')}, r -> {struct(tag='r.word', n='CAST(r.n AS LONG)')})"
+    return dom.selectExpr("page_id", f"inline({counts})")
+
+
 def page_text(dom: DataFrame) -> DataFrame:
     """Visible and hidden strings per page."""
     return dom.select("page_id", "segs", "hidden", "html_len", "warning")
@@ -59,10 +68,19 @@ def with_children(dom: DataFrame) -> DataFrame:
 
 
 def has_ancestor(dom: DataFrame, node: Callable[[str], str], ancestor: Callable[[str], str]) -> DataFrame:
-    """Interval semi-join inside the page: nodes passing ``node`` below a node passing ``ancestor``."""
-    hits = let("ancestors", f"filter(nodes, m -> {ancestor('m')})",
-               f"filter(nodes, n -> {node('n')} AND {N.inside('n', 'ancestors')})")
-    return dom.selectExpr("page_id", f"inline({hits})")
+    """Interval semi-join inside the page: nodes passing ``node`` below a node passing ``ancestor``.
+
+    A node lies below such an ancestor if the furthest end of those before it reaches it: one running maximum over the
+    two kinds of nodes in document order, however many there are of each."""
+    marked = f"transform(filter(nodes, n -> {node('n')} OR {ancestor('n')}), n -> {struct(n='n', hit=node('n'), reach=_reach(ancestor))})"
+    rows = dom.selectExpr("page_id", f"inline({marked})")
+    before = Window.partitionBy("page_id").orderBy("n.node_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("furthest", F.max("reach").over(before))
+    return found.where("hit AND furthest >= n.node_id").select("page_id", "n.*")
+
+
+def _reach(ancestor: Callable[[str], str]) -> str:
+    return f"CASE WHEN {ancestor('n')} THEN n.subtree_end END"
 
 
 def sibling_position(nodes: DataFrame) -> DataFrame:

@@ -68,11 +68,11 @@ def code_checks(code_rows: DataFrame) -> DataFrame:
 
 
 def imported_modules(code: Column) -> Column:
-    """Distinct top-level modules of ``import a.b, c as d`` and ``from a.b import c`` lines."""
+    """Distinct top-level modules of ``import a.b, c as d`` and ``from a.b import c`` lines; dots in front are skipped."""
     plain = F.flatten(F.transform(
         F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*import[ \t]+([\w., \t]+)"), F.lit(1)),
         lambda names: F.split(names, ",")))
-    froms = F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import"), F.lit(1))
+    froms = F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*from[ \t]+\.*(\w[\w.]*)[ \t]+import"), F.lit(1))
     tops = F.transform(F.concat(plain, froms), lambda m: F.regexp_extract(m, r"^\s*(\w+)", 1))
     return F.array_distinct(F.filter(tops, lambda m: m != ""))
 

@@ -1,15 +1,19 @@
-"""Language of a page: character n-gram profiles trained on labelled documents, applied as a naive Bayes sum."""
+"""Language of a page: character n-gram profiles trained on labelled documents, applied as a naive Bayes sum.
+
+A profile holds every n-gram of its language. Profiles are small: n-grams of up to three letters of the alphabets in use.
+A page is complete in one row, so its language is one more expression on that row: a Pandas UDF that adds up the weights of
+the sample's words, with no rows per n-gram and no shuffle of pages."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlgrain.functions.expr import let
-from crawlgrain.session import sized_broadcast
 
-PROFILE_SIZE = 300
 FLOOR = math.log(1e-7)
 
 
@@ -32,8 +36,8 @@ def grams_of(text: Column) -> Column:
         *[F.regexp_extract_all(words, F.lit(piece), F.lit(1)) for piece in PIECES])))
 
 
-def train_profiles(documents: DataFrame, k: int = PROFILE_SIZE) -> DataFrame:
-    """lang, gram, weight: the k most frequent n-grams per language with scaled log frequencies above a floor.
+def train_profiles(documents: DataFrame) -> DataFrame:
+    """lang, gram, weight: all n-grams of each language with scaled log frequencies above a floor.
 
     Words are counted first, so n-grams are cut from each distinct word once rather than from the whole corpus;
     every grouping combines inside the map tasks before its shuffle.
@@ -43,19 +47,50 @@ def train_profiles(documents: DataFrame, k: int = PROFILE_SIZE) -> DataFrame:
     grams = counted.select("lang", F.explode(grams_of(F.col("word"))).alias("gram"), "n").groupBy(
         "lang", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = grams.withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= k)
-    return top.join(totals, "lang").select(
-        "lang", "gram", F.round((F.log(F.col("n") / F.col("total")) - FLOOR) * 1000).cast("long").alias("weight"))
+    weight = F.round((F.log(F.col("n") / F.col("total")) - FLOOR) * 1000).cast("long")
+    return grams.join(totals, "lang").select("lang", "gram", F.greatest(weight, F.lit(1)).alias("weight"))
 
 
-def detect_language(samples: DataFrame, profiles: DataFrame) -> DataFrame:
-    """page_id, language for samples(page_id, sample); '' where no known n-gram occurs.
+def language_of(profiles: DataFrame) -> Callable[[Column], Column]:
+    """A column function: text -> language, '' where no known n-gram occurs. Ties go to the first language by name.
 
-    The gram rows of a page are made and summed within one task, so one row per page and language is shuffled.
+    The profiles, bounded by languages times the n-grams of their alphabets, are read here and sent to the tasks once.
     """
-    grams = samples.select("page_id", F.explode_outer(grams_of(F.col("sample"))).alias("gram"))
-    scores = grams.join(sized_broadcast(profiles), "gram", "left").groupBy("page_id", "lang").agg(
-        F.sum("weight").alias("score"))
-    rank = F.when(F.col("lang").isNotNull(), F.struct((-F.col("score")).alias("s"), "lang"))
-    return scores.groupBy("page_id").agg(F.coalesce(F.min_by("lang", rank), F.lit("")).alias("language"))
+    rows = profiles.collect()
+    languages = sorted({r.lang for r in rows})
+    at = {name: i for i, name in enumerate(languages)}
+    weights: dict[str, list[int]] = {}
+    for r in rows:
+        weights.setdefault(r.gram, [0] * len(languages))[at[r.lang]] = r.weight
+    shared = profiles.sparkSession.sparkContext.broadcast((languages, weights))
+
+    @F.pandas_udf("string")
+    def scored(samples: pd.Series) -> pd.Series:
+        languages, weights = shared.value
+        known: dict[str, list[int] | None] = {}
+
+        def of_word(word: str) -> list[int] | None:
+            padded, found = f" {word} ", []
+            for size in (1, 2, 3):
+                found += [weights[g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in weights]
+            return [sum(w) for w in zip(*found, strict=True)] if found else None
+
+        def of_sample(sample: str | None) -> str:
+            total = None
+            for word in (sample or "").split(" "):
+                if not word:
+                    continue
+                if word not in known:
+                    known[word] = of_word(word)
+                if known[word] is not None:
+                    total = known[word] if total is None else [a + b for a, b in zip(total, known[word], strict=True)]
+            return "" if total is None else languages[total.index(max(total))]
+
+        return samples.map(of_sample)
+
+    return lambda text: scored(F.array_join(words_of(text), " "))
+
+
+def detect_language(samples: DataFrame, profiles: DataFrame) -> DataFrame:
+    """page_id, language for samples(page_id, sample)."""
+    return samples.select("page_id", language_of(profiles)(F.col("sample")).alias("language"))

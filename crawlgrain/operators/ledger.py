@@ -85,19 +85,24 @@ def price_calls(calls: DataFrame) -> DataFrame:
     return usage.select("call_id", "request_id", "role", "model", "tokens_in", "tokens_out", cost.alias("cost"))
 
 
+def exact(cost: Column) -> Column:
+    return cost.cast("decimal(38,14)")
+
+
 def usage_totals(calls: DataFrame) -> DataFrame:
-    """Tokens and cost per request for both roles, and the request's total cost."""
+    """Tokens and cost per request for both roles, and the request's total cost. Costs are added as decimals: their sums
+    do not depend on the order in which partial sums meet."""
     def total(role, value, name):
         return or_zero(F.sum(F.when(F.col("role") == role, value))).alias(f"{role}_{name}")
 
     columns = []
     for role in ("helper", "coding"):
         columns += [total(role, F.col("tokens_in"), "input"), total(role, F.col("tokens_out"), "output"),
-                    total(role, F.col("tokens_in") + F.col("tokens_out"), "total"), total(role, F.col("cost"), "cost")]
+                    total(role, F.col("tokens_in") + F.col("tokens_out"), "total"), total(role, exact(F.col("cost")), "cost")]
     sums = price_calls(calls).groupBy("request_id").agg(*columns)
     money = ["helper_cost", "coding_cost"]
-    return sums.withColumn("total_cost", F.round(F.col(money[0]) + F.col(money[1]), COST_DECIMALS)).withColumns(
-        {m: F.round(m, COST_DECIMALS) for m in money})
+    return sums.withColumn("total_cost", F.round(F.col(money[0]) + F.col(money[1]), COST_DECIMALS).cast("double")).withColumns(
+        {m: F.round(m, COST_DECIMALS).cast("double") for m in money})
 
 
 def usage_report(totals: DataFrame) -> DataFrame:
@@ -142,10 +147,16 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
 
 
 def running_usage(calls: DataFrame, scope: str = "request") -> DataFrame:
-    """Cumulative tokens and cost after each call, per role: within its request, or over the whole log."""
-    keys = {"request": ["request_id", "role"], "log": ["role"]}[scope]
-    running = running_sums(price_calls(calls), keys, "call_id", ["tokens_in", "tokens_out", "cost"])
+    """Cumulative tokens and cost after each call, per role: within its request, or over the whole log.
+
+    The calls of a request are few, so one window sums them; the log goes through blocks."""
+    priced, values = price_calls(calls).withColumn("cost", exact(F.col("cost"))), ["tokens_in", "tokens_out", "cost"]
+    if scope == "request":
+        window = Window.partitionBy("request_id", "role").orderBy("call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = priced.withColumns({f"running_{v}": F.sum(v).over(window) for v in values})
+    else:
+        running = running_sums(priced, ["role"], "call_id", values)
     return running.select(
         "call_id", "request_id", "role", "running_tokens_in", "running_tokens_out",
         (F.col("running_tokens_in") + F.col("running_tokens_out")).alias("running_total"),
-        F.round("running_cost", COST_DECIMALS).alias("running_cost"))
+        F.round("running_cost", COST_DECIMALS).cast("double").alias("running_cost"))

@@ -204,8 +204,7 @@ def all_patterns(dom: DataFrame) -> DataFrame:
 
 
 def best_pattern(dom: DataFrame) -> DataFrame:
-    best = dom.selectExpr("page_id", f"{best_pattern_of(all_patterns_sql())} AS p")
-    return best.filter("p IS NOT NULL").select("page_id", "p.*")
+    return dom.selectExpr("page_id", f"inline(array_compact(array({best_pattern_of(all_patterns_sql())})))")
 
 
 def extraction_heuristics_sql() -> str:

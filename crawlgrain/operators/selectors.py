@@ -64,7 +64,7 @@ def selector_strategies(dom: DataFrame) -> DataFrame:
 def selector_suggestions_sql() -> str:
     """At most two sentences: ids of long elements, and main content containers, five of each."""
     pattern = lit(V.SUGGESTION_PATTERN)
-    long_ids = f"slice(transform(filter(nodes, n -> n.id IS NOT NULL AND length({N.text('n')}) > 100), n -> n.id), 1, 5)"
+    long_ids = f"slice(transform(filter(nodes, n -> n.id IS NOT NULL AND n.text_len > 100), n -> n.id), 1, 5)"
     names = (f"CASE WHEN {N.truth('rlike(' + non_empty('n.id') + ', ' + pattern + ')')} THEN array('#' || n.id) "
              f"ELSE transform(filter(n.classes, c -> rlike(c, {pattern})), c -> '.' || c) END")
     mains = f"slice(flatten(transform({N.select(tags=V.SUGGESTION_TAGS)}, n -> {names})), 1, 5)"
@@ -107,8 +107,8 @@ def interactive_elements_sql() -> str:
     button = any_of(N.is_clickable("n"), f"(n.tag = 'a' AND {N.matches('n', attr_eq={'href': '#'})})",
                     f"contains({class_attr('n')}, 'load')", f"contains({class_attr('n')}, 'more')")
     buttons = f"filter(nodes, n -> {button} AND rlike({N.text('n')}, {lit('(?i)' + V.LOADING_BUTTON_TEXT)}))"
-    link = any_of(f"(n.tag = 'a' AND {N.inside('n', 'pagers')})", N.truth(f"contains({N.attr('n', 'aria-label')}, 'page')"))
-    links = let("pagers", f"filter(nodes, n -> contains({class_attr('n')}, 'pag'))", f"filter(nodes, n -> {link})")
+    link = any_of("(n.tag = 'a' AND n.in_pager)", N.truth(f"contains({N.attr('n', 'aria-label')}, 'page')"))
+    links = f"filter(nodes, n -> {link})"
     selector = let("p", N.parent("n"), (
         f"coalesce('#' || {non_empty('n.id')}, '.' || get(filter(n.classes, c -> NOT array_contains(common, c)), 0), "
         f"'#' || {non_empty('p.id')} || ' > ' || n.tag || ':nth-child(' || n.elem_idx || ')', n.tag)"))

@@ -12,8 +12,7 @@ from crawlgrain.operators import selectors as S
 from crawlgrain.operators.cache import cache_key, fresh_cache
 from crawlgrain.operators.context import HEADER_COLUMNS, api_calls, header_table, load_metrics, with_robots
 from crawlgrain.operators.dom import parse_pages
-from crawlgrain.operators.language import detect_language
-from crawlgrain.session import materialize, sized_broadcast
+from crawlgrain.operators.language import language_of
 
 FAILED_PAGE = "Static analysis failed, using basic scraping approach"
 
@@ -89,16 +88,11 @@ def analyze_pages(
 ) -> DataFrame:
     """One analysis row per page. Optional tables fill the fields a page's HTML cannot give.
 
-    The features are one narrow pass; joins carry one row per page. With language profiles the features feed two
-    branches, so they are written once to the shared folder instead of parsing the pages twice.
+    The features are one narrow pass; joins carry one row per page.
     """
     features = page_features(parse_pages(pages))
-    if profiles is not None:
-        features = materialize(features, "page-features")
-        languages = detect_language(features.select("page_id", "sample"), profiles)
-        features = features.join(languages, "page_id", "left")
-    else:
-        features = features.withColumn("language", F.lit(""))
+    language = F.lit("") if profiles is None else language_of(profiles)(F.col("sample"))
+    features = features.withColumn("language", language)
     joined = _with_robots(features.drop("sample"), pages, robots)
     joined = _with_headers(joined, headers)
     joined = _with_snapshot(joined, rendered)
@@ -138,44 +132,66 @@ def _with_headers(df, headers):
 
 
 def _with_snapshot(df, rendered):
-    """Compare against the rendered page, keep the larger component counts."""
+    """Compare against the rendered page: it decides on dynamic content, raises component counts and gives the
+    interactive elements and the DOM size, which only a browser knows."""
     if rendered is None:
-        return df.withColumn("rendered_dynamic", F.lit(None).cast("boolean"))
-    seen = parse_pages(rendered).selectExpr("page_id", f"{P.snapshot_sql()} AS r")
+        return df.withColumns({"rendered_dynamic": F.lit(None).cast("boolean"), "rendered_len": F.lit(None).cast("int")})
+    seen = parse_pages(rendered).selectExpr(
+        "page_id", f"{P.snapshot_sql()} AS r", "html_len AS rendered_len", f"{S.interactive_elements_sql()} AS rendered_elements")
     larger = {name: f"greatest(components.{name}, r.{P.RENDERED_COUNTS[name]})" if name in P.RENDERED_COUNTS
               else f"components.{name}" for name in V.COMPONENTS}
     return df.join(seen, "page_id", "left").withColumns({
         "rendered_dynamic": F.expr(f"CASE WHEN r IS NOT NULL THEN {P.grown_by('snapshot', 'r')} IS NOT NULL END"),
-        "components": F.expr(struct(**larger))})
+        "components": F.expr(struct(**larger)),
+        "interactive_elements": F.coalesce("rendered_elements", "interactive_elements")})
 
 
 def _with_network(df, resources, navigation):
-    if resources is None or navigation is None:
-        return df.withColumns({
-            "apis": F.lit(None).cast("array<struct<url:string,method:string>>"),
-            "performance_metrics": F.lit(None).cast(
-                "struct<load_time:double,dom_size:int,resource_count:bigint,ajax_count:bigint>")})
-    calls = api_calls(resources).groupBy("page_id").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("rank", "url", "method"))),
-        lambda c: F.struct(c["url"].alias("url"), c["method"].alias("method"))).alias("apis"))
+    """API calls from the resource log, load metrics from either table. A table that is not given leaves its fields null."""
+    if resources is None:
+        df = df.withColumn("apis", F.lit(None).cast("array<struct<url:string,method:string>>"))
+    else:
+        calls = api_calls(resources).groupBy("page_id").agg(F.transform(
+            F.sort_array(F.collect_list(F.struct("rank", "url", "method"))),
+            lambda c: F.struct(c["url"].alias("url"), c["method"].alias("method"))).alias("apis"))
+        df = df.join(calls, "page_id", "left")
+    if resources is None and navigation is None:
+        return df.withColumn("performance_metrics", F.lit(None).cast(
+            "struct<load_time:double,dom_content_loaded:double,dom_size:int,resource_count:bigint,ajax_count:bigint>"))
     metrics = load_metrics(resources, navigation).select("page_id", F.struct("*").alias("m"))
-    metric = F.struct("m.load_time", F.col("html_len").alias("dom_size"), "m.resource_count", "m.ajax_count")
-    return df.join(calls, "page_id", "left").join(metrics, "page_id", "left").withColumn(
-        "performance_metrics", F.when(F.col("m").isNotNull(), metric))
+    metric = F.struct("m.load_time", "m.dom_content_loaded", F.coalesce("rendered_len", "html_len").alias("dom_size"),
+                      "m.resource_count", "m.ajax_count")
+    return df.join(metrics, "page_id", "left").withColumn("performance_metrics", F.when(F.col("m").isNotNull(), metric))
 
 
-def analyze_incremental(pages: DataFrame, cache: DataFrame, now: float, **context) -> tuple[DataFrame, DataFrame]:
-    """(hits, fresh analyses): only pages without a fresh cache entry are parsed.
+def analyze_incremental(pages: DataFrame, cache: DataFrame, now: float, **context) -> DataFrame:
+    """page_id, url, origin and analysis (JSON) of every page: the stored analysis where the cache has a fresh entry
+    (origin 'cache'), else a new one ('fresh'), so only pages without an entry are parsed.
 
-    ``cache`` is the key table; the hits come back as its newest entries, so the caller reads their stored analyses
-    and unions them with the new ones. Keys and page ids are matched without HTML. The ids of the misses are then
-    counted: a usual, small set is broadcast and the HTML is filtered in its scan; a large one is a shuffled semi-join.
+    ``cache`` may hold its analyses in a column ``analysis``; without one, hits carry null. The narrow side of both joins
+    is the live keys of the cache, and the strategy is left to adaptive execution: a page table and a cache bucketed by
+    key (``write_cache``) need no shuffle of html.
     """
-    keyed = pages.select("page_id", cache_key(F.col("url")).alias("cache_key"))
-    live = fresh_cache(cache, now)
-    hits = keyed.join(live, "cache_key").select("page_id", *live.columns)
-    misses = keyed.join(live.select("cache_key"), "cache_key", "left_anti").select("page_id")
-    return hits, analyze_pages(pages.join(sized_broadcast(misses), "page_id", "left_semi"), **context)
+    stored = F.col("analysis") if "analysis" in cache.columns else F.lit(None).cast("string")
+    live = fresh_cache(cache, now).select("cache_key", stored.alias("analysis"))
+    keyed = pages.withColumn("cache_key", cache_key(F.col("url")))
+    hits = keyed.select("page_id", "url", "cache_key").join(live, "cache_key").select(
+        "page_id", "url", F.lit("cache").alias("origin"), "analysis")
+    misses = keyed.join(live.select("cache_key"), "cache_key", "left_anti").drop("cache_key")
+    return hits.unionByName(as_stored(analyze_pages(misses, **context)).withColumn("origin", F.lit("fresh")))
+
+
+def as_stored(analysis: DataFrame) -> DataFrame:
+    """page_id, url and the whole analysis row as one JSON text, the form the cache keeps."""
+    return analysis.select("page_id", "url", F.to_json(F.struct("*")).alias("analysis"))
+
+
+def cache_entries(stored: DataFrame, now: float) -> DataFrame:
+    """Cache rows for analyses in stored form; the page id serves as the version."""
+    return stored.select(
+        cache_key(F.col("url")).alias("cache_key"), "url", F.lit(now).alias("cache_time"),
+        F.length("analysis").cast("long").alias("size_bytes"), F.lit(True).alias("readable"),
+        F.col("page_id").alias("version"), "analysis")
 
 
 # -- brief ---------------------------------------------------------------------------------------
@@ -190,6 +206,12 @@ def _counts(struct: str, names: list[str]) -> Column:
         F.lit(f"{n} ("), F.col(f"{struct}.{n}").cast("string"), F.lit(")"))) for n in names])
 
 
+def plain_number(value: Column) -> Column:
+    """Whole numbers without a fraction, others with up to three places."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(
+        F.call_function("format_number", value, F.lit("0.###")))
+
+
 def page_brief(analysis: DataFrame) -> DataFrame:
     """A readable summary per page; sections without content are left out."""
     patterns = F.transform(F.slice(F.expr(P.by_count("content_patterns")), 1, 3), lambda r: F.concat(
@@ -233,7 +255,7 @@ def page_brief(analysis: DataFrame) -> DataFrame:
             F.array_join(F.slice(attributes, 1, 5), ", "), F.when(F.size(attributes) > 5, "...").otherwise("")))),
         F.when(F.size("apis") > 0, line("APIs detected", F.size("apis").cast("string"))),
         F.when(F.col("performance_metrics").isNotNull(), line("Load time", F.concat(
-            F.coalesce(F.col("performance_metrics.load_time"), F.lit(0.0)).cast("long").cast("string"), F.lit("ms")))),
+            plain_number(F.coalesce(F.col("performance_metrics.load_time"), F.lit(0.0))), F.lit("ms")))),
         joined("Top keywords", keywords),
         joined("Security headers", present),
         line("Recommended selectors for extraction", _listed(roles)),

@@ -389,14 +389,15 @@ HEADERS = "SELECT p.page_id, " + ", ".join(
     for h in V.SECURITY_HEADERS) + " FROM pages p LEFT JOIN response_headers h ON h.page_id = p.page_id GROUP BY p.page_id"
 API_CALLS = """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY seq) AS INT) AS rank, url, method
   FROM resource_log WHERE resource_type IN ('xhr', 'fetch') QUALIFY rank <= 10"""
-PERFORMANCE = """SELECT n.page_id, coalesce(nav_load_end, timing_load_end - navigation_start) AS load_time,
+PERFORMANCE = """SELECT p.page_id, coalesce(nav_load_end, timing_load_end - navigation_start, 0) AS load_time,
+  coalesce(nav_dom_end, timing_dom_end - navigation_start, 0) AS dom_content_loaded,
   CAST(length(html) AS INT) AS dom_size, coalesce(r.n, 0) AS resource_count, coalesce(r.x, 0) AS ajax_count
-  FROM navigation n JOIN pages p ON p.page_id = n.page_id LEFT JOIN (SELECT page_id, count(*) AS n,
+  FROM pages p LEFT JOIN navigation n ON n.page_id = p.page_id LEFT JOIN (SELECT page_id, count(*) AS n,
   count(*) FILTER (WHERE initiator_type = 'xmlhttprequest') AS x FROM resource_log GROUP BY page_id) r
-  ON r.page_id = n.page_id"""
+  ON r.page_id = p.page_id WHERE n.page_id IS NOT NULL OR r.page_id IS NOT NULL"""
 AGE = f"({NOW} - coalesce(cache_time, 0))"
 EXPIRED = f"(NOT readable OR {AGE} >= 86400)"
-CACHE = "cache_key, url, cache_time, size_bytes, readable, version"
+CACHE = "cache_key, url, cache_time, size_bytes, readable, version, analysis"
 NEWEST = "row_number() OVER (PARTITION BY cache_key ORDER BY coalesce(cache_time, 0) DESC, version DESC) = 1"
 
 REJECT = """CASE WHEN url IS NULL THEN 'missing url' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN
@@ -404,6 +405,12 @@ REJECT = """CASE WHEN url IS NULL THEN 'missing url' WHEN NOT regexp_matches(url
   WHEN expected_data IS NULL THEN 'missing expected_data' WHEN llm_model IS NULL THEN 'missing llm_model' END"""
 
 
+# Fields read back from a stored analysis.
+STORED_FIELDS = f"""SELECT p.page_id, {RATIO} AS text_ratio, navigation, CAST(coalesce(k.n, 0) AS INT) AS n_patterns
+  FROM page_strings p JOIN (SELECT page_id, {count_if(COMPONENT_TESTS["navigation"])} AS navigation FROM nodes GROUP BY page_id) c
+  USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM patterns GROUP BY page_id) k USING (page_id)"""
+
+
 def source_queries() -> dict[str, str]:
     return {
         "page_scan": "SELECT page_id, url, CAST(length(html) AS INT) AS html_len FROM pages",
@@ -418,7 +425,6 @@ def source_queries() -> dict[str, str]:
             UNION ALL SELECT * FROM analysis_cache_new) QUALIFY {NEWEST}""",
         "cache_clear_urls": over("analysis_cache", "analysis_cache_new") + f"""SELECT {CACHE} FROM analysis_cache c
             WHERE NOT EXISTS (SELECT 1 FROM analysis_cache_new n WHERE n.url = c.url)""",
-        "cache_clear_all": over("analysis_cache") + f"SELECT {CACHE} FROM analysis_cache WHERE FALSE",
         "cache_expire_kept": over("analysis_cache") + f"SELECT {CACHE} FROM analysis_cache WHERE NOT {EXPIRED}",
         "cache_expire_count": over("analysis_cache") + f"""SELECT count(*) FILTER (WHERE {EXPIRED}) AS removed
             FROM analysis_cache""",
@@ -434,14 +440,15 @@ def source_queries() -> dict[str, str]:
         "snapshot_diff": snapshot_sql(f"""{GROWN} IS NOT NULL AS is_dynamic, {GROWN} AS grown_by, {LARGER},
             r.forms > s.forms * 1.5 OR r.tables > s.tables * 1.5 OR r.iframes > s.iframes * 1.5
             OR r.clickables > s.buttons * 1.5 AS grew_50pct"""),
-        "incremental_analysis": over("analysis_cache") + f""", live AS (SELECT * FROM (SELECT * FROM analysis_cache
-            QUALIFY {NEWEST}) WHERE readable AND {AGE} < 86400)
-            SELECT page_id, CASE WHEN l.cache_key IS NULL THEN 'fresh' ELSE 'cache' END AS origin, size_bytes
-            FROM pages p LEFT JOIN live l ON l.cache_key = md5(p.url)""",
-        "stream_page_analysis": tree("pages") + "," + PATTERNS + f""" SELECT p.page_id, {RATIO} AS text_ratio,
-            navigation, CAST(coalesce(k.n, 0) AS INT) AS n_patterns FROM page_strings p
-            JOIN (SELECT page_id, {count_if(COMPONENT_TESTS["navigation"])} AS navigation FROM nodes GROUP BY page_id) c
-            USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM patterns GROUP BY page_id) k USING (page_id)""",
+        "incremental_analysis": tree("pages") + "," + PATTERNS + ", " + fixture_ctes("analysis_cache") + f""",
+            live AS (SELECT * FROM (SELECT * FROM analysis_cache QUALIFY {NEWEST}) WHERE readable AND {AGE} < 86400),
+            a AS ({STORED_FIELDS})
+            SELECT page_id, CASE WHEN l.cache_key IS NULL THEN 'fresh' ELSE 'cache' END AS origin, analysis AS stored,
+              CASE WHEN l.cache_key IS NULL THEN text_ratio END AS text_ratio,
+              CASE WHEN l.cache_key IS NULL THEN navigation END AS navigation,
+              CASE WHEN l.cache_key IS NULL THEN n_patterns END AS n_patterns
+            FROM a JOIN pages p USING (page_id) LEFT JOIN live l ON l.cache_key = md5(p.url)""",
+        "stream_page_analysis": tree("pages") + "," + PATTERNS + " " + STORED_FIELDS,
     }
 
 
@@ -540,7 +547,8 @@ sections AS (
     FILTER (WHERE nth <= 5) || CASE WHEN count(*) > 5 THEN '...' ELSE '' END FROM (SELECT *, row_number() OVER (
     PARTITION BY page_id ORDER BY attribute) AS nth FROM attribute_names) GROUP BY page_id
   UNION ALL SELECT page_id, 15, '- APIs detected: ' || count(*) FROM ({API_CALLS}) GROUP BY page_id
-  UNION ALL SELECT page_id, 16, '- Load time: ' || CAST(trunc(coalesce(load_time, 0)) AS BIGINT) || 'ms' FROM ({PERFORMANCE})
+  UNION ALL SELECT page_id, 16, '- Load time: ' || CASE WHEN load_time = floor(load_time)
+    THEN CAST(CAST(load_time AS BIGINT) AS VARCHAR) ELSE CAST(round(load_time, 3) AS VARCHAR) END || 'ms' FROM ({PERFORMANCE})
   UNION ALL {row(17, 'Top keywords', 'keywords', 'rank', 5, "word || ' (' || n || ')'")}
   UNION ALL {row(18, 'Security headers', f'({headers})', 'pos', 3, 'name')}
   UNION ALL {bullets(19, 'Recommended selectors for extraction', f'({roles})', 'pos', 4, 'name')})"""
@@ -589,8 +597,8 @@ doc_words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_
   FROM documents) GROUP BY ALL),
 doc_grams AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, n, substr(' ' || word || ' ', i, size) AS gram
   FROM doc_words, range(1, 4) s(size), LATERAL range(1, length(word) + 4 - size) r(i)) GROUP BY ALL),
-profiles AS (SELECT lang, gram, CAST(round((ln(n / sum(n) OVER (PARTITION BY lang)) - ln(1e-7)) * 1000) AS BIGINT) AS weight
-  FROM doc_grams QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300),
+profiles AS (SELECT lang, gram, greatest(CAST(round((ln(n / sum(n) OVER (PARTITION BY lang)) - ln(1e-7)) * 1000) AS BIGINT), 1) AS weight
+  FROM doc_grams),
 page_words AS (SELECT page_id, unnest(regexp_extract_all(lower(left(body, 1000)), '\p{L}+')) AS word FROM page_strings),
 page_grams AS (SELECT page_id, substr(' ' || word || ' ', i, size) AS gram
   FROM page_words, range(1, 4) s(size), LATERAL range(1, length(word) + 4 - size) r(i)),
@@ -635,8 +643,8 @@ lines AS (SELECT doc_id, unnest(string_split(code, chr(10))) AS line FROM code_r
 imports AS (SELECT DISTINCT doc_id, module FROM (
   SELECT doc_id, regexp_extract(unnest(string_split(regexp_extract(line, '^\s*import\s+(.*)$', 1), ',')), '^\s*(\w+)', 1) AS module
     FROM lines WHERE regexp_matches(line, '^\s*import\s')
-  UNION ALL SELECT doc_id, regexp_extract(line, '^\s*from\s+(\w+)', 1) FROM lines
-    WHERE regexp_matches(line, '^\s*from\s+[\w.]+\s+import')) WHERE module <> '')"""
+  UNION ALL SELECT doc_id, regexp_extract(line, '^\s*from\s+\.*(\w+)', 1) FROM lines
+    WHERE regexp_matches(line, '^\s*from\s+\.*\w[\w.]*\s+import')) WHERE module <> '')"""
 
 
 def job_queries() -> dict[str, str]:
@@ -817,7 +825,7 @@ def status_queries() -> dict[str, str]:
     cache_left = f"NOT (NOT readable OR {STATUS_NOW} - coalesce(cache_time, 0) >= 86400)"
     return {
         "stage_state": all_states,
-        "stream_stage_status": all_states,
+        "stream_stage_status": states + f" SELECT {STATE_COLUMNS} FROM states WHERE coalesce({ALIVE}, TRUE)",
         "stage_entries": states + " SELECT * FROM entries",
         "status_expiry": states + f" SELECT {STATE_COLUMNS} FROM states WHERE coalesce({ALIVE}, TRUE)",
         "latest_status": over("stage_events") + """SELECT l.doc_id AS request_id, max_by(stage, event_id) AS stage,

@@ -30,8 +30,8 @@ class Tables:
         read = tables.base_table if name in tables.BASE_TABLES else tables.derived_table
         return read(self.spark, self.folder, name)
 
-    def dom(self, name: str = "pages_plus") -> DataFrame:
-        return dom.parse_pages(tables.spread(getattr(self, name), "page_id"))
+    def dom(self, name: str = "pages_plus", *parts: str) -> DataFrame:
+        return dom.parse_pages(tables.spread(getattr(self, name), "page_id"), *parts)
 
 
 def query(fn):
@@ -84,11 +84,6 @@ def cache_clear_urls(t):
     return cache.clear_cache(t.analysis_cache, t.analysis_cache_new)
 
 
-@query
-def cache_clear_all(t):
-    return cache.clear_cache(t.analysis_cache)
-
-
 @query
 def cache_expire_kept(t):
     return cache.expire_cache(t.analysis_cache, NOW)[0]
@@ -124,13 +119,13 @@ def dom_nodes(t):
 
 @query
 def dom_tag_counts(t):
-    return dom.dom_nodes(t.dom("pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return dom.tag_counts(t.dom("pages", "nodes"))
 
 
 @query
 def page_text(t):
     text = joined("segs", "")
-    return dom.page_text(t.dom("pages")).select("page_id", F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
+    return dom.page_text(t.dom("pages", "segs", "hidden")).select("page_id", F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
 
 
 @query
@@ -196,12 +191,12 @@ def content_hierarchy(t):
 
 @query
 def text_ratio(t):
-    return P.text_ratio(t.dom("pages"))
+    return P.text_ratio(t.dom("pages", "segs"))
 
 
 @query
 def keyword_density(t):
-    return P.keyword_density(t.dom("pages"))
+    return P.keyword_density(t.dom("pages", "segs"))
 
 
 @query
@@ -307,7 +302,7 @@ def language_profiles(t):
 
 @query
 def page_language(t):
-    samples = t.dom("pages").selectExpr("page_id", f"{P.language_sample_sql()} AS sample")
+    samples = t.dom("pages", "segs").selectExpr("page_id", f"{P.language_sample_sql()} AS sample")
     return language.detect_language(samples, _profiles(t))
 
 
@@ -343,9 +338,15 @@ def page_brief(t):
 
 @query
 def incremental_analysis(t):
-    hits, fresh = analysis.analyze_incremental(tables.spread(t.pages, "page_id"), t.analysis_cache, NOW)
-    return hits.select("page_id", F.lit("cache").alias("origin"), "size_bytes").unionByName(
-        fresh.select("page_id", F.lit("fresh").alias("origin"), F.lit(None).cast("long").alias("size_bytes")))
+    rows = analysis.analyze_incremental(tables.spread(t.pages, "page_id"), t.analysis_cache, NOW)
+    return rows.select("page_id", "origin", F.when(F.col("origin") == "cache", F.col("analysis")).alias("stored"), *_stored_fields())
+
+
+def _stored_fields():
+    """Some fields of a stored analysis; the text itself holds the whole row."""
+    field = lambda path, kind: F.get_json_object("analysis", path).cast(kind)
+    return [field("$.text_ratio", "double").alias("text_ratio"), field("$.components.navigation", "int").alias("navigation"),
+            F.json_array_length(F.get_json_object("analysis", "$.content_patterns")).alias("n_patterns")]
 
 
 # -- extraction jobs -----------------------------------------------------------------------------
@@ -496,7 +497,7 @@ def stream_stage_status(t):
     work = new_folder(t.spark, "stage-stream")
     schema = t.events.select("event_id", "user_id", "event_type", "props").schema
     raw = stages.stage_event_stream(t.spark, t.folder, schema, "events.parquet")
-    run = _finish(stages.stream_stages(stages.as_stage_events(raw), f"{work}/state", f"{work}/checkpoint"))
+    run = _finish(stages.stream_stages(stages.as_stage_events(raw), f"{work}/state", f"{work}/checkpoint", lambda _: STATUS_NOW))
     return _rounded(stages.stored_status(t.spark, run, f"{work}/state"))
 
 
@@ -504,6 +505,5 @@ def stream_stage_status(t):
 def stream_page_analysis(t):
     work = new_folder(t.spark, "page-stream")
     source = page_streams.page_stream(t.spark, t.folder, "pages.parquet")
-    _finish(page_streams.stream_analyze(source, f"{work}/out", f"{work}/checkpoint", NOW))
-    return t.spark.read.parquet(f"{work}/out/analysis").select(
-        "page_id", "text_ratio", "components.navigation", F.size("content_patterns").alias("n_patterns"))
+    _finish(page_streams.stream_analyze(source, f"{work}/out", f"{work}/checkpoint", lambda: NOW, context=lambda: _context(t)))
+    return t.spark.read.parquet(f"{work}/out/analysis").select("page_id", *_stored_fields())

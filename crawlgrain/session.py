@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. Partition counts and memory stay with the cluster.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # That rule copies an exploded expression into a filter below, so the whole feature would be computed twice a page.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     # A page row may hold megabytes, so few rows per Arrow batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
@@ -40,19 +42,3 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet and read it back: later uses prune columns and survive lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Broadcast a narrow ``df`` only after counting that it is small; beyond that the join shuffles on its key."""
-    kept = df.persist()
-    if kept.limit(rows + 1).count() <= rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df

@@ -47,13 +47,14 @@ UNION ALL SELECT page_id, 'STRICT-TRANSPORT-SECURITY', 'max-age=1' FROM pages WH
 ANALYSIS_CACHE = """
 SELECT md5(url) AS cache_key, url,
   CASE WHEN page_id % 13 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(1000000 - (page_id % 50) * 3600 AS DOUBLE) END AS cache_time,
-  CAST(length(html) AS BIGINT) AS size_bytes, page_id % 11 <> 0 AS readable, CAST(page_id AS BIGINT) AS version
+  CAST(length(html) AS BIGINT) AS size_bytes, page_id % 11 <> 0 AS readable, CAST(page_id AS BIGINT) AS version,
+  '{"stored":' || page_id || '}' AS analysis
 FROM pages WHERE page_id % 3 < 2
 """
 
 ANALYSIS_CACHE_NEW = """
 SELECT md5(url) AS cache_key, url, CAST(1000000 AS DOUBLE) AS cache_time, CAST(length(html) + 1 AS BIGINT) AS size_bytes,
-  TRUE AS readable, CAST(page_id + 100000 AS BIGINT) AS version
+  TRUE AS readable, CAST(page_id + 100000 AS BIGINT) AS version, '{"stored":"anew"}' AS analysis
 FROM pages WHERE page_id % 4 = 0
 """
 
@@ -111,9 +112,11 @@ FROM events
 """
 
 NAVIGATION = """
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE CAST(page_id * 10 AS DOUBLE) END AS nav_load_end,
-  CAST(page_id + 900 AS DOUBLE) AS timing_load_end, CAST(page_id AS DOUBLE) AS navigation_start
-FROM pages
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE CAST(page_id * 10 AS DOUBLE) + (page_id % 2) / 2 END AS nav_load_end,
+  CASE WHEN page_id % 3 = 0 THEN NULL ELSE CAST(page_id * 9 AS DOUBLE) END AS nav_dom_end,
+  CAST(page_id + 900 AS DOUBLE) AS timing_load_end, CAST(page_id + 800 AS DOUBLE) AS timing_dom_end,
+  CAST(page_id AS DOUBLE) AS navigation_start
+FROM pages WHERE page_id % 7 <> 6
 """
 
 CODE_ROWS = """
@@ -122,7 +125,8 @@ SELECT doc_id, CASE doc_id % 6
   WHEN 1 THEN 'from selenium import webdriver' || chr(10) || 'def f():' || chr(10) || '    pass'
   WHEN 2 THEN 'import playwright.sync_api as p' || chr(10) || 'class A:' || chr(10) || '    pass'
   WHEN 3 THEN 'import scrapy' || chr(10) || 'import torch'
-  WHEN 4 THEN 'import os.path' || chr(10) || 'y = requests.get(1)' ELSE 'plain words only' END AS code
+  WHEN 4 THEN 'import os.path' || chr(10) || 'from .parts.items import z' || chr(10) || 'y = requests.get(1)'
+  ELSE 'plain words only' END || chr(10) || coalesce(text, '') AS code
 FROM documents
 """
 

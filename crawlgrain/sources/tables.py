@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crawlgrain.sources.fixtures import FIXTURES
 
 BASE_TABLES = ["pages", "documents", "conversations", "events", "labels"]
+SPREAD = "crawlgrain.spread"
 PAGES_SCHEMA = "page_id long, url string, html string"
 
 
@@ -22,12 +23,12 @@ def load_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a plain scan that has fewer splits than the cluster has cores; otherwise leave it unshuffled.
+    """Hash-spread a scan over ``crawlgrain.spread`` partitions, if that setting is given; else leave it unshuffled.
 
-    Raw HTML is the widest data here, so it is moved only when the input is a handful of files.
+    Raw HTML is the widest data here, so it is moved only where the caller says that the input is a handful of files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(parts, key) if parts else df
 
 
 def derived_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -14,13 +14,14 @@ STATUS_PERIOD_SECONDS = 60
 CACHE_PERIOD_SECONDS = 600
 
 
-def cache_due(now: float) -> bool:
-    return int(now) % CACHE_PERIOD_SECONDS < STATUS_PERIOD_SECONDS
+def cache_due(now: float, last: float | None) -> bool:
+    """Whether the cache's turn has come, given when it was last cleaned: a late tick still counts."""
+    return last is None or now - last >= CACHE_PERIOD_SECONDS
 
 
-def maintain(statuses: DataFrame, cache: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
-    """(statuses, cache entries) that stay after a clean-up at ``now``."""
-    return expire_status(statuses, now), expire_cache(cache, now)[0] if cache_due(now) else cache
+def maintain(statuses: DataFrame, cache: DataFrame, now: float, last: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(statuses, cache entries) that stay after a clean-up at ``now``; ``last``: when the cache was last cleaned."""
+    return expire_status(statuses, now), expire_cache(cache, now)[0] if cache_due(now, last) else cache
 
 
 def stream_maintenance(
@@ -28,10 +29,15 @@ def stream_maintenance(
     save: Callable[[DataFrame, DataFrame, int], None], clock: Callable[[], float], checkpoint: str,
     period: str = f"{STATUS_PERIOD_SECONDS} seconds",
 ) -> StreamingQuery:
-    """Run ``maintain`` on a tick stream; ``save`` writes the kept tables to a new version for the batch id."""
+    """Run ``maintain`` on a tick stream; ``save`` writes the kept tables to a new version for the batch id. The cache is
+    cleaned at the first tick after a start and then whenever its period has passed."""
+    last: float | None = None
 
     def tick(_: DataFrame, batch_id: int) -> None:
-        save(*maintain(*load(), clock()), batch_id)
+        nonlocal last
+        now = clock()
+        save(*maintain(*load(), now, last), batch_id)
+        last = now if cache_due(now, last) else last
 
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(

@@ -2,43 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from crawlgrain.operators.cache import cache_key
-from crawlgrain.plans.analysis import analyze_incremental
+from crawlgrain.operators.cache import fresh_cache
+from crawlgrain.plans.analysis import analyze_incremental, cache_entries
 from crawlgrain.sources.tables import PAGES_SCHEMA
 
-CACHE_SCHEMA = "cache_key string, url string, cache_time double, size_bytes long, readable boolean, version long"
+CACHE_SCHEMA = (
+    "cache_key string, url string, cache_time double, size_bytes long, readable boolean, version long, analysis string"
+)
+# Batches after which the live cache entries are gathered in one folder.
+COMPACT_EVERY = 20
 
 
 def page_stream(spark: SparkSession, in_dir: str, file_filter: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", file_filter).parquet(in_dir)
 
 
-def stream_analyze(pages: DataFrame, out_dir: str, checkpoint: str, now: float, cache: DataFrame | None = None,
-                   **trigger) -> StreamingQuery:
-    """Write ``out_dir/analysis`` and ``out_dir/cache``, one folder per batch. Pages with a fresh entry, given or
-    written by an earlier batch, are skipped. A batch retried after a failure overwrites its own folder, so results
-    are written once."""
+def first_of_each_url(pages: DataFrame) -> DataFrame:
+    """One page per url, that of the smallest id. Ids and urls are compared without html."""
+    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")
+    return pages.join(chosen, "page_id", "left_semi")
+
+
+def stream_analyze(pages: DataFrame, out_dir: str, checkpoint: str, clock: Callable[[], float],
+                   cache: DataFrame | None = None, context: Callable[[], dict] = dict, **trigger) -> StreamingQuery:
+    """Write ``out_dir/analysis`` (page_id, url, analysis as JSON) and ``out_dir/cache``, one folder per batch.
+
+    Pages with an entry, given or written by an earlier batch, that is fresh by the ``clock`` are skipped. ``context()``
+    gives each batch the optional tables of ``analyze_pages``. A batch retried after a failure overwrites its own
+    folder, so results are written once. Every ``COMPACT_EVERY`` batches the live entries are written together, so a
+    batch reads that folder and those of the few batches since.
+    """
     spark = pages.sparkSession
     given = cache if cache is not None else spark.createDataFrame([], CACHE_SCHEMA)
 
     def known(batch_id: int) -> DataFrame:
-        if batch_id == 0:
+        base = batch_id - batch_id % COMPACT_EVERY
+        if base == batch_id and base:
+            base -= COMPACT_EVERY
+        folders = [f"{out_dir}/compact/batch={base}"] if base else []
+        folders += [f"{out_dir}/cache/batch={b}" for b in range(base, batch_id)]
+        if not folders:
             return given
-        written = spark.read.schema(f"{CACHE_SCHEMA}, batch int").parquet(f"{out_dir}/cache")
-        return given.unionByName(written.filter(F.col("batch") < batch_id).drop("batch"))
+        written = spark.read.schema(CACHE_SCHEMA).parquet(*folders)
+        return written if base else given.unionByName(written, allowMissingColumns=True)
 
     def analyze(batch: DataFrame, batch_id: int) -> None:
-        _, fresh = analyze_incremental(batch, known(batch_id), now)
+        now, entries = clock(), known(batch_id)
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            folder = f"{out_dir}/compact/batch={batch_id}"
+            fresh_cache(entries, now).write.mode("overwrite").parquet(folder)
+            entries = spark.read.schema(CACHE_SCHEMA).parquet(folder)
+        found = analyze_incremental(first_of_each_url(batch), entries, now, **context())
         folder = f"{out_dir}/analysis/batch={batch_id}"
-        fresh.write.mode("overwrite").parquet(folder)
-        entries = spark.read.parquet(folder).select(
-            cache_key(F.col("url")).alias("cache_key"), "url", F.lit(now).alias("cache_time"),
-            F.col("html_len").cast("long").alias("size_bytes"), F.lit(True).alias("readable"),
-            F.col("page_id").alias("version"))
-        entries.write.mode("overwrite").parquet(f"{out_dir}/cache/batch={batch_id}")
+        found.where("origin = 'fresh'").drop("origin").write.mode("overwrite").parquet(folder)
+        new = cache_entries(spark.read.parquet(folder), now)
+        new.write.mode("overwrite").parquet(f"{out_dir}/cache/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(analyze).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

@@ -1,8 +1,9 @@
 """Live stage status: a stream of stage events folded into a small status table.
 
 Each micro-batch is reduced to mergeable facts (``operators.status``), merged with the stored facts and written as
-a new version. The batch id picks one of two folders, so a retried batch reads the previous version again and
-overwrites its own. Facts hold one row per request and stage; requests past their lifetime leave the table.
+a new version. The batch id picks one of ``VERSIONS`` folders, so a retried batch reads the previous version again and
+overwrites its own, and a reader has as many batches' time. Facts hold one row per request and stage; with a clock,
+requests past their lifetime leave the table, so a version holds the running requests of some minutes.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from crawlgrain import fixed_values as V
 from crawlgrain.operators.status import expire_status, merge_facts, request_status, stage_facts
 
 EVENT_SCHEMA = (
     "event_id long, request_id long, stage string, action string, ts_s double, details string"
 )
-VERSIONS = 2
+VERSIONS = 12
+# A stage outside the fixed order.
+EXTRA_STAGE = "website_analysis"
 
 
 def version_path(state_dir: str, batch_id: int) -> str:
@@ -48,7 +52,10 @@ def stream_stages(events: DataFrame, state_dir: str, checkpoint: str, now=None,
 
 def stored_status(spark: SparkSession, query: StreamingQuery, state_dir: str) -> DataFrame:
     """Request statuses as of the last finished batch of ``query``."""
-    last = query.lastProgress["batchId"]
+    progress = query.lastProgress
+    if progress is None:
+        raise ValueError("the stream has not finished a batch yet")
+    last = progress["batchId"]
     return request_status(spark.read.parquet(version_path(state_dir, last)))
 
 
@@ -58,8 +65,7 @@ def stage_event_stream(spark: SparkSession, in_dir: str, schema: str, file_filte
 
 def as_stage_events(events: DataFrame) -> DataFrame:
     """Stage events read from a raw event stream: event number gives the stage, event type the action."""
-    stages = ["setup", "prompt_formatting", "code_generation", "code_extraction", "code_execution",
-              "data_validation", "refinement", "website_analysis"]
+    stages = [*V.STAGES, EXTRA_STAGE]
     kind = F.col("event_type")
     return events.select(
         "event_id", F.col("user_id").alias("request_id"),

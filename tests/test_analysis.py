@@ -1,11 +1,13 @@
 """Whole-page analysis, briefs, incremental runs, language, page stream."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from crawlgrain.operators import language
+from crawlgrain.operators import cache, language, selectors as S
 from crawlgrain.operators.cache import cache_key
 from crawlgrain.plans import analysis as A
-from crawlgrain.session import sized_broadcast
 from crawlgrain.sources import tables
 from crawlgrain.streaming import pages as page_streams
 
@@ -70,15 +72,41 @@ def test_rendered_page_decides_and_raises_counts(spark):
     assert not two.is_dynamic and "Dynamic analysis skipped: no rendered snapshot" in two.warnings
 
 
+def entries(pages, analysis="stored"):
+    return pages.select(
+        cache_key(F.col("url")).alias("cache_key"), "url", F.lit(50.0).alias("cache_time"), F.lit(1).cast("long").alias("size_bytes"),
+        F.lit(True).alias("readable"), F.lit(1).cast("long").alias("version"), F.lit(analysis).alias("analysis"))
+
+
 def test_incremental_is_complete(spark):
     pages = tables.load_pages(spark, SF)
-    known = pages.filter("page_id % 2 = 0").select(
-        cache_key(F.col("url")).alias("cache_key"), "url", F.lit(50.0).alias("cache_time"), F.lit(1).cast("long").alias("size_bytes"),
-        F.lit(True).alias("readable"), F.lit(1).cast("long").alias("version"))
-    hits, fresh = A.analyze_incremental(pages, known, 100.0)
-    got = [r.page_id for r in hits.collect()], [r.page_id for r in fresh.select("page_id").collect()]
-    assert all(i % 2 == 0 for i in got[0]) and all(i % 2 for i in got[1])
-    assert sorted(got[0] + got[1]) == sorted(r.page_id for r in pages.select("page_id").collect())
+    got = A.analyze_incremental(pages, entries(pages.filter("page_id % 2 = 0")), 100.0).collect()
+    assert sorted(r.page_id for r in got) == sorted(r.page_id for r in pages.select("page_id").collect())
+    assert all(r.origin == ("fresh" if r.page_id % 2 else "cache") for r in got)
+    assert {r.analysis for r in got if r.origin == "cache"} == {"stored"}
+    whole = {r.page_id: r.analysis for r in A.as_stored(A.analyze_pages(pages)).collect()}
+    assert all(r.analysis == whole[r.page_id] and "selector_strategies" in r.analysis for r in got if r.origin == "fresh")
+
+
+def test_incremental_after_the_cache_was_rewritten(spark, tmp_path):
+    """Another writer replaces the cache between calls: each call answers for the cache it finds."""
+    pages = spark.createDataFrame([(1, "u1", "<p>a</p>"), (2, "u2", "<p>b</p>")], PAGES)
+    path = str(tmp_path / "cache")
+    for ids in ([1], [1, 2], [2]):
+        entries(pages.filter(F.col("page_id").isin(ids))).write.mode("overwrite").parquet(path)
+        got = A.analyze_incremental(pages, spark.read.parquet(path), 100.0).collect()
+        assert sorted((r.page_id, r.origin) for r in got) == [(i, "cache" if i in ids else "fresh") for i in (1, 2)]
+
+
+def test_cache_round_trip_with_pruned_buckets(spark, tmp_path):
+    pages = tables.load_pages(spark, SF)
+    path = str(tmp_path / "cache")
+    cache.write_cache(entries(pages), path, buckets=16, files_per_bucket=1)
+    keys = entries(pages.filter("page_id < 3")).select("cache_key")
+    read = cache.read_cache(spark, path, keys, buckets=16)
+    assert keys.join(read, "cache_key").count() == 3 and read.count() < pages.count()
+    assert cache.read_cache(spark, path).count() == pages.count()
+    assert cache.clear_cache(read).count() == 0
 
 
 def test_language_on_unseen_documents(spark):
@@ -104,10 +132,60 @@ def test_grams_stay_inside_words(spark):
     assert sorted(grams) == sorted([" ", "a", "b", " ", " ", "c", " ", " a", "ab", "b ", " c", "c ", " ab", "ab ", " c "])
 
 
-def test_profiles_beyond_the_broadcast_size_still_join(spark):
-    profiles = spark.createDataFrame([("xx", "a", 5), ("yy", "b", 6)], "lang string, gram string, weight long")
-    assert "broadcast" not in sized_broadcast(profiles, rows=1)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" in sized_broadcast(profiles, rows=2)._jdf.queryExecution().logical().toString().lower()
+def test_network_tables_are_independent(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", "<p>a</p>") for k in (1, 2, 3)], PAGES)
+    resources = spark.createDataFrame(
+        [(1, 1, "r1", "xhr", "xmlhttprequest", "GET"), (2, 2, "r2", "image", "img", "GET")],
+        "seq long, page_id long, url string, resource_type string, initiator_type string, method string")
+    times = spark.createDataFrame(
+        [(1, 90.5, 40.0, None, None, None), (3, None, None, 300.0, 250.0, 100.0)],
+        "page_id long, nav_load_end double, nav_dom_end double, timing_load_end double, timing_dom_end double, navigation_start double")
+
+    def found(**given):
+        return {r.page_id: r for r in A.analyze_pages(pages, **given).collect()}
+
+    both = found(resources=resources, navigation=times)
+    assert [tuple(both[k].performance_metrics) for k in (1, 2, 3)] == [(90.5, 40.0, 8, 1, 1), (0.0, 0.0, 8, 1, 0), (200.0, 150.0, 8, 0, 0)]
+    only = found(resources=resources)
+    assert [a.url for a in only[1].apis] == ["r1"] and only[1].performance_metrics.ajax_count == 1 and only[3].performance_metrics is None
+    timed = found(navigation=times)
+    assert timed[1].apis is None and timed[1].performance_metrics.load_time == 90.5 and timed[2].performance_metrics is None
+    briefs = {r.page_id: r.brief for r in A.page_brief(A.analyze_pages(pages, resources=resources, navigation=times)).collect()}
+    assert "- Load time: 90.5ms" in briefs[1] and "- Load time: 200ms" in briefs[3]
+
+
+def test_rendered_page_gives_elements_and_size(spark):
+    static = spark.createDataFrame([(1, "u1", "<p>a</p>")], PAGES)
+    html = "<p>a</p><button>Load more</button><div class=pager><a href=x>2</a></div>"
+    times = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0, 1.0)], "page_id long, nav_load_end double, nav_dom_end double, "
+                                  "timing_load_end double, timing_dom_end double, navigation_start double")
+    row = A.analyze_pages(static, rendered=spark.createDataFrame([(1, "u1", html)], PAGES), navigation=times).first()
+    assert [e.type for e in row.interactive_elements] == ["button", "pagination"]
+    assert row.performance_metrics.dom_size == len(html) and row.html_len == 8
+
+
+def nested(kind, n):
+    if kind == "links":
+        return "<span class=pag></span>" * n + "<a href=x>1</a>" * n
+    return "".join(f"<div id=i{k}>" for k in range(n)) + "some words" * 20 + "</div>" * n
+
+
+@pytest.mark.parametrize("kind, sql", [("links", S.interactive_elements_sql), ("ids", S.selector_suggestions_sql)])
+def test_row_operators_are_linear(spark, kind, sql):
+    from crawlgrain.functions.dom_kernel import parser  # noqa: F401
+    from crawlgrain.operators.dom import parse_pages
+
+    def seconds(n):
+        dom = parse_pages(spark.createDataFrame([(1, "u", nested(kind, n))], PAGES)).localCheckpoint()
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            dom.selectExpr(f"size({sql()}) AS n").collect()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    seconds(500)
+    assert seconds(8000) < 2.5 * seconds(4000) + 0.5
 
 
 def test_page_stream_equals_batch(spark, tmp_path):
@@ -115,11 +193,10 @@ def test_page_stream_equals_batch(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     pages.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(source)
-    query = page_streams.stream_analyze(stream, out, str(tmp_path / "checkpoint"), now=5.0)
+    query = page_streams.stream_analyze(stream, out, str(tmp_path / "checkpoint"), clock=lambda: 5.0)
     query.awaitTermination()
-    fields = ["page_id", "text_ratio", "recommendations"]
-    key = lambda df: sorted(map(tuple, df.select(*fields).collect()))
-    assert key(spark.read.parquet(f"{out}/analysis")) == key(A.analyze_pages(pages))
+    key = lambda df: sorted(map(tuple, df.select("page_id", "analysis").collect()))
+    assert key(spark.read.parquet(f"{out}/analysis")) == key(A.as_stored(A.analyze_pages(pages)))
     assert spark.read.parquet(f"{out}/analysis").select("batch").distinct().count() == 3
     assert spark.read.parquet(f"{out}/cache").count() == pages.count()
 
@@ -130,7 +207,7 @@ def test_page_stream_skips_pages_of_earlier_batches(spark, tmp_path):
     def land(*rows):
         spark.createDataFrame(list(rows), PAGES).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(PAGES).parquet(source)
-        page_streams.stream_analyze(stream, out, str(tmp_path / "checkpoint"), now=5.0).awaitTermination()
+        page_streams.stream_analyze(stream, out, str(tmp_path / "checkpoint"), clock=lambda: 5.0).awaitTermination()
 
     land((1, "u1", "<p>a</p>"), (2, "u2", "<p>b</p>"))
     land((2, "u2", "<p>b</p>"), (3, "u3", "<p>c</p>"))
@@ -138,9 +215,24 @@ def test_page_stream_skips_pages_of_earlier_batches(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, 1), (0, 2), (1, 3)]
 
 
-def test_many_misses_fall_back_to_a_shuffled_join(spark, monkeypatch):
-    pages = tables.load_pages(spark, SF)
-    empty = spark.createDataFrame([], CACHE)
-    monkeypatch.setattr(A, "sized_broadcast", lambda df: sized_broadcast(df, rows=3))
-    _, fresh = A.analyze_incremental(pages, empty, 1.0)
-    assert fresh.count() == pages.count()
+def test_page_stream_uses_its_clock_and_context_and_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(page_streams, "COMPACT_EVERY", 2)
+    source, out, now = str(tmp_path / "in"), str(tmp_path / "out"), [5.0]
+    robots = spark.createDataFrame([("h", 200, "all welcome", None)], "host string, status int, body string, error string")
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), PAGES).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(PAGES).parquet(source)
+        page_streams.stream_analyze(stream, out, str(tmp_path / "checkpoint"), lambda: now[0],
+                                    context=lambda: {"robots": robots}).awaitTermination()
+
+    page = lambda k: (k, f"http://h/{k}", "<p>a</p>")
+    land(page(1), (9, "http://h/1", "<p>the same url</p>"))
+    land(page(2))
+    land(page(1), page(3))                       # page 1 is known, also after the compaction of this batch
+    now[0] += 2 * 86_400
+    land(page(1))                                # by now its entry is stale
+    land(page(1), page(2))
+    got = spark.read.parquet(f"{out}/analysis").select("batch", "page_id", "analysis").collect()
+    assert sorted((r.batch, r.page_id) for r in got) == [(0, 1), (1, 2), (2, 3), (3, 1), (4, 2)]
+    assert all('"robots_txt":"all welcome"' in r.analysis for r in got)

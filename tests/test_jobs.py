@@ -43,11 +43,14 @@ def test_result_sink(spark, tmp_path):
     assert sorted(r.a for r in spark.read.schema(df.schema).json(str(tmp_path / "out")).collect()) == [1, 2]
 
 
-def test_spread_only_moves_few_splits(spark):
-    few = spark.range(10, numPartitions=1)
-    many = spark.range(10, numPartitions=16)
-    assert tables.spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert "Exchange" not in tables.spread(many, "id")._jdf.queryExecution().toString()
+def test_spread_moves_rows_only_when_asked(spark):
+    rows = spark.range(10, numPartitions=1)
+    assert "Exchange" not in tables.spread(rows, "id")._jdf.queryExecution().toString()
+    spark.conf.set(tables.SPREAD, "3")
+    try:
+        assert "Exchange hashpartitioning(id" in tables.spread(rows, "id")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(tables.SPREAD)
 
 
 # -- logs ----------------------------------------------------------------------------------------

@@ -1,37 +1,24 @@
-"""Shared folder, materialised tables, size-checked broadcasts."""
+"""Where written tables go."""
 
 from types import SimpleNamespace
 
-import pytest
-
 from crawlgrain import session as S
 
 
 def session_with(folder, master):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder),
+    values = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "hdfs://x/warehouse"}
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: values.get(key) or default),
                            sparkContext=SimpleNamespace(master=master))
 
 
 def test_the_clusters_folder_is_used():
     assert S.shared_folder(session_with("hdfs://x/check/", "yarn")) == "hdfs://x/check"
     assert S.shared_folder(session_with("/shared", "local[2]")) == "/shared"
-    assert "crawlgrain-" in S.shared_folder(session_with(None, "local[2]"))
-
-
-def test_materialized_tables_cut_the_lineage(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(S, "shared_folder", lambda session: str(tmp_path))
-    back = S.materialize(spark.range(5), "numbers")
-    assert back.count() == 5 and any(p.name.startswith("numbers-") for p in tmp_path.iterdir())
-    assert "FileScan" in back._jdf.queryExecution().executedPlan().toString()
-
+    assert S.shared_folder(session_with(None, "yarn")) == "hdfs://x/warehouse/_scratch"
 
-def test_a_cluster_without_a_folder_is_refused():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        S.shared_folder(session_with(None, "yarn"))
 
+def test_no_operator_keeps_tables_in_memory():
+    import pathlib
 
-@pytest.mark.parametrize("bound, hinted", [(4, False), (5, True)])
-def test_broadcast_only_up_to_the_bound(spark, bound, hinted):
-    df = S.sized_broadcast(spark.range(5), bound)
-    assert ("ResolvedHint" in df._jdf.queryExecution().analyzed().toString()) is hinted
-    assert df.count() == 5
+    folder = pathlib.Path(S.__file__).parent
+    assert not [p for p in folder.rglob("*.py") if ".persist(" in p.read_text() or ".cache(" in p.read_text() or "localCheckpoint" in p.read_text()]

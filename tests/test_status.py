@@ -125,13 +125,12 @@ def test_unknown_ids_give_null_rows(spark):
 
 
 def test_maintenance_periods(spark, tmp_path):
-    assert [maintenance.cache_due(t) for t in (0.0, 59.9, 60.0, 600.0, 659.0, 700.0)] == [
-        True, True, False, True, True, False]
+    assert [maintenance.cache_due(t, last) for t, last in ((5.0, None), (599.0, 0.0), (600.0, 0.0), (725.0, 0.0))] == [True, False, True, True]
     schema = "cache_key string, url string, cache_time double, size_bytes long, readable boolean, version long"
     old = spark.createDataFrame([("k", "u", 0.0, 1, True, 1)], schema)
     status = spark.createDataFrame([(1, "failed", 1, 0.0, 0.0)], STATUS)
-    assert [df.count() for df in maintenance.maintain(status, old, 600_000.0)] == [0, 0]
-    assert [df.count() for df in maintenance.maintain(status, old, 600_060.0)] == [0, 1]
+    assert [df.count() for df in maintenance.maintain(status, old, 600_000.0, 599_000.0)] == [0, 0]
+    assert [df.count() for df in maintenance.maintain(status, old, 600_060.0, 600_000.0)] == [0, 1]
 
 
 def test_maintenance_stream_runs(spark, tmp_path):
