@@ -554,6 +554,39 @@ sections AS (
   UNION ALL {bullets(19, 'Recommended selectors for extraction', f'({roles})', 'pos', 4, 'name')})"""
 
 
+def analysis_lists(everything: str) -> str:
+    page = page_queries()
+
+    def gathered(name: str, source: str, text: str, order: str, between: str = "'|'") -> str:
+        return f"""LEFT JOIN (SELECT page_id, string_agg({text}, {between} ORDER BY {order}) AS {name} FROM {source} GROUP BY page_id) USING (page_id)"""
+
+    of = lambda *fields: "concat_ws('~', " + ", ".join(fields) + ")"
+    lists = {
+        "dynamic_attributes": ("attribute_names", "attribute", "attribute"),
+        "pagination_patterns": ("signals", "signal", "ord"),
+        "selector_suggestions": ("suggestions", "suggestion", "ord"),
+        "content_patterns": (f"(SELECT page_id, ord, {PATTERN_COLUMNS} FROM patterns)",
+                             of("parent_selector", "child_selector", "count", "confidence"), "ord"),
+        "keyword_density": ("keywords", of("word", "n"), "rank"),
+        "interactive_elements": ("interactive", of("selector", "text", "type"), "ord"),
+        "extraction_test_results": ("hits", of("pattern", "selector", "sample", "count"), "count DESC, i"),
+    }
+    own = {
+        "template_selectors": (f"(SELECT *, list_position({[r[0] for r in V.TEMPLATE_ROLES]}, role) AS pos FROM ({page['template_selectors']}))",
+                               of("role", "selector"), "pos"),
+        "seo_meta": (f"({page['seo_meta']})", of("key", "content"), "key"),
+    }
+    strategies = f"""(SELECT page_id, target, concat_ws('~', first(element), string_agg(concat_ws('^', selector, method, count), '~'
+        ORDER BY rank)) AS text FROM ({page['selector_strategies']}) GROUP BY page_id, target)"""
+    names = [*lists, *own, "selector_strategies", "dom_visualization"]
+    return everything + "," + KEYWORDS + "," + outline() + f"""
+        SELECT f.*, h.* EXCLUDE (page_id), {", ".join(f"coalesce({n}, '') AS {n}" for n in names)}
+        FROM ({page['frameworks']}) f JOIN ({page['content_hierarchy']}) h USING (page_id)
+        {" ".join(gathered(n, *v) for n, v in {**lists, **own}.items())}
+        {gathered("selector_strategies", strategies, "text", "target")}
+        {gathered("dom_visualization", "lines", "line", "node_id", "chr(10)")}"""
+
+
 def analysis_queries() -> dict[str, str]:
     everything = tree() + LIKELY + "," + ",".join([PATTERNS, heuristics(), SIGNALS, INTERACTIVE, SUGGESTIONS]) + ", " \
         + fixture_ctes("response_headers", "robots", "resource_log", "navigation")
@@ -566,6 +599,7 @@ def analysis_queries() -> dict[str, str]:
             FROM page_strings p JOIN sections s USING (page_id) GROUP BY ALL""",
         "recommendations": everything + "," + advice_sql() + f"""
             SELECT page_id, {ordinal('part, pos')} AS ord, recommendation FROM advice""",
+        "page_analysis_lists": analysis_lists(everything),
         "page_analysis": everything + "," + KEYWORDS + f"""
             SELECT p.page_id, p.url, g.is_dynamic, {RATIO} AS text_ratio, rb.robots_txt,
               CASE WHEN g.is_dynamic THEN 'dynamic_content' WHEN k.shop THEN 'e-commerce' WHEN k.news THEN 'news'

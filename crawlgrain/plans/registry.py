@@ -326,6 +326,26 @@ def page_analysis(t):
         "performance_metrics.load_time", joined("warnings").alias("warnings"))
 
 
+@query
+def page_analysis_lists(t):
+    """The list and group fields of the analysis, each as one text, and its remaining structs."""
+    rows = _analysis(t)
+    items = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws("~", *[
+        x[f].cast("string") for f in fields])), "|").alias(name)
+    return rows.select(
+        "page_id", "frameworks.*", "content_hierarchy.*", joined(F.array_sort("dynamic_attributes")).alias("dynamic_attributes"),
+        joined("pagination_patterns").alias("pagination_patterns"), joined("selector_suggestions").alias("selector_suggestions"),
+        items("content_patterns", "parent_selector", "child_selector", "count", "confidence"),
+        items("keyword_density", "word", "n"), items("interactive_elements", "selector", "text", "type"),
+        items("template_selectors", "role", "selector"), joined("dom_visualization", "\n").alias("dom_visualization"),
+        F.array_join(F.transform("extraction_test_results", lambda e: F.concat_ws(
+            "~", e["pattern"], e["selector"], joined(e["sample"]), e["count"].cast("string"))), "|").alias("extraction_test_results"),
+        F.array_join(F.transform("selector_strategies", lambda e: F.concat_ws(
+            "~", e["element"], F.array_join(F.transform(e["strategies"], lambda s: F.concat_ws(
+                "^", s["selector"], s["method"], s["count"].cast("string"))), "~"))), "|").alias("selector_strategies"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("seo_meta")), lambda e: F.concat_ws("~", e["key"], e["value"])), "|").alias("seo_meta"))
+
+
 @query
 def recommendations(t):
     return _analysis(t).select("page_id", F.posexplode("recommendations").alias("ord", "recommendation"))
