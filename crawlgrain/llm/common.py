@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,10 +30,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and the next operator needs the room."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with batches bounded by bytes."""
     prepare(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def kept_columns(df: DataFrame, made: tuple[str, ...]) -> list[str]:

@@ -120,6 +120,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
              pa.array([r.tobytes() for r in registers], pa.binary())], ["doc_id", "n", "digest", "sketch"])
+    _WORDS.clear()
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def _sets_of(bits):
                 sets = shingle_sets(text_bytes(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  ["node", "set"])
+        _WORDS.clear()
 
     return work
 

@@ -373,6 +373,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
                     yield flush()
         if doc_ids:
             yield flush()
+        encoder(path).known = {}
 
     return map_arrow(ordered, work, "file string, partition long, number long, docs long, ids long")
 
