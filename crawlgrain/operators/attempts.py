@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, functions as F
 
-from crawlgrain.functions.expr import let, strip
+from crawlgrain.functions.expr import strip
 from crawlgrain.operators.job_logs import code_ok, parsed_output
 
 
 def resolve_attempts(attempts: DataFrame, max_attempts: int = 5) -> DataFrame:
     """Attempts count up to the first valid one or ``max_attempts``. Code is the last that ran, data its output.
 
-    Attempts past the limit are filtered before the shuffle, so no request gathers more than ``max_attempts`` rows.
+    A valid attempt has run, so the last that ran is the first valid one, or else the last of all. Attempts past the limit
+    are filtered before the shuffle, and a request keeps two candidates and one count per number: nothing is collected,
+    also where attempt numbers repeat.
     """
-    tries = attempts.filter(F.col("attempt_no") <= max_attempts).select(
-        "request_id", F.struct("attempt_no", code_ok().alias("ok"),
-                               (code_ok() & F.coalesce("is_valid", F.lit(False))).alias("valid"),
-                               "code", strip(F.col("stdout")).alias("output")).alias("t"))
-    grouped = tries.groupBy("request_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    first_valid = F.array_min(F.transform(F.filter("ts", lambda t: t["valid"]), lambda t: t["attempt_no"]))
-    used = grouped.select("request_id", let(first_valid, lambda stop: F.filter(
-        "ts", lambda t: stop.isNull() | (t["attempt_no"] <= stop))).alias("ts"))
-    last_ok = F.try_element_at(F.filter("ts", lambda t: t["ok"]), F.lit(-1))
-    resolved = used.select("request_id", F.size("ts").alias("attempts"), last_ok.alias("last_ok"),
-                           F.exists("ts", lambda t: t["valid"]).alias("success"))
+    number, result = F.col("attempt_no"), F.struct("code", strip(F.col("stdout")).alias("output"))
+    valid = code_ok() & F.coalesce("is_valid", F.lit(False))
+    ran, stop = F.when(code_ok(), number), F.when(valid, number)
+    counts = [F.count_if(F.when(F.lit(k == 0), number <= 0).otherwise(number == k)).alias(f"n{k}") for k in range(max_attempts + 1)]
+    grouped = attempts.filter(number <= max_attempts).groupBy("request_id").agg(
+        F.min(stop).alias("stop"), F.min_by(result, stop).alias("first_valid"), F.max_by(result, ran).alias("last_ran"), *counts)
+    tried = reduce(add, [F.when(F.coalesce("stop", F.lit(max_attempts)) >= k, F.col(f"n{k}")).otherwise(0) for k in range(max_attempts + 1)])
+    resolved = grouped.select(
+        "request_id", tried.cast("int").alias("attempts"), F.col("stop").isNotNull().alias("success"),
+        F.coalesce("first_valid", "last_ran").alias("last_ok"))
     return resolved.select(
         "request_id", "attempts", "success", F.col("last_ok.code").alias("final_code"),
         parsed_output(F.col("last_ok.output")).alias("o")).select(
