@@ -63,7 +63,8 @@ SELECT doc_id AS request_id,
   CASE WHEN doc_id % 10 = 9 THEN 'ftp://bad/x' WHEN doc_id % 10 = 8 THEN NULL ELSE 'https://example.org/' || doc_id END AS url,
   CASE doc_id % 8 WHEN 0 THEN 'Product prices and review scores' WHEN 1 THEN 'List of news headlines'
     WHEN 2 THEN 'My career journey and university degree' WHEN 3 THEN 'Portfolio' WHEN 4 THEN 'Multiple job posts with comments and profile'
-    WHEN 5 THEN 'Weather' WHEN 6 THEN 'list of everything' ELSE 'article, news, review, profile' END AS expected_data,
+    WHEN 5 THEN 'Weather' WHEN 6 THEN 'list of everything' ELSE 'article, news, review, profile' END
+    || chr(10) || coalesce(text, '') AS expected_data,
   CASE doc_id % 9 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'claude-3-opus' WHEN 2 THEN 'gemini-1.5-pro' WHEN 3 THEN 'mistral-small' WHEN 4 THEN 'command-r'
     WHEN 5 THEN 'j2-ultra' WHEN 6 THEN 'qwen-72b' WHEN 7 THEN 'llama-3-8b' ELSE 'mystery-1' END AS llm_model
 FROM documents
@@ -132,13 +133,15 @@ FROM documents
 
 LLM_RESPONSES = """
 SELECT conv_id, turn, CASE turn % 3
-  WHEN 0 THEN 'Sure:' || chr(10) || '```python' || chr(10) || 'x = ' || turn || chr(10) || '```' || chr(10) || '```python' || chr(10) || 'second' || chr(10) || '```'
-  WHEN 1 THEN 'See ```' || chr(10) || 'y = ' || turn || chr(10) || '``` end' ELSE text END AS response
+  WHEN 0 THEN 'Sure:' || chr(10) || '```python' || chr(10) || 'x = ' || turn || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) || '```python' || chr(10) || 'second' || chr(10) || '```'
+  WHEN 1 THEN 'See ```' || chr(10) || 'y = ' || turn || chr(10) || coalesce(text, '') || '``` end' ELSE text END AS response
 FROM conversations
 """
 
 VERDICTS = """
-SELECT doc_id, CASE WHEN quality = 1 THEN ' yes, fine ' WHEN toxic = 1 THEN 'NO - Missing price - and name' ELSE 'no' END AS response FROM labels
+SELECT doc_id, CASE WHEN quality = 1 THEN ' yes, fine ' WHEN toxic = 1 THEN 'NO - Missing price - and name'
+  ELSE 'no - ' || replace(coalesce(text, ''), 'ß', 'ss') END AS response
+FROM (SELECT doc_id, quality, toxic FROM labels) l JOIN (SELECT doc_id, text FROM documents) d USING (doc_id)
 """
 
 ACCESS_LOG = """
