@@ -30,7 +30,7 @@ import zstandard
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlgrain.llm.common import Scratch, map_arrow, mix64, read_table, text_bytes, text_slices
+from crawlgrain.llm.common import Scratch, give_back, map_arrow, mix64, read_table, text_bytes, text_slices
 
 LENGTH, GRAM = 50, 16
 _WINDOW = LENGTH - GRAM + 1
@@ -140,6 +140,8 @@ def _repeated(split_at: int):
             at += len(key)
             out.append((key[again[own]].tobytes(), np.packbits(many[own][again[own]]).tobytes()))
         made = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "keys": [o[0] for o in out], "many": [o[1] for o in out]})
+        del keys, twice, every, known, which
+        give_back()
         return made[made["keys"].str.len() > 0]
 
     return work
@@ -171,6 +173,7 @@ def _send_pieces(bits: int, shards: int, splits: int):
             wanted, many = wanted[order], many[order]
             if len(wanted):
                 out = _pieces(row, ends, copies, wanted, many, bits, shards, splits)
+        give_back()
         return pd.DataFrame(out, columns=columns)
 
     return work
@@ -366,6 +369,7 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     made = made.assign(shard=rows["shard"].iloc[0], strings=b"", docs=b"", entry=b"", chunks=b"")
     if run["strings"]:
         made = pd.concat([made, pd.DataFrame([{**run, "chunk": -1, "stops": b"", "shard": rows["shard"].iloc[0]}])])
+    give_back()
     return made[["chunk", "rows", "starts", "stops", "shard", "strings", "docs", "entry", "chunks"]]
 
 
