@@ -20,7 +20,9 @@ import heapq
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlgrain.llm.common import kept_columns, map_arrow, read_table, text_slices
 
-#: Entries of a worker's tables of words and chunks; a full table is emptied, which costs time but no result.
-WORD_ENTRIES, CHUNK_ENTRIES = 500_000, 250_000
+#: Entries of a task's tables of words and chunks; a full table is emptied, which costs time but no result.
+WORD_ENTRIES, CHUNK_ENTRIES = 600_000, 500_000
+#: Words that a worker keeps between tasks.
+WORDS_KEPT = 50_000
 _CACHED_LENGTH = 64
 
 # White space as the tokenizer's patterns see it; Python's own also counts \x1c-\x1f.
@@ -64,14 +68,18 @@ class WordBpe:
         self.end = spec["model"]["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): rank for rank, (a, b, _) in reversed(list(enumerate(self.merges)))}
+        # Rank of a pair by its first and by its second symbol.
+        self.ranks_from: dict[int, dict[int, int]] = defaultdict(dict)
+        self.ranks_to: dict[int, dict[int, int]] = defaultdict(dict)
+        for rank, (a, b, _) in reversed(list(enumerate(self.merges))):
+            self.ranks_from[a][b] = self.ranks_to[b][a] = rank
         self.tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         shown = byte_symbols()
         self.inner = np.array([vocab[s] for s in shown])
         self.last = np.array([vocab[s + self.end] for s in shown])
-        ranks = lambda right: np.array([[self.ranks.get((a, b), -1) for b in right.tolist()] for a in self.inner.tolist()])
+        ranks = lambda right: np.array([[self.ranks_from[a].get(b, -1) for b in right.tolist()] for a in self.inner.tolist()])
         self.byte_ranks, self.byte_ranks_last = ranks(self.inner), ranks(self.last)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
@@ -79,6 +87,15 @@ class WordBpe:
         self.words: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str | int, tuple[bytes, str]] = {}
 
+    def trim_words(self) -> None:
+        """Keep the words met first, which are mostly the frequent ones."""
+        self.words = dict(islice(self.words.items(), WORDS_KEPT))
+
+    def forget(self) -> None:
+        """Make room: the worker's next task may be another operator's."""
+        self.trim_words()
+        self.chunks = {}
+
     # -- merging -----------------------------------------------------------------------------------
     def merge(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
         """Ids and tokens of distinct pre-tokens, all merged in one pass over the pair occurrence index."""
@@ -106,11 +123,12 @@ class WordBpe:
             following[end - 1] = -1
             if end < n:
                 before[end] = -1
-        ranks, merges = self.ranks.get, self.merges
-        push, pop = heapq.heappush, heapq.heappop
+        merges, push, pop, listed = self.merges, heapq.heappush, heapq.heappop, places.get
         while active:
             rank = pop(active)
             a, b, made = merges[rank]
+            # Ranks of the pairs that the made symbol forms with what follows and with what comes before it.
+            with_next, with_last = self.ranks_from[made].get, self.ranks_to[made].get
             for i in sorted(places.pop(rank)):
                 j = following[i]
                 if j < 0 or ids[i] != a or ids[j] != b:
@@ -119,19 +137,21 @@ class WordBpe:
                 following[i] = k = following[j]
                 if k >= 0:
                     before[k] = i
-                    found = ranks((made, ids[k]))
+                    found = with_next(ids[k])
                     if found is not None:
-                        if found in places:
-                            places[found].append(i)
+                        own = listed(found)
+                        if own is not None:
+                            own.append(i)
                         else:
                             places[found] = [i]
                             push(active, found)
                 k = before[i]
                 if k >= 0:
-                    found = ranks((ids[k], made))
+                    found = with_last(ids[k])
                     if found is not None:
-                        if found in places:
-                            places[found].append(k)
+                        own = listed(found)
+                        if own is not None:
+                            own.append(k)
                         else:
                             places[found] = [k]
                             push(active, found)
@@ -168,16 +188,16 @@ class WordBpe:
 
     def learn(self, chunks: Iterable[str | int]) -> dict[str | int, tuple[bytes, str]]:
         """Ids (as little-endian integers) and tokens of new chunks."""
-        split = {c: self.pre_tokens(c) for c in chunks if isinstance(c, str)}
+        split = {c: self.pre_tokens(c) for c in chunks if type(c) is str}
         known = self.words
         found = self.merge({w for words in split.values() for w in words if w not in known})
         out: dict[str | int, tuple[bytes, str]] = {
-            c: (np.array([c], dtype="<i4").tobytes(), self.decode([c])) for c in chunks if isinstance(c, int)}
+            c: (np.array([c], dtype="<i4").tobytes(), self.decode([c])) for c in chunks if type(c) is int}
         for chunk, words in split.items():
             parts = [found[w] if w in found else known[w] for w in words]
             out[chunk] = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
         if len(self.words) + len(found) > WORD_ENTRIES:
-            self.words = {}
+            self.trim_words()
         self.words |= {w: ids for w, ids in found.items() if len(w) <= _CACHED_LENGTH}
         return out
 
@@ -229,6 +249,7 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
                 [*batch.columns[: len(keep)], pa.array(np.diff(ends).astype(np.int64)), ids,
                  pa.array([" ".join([t for _, t in row if t]) for row in rows], pa.string())],
                 [*batch.schema.names[: len(keep)], *made])
+        bpe.forget()
 
     fields = [f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     done = map_arrow(source, work, ", ".join([*fields, "n_tokens long", "ids array<int>", "decoded string"]))
