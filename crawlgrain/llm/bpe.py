@@ -85,7 +85,8 @@ class WordBpe:
         self.split = regex.compile(pattern)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str | int, tuple[bytes, str]] = {}
+        self.chunk_ids: dict[str | int, bytes] = {}
+        self.chunk_text: dict[str | int, str] = {}
 
     def trim_words(self) -> None:
         """Keep the words met first, which are mostly the frequent ones."""
@@ -94,7 +95,7 @@ class WordBpe:
     def forget(self) -> None:
         """Make room: the worker's next task may be another operator's."""
         self.trim_words()
-        self.chunks = {}
+        self.chunk_ids, self.chunk_text = {}, {}
 
     # -- merging -----------------------------------------------------------------------------------
     def merge(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
@@ -211,18 +212,19 @@ class WordBpe:
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join([self.tokens[i] for i in ids])
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[tuple[bytes, str]]]:
-        """For each text its chunks as (ids, decoded) pairs."""
+    def encode_batch(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """Ids (as little-endian integers) and decoded form of each text."""
         cut = [self.cut_up(t) if t else [] for t in texts]
-        if len(self.chunks) > CHUNK_ENTRIES:
-            self.chunks = {}
-        new = {c for chunks in cut for c in chunks}.difference(self.chunks)
+        if len(self.chunk_ids) > CHUNK_ENTRIES:
+            self.chunk_ids, self.chunk_text = {}, {}
+        new = set().union(*cut).difference(self.chunk_ids)
         found = self.learn(new)
-        long = [c for c in found if isinstance(c, str) and len(c) > _CACHED_LENGTH]
-        self.chunks |= found
-        out = [[self.chunks[c] for c in chunks] for chunks in cut]
-        for c in long:
-            del self.chunks[c]
+        self.chunk_ids |= {c: v[0] for c, v in found.items()}
+        self.chunk_text |= {c: v[1] for c, v in found.items()}
+        ids_of, text_of = self.chunk_ids.__getitem__, self.chunk_text.__getitem__
+        out = [b"".join(map(ids_of, c)) for c in cut], [" ".join(map(text_of, c)) for c in cut]
+        for c in [c for c in found if type(c) is str and len(c) > _CACHED_LENGTH]:
+            del self.chunk_ids[c], self.chunk_text[c]
         return out
 
 
@@ -241,13 +243,12 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in text_slices(batches, 2 << 20):
-            rows = bpe.encode_batch(batch.column("text").to_pylist())
-            joined = [b"".join([ids for ids, _ in row]) for row in rows]
+            joined, decoded = bpe.encode_batch(batch.column("text").to_pylist())
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in joined]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(joined), dtype="<i4")))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(np.diff(ends).astype(np.int64)), ids,
-                 pa.array([" ".join([t for _, t in row if t]) for row in rows], pa.string())],
+                 pa.array(decoded, pa.string())],
                 [*batch.schema.names[: len(keep)], *made])
         bpe.forget()
 
