@@ -1,25 +1,28 @@
 """Near-duplicate groups by HyperMinHash sketches.
 
-1. One pass hashes each text's three-word shingles and keeps, per bucket of the hash space, the minimum in compressed form:
+1. One pass hashes each text's word shingles (of ``width`` words) and keeps, per bucket of the hash space, the minimum in compressed form:
    the count of its leading zeros and ten mantissa bits. Empty buckets borrow from others by a fixed random probing.
 2. Texts of equal shingle sets collapse to the smallest id; only these representatives go on.
-3. Bands of four registers (32 of them) are keys. Within each key every representative is paired with the smallest and
+3. Bands of registers are keys (``bands_of``; at 0.85, 32 of four). Within each key every representative is paired with the smallest and
    the largest id: two pairs a row, whatever the size of the group.
 4. Pairs pass a bound on set sizes and the collision-corrected Jaccard estimate, then full sets are compared exactly.
 5. Links are contracted to components. Keys whose rows are in one component are done. The texts of all other keys are
    compared across components by a prefix filter on their rarest shingles, which is exact: no link between them is lost,
    and no group is written out as pairs.
 
-Four of 128 registers agree at the threshold of 0.85 in one band with probability 0.52, in none of 32 with 1e-10.
+Bands are as wide as a miss of at most 1e-10 allows: four of 128 registers agree at 0.85 in one band with probability 0.52,
+in none of 32 with 6e-11; three of them at 0.8 with 0.51, in none of 42 with 8e-14. ``op1_near_dedup`` takes three words
+and 0.85, the pipeline's stage five words and 0.8.
 
-Defined cases: a null text, or one without words, has the empty set and is linked with nothing. Fewer than three words are
-one shingle. Repeated rows share a component, whose id is the smallest in it. A null id gets a null component and is kept;
+Defined cases: a null text, or one without words, has the empty set and is linked with nothing. Fewer than ``width`` words
+are one shingle. Repeated rows share a component, whose id is the smallest in it. A null id gets a null component and is kept;
 several rows of one id share their fate. Other columns are not read by ``near_groups`` and pass ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +33,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from crawlgrain.llm.common import Scratch, map_arrow, mix64, read_table, text_bytes, text_slices, words_of
 
 REGISTERS, MANTISSA = 128, 10
-BANDS = 32
-#: Links need 100 * intersection >= LEAST * union.
-LEAST = 85
-#: Pairs estimated below this are not compared; 4.7 standard deviations under the threshold. Small sets always are.
-ESTIMATE, SMALL = 0.70, 48
+#: Words of a shingle; links need 100 * intersection >= LEAST * union.
+WIDTH, LEAST = 3, 85
+#: The same for ``drop_near_copies``.
+STAGE_WIDTH, STAGE_LEAST = 5, 80
+#: Largest probability that a pair at the threshold shares no band.
+MISS = 1e-10
+#: Pairs estimated this many standard deviations under the threshold are not compared. Small sets always are.
+DEVIATIONS, SMALL = 4.75, 48
 _PROBES = 192
 _BITS = 1 << 23
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_SHORT = [np.uint64(x) for x in (0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _PROBE = np.random.default_rng(20240229).integers(0, REGISTERS, size=(_PROBES, REGISTERS))
 
 
@@ -51,20 +55,33 @@ class _WordHash(dict):
 _WORDS = _WordHash()
 
 
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+def bands_of(least: int) -> tuple[int, int]:
+    """Number of bands and registers of each: the widest that miss a pair at the threshold with at most ``MISS``."""
+    for size in range(REGISTERS, 1, -1):
+        if (1 - (least / 100) ** size) ** (REGISTERS // size) <= MISS:
+            return REGISTERS // size, size
+    return REGISTERS, 1
+
+
+def estimate_bound(least: int) -> float:
+    share = least / 100
+    return math.floor(100 * share - 100 * DEVIATIONS * math.sqrt(share * (1 - share) / REGISTERS)) / 100
+
+
+def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
+    factors = mix64(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     if len(_WORDS) > 200_000:
         _WORDS.clear()
     out = []
     for raw in texts:
         words = words_of(raw)
         h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-        if len(h) >= 3:
-            s = h[:-2] * _K[0] + h[1:-1] * _K[1] + h[2:] * _K[2]
-        elif len(h):
-            s = (h * _K[0] if len(h) == 1 else h[:1] * _K[0] + h[1:] * _K[1]) + _SHORT[len(h) - 1]
-        else:
-            s = h
+        size = min(width, len(h))
+        n = len(h) - size + 1 if size else 0
+        s = np.full(n, size, dtype=np.uint64)  # shingles of fewer words are others than those of ``width``
+        for i in range(size):
+            s += h[i : i + n] * factors[i]
         out.append(np.unique(mix64(s)))
     return out
 
@@ -112,27 +129,33 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        sets = shingle_sets(text_bytes(batch.column("text")))
-        registers = sketches(sets)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-             pa.array([r.tobytes() for r in registers], pa.binary())], ["doc_id", "n", "digest", "sketch"])
-    _WORDS.clear()
+def _sketch(width: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            sets = shingle_sets(text_bytes(batch.column("text")), width)
+            registers = sketches(sets)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                 pa.array([r.tobytes() for r in registers], pa.binary())], ["doc_id", "n", "digest", "sketch"])
+        _WORDS.clear()
+
+    return work
+
 
+def _near(bound: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
+            small = np.asarray(batch.column("least")) < SMALL
+            yield batch.select(["a", "b"]).filter(pa.array((estimate(a, b) >= bound) | small))
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-        small = np.asarray(batch.column("least")) < SMALL
-        yield batch.select(["a", "b"]).filter(pa.array((estimate(a, b) >= ESTIMATE) | small))
+    return work
 
 
-def _sets_of(bits):
+def _sets_of(bits, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in text_slices(batches):
@@ -141,7 +164,7 @@ def _sets_of(bits):
             hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             if hit.any():
                 part = batch.filter(pa.array(hit))
-                sets = shingle_sets(text_bytes(part.column("text")))
+                sets = shingle_sets(text_bytes(part.column("text")), width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  ["node", "set"])
         _WORDS.clear()
@@ -149,16 +172,19 @@ def _sets_of(bits):
     return work
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            linked.append(100 * common >= LEAST * (len(both) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+def _confirm(least: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = np.concatenate((x, y))
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                linked.append(100 * common >= least * (len(both) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return work
 
 
 def _id_bits(ids: DataFrame) -> bytes:
@@ -197,38 +223,41 @@ def components(links: DataFrame, work: Scratch, name: str) -> DataFrame:
 class _Linker:
     """Confirms candidate pairs of representatives against the texts."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, work: Scratch):
-        self.texts, self.reps, self.work = docs.select("doc_id", "text"), reps, work
+    def __init__(self, docs: DataFrame, reps: DataFrame, work: Scratch, width: int, least: int):
+        self.texts, self.reps, self.work, self.width, self.least = docs.select("doc_id", "text"), reps, work, width, least
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         bits = nodes.sparkSession.sparkContext.broadcast(_id_bits(nodes))
-        found = map_arrow(self.texts, _sets_of(bits), "node long, set binary")
+        found = map_arrow(self.texts, _sets_of(bits, self.width), "node long, set binary")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {LEAST} * greatest(na, nb)").select(
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {self.least} * greatest(na, nb)").select(
             "a", "b", F.least("na", "nb").alias("least"), "sa", "sb")
-        near = self.work.write(map_arrow(both, _near, "a long, b long"), f"{name}-near")
+        near = self.work.write(map_arrow(both, _near(estimate_bound(self.least)), "a long, b long"), f"{name}-near")
         sets = self.work.write(self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()), f"{name}-sets")
         full = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-        links = self.work.write(map_arrow(full, _confirm, "a long, b long"), f"{name}-confirmed")
+        links = self.work.write(map_arrow(full, _confirm(self.least), "a long, b long"), f"{name}-confirmed")
         self.work.drop(f"{name}-near", f"{name}-sets")
         return links
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
+def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
+
+    Shingles are of ``width`` words; texts are linked from a similarity of ``least`` hundredths on.
+    """
     work = Scratch(docs.sparkSession, "near-dedup")
-    found = work.write(map_arrow(docs.select("doc_id", "text"), _sketch,
+    found = work.write(map_arrow(docs.select("doc_id", "text"), _sketch(width),
                                  f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, sketch binary"), "sketches")
     smallest = work.write(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").cast("long").alias("node")), "smallest")
     reps = work.write(found.withColumn("node", F.col("doc_id").cast("long")).join(smallest, ["digest", "node"]).select("node", "n", "sketch"), "reps")
-    width = 2 * REGISTERS // BANDS
-    keys = reps.selectExpr("node", f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, {width} * i + 1, {width})))) AS key")
+    bands, size = bands_of(least)
+    keys = reps.selectExpr("node", f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sketch, {2 * size} * i + 1, {2 * size})))) AS key")
     keys = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").join(keys, "key")
     keys = work.write(keys.select("key", "node", "lo", "hi"), "keys")
-    linker = _Linker(docs, reps, work)
+    linker = _Linker(docs, reps, work, width, least)
     pairs = keys.selectExpr("lo AS a", "node AS b").union(keys.selectExpr("node AS a", "hi AS b")).where("a < b").distinct()
     links = linker.confirm(pairs, "first")
     labels = components(links, work, "first")
@@ -241,20 +270,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = open_rows.select("node", "label").distinct()
     grams = linker.sets(nodes.select("node")).selectExpr("node", f"explode({_longs_sql('set')}) AS gram")
     grams = work.write(grams, "grams")
-    # Prefix filter: of two linked sets, the rarest shingles up to n - 0.85 n + 1 have one in common, and behind the first
+    # Prefix filter: of two linked sets, the rarest shingles up to n - least n + 1 have one in common, and behind the first
     # common one enough must be left. Shingles of one text count in the place of the others and match nothing.
     ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("texts")), "gram").withColumn(
         "place", F.row_number().over(Window.partitionBy("node").orderBy("texts", "gram")))
     rows = ranked.where("texts > 1").join(nodes, "node").join(reps.select("node", "n"), "node").where(
-        f"place <= n - ({LEAST} * n + 99) DIV 100 + 1").select("gram", "node", "label", "n", "place")
+        f"place <= n - ({least} * n + 99) DIV 100 + 1").select("gram", "node", "label", "n", "place")
     rows = work.write(rows, "rows")
     work.drop("grams", "open")
     mixed = rows.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("gram")
     rows = rows.join(mixed, "gram")
     side = lambda x: rows.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "place")])
     more = side("a").join(side("b"), "gram").where(
-        f"node_a < node_b AND label_a != label_b AND 100 * least(n_a, n_b) >= {LEAST} * greatest(n_a, n_b) "
-        f"AND {100 + LEAST} * (1 + least(n_a - place_a, n_b - place_b)) >= {LEAST} * (n_a + n_b)"
+        f"node_a < node_b AND label_a != label_b AND 100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b) "
+        f"AND {100 + least} * (1 + least(n_a - place_a, n_b - place_b)) >= {least} * (n_a + n_b)"
     ).selectExpr("node_a AS a", "node_b AS b").distinct()
     later = linker.confirm(more, "second")
     work.drop("rows")
@@ -275,11 +304,11 @@ def _longs_sql(column: str) -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read_table(spark, sf_dir, "documents"))
+    return near_groups(read_table(spark, sf_dir, "documents"), WIDTH, LEAST)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without those in the group of a smaller id; of several rows of one id and group, one stays."""
-    groups = near_groups(docs)
+    groups = near_groups(docs, STAGE_WIDTH, STAGE_LEAST)
     dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

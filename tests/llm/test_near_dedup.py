@@ -101,3 +101,34 @@ def test_components_of_a_long_chain(spark, docs_of):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 105)], "a long, b long")
     got = {r.node: r.label for r in N.components(links, Scratch(spark, "test"), "chain").collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 105: 100}
+
+
+def brute_stage(rows, words=5, least=80):
+    """Ids that stay: the smallest of each component over links of ``words``-word shingles."""
+    cut = lambda w: {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    sets = [(i, cut((t or "").encode().lower().split())) for i, t in rows]
+    label = {i: i for i, _ in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if x and y and 100 * len(x & y) >= least * len(x | y):
+                u, v = find(a), find(b)
+                label[max(u, v)] = min(u, v)
+    return sorted(i for i in label if find(i) == i)
+
+
+def test_the_stage_links_five_words_at_four_fifths(docs_of):
+    """Copies that differ by one block are linked at five words and 0.8, though not at three words and 0.85."""
+    rows = [(i, t) for i, t in sample(11) if i < 500]
+    base = [f"q{k}" for k in range(100)]
+    rows += [(500, " ".join(base)), (501, " ".join([*base, *(f"z{k}" for k in range(20))])), (502, " ".join(base[:60])),
+             (503, "one two three"), (504, "ONE two three"), (505, "one two three four"), (506, None), (507, "")]
+    stays = [r.doc_id for r in N.drop_near_copies(docs_of(*rows)).collect()]
+    assert sorted(stays) == brute_stage(rows)
+    assert 500 in stays and 501 not in stays
+    assert {501} <= {r.doc_id for r in N.near_groups(docs_of(*rows)).collect() if r.kept}

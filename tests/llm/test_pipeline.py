@@ -68,3 +68,19 @@ def test_registered():
     assert "pipeline" in found and "pipeline" not in E.oracle_sql()
     assert [n for n, _ in C.STAGES] == ["language_id", "near_dedup", "decontaminate", "pii", "bpe"]
     assert C.STAGES[-1][1] is C.encode and bpe.digests
+
+
+def test_clean_documents_stay_by_five_words(spark):
+    """The stage's own groups decide, not those of op1."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    cut = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in texts.items()}
+    group = {i: i for i in texts}
+    for i in sorted(cut):
+        for j in sorted(cut):
+            if i < j and cut[i] and 100 * len(cut[i] & cut[j]) >= 80 * len(cut[i] | cut[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    kept = {r.doc_id for r in near_dedup.drop_near_copies(docs).collect()}
+    assert kept == {i for i, g in group.items() if i == g}
