@@ -1,7 +1,7 @@
 """Personal data: pattern spans, and terms that give protected values away by what the corpus says about them.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each value found is a protected entity.
-Terms (runs of letters) near an entity are counted over the corpus: of the documents that hold a term, the share in which
+Terms (runs of letters, of any length) near an entity are counted over the corpus: of the documents that hold a term, the share in which
 it stands near the entity is its disclosure, and its logarithm over the entity's own share the information in bits. Terms
 whose disclosure, information and number of different contexts reach the thresholds become spans wherever they occur;
 ``sanitise`` removes the strongest and replaces the others, and the base spans, by their kind.
@@ -29,7 +29,6 @@ from crawlgrain.llm.common import Scratch, map_arrow, read_table, text_slices
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of a span that count as near it.
 NEAR = 8
-LEAST_LETTERS = 4
 #: Least share of a term's documents, bits of information and different contexts for a term to reveal an entity.
 DISCLOSURE, BITS, CONTEXTS = 0.5, 4.0, 3
 #: From this disclosure on a term is removed; below it is replaced by its kind.
@@ -95,10 +94,15 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
 
 
 def _terms_around(text: str, start: int, end: int) -> list[str]:
-    """The ``NEAR`` words before and after a span, as terms."""
-    before = text[max(0, start - 64 * NEAR) : start].split()[-NEAR:]
-    after = text[end : end + 64 * NEAR].split()[:NEAR]
-    return [t.lower() for t in _TERM.findall(" ".join(before + after)) if len(t) >= LEAST_LETTERS]
+    """The ``NEAR`` words before and after a span, as terms; words are what blanks separate, however long."""
+    size = 64 * NEAR
+    # One word more than wanted, or the text's end, shows that no wanted word is cut.
+    while len(before := text[max(0, start - size) : start].split()) <= NEAR and size < start:
+        size *= 2
+    size = 64 * NEAR
+    while len(after := text[end : end + size].split()) <= NEAR and end + size < len(text):
+        size *= 2
+    return [t.lower() for t in _TERM.findall(" ".join(before[-NEAR:] + after[:NEAR]))]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +153,7 @@ def _count_terms(bits):
         for batch in text_slices(batches):
             counts: dict[str, int] = {}
             for text in batch.column("text").to_pylist():
-                for term in {t.lower() for t in set(_TERM.findall(text or "")) if len(t) >= LEAST_LETTERS}:
+                for term in {t.lower() for t in set(_TERM.findall(text or ""))}:
                     if term in table:
                         counts[term] = counts.get(term, 0) + 1
             yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -187,7 +191,7 @@ def _find(bits):
                 text = text or ""
                 own = base_spans(text)
                 spans.append([dict(zip(("start", "kind", "stop"), x, strict=True)) for x in own])
-                words = {t for t in set(_TERM.findall(text)) if len(t) >= LEAST_LETTERS and t.lower() in table}
+                words = {t for t in set(_TERM.findall(text)) if t.lower() in table}
                 found = []
                 if words:
                     for m in _TERM.finditer(text):

@@ -93,3 +93,20 @@ def test_overlapping_spans_are_replaced_once():
 
 def test_no_documents(spark, table):
     assert P.op4_pii(spark, table()).collect() == []
+
+
+@pytest.mark.parametrize("name", ["Li", "Kim", "李明"])
+def test_short_names_reveal_their_address(spark, docs_of, name):
+    rows = [(k, t.replace("Zyxwort", name).replace("zyxwort", name)) for k, t in corpus()]
+    found = P.revealing_terms(docs_of(*rows), Scratch(spark, "test")).collect()
+    assert [(r.term, r.entity) for r in found] == [(name.lower(), "email:j.doe@example.org")]
+
+
+def test_near_words_are_counted_whatever_their_length():
+    rng = random.Random(4)
+    for _ in range(300):
+        before, after = (["".join(rng.choices("abcdé", k=rng.choice([1, 3, 90, 700]))) for _ in range(rng.randint(0, 12))] for _ in "ab")
+        left, right = " ".join(before), "\n".join(after)
+        text = f"{left} a@b.cc {right}"
+        start = len(left) + 1
+        assert P._terms_around(text, start, start + 6) == before[-8:] + after[:8]
