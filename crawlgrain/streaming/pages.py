@@ -23,9 +23,13 @@ def page_stream(spark: SparkSession, in_dir: str, file_filter: str = "*.parquet"
 
 
 def first_of_each_url(pages: DataFrame) -> DataFrame:
-    """One page per url, that of the smallest id. Ids and urls are compared without html."""
-    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")
-    return pages.join(chosen, "page_id", "left_semi")
+    """One page per url, that of the smallest id. Ids and urls are compared without html.
+
+    Pages without a url share no cache key, and pages without an id are no later than others: all of them stay.
+    """
+    ids = pages.select("url", "page_id").where("url IS NOT NULL AND page_id IS NOT NULL")
+    later = ids.join(ids.groupBy("url").agg(F.min("page_id").alias("first")), "url").where("page_id > first").select("url", "page_id")
+    return pages.join(later, ["url", "page_id"], "left_anti")
 
 
 def stream_analyze(pages: DataFrame, out_dir: str, checkpoint: str, clock: Callable[[], float],

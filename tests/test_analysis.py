@@ -236,3 +236,14 @@ def test_page_stream_uses_its_clock_and_context_and_compacts(spark, tmp_path, mo
     got = spark.read.parquet(f"{out}/analysis").select("batch", "page_id", "analysis").collect()
     assert sorted((r.batch, r.page_id) for r in got) == [(0, 1), (1, 2), (2, 3), (3, 1), (4, 2)]
     assert all('"robots_txt":"all welcome"' in r.analysis for r in got)
+
+
+def test_page_stream_keeps_pages_without_url_or_id(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(1, None, "<p>a</p>"), (2, None, "<p>b</p>"), (3, "u3", "<p>c</p>"), (4, "u3", "<p>d</p>"), (None, "u5", "<p>e</p>"), (None, None, "<p>f</p>")]
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(PAGES).parquet(source)
+    page_streams.stream_analyze(stream, out, str(tmp_path / "checkpoint"), clock=lambda: 5.0).awaitTermination()
+    got = spark.read.parquet(f"{out}/analysis").select("page_id", "url")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, None), (2, None), (3, "u3"), (None, "u5"), (None, None)], key=repr)
+    assert spark.read.parquet(f"{out}/cache").count() == 5
