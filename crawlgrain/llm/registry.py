@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlgrain.llm import bpe, decontaminate, language_id, licenses, near_dedup, pii, quality, repeated_bytes, token_files, url_filter
+from crawlgrain.llm import (
+    bpe, decontaminate, divergence, fim, language_id, licenses, mixing, near_dedup, pii, quality, repeated_bytes, token_files, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -19,10 +21,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_bytes": repeated_bytes.op8_repeated_bytes,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_fim": fim.op13_fim,
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": url_filter.oracle(),
     "op7_licenses": licenses.oracle(),
     "op9_quality": quality.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_fim": fim.ORACLE,
 }
