@@ -849,8 +849,18 @@ states AS (SELECT q.request_id,
   FROM (SELECT DISTINCT request_id FROM stage_events) q)"""
 STATE_COLUMNS = ("request_id, status, current_stage, round(CAST(progress AS DOUBLE), 6) AS progress, n_stages, message, "
                  "error, first_started, last_ended")
-ALIVE = (f"NOT (n_stages > 0 AND first_started < {STATUS_NOW} - 300) AND NOT coalesce(n_stages > 0 AND "
-         f"status IN ('completed', 'failed') AND last_ended < {STATUS_NOW} - 60, FALSE)")
+
+
+def alive(now: str) -> str:
+    return (f"NOT (n_stages > 0 AND first_started < {now} - 300) AND NOT coalesce(n_stages > 0 AND "
+            f"status IN ('completed', 'failed') AND last_ended < {now} - 60, FALSE)")
+
+
+ALIVE = alive(str(STATUS_NOW))
+
+
+WATERMARK = "(SELECT max(ts_s) - 3600 FROM stage_events)"
+SESSIONS = "sessions AS (SELECT * REPLACE (event_id // 1000 * 1000000 + request_id AS request_id) FROM stage_events)"
 
 
 def status_queries() -> dict[str, str]:
@@ -860,6 +870,7 @@ def status_queries() -> dict[str, str]:
     return {
         "stage_state": all_states,
         "stream_stage_status": states + f" SELECT {STATE_COLUMNS} FROM states WHERE coalesce({ALIVE}, TRUE)",
+        "stream_status_expiry": over("stage_events") + f", {SESSIONS}," + EVENTS_IN_ORDER.replace("stage_events", "sessions") + f" SELECT {STATE_COLUMNS} FROM states WHERE coalesce({alive(WATERMARK)}, TRUE)",
         "stage_entries": states + " SELECT * FROM entries",
         "status_expiry": states + f" SELECT {STATE_COLUMNS} FROM states WHERE coalesce({ALIVE}, TRUE)",
         "latest_status": over("stage_events") + """SELECT l.doc_id AS request_id, max_by(stage, event_id) AS stage,

@@ -521,6 +521,18 @@ def stream_stage_status(t):
     return _rounded(stages.stored_status(t.spark, run, f"{work}/state"))
 
 
+@query
+def stream_status_expiry(t):
+    """Statuses that the stream itself has not removed once its watermark is an hour behind the last event. A request is
+    what a user does within a thousand events."""
+    work = new_folder(t.spark, "expiry-stream")
+    schema = t.events.select("event_id", "user_id", "event_type", "props").schema
+    raw = stages.stage_event_stream(t.spark, t.folder, schema, "events.parquet")
+    events = stages.as_stage_events(raw).withColumn("request_id", F.expr("event_id div 1000 * 1000000 + request_id"))
+    run = _finish(stages.stream_stages(events, f"{work}/state", f"{work}/checkpoint", late="1 hour"))
+    return _rounded(stages.stored_status(t.spark, run, f"{work}/state"))
+
+
 @query
 def stream_page_analysis(t):
     work = new_folder(t.spark, "page-stream")

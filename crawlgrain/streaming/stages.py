@@ -1,62 +1,214 @@
-"""Live stage status: a stream of stage events folded into a small status table.
+"""Live stage status as keyed state.
 
-Each micro-batch is reduced to mergeable facts (``operators.status``), merged with the stored facts and written as
-a new version. The batch id picks one of ``VERSIONS`` folders, so a retried batch reads the previous version again and
-overwrites its own, and a reader has as many batches' time. Facts hold one row per request and stage; with a clock,
-requests past their lifetime leave the table, so a version holds the running requests of some minutes.
+Events are folded to mergeable facts (``operators.status``) per request, stage and minute in the map tasks, so a request with
+very many events sends a few rows a task. The state of a request is a map from stage to facts in RocksDB, which logs what a
+batch changes: a batch reads and writes the requests it names and no others. The status of all requests is read from the
+state of the last finished batch (``read_status``); the requests that a batch touched are written beside it.
+
+With ``late``, event time rules: events behind the watermark no longer count and are counted as late, and a timer per request
+removes it when its status runs out by the watermark, also when it stays silent. Without it nothing is late and every request
+stays; ``now``, the reader's clock, then hides those that have run out.
+
+Defined cases: events without a stage or request are a stage or request of their own. An event without a time is
+never late. A request that comes again after its removal begins anew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from crawlgrain import fixed_values as V
-from crawlgrain.operators.status import expire_status, merge_facts, request_status, stage_facts
+from crawlgrain.operators.status import expire_status, request_status
+from crawlgrain.session import drop_folder, settings
+from crawlgrain.streaming import stage_fold as fold
+
+# The fold travels with the task, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(fold)
 
 EVENT_SCHEMA = (
     "event_id long, request_id long, stage string, action string, ts_s double, details string"
 )
-VERSIONS = 12
 # A stage outside the fixed order.
 EXTRA_STAGE = "website_analysis"
-
-
-def version_path(state_dir: str, batch_id: int) -> str:
-    return f"{state_dir}/version={batch_id % VERSIONS}"
-
-
-def keep_alive(facts: DataFrame, now: float | None) -> DataFrame:
-    """Facts of requests whose status has not run out."""
-    if now is None:
-        return facts
-    alive = expire_status(request_status(facts), now).select("request_id")
-    return facts.join(alive, "request_id", "left_semi")
-
-
-def stream_stages(events: DataFrame, state_dir: str, checkpoint: str, now=None, **trigger) -> StreamingQuery:
-    """Fold stage events into ``state_dir``. ``now(batch_id)``, if given, is the clock used to expire requests."""
+# Batches whose touched requests stay readable.
+KEPT_CHANGES = 100
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+LIFETIMES = (tuple(V.FINAL_STAGES), float(V.STATUS_SECONDS), float(V.FINISHED_STATUS_SECONDS))
+
+
+class StageStream:
+    """A running stream of stage events; everything else is as in the query it holds."""
+
+    def __init__(self, query: StreamingQuery, checkpoint: str, now: Callable[[int], float] | None):
+        self.query, self.checkpoint, self.now = query, checkpoint, now
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
+
+    def counts(self) -> dict[str, int]:
+        """Events seen and taken into the state, those too late for it, and requests removed, over the recent batches."""
+        total = dict.fromkeys(("seen", "taken", "removed"), 0)
+        for progress in self.query.recentProgress:
+            metrics = progress.observedMetrics
+            for name, source in (("seen", "stage_input"), ("taken", "stage_output"), ("removed", "stage_output")):
+                total[name] += (metrics[source][name] or 0) if source in metrics else 0
+        return total | {"late": total["seen"] - total["taken"]}
+
+
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = fold.fold_events(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+            ("request_id", pa.int64()), ("stage_key", pa.string()), ("newest", pa.float64()), ("events", pa.int64()),
+            *((n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]) for n, t in fold.FIELDS)]))
+
+
+class StageKeeper(StatefulProcessor):
+    """Merges folded facts into a request's map; with lifetimes, removes the request when its status runs out."""
+
+    def __init__(self, expires: bool):
+        self.expires = expires
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._facts = handle.getMapState("facts", "stage_key string", fold.FACTS)
+        self._due = handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # Each call to the state is a round trip: the map is read once, and only touched stages are written.
+        every, events, touched = self._read(), 0, set()
+        watermark = timerValues.getCurrentWatermarkInMs() if self.expires else 0
+        if self._run_out(every, watermark):
+            yield self._remove(key)
+            every = {}
+        for row in rows:
+            # Spark itself drops what lay behind the watermark of the batch before.
+            if row["newest"] is not None and row["newest"] * 1000 < watermark:
+                continue
+            stage = row["stage_key"]
+            every[stage] = fold.merge(every.get(stage), tuple(row[n] for n, _ in fold.FIELDS))
+            touched.add(stage)
+            events += row["events"]
+        for stage in touched:
+            self._facts.updateValue((stage,), every[stage])
+        self._schedule(every)
+        yield from self._rows(key, every, events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self._run_out(self._read(), timerValues.getCurrentWatermarkInMs()):
+            yield self._remove(key)
+
+    def close(self) -> None:
+        pass
+
+    def _read(self) -> dict[str, tuple]:
+        return {k[0]: tuple(v) for k, v in self._facts.iterator()}
+
+    def _run_out(self, every: dict[str, tuple], watermark: int) -> bool:
+        due = fold.due(every, *LIFETIMES) if self.expires else None
+        return due is not None and due * 1000 < watermark
+
+    def _remove(self, key) -> Row:
+        self._facts.clear()
+        self._schedule({})
+        return Row(request_id=key[0], stage_key=None, events=0, removed=1, **dict.fromkeys(n for n, _ in fold.FIELDS))
+
+    def _schedule(self, every: dict[str, tuple]) -> None:
+        """One timer per request, at the millisecond after its status runs out."""
+        if not self.expires:
+            return
+        due = fold.due(every, *LIFETIMES)
+        at = None if due is None else math.ceil(due * 1000) + 1
+        held = self._due.get()
+        old = held[0] if held else None
+        if at == old:
+            return
+        if old is not None:
+            self._handle.deleteTimer(old)
+            self._due.clear()
+        if at is not None:
+            self._handle.registerTimer(at)
+            self._due.update((at,))
+
+    def _rows(self, key, every: dict, events: int):
+        for n, (stage, facts) in enumerate(every.items()):
+            yield Row(request_id=key[0], stage_key=stage, events=0 if n else events, removed=0,
+                      **{name: value for (name, _), value in zip(fold.FIELDS, facts, strict=True)})
+
+
+def as_facts(flat: DataFrame) -> DataFrame:
+    """Flat facts, as the state holds them, in the form of ``operators.status.stage_facts``."""
+    def entry(prefix: str, **fields: str):
+        parts = [F.col(f"{prefix}_id").alias("event_id"), *(F.col(c).alias(n) for n, c in fields.items())]
+        return F.when(F.col(f"{prefix}_id").isNotNull(), F.struct(*parts))
+
+    stage = F.when(F.col("stage_key").startswith("="), F.substring("stage_key", 2, 1 << 30))
+    return flat.select(
+        "request_id", stage.alias("stage"), entry("start", ts_s="start_ts", details="start_details").alias("first_start"),
+        "last_start", "n_starts", entry("end", ts_s="end_ts", status="end_status").alias("last_end"),
+        entry("note", details="note_details").alias("last_note"), entry("fail", details="fail_details").alias("last_fail"),
+        "last_complete")
+
+
+def stream_stages(events: DataFrame, state_dir: str, checkpoint: str, now: Callable[[int], float] | None = None,
+                  late: str | None = None, **trigger) -> StageStream:
+    """Keep the status of each request under ``checkpoint``. ``state_dir/changes/batch=n`` holds the facts of the requests
+    that batch ``n`` touched (``read_changes``) and is overwritten when the batch is retried; the last ``KEPT_CHANGES`` stay.
+
+    ``late``: how far events may lie behind the newest one, for instance ``5 minutes``. ``now(batch)``: the reader's clock."""
     spark = events.sparkSession
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        facts = stage_facts(batch)
-        if batch_id > 0:
-            stored = spark.read.schema(facts.schema).parquet(version_path(state_dir, batch_id - 1))
-            facts = merge_facts(stored.unionByName(facts))
-        facts = keep_alive(facts, now(batch_id) if now else None)
-        facts.write.mode("overwrite").parquet(version_path(state_dir, batch_id))
-
-    return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(
-        **(trigger or {"availableNow": True})).start()
-
-
-def stored_status(spark: SparkSession, query: StreamingQuery, state_dir: str) -> DataFrame:
-    """Request statuses as of the last finished batch of ``query``."""
+    folded = events.select("event_id", "request_id", "stage", "action", "ts_s", "details").mapInArrow(_fold_batches, fold.FOLDED)
+    # Spark drops what lies at the watermark, too: a microsecond keeps that, and an event at time 0.
+    timed = folded.withColumn("ts", F.timestamp_micros((F.col("newest") * 1_000_000).cast("long") + 1)).observe(
+        "stage_input", F.sum("events").alias("seen"))
+    if late:
+        timed = timed.withWatermark("ts", late)
+    kept = timed.groupBy("request_id").transformWithState(
+        StageKeeper(bool(late)), f"request_id long, stage_key string, events long, removed int, {fold.FACTS}", "Update",
+        "EventTime" if late else "None")
+    kept = kept.observe("stage_output", F.sum("events").alias("taken"), F.sum("removed").alias("removed"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Used once: a second use of the batch would run the keeper, and its state, a second time.
+        batch.write.mode("overwrite").parquet(f"{state_dir}/changes/batch={batch_id}")
+        drop_folder(spark, f"{state_dir}/changes/batch={batch_id - KEPT_CHANGES}")
+
+    with settings(spark, STATE_STORE):
+        query = kept.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+            **(trigger or {"availableNow": True})).start()
+    return StageStream(query, checkpoint, now)
+
+
+def read_status(spark: SparkSession, checkpoint: str, now: float | None = None) -> DataFrame:
+    """The status of every request in the state of the last finished batch; with ``now``, of those that have not run out."""
+    state = spark.read.format("statestore").option("stateVarName", "facts").load(checkpoint)
+    flat = state.select("key.request_id", "user_map_key.stage_key", "user_map_value.*")
+    found = request_status(as_facts(flat))
+    return found if now is None else expire_status(found, now)
+
+
+def read_changes(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame:
+    """The statuses of the requests that a batch touched, and a row with ``removed`` for each that it removed."""
+    rows = spark.read.parquet(f"{state_dir}/changes/batch={batch_id}")
+    left = request_status(as_facts(rows.where("removed = 0"))).withColumn("removed", F.lit(False))
+    return left.unionByName(rows.where("removed = 1").select("request_id", F.lit(True).alias("removed")), allowMissingColumns=True)
+
+
+def stored_status(spark: SparkSession, query: StageStream, state_dir: str) -> DataFrame:
+    """Request statuses as of the last finished batch of ``query``, by its clock if it has one."""
     progress = query.lastProgress
     if progress is None:
         raise ValueError("the stream has not finished a batch yet")
-    last = progress["batchId"]
-    return request_status(spark.read.parquet(version_path(state_dir, last)))
+    return read_status(spark, query.checkpoint, query.now(progress["batchId"]) if query.now else None)
 
 
 def stage_event_stream(spark: SparkSession, in_dir: str, schema: str, file_filter: str = "*.parquet") -> DataFrame:
