@@ -32,7 +32,7 @@ TOP_TERMS = 50
 #: Shares are whole billionths; each kept term counts ``PRIOR`` times more than it occurs.
 SCALE, PRIOR = 1_000_000_000, 5
 #: Cells of a block on average, and sources compared at once.
-BLOCK_CELLS, TILE = 400_000, 512
+BLOCK_CELLS, TILE = 20_000, 512
 # Bytes of text split at once, and counters of a task before they are sent on.
 PIECE, HELD = 1 << 20, 200_000
 # Entries of one matrix.

@@ -216,10 +216,12 @@ def place(i: Column, n: Column, seed: int, use: str, *of: Column) -> Column:
 
 
 # -- draws ---------------------------------------------------------------------------------------
-def _multinomial(seed: int, level: int):
+def _multinomial(seed: int, level: int, root: tuple[list[int], list[int]] | None):
+    """Rows of shard, node, n and, unless a ``root`` is given for all, the node's children and their quotas."""
     def work(batches):
         for batch in batches:
-            shard, node, n, child, quota = (c.to_pylist() for c in batch.columns)
+            shard, node, n, *met = (c.to_pylist() for c in batch.columns)
+            child, quota = met or ([c] * len(n) for c in root)
             out = [[], [], []]
             for s, k, count, children, weights in zip(shard, node, n, child, quota, strict=True):
                 weights = np.array(weights, dtype=float)
@@ -247,10 +249,14 @@ def draw(planned: DataFrame, slots: int, shard_slots: int = SHARD_SLOTS, seed: i
         sums = planned.where("quota > 0").groupBy(child.alias("child")).agg(F.sum("quota").alias("quota"))
         children = F.sort_array(F.collect_list(F.struct("child", "quota")))
         nodes = sums.groupBy(F.call_function("div", F.col("child"), F.lit(fan_out)).alias("node")).agg(children.alias("c"))
-        # The root is one row of at most ``fan_out`` numbers; further down shards meet their nodes by key.
-        nodes = F.broadcast(nodes) if level == levels - 1 else nodes
-        met = rows.join(nodes, "node").select("shard", "node", "n", F.col("c.child").alias("child"), F.col("c.quota").alias("quota"))
-        rows = map_arrow(met, _multinomial(seed, level), "shard long, node long, n long")
+        nodes = nodes.select("node", F.col("c.child").alias("child"), F.col("c.quota").alias("quota"))
+        # The root has at most ``fan_out`` children and travels with the task; further down shards meet their nodes by key.
+        root = None
+        if level == levels - 1:
+            first = nodes.first()
+            root = (first.child, first.quota) if first else ([], [])
+        met = rows if root else rows.join(nodes, "node").select("shard", "node", "n", "child", "quota")
+        rows = map_arrow(met, _multinomial(seed, level, root), "shard long, node long, n long")
     return rows.withColumnRenamed("node", "src")
 
 
