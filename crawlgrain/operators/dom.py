@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from crawlgrain.functions import dom_kernel
 from crawlgrain.functions import nodes as N
-from crawlgrain.functions.sql import counted_runs, let, struct
+from crawlgrain.functions.sql import counted_runs, let, lit, struct
 
 # The kernel travels with the task, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(dom_kernel)
@@ -68,19 +68,29 @@ def with_children(dom: DataFrame) -> DataFrame:
 
 
 def has_ancestor(dom: DataFrame, node: Callable[[str], str], ancestor: Callable[[str], str]) -> DataFrame:
-    """Interval semi-join inside the page: nodes passing ``node`` below a node passing ``ancestor``.
+    """Interval semi-join inside the page: nodes passing ``node`` below a node passing ``ancestor``."""
+    return dom.selectExpr("page_id", f"inline({_below(node, ancestor)})")
 
-    A node lies below such an ancestor if the furthest end of those before it reaches it: one running maximum over the
-    two kinds of nodes in document order, however many there are of each."""
-    marked = f"transform(filter(nodes, n -> {node('n')} OR {ancestor('n')}), n -> {struct(n='n', hit=node('n'), reach=_reach(ancestor))})"
-    rows = dom.selectExpr("page_id", f"inline({marked})")
-    before = Window.partitionBy("page_id").orderBy("n.node_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("furthest", F.max("reach").over(before))
-    return found.where("hit AND furthest >= n.node_id").select("page_id", "n.*")
 
+def has_ancestors(dom: DataFrame, rules: dict[str, tuple[Callable[[str], str], Callable[[str], str]]]) -> DataFrame:
+    """Several such rules in one pass over the pages: page_id, rule and the nodes that pass it."""
+    found = ", ".join(f"transform({_below(*tests)}, n -> {struct(rule=lit(rule), n='n')})" for rule, tests in rules.items())
+    return dom.selectExpr("page_id", f"inline(concat({found}))").select("page_id", "rule", "n.*")
 
-def _reach(ancestor: Callable[[str], str]) -> str:
-    return f"CASE WHEN {ancestor('n')} THEN n.subtree_end END"
+
+def _below(node: Callable[[str], str], ancestor: Callable[[str], str]) -> str:
+    """The nodes of a row that pass ``node`` and lie in the subtree of one that passes ``ancestor``.
+
+    A node lies in as many subtrees as have begun before it and not ended before it. Sorted in between the beginnings, and in
+    between the ends, the k-th hit stands at k plus their number, so two sorts within the row answer it for all hits."""
+    def places(at: str) -> str:
+        hits = f"transform(hits, n -> {struct(pos='n.node_id', of='0')})"
+        others = f"transform(above, n -> {struct(pos=at, of='1')})"
+        return f"filter(transform(sort_array(concat({hits}, {others})), (x, i) -> CASE WHEN x.of = 0 THEN i END), i -> i IS NOT NULL)"
+
+    inside = f"transform(hits, (n, k) -> {struct(n='n', inside='get(begun, k) > get(ended, k)')})"
+    body = let("begun", places("n.node_id"), let("ended", places("n.subtree_end"), f"transform(filter({inside}, x -> x.inside), x -> x.n)"))
+    return let("hits", f"filter(nodes, n -> {node('n')})", let("above", f"filter(nodes, n -> {ancestor('n')})", body))
 
 
 def sibling_position(nodes: DataFrame) -> DataFrame:

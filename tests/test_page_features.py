@@ -1,5 +1,8 @@
 """Thresholds, order and ties of the page features."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +126,55 @@ def test_has_ancestor(dom_of):
     assert [r.node_id for r in hits.orderBy("node_id").collect()] == [2, 5]
 
 
+def below(dom):
+    """Ids of ``a`` nodes below a ``ul`` or ``.pages``, by walking up from each."""
+    nodes = dom.first().nodes
+    up = lambda n: [] if n.parent_id < 0 else [nodes[n.parent_id], *up(nodes[n.parent_id])]
+    return [n.node_id for n in nodes if n.tag == "a" and any(p.tag == "ul" or "pages" in p.classes for p in up(n))]
+
+
+A, LIST, PAGED = (lambda n: f"{n}.tag = 'a'"), (lambda n: f"{n}.tag = 'ul'"), (lambda n: f"array_contains({n}.classes, 'pages')")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_has_ancestor_equals_a_walk(dom_of, seed):
+    rng = random.Random(seed)
+    html = "".join(rng.choice(["<ul>", "</ul>", "<a>", "</a>", "<div class=pages>", "</div>", "<p>", "</p>"]) for _ in range(80))
+    dom = dom_of(html)
+    hits = D.has_ancestor(dom, A, lambda n: f"({LIST(n)} OR {PAGED(n)})")
+    assert [r.node_id for r in hits.orderBy("node_id").collect()] == below(dom)
+
+
+def test_has_ancestor_with_repeated_and_null_page_ids(spark):
+    rows = [(1, "u", "<div><p><i></i></p><a>x</a></div>"), (1, "u", "<ul><li></li><li></li><li></li><li></li></ul>"),
+            (None, "u", "<ul><a>in</a></ul>"), (None, "u", "<a>out</a>")]
+    dom = D.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = D.has_ancestor(dom, A, LIST).collect()
+    assert [(r.page_id, r.node_id) for r in got] == [(None, 1)]
+
+
+def test_several_ancestor_rules_in_one_pass(dom_of):
+    dom = dom_of("<ul><a>1</a><div class=pages><a>2</a></div></ul><a>3</a>")
+    found = D.has_ancestors(dom, {"list": (A, LIST), "paged": (A, PAGED), "none": (PAGED, PAGED)})
+    assert sorted((r.rule, r.node_id) for r in found.collect()) == [("list", 1), ("list", 3), ("paged", 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_has_ancestor_grows_with_the_nodes(dom_of):
+    def seconds(n):
+        dom = dom_of("<ul><li><a>x</a></li></ul>" * n)
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert D.has_ancestor(dom, A, LIST).count() == n
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    seconds(500)
+    assert seconds(8000) < 2.5 * seconds(4000) + 0.3
+
+
 def test_element_text(dom_of):
     got = rows(D.node_text(dom_of("<div> a <b>b</b><script>c</script></div>"), tags=["div", "script"]), "node_id")
     assert got == [(1, 0, "div", " a b", "a b"), (1, 2, "script", "c", "c")]
