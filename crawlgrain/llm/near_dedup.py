@@ -16,7 +16,8 @@ and 0.85, the pipeline's stage five words and 0.8.
 
 Defined cases: a null text, or one without words, has the empty set and is linked with nothing. Fewer than ``width`` words
 are one shingle. Repeated rows share a component, whose id is the smallest in it. A null id gets a null component and is kept;
-several rows of one id share their fate. Other columns are not read by ``near_groups`` and pass ``drop_near_copies``.
+rows of one id that share their shingles are one class. A very long text is one set, hashed in its task. An empty table gives no
+rows. Other columns are not read by ``near_groups`` and pass ``drop_near_copies``, which tells rows of one id apart by their text.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ STAGE_WIDTH, STAGE_LEAST = 5, 80
 MISS = 1e-10
 #: Pairs estimated this many standard deviations under the threshold are not compared. Small sets always are.
 DEVIATIONS, SMALL = 4.75, 48
+# A column beside those of the documents.
+_HASH = "_hash_of_text"
 _PROBES = 192
 _BITS = 1 << 23
 _PROBE = np.random.default_rng(20240229).integers(0, REGISTERS, size=(_PROBES, REGISTERS))
@@ -135,9 +138,9 @@ def _sketch(width: int):
             sets = shingle_sets(text_bytes(batch.column("text")), width)
             registers = sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.array([r.tobytes() for r in registers], pa.binary())], ["doc_id", "n", "digest", "sketch"])
+                 pa.array([r.tobytes() for r in registers], pa.binary())], ["doc_id", "text_hash", "n", "digest", "sketch"])
         _WORDS.clear()
 
     return work
@@ -248,9 +251,15 @@ def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Data
 
     Shingles are of ``width`` words; texts are linked from a similarity of ``least`` hundredths on.
     """
+    return _grouped_rows(docs, width, least).drop("text_hash", "digest")
+
+
+def _grouped_rows(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """The rows of ``near_groups`` with a hash of the text and the digest of the shingle set."""
     work = Scratch(docs.sparkSession, "near-dedup")
-    found = work.write(map_arrow(docs.select("doc_id", "text"), _sketch(width),
-                                 f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, sketch binary"), "sketches")
+    found = work.write(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), _sketch(width),
+                                 f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n long, digest binary, sketch binary"),
+                       "sketches")
     smallest = work.write(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").cast("long").alias("node")), "smallest")
     reps = work.write(found.withColumn("node", F.col("doc_id").cast("long")).join(smallest, ["digest", "node"]).select("node", "n", "sketch"), "reps")
     bands, size = bands_of(least)
@@ -293,8 +302,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Data
     final = smallest.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("node")).join(
         top, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     own = F.col("doc_id").cast("long")
-    return found.select("doc_id", "n", "digest").join(final, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"),
+    return found.select("doc_id", "text_hash", "n", "digest").join(final, "digest", "left").select(
+        "doc_id", "text_hash", "digest", F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"),
         own.eqNullSafe(F.coalesce("component_id", own)).alias("kept"))
 
 
@@ -308,7 +317,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without those in the group of a smaller id; of several rows of one id and group, one stays."""
-    groups = near_groups(docs, STAGE_WIDTH, STAGE_LEAST)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without those in the group of a smaller id. Of rows with one id and the same shingles one stays; rows of that id
+    with other texts have their own fate. Rows without words or id all stay."""
+    work = Scratch(docs.sparkSession, "near-copies")
+    rows = work.write(_grouped_rows(docs, STAGE_WIDTH, STAGE_LEAST).select("doc_id", "text_hash", "digest", "kept", "n_shingles"), "rows")
+    gone = rows.where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    again = rows.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(
+        F.min("text_hash").alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    other = rows.join(again, ["doc_id", "digest"]).where("text_hash != best").select("doc_id", "text_hash").distinct()
+    hashed = docs.withColumn(_HASH, F.xxhash64("text"))
+    left = hashed.join(gone.unionByName(other).withColumnRenamed("text_hash", _HASH), ["doc_id", _HASH], "left_anti")
+    # Only the few rows that still occur more than once are compared as whole rows.
+    twice = again.select("doc_id", F.col("best").alias(_HASH)).distinct()
+    one = left.join(twice, ["doc_id", _HASH], "left_semi").dropDuplicates(["doc_id", _HASH])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return left.join(twice, ["doc_id", _HASH], "left_anti").select(*columns).unionByName(one.select(*columns))
