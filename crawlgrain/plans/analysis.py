@@ -10,6 +10,7 @@ from crawlgrain.functions.sql import struct
 from crawlgrain.operators import page_features as P
 from crawlgrain.operators import selectors as S
 from crawlgrain.operators.cache import cache_key, fresh_cache
+from crawlgrain.operators.cache_store import CacheStore
 from crawlgrain.operators.context import HEADER_COLUMNS, api_calls, header_table, load_metrics, with_robots
 from crawlgrain.operators.dom import parse_pages
 from crawlgrain.operators.language import language_of
@@ -164,20 +165,25 @@ def _with_network(df, resources, navigation):
     return df.join(metrics, "page_id", "left").withColumn("performance_metrics", F.when(F.col("m").isNotNull(), metric))
 
 
-def analyze_incremental(pages: DataFrame, cache: DataFrame, now: float, **context) -> DataFrame:
+def analyze_incremental(pages: DataFrame, cache: DataFrame | CacheStore, now: float, **context) -> DataFrame:
     """page_id, url, origin and analysis (JSON) of every page: the stored analysis where the cache has a fresh entry
     (origin 'cache'), else a new one ('fresh'), so only pages without an entry are parsed.
 
-    ``cache`` may hold its analyses in a column ``analysis``; without one, hits carry null. The narrow side of both joins
-    is the live keys of the cache, and the strategy is left to adaptive execution: a page table and a cache bucketed by
-    key (``write_cache``) need no shuffle of html.
+    ``cache`` may hold its analyses in a column ``analysis``; without one, hits carry null. Hits are joined on narrow rows. To
+    leave the misses, html meets the live keys: with a table as cache that join, and whether html is shuffled for it, is left to
+    adaptive execution. With a ``CacheStore`` and pages bucketed as it is (``bucket_pages``), both lie in the same buckets: no
+    html is shuffled or sorted.
     """
-    stored = F.col("analysis") if "analysis" in cache.columns else F.lit(None).cast("string")
-    live = fresh_cache(cache, now).select("cache_key", stored.alias("analysis"))
-    keyed = pages.withColumn("cache_key", cache_key(F.col("url")))
-    hits = keyed.select("page_id", "url", "cache_key").join(live, "cache_key").select(
+    keyed = pages if "cache_key" in pages.columns else pages.withColumn("cache_key", cache_key(F.col("url")))
+    small = lambda df: df.hint("shuffle_hash") if isinstance(cache, CacheStore) else df
+    if isinstance(cache, CacheStore):
+        live = cache.fresh(now).select("cache_key", "analysis")
+    else:
+        stored = F.col("analysis") if "analysis" in cache.columns else F.lit(None).cast("string")
+        live = fresh_cache(cache, now).select("cache_key", stored.alias("analysis"))
+    hits = live.join(small(keyed.select("page_id", "url", "cache_key")), "cache_key").select(
         "page_id", "url", F.lit("cache").alias("origin"), "analysis")
-    misses = keyed.join(live.select("cache_key"), "cache_key", "left_anti").drop("cache_key")
+    misses = keyed.join(small(live.select("cache_key")), "cache_key", "left_anti").drop("cache_key")
     return hits.unionByName(as_stored(analyze_pages(misses, **context)).withColumn("origin", F.lit("fresh")))
 
 

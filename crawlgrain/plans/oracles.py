@@ -423,6 +423,10 @@ def source_queries() -> dict[str, str]:
             WHERE readable AND {AGE} < 86400""",
         "cache_upsert": over("analysis_cache", "analysis_cache_new") + f"""SELECT {CACHE} FROM (SELECT * FROM analysis_cache
             UNION ALL SELECT * FROM analysis_cache_new) QUALIFY {NEWEST}""",
+        "cache_store_upsert": over("analysis_cache", "analysis_cache_new") + f"""SELECT {CACHE} FROM (SELECT * FROM analysis_cache
+            UNION ALL SELECT * FROM analysis_cache_new) QUALIFY {NEWEST}""",
+        "cache_store_fresh": over("analysis_cache") + f"""SELECT {CACHE} FROM (SELECT * FROM analysis_cache QUALIFY {NEWEST})
+            WHERE readable AND {AGE} < 86400""",
         "cache_clear_urls": over("analysis_cache", "analysis_cache_new") + f"""SELECT {CACHE} FROM analysis_cache c
             WHERE NOT EXISTS (SELECT 1 FROM analysis_cache_new n WHERE n.url = c.url)""",
         "cache_expire_kept": over("analysis_cache") + f"SELECT {CACHE} FROM analysis_cache WHERE NOT {EXPIRED}",
@@ -440,14 +444,14 @@ def source_queries() -> dict[str, str]:
         "snapshot_diff": snapshot_sql(f"""{GROWN} IS NOT NULL AS is_dynamic, {GROWN} AS grown_by, {LARGER},
             r.forms > s.forms * 1.5 OR r.tables > s.tables * 1.5 OR r.iframes > s.iframes * 1.5
             OR r.clickables > s.buttons * 1.5 AS grew_50pct"""),
-        "incremental_analysis": tree("pages") + "," + PATTERNS + ", " + fixture_ctes("analysis_cache") + f""",
+        **dict.fromkeys(("incremental_analysis", "incremental_bucketed"), tree("pages") + "," + PATTERNS + ", " + fixture_ctes("analysis_cache") + f""",
             live AS (SELECT * FROM (SELECT * FROM analysis_cache QUALIFY {NEWEST}) WHERE readable AND {AGE} < 86400),
             a AS ({STORED_FIELDS})
             SELECT page_id, CASE WHEN l.cache_key IS NULL THEN 'fresh' ELSE 'cache' END AS origin, analysis AS stored,
               CASE WHEN l.cache_key IS NULL THEN text_ratio END AS text_ratio,
               CASE WHEN l.cache_key IS NULL THEN navigation END AS navigation,
               CASE WHEN l.cache_key IS NULL THEN n_patterns END AS n_patterns
-            FROM a JOIN pages p USING (page_id) LEFT JOIN live l ON l.cache_key = md5(p.url)""",
+            FROM a JOIN pages p USING (page_id) LEFT JOIN live l ON l.cache_key = md5(p.url)"""),
         "stream_page_analysis": tree("pages") + "," + PATTERNS + " " + STORED_FIELDS,
     }
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlgrain.functions import nodes as N
+from crawlgrain.operators.cache_store import CacheStore, bucket_pages
 from crawlgrain.operators import (
     attempts, cache, context, dom, job_logs, language, ledger, page_features as P, selectors as S, status,
 )
@@ -79,6 +81,29 @@ def cache_upsert(t):
     return cache.upsert_cache(t.analysis_cache, t.analysis_cache_new)
 
 
+def _store(t, *entries):
+    """A new store of the given tables, one commit each."""
+    store = CacheStore(t.spark, f"{new_folder(t.spark, 'cache-store')}/cache", buckets=8)
+    for rows in entries:
+        store.upsert(rows)
+    return store
+
+
+@query
+def cache_store_upsert(t):
+    """The newest entries after an upsert of deltas."""
+    return _store(t, t.analysis_cache, t.analysis_cache_new).read()
+
+
+@query
+def cache_store_fresh(t):
+    """Fresh entries after the folders of dead ones were dropped and the rest was compacted."""
+    store = _store(t, t.analysis_cache)
+    store.expire(NOW)
+    store.compact(NOW)
+    return store.fresh(NOW)
+
+
 @query
 def cache_clear_urls(t):
     return cache.clear_cache(t.analysis_cache, t.analysis_cache_new)
@@ -362,6 +387,16 @@ def incremental_analysis(t):
     return rows.select("page_id", "origin", F.when(F.col("origin") == "cache", F.col("analysis")).alias("stored"), *_stored_fields())
 
 
+@query
+def incremental_bucketed(t):
+    """The same with pages and cache in the same buckets, so that no page is moved."""
+    store = _store(t, t.analysis_cache)
+    folder = new_folder(t.spark, "bucketed-pages")
+    pages = bucket_pages(t.pages, f"pages_{uuid.uuid4().hex}", folder, store.buckets)
+    rows = analysis.analyze_incremental(pages, store, NOW)
+    return rows.select("page_id", "origin", F.when(F.col("origin") == "cache", F.col("analysis")).alias("stored"), *_stored_fields())
+
+
 def _stored_fields():
     """Some fields of a stored analysis; the text itself holds the whole row."""
     field = lambda path, kind: F.get_json_object("analysis", path).cast(kind)
