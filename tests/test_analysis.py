@@ -120,6 +120,50 @@ def test_language_on_unseen_documents(spark):
     assert total > 100 and right / total > 0.95
 
 
+def plain_scores(samples, weights):
+    """The language of each sample by one sum per word and gram."""
+    names = sorted({lang for lang, _, _ in weights})
+    table = {(lang, gram): w for lang, gram, w in weights}
+    out = []
+    for sample in samples:
+        total, known = dict.fromkeys(names, 0), False
+        for word in (sample or "").split():
+            padded = f" {word} "
+            for size in (1, 2, 3):
+                for i in range(len(padded) - size + 1):
+                    for lang in names:
+                        w = table.get((lang, padded[i : i + size]), 0)
+                        total[lang], known = total[lang] + w, known or w > 0
+        out.append(max(names, key=lambda n: (total[n], [-ord(c) for c in n])) if known else "")
+    return out
+
+
+def test_hashed_scores_equal_plain_sums(spark):
+    import random
+    rng = random.Random(4)
+    letters = "abcéü中\U0001d538"
+    grams = sorted({"".join(rng.choices(letters + " ", k=rng.randint(1, 3))) for _ in range(150)} - {"  ", "   "})
+    weights = [(lang, g, rng.randint(1, 9)) for lang in ("aa", "bb", "cc") for g in grams if rng.random() < 0.6]
+    samples = ["", None, "a", "zzz", *[" ".join("".join(rng.choices(letters + "x", k=rng.randint(1, 7))) for _ in range(rng.randint(1, 9))) for _ in range(60)]]
+    languages, table = language.weight_table(spark.createDataFrame(weights, "lang string, gram string, weight long"))
+    assert table.shape == (3, 1 << language.BUCKET_BITS)
+    assert language.score_samples([s or "" for s in samples], languages, table) == plain_scores(samples, weights)
+    assert language.score_samples([], languages, table) == []
+
+
+def test_buckets_agree_between_engines(spark):
+    import numpy as np
+    grams = [" a", "b", "xyz", "é中 ", "\U0001d538b", "中"]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(language.bucket_of(F.col("g"))).collect()]
+    codes = [np.array([ord(c) for c in g], dtype=np.uint64) for g in grams]
+    assert got == [int(language.buckets_of(c, len(c))[0]) for c in codes]
+
+
+def test_no_profiles_give_no_language(spark):
+    none = spark.createDataFrame([], "lang string, gram string, weight long")
+    assert language.score_samples(["abc", ""], *language.weight_table(none)) == ["", ""]
+
+
 def test_language_of_texts_without_words(spark):
     profiles = spark.createDataFrame([("xx", "a", 5)], "lang string, gram string, weight long")
     samples = spark.createDataFrame([(1, ""), (2, "12 34"), (3, "a"), (4, "zzz"), (5, None)], "page_id long, sample string")
