@@ -146,17 +146,30 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
         *df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"running_{v}") for v in values])
 
 
+RUNNING_VALUES = ["tokens_in", "tokens_out", "cost"]
+
+
+def priced_calls(calls: DataFrame) -> DataFrame:
+    """Calls with exact costs, as running totals add them up."""
+    return price_calls(calls).withColumn("cost", exact(F.col("cost")))
+
+
+def running_columns(running: DataFrame) -> DataFrame:
+    return running.select(
+        "call_id", "request_id", "role", "running_tokens_in", "running_tokens_out",
+        (F.col("running_tokens_in") + F.col("running_tokens_out")).alias("running_total"),
+        F.round("running_cost", COST_DECIMALS).cast("double").alias("running_cost"))
+
+
 def running_usage(calls: DataFrame, scope: str = "request") -> DataFrame:
     """Cumulative tokens and cost after each call, per role: within its request, or over the whole log.
 
-    The calls of a request are few, so one window sums them; the log goes through blocks."""
-    priced, values = price_calls(calls).withColumn("cost", exact(F.col("cost"))), ["tokens_in", "tokens_out", "cost"]
+    The calls of a request are few, so one window sums them; the log goes through blocks. A log that grows is kept in a
+    ``running_log.RunningLog`` of ``priced_calls``."""
+    priced = priced_calls(calls)
     if scope == "request":
         window = Window.partitionBy("request_id", "role").orderBy("call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        running = priced.withColumns({f"running_{v}": F.sum(v).over(window) for v in values})
+        running = priced.withColumns({f"running_{v}": F.sum(v).over(window) for v in RUNNING_VALUES})
     else:
-        running = running_sums(priced, ["role"], "call_id", values)
-    return running.select(
-        "call_id", "request_id", "role", "running_tokens_in", "running_tokens_out",
-        (F.col("running_tokens_in") + F.col("running_tokens_out")).alias("running_total"),
-        F.round("running_cost", COST_DECIMALS).cast("double").alias("running_cost"))
+        running = running_sums(priced, ["role"], "call_id", RUNNING_VALUES)
+    return running_columns(running)

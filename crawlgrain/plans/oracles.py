@@ -816,6 +816,7 @@ def ledger_queries() -> dict[str, str]:
             FROM totals""",
         "running_usage_request": running("request_id, role"),
         "running_usage_log": running("role"),
+        "running_usage_incremental": running("role"),
     }
 
 
@@ -886,6 +887,12 @@ def status_queries() -> dict[str, str]:
     }
 
 
+#: Queries that give the same rows in another way.
+SAME = {"classify_errors_table": "classify_errors", "match_data_types_table": "match_data_types"}
+PATTERN_SEARCH = "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text[1:30]))"
+
+
 def oracle_queries() -> dict[str, str]:
-    return {**source_queries(), **page_queries(), **analysis_queries(), **language_queries(), **job_queries(),
-            **ledger_queries(), **status_queries()}
+    found = {**source_queries(), **page_queries(), **analysis_queries(), **language_queries(), **job_queries(),
+             **ledger_queries(), **status_queries()}
+    return found | {name: found[other] for name, other in SAME.items()} | {"pattern_search": PATTERN_SEARCH}

@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crawlgrain import fixed_values as V
 from crawlgrain.functions import nodes as N
 from crawlgrain.operators.cache_store import CacheStore, bucket_pages
+from crawlgrain.operators.running_log import RunningLog
 from crawlgrain.operators import (
-    attempts, cache, context, dom, job_logs, language, ledger, page_features as P, selectors as S, status,
+    attempts, cache, context, dom, job_logs, language, ledger, page_features as P, patterns, selectors as S, status,
 )
 from crawlgrain.plans import analysis
 from crawlgrain.session import configure, new_folder
@@ -450,6 +452,32 @@ def match_data_types(t):
     return job_logs.match_data_types(t.requests)
 
 
+def _table(t, rows, columns: str):
+    """A catalogue as a stored table, with its order as ``priority``."""
+    folder = new_folder(t.spark, "catalogue")
+    t.spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"priority long, {columns}").write.parquet(folder)
+    return t.spark.read.parquet(folder)
+
+
+@query
+def classify_errors_table(t):
+    catalogue = _table(t, V.ERROR_PATTERNS, "error_type string, explanation string, recommendation string")
+    return patterns.classify_errors_by(t.attempt_log, catalogue)
+
+
+@query
+def match_data_types_table(t):
+    words = [(w, w) for w in V.DATA_TYPES] + [(name, word) for name, words in V.DATA_TYPE_SYNONYMS for word in words]
+    return patterns.match_data_types_by(t.requests, _table(t, words, "data_type string, word string"))
+
+
+@query
+def pattern_search(t):
+    """Documents that contain the first thirty characters of a benchmark item, in any case."""
+    items = t.benchmark.select("item_id", F.substring("text", 1, 30).alias("pattern"))
+    return patterns.find_patterns(t.documents, ["doc_id"], "text", items).select("doc_id", "item_id")
+
+
 @query
 def resolve_attempts(t):
     return attempts.resolve_attempts(t.attempt_log)
@@ -506,6 +534,16 @@ def running_usage_log(t):
     return ledger.running_usage(t.llm_calls, "log")
 
 
+@query
+def running_usage_incremental(t):
+    """The same over a kept log that grew by three appends, the last of which comes late."""
+    calls = ledger.priced_calls(t.llm_calls)
+    held = RunningLog(t.spark, f"{new_folder(t.spark, 'running-log')}/log", ["role"], "call_id", ledger.RUNNING_VALUES, bits=12)
+    for part in (1, 2, 0):
+        held.append(calls.where(f"request_id % 3 = {part}"))
+    return ledger.running_columns(held.totals())
+
+
 # -- status --------------------------------------------------------------------------------------
 @query
 def stage_state(t):

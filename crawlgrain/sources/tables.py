@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlgrain.sources.fixtures import FIXTURES
 
-BASE_TABLES = ["pages", "documents", "conversations", "events", "labels"]
-SPREAD = "crawlgrain.spread"
+BASE_TABLES = ["pages", "documents", "conversations", "events", "labels", "benchmark"]
+SPREAD = "spark.crawlgrain.spread"
 PAGES_SCHEMA = "page_id long, url string, html string"
 
 
@@ -23,7 +23,7 @@ def load_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan over ``crawlgrain.spread`` partitions, if that setting is given; else leave it unshuffled.
+    """Hash-spread a scan over ``spark.crawlgrain.spread`` partitions, if that setting is given; else leave it unshuffled.
 
     Raw HTML is the widest data here, so it is moved only where the caller says that the input is a handful of files.
     """
