@@ -6,16 +6,22 @@ item). Shared q-grams are counted in bands of twice that width, each overlapping
 of them. Bands that reach the bound are verified by an alignment confined to their diagonals.
 
 Texts and items are compared in lower case with every run of white space as one space. The items are sent to the tasks in
-blocks of at most about ``BLOCK_CHARS`` characters; each block is one pass over the documents.
+blocks of at most about ``BLOCK_CHARS`` characters; each block is one pass over the documents. Shared q-grams are counted for
+the pairs of text and item that have any, so memory follows the hits and not texts times items.
 
-Defined cases: null or empty texts hold nothing; null items, and items shorter than ``Q`` characters, occur nowhere. For
-short items k is lowered until the bound is one q-gram at least. Repeated rows and repeated items each give their own row.
-Texts are searched whole. Other columns are not read by ``find_items`` and pass ``drop_contaminated``.
+An item longer than two passages of ``PASSAGE`` characters is sought as passages that overlap by half, each with its own edit
+budget: a document that quotes a part of it is found. Items shorter than ``Q`` characters are sought as they are, as whole words.
+
+Defined cases: null or empty texts hold nothing, null and empty items occur nowhere. For short items k is lowered until the
+bound is one q-gram at least. Repeated rows and repeated items each give their own row; of the passages of an item the one with
+the least edits counts. Texts are searched whole, a very long one in a slice of its own. Empty tables give no rows. Other columns
+are not read by ``find_items`` and pass ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,9 @@ from crawlgrain.llm.common import map_arrow, read_table, text_slices
 Q = 8
 #: Edit budget in hundredths of an item's length.
 EDITS = 10
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 22
+#: Characters of a passage of a long item.
+PASSAGE = 256
 _TABLE = 20
 _HITS = 1 << 21
 # Texts worked on at once: what numpy makes of so many characters stays in a core's cache.
@@ -91,13 +99,23 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     return min(int(cost.min()), k + 1)
 
 
+def passages(codes: np.ndarray) -> list[np.ndarray]:
+    """A folded item, or its overlapping passages if it is long."""
+    if len(codes) <= 2 * PASSAGE:
+        return [codes]
+    starts = [*range(0, len(codes) - PASSAGE, PASSAGE // 2), len(codes) - PASSAGE]
+    return [codes[a : a + PASSAGE] for a in starts]
+
+
 class Items:
-    """A block of items with the index of their q-grams."""
+    """A block of items with the index of their q-grams. ``ids`` are those of the passages that are sought."""
 
     def __init__(self, ids: list, texts: list[str]):
-        folded = [fold(t) for t in texts]
-        used = [i for i, c in enumerate(folded) if len(c) >= Q]
-        self.ids, self.codes = [ids[i] for i in used], [folded[i] for i in used]
+        folded = [(i, part) for i, text in enumerate(texts) for part in passages(fold(text))]
+        self.short = [(i, c) for i, c in folded if 0 < len(c) < Q]
+        used = [(i, c) for i, c in folded if len(c) >= Q]
+        self.every = ids
+        self.ids, self.codes = [i for i, _ in used], [c for _, c in used]
         self.lengths = np.array([len(c) for c in self.codes], dtype=np.int64)
         # At least one q-gram must be left: length - Q + 1 - k * Q >= 1.
         self.budget = np.minimum(self.lengths * EDITS // 100, (self.lengths - Q) // Q)
@@ -105,8 +123,8 @@ class Items:
         found = [grams(c) for c in self.codes]
         sizes = np.array([len(g) for g in found], dtype=np.int64)
         every = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-        item = np.repeat(np.arange(len(found)), sizes)
-        place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        item = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+        place = (np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         order = np.argsort(every)
         self.item, self.place = item[order], place[order]
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
@@ -123,16 +141,14 @@ class Items:
         ends = np.cumsum(self.count[where])
         n_items, span = len(self.ids), len(h) + int(self.lengths.max()) + 2
         # A document with too few shared q-grams of an item has no band with enough of them.
-        total = np.zeros(len(start) * n_items, dtype=np.int64)
-        for a, b in _cuts(ends, _HITS):
-            entry, n = self._entries(where[a:b])
-            total += np.bincount(np.repeat(row[a:b], n) * n_items + self.item[entry], minlength=len(total))
-        likely = total >= np.tile(self.bound, len(start))
+        pairs = _added_up([np.unique(self._pairs(row[a:b], where[a:b], n_items)[0], return_counts=True) for a, b in _cuts(ends, _HITS)])
+        likely = pairs[0][pairs[1] >= self.bound[pairs[0] % n_items]]
+        if not len(likely):
+            return np.zeros((3, 0), dtype=np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in _cuts(ends, _HITS):
-            entry, n = self._entries(where[a:b])
-            pair = np.repeat(row[a:b], n) * n_items + self.item[entry]
-            use = likely[pair]
+            pair, entry, n = self._pairs(row[a:b], where[a:b], n_items)
+            use = likely[np.minimum(np.searchsorted(likely, pair), len(likely) - 1)] == pair
             if use.any():
                 entry, pair = entry[use], pair[use]
                 item = self.item[entry]
@@ -142,22 +158,43 @@ class Items:
                 parts.append(np.unique(np.concatenate((key, key - 1)), return_counts=True))
         if not parts:
             return np.zeros((3, 0), dtype=np.int64)
-        key, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count = np.bincount(which, weights=np.concatenate([p[1] for p in parts]))
+        key, count = _added_up(parts)
         pair, band = key // span, key % span - 1
         found = np.stack((pair // n_items, pair % n_items, band))
         return found[:, count >= self.bound[found[1]]]
 
+    def _pairs(self, row: np.ndarray, where: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each shared q-gram its pair of row and item and its index entry; and how many entries each place has."""
+        entry, n = self._entries(where)
+        return np.repeat(row, n) * n_items + self.item[entry], entry, n
+
     def _entries(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index entries of q-grams, and how many each has. At most ``_HITS`` beyond those of one q-gram."""
         n = self.count[where]
         return np.repeat(self.first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        """(row, item, edits) of all items that occur in the texts."""
-        if not self.ids:
-            return []
+        """(row, item, edits) of all items that occur in the texts; of an item's passages the one with the least edits."""
         codes = [fold(t or "") for t in texts]
+        best = {(row, item): 0 for row, item in self._search_short(codes)}
+        for row, part, edits in self._search_long(codes) if self.ids else ():
+            item = self.ids[part]
+            best[row, item] = min(edits, best.get((row, item), edits))
+        return [(row, item, edits) for (row, item), edits in best.items()]
+
+    def _search_short(self, codes: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(row, item) of items too short for a q-gram that stand in a text as whole words."""
+        if not self.short:
+            return
+        whole = [c.tobytes().decode("utf-32-le", "surrogatepass") for c in codes]
+        for item, c in self.short:
+            sought = re.compile(r"(?<!\w)" + re.escape(c.tobytes().decode("utf-32-le", "surrogatepass")) + r"(?!\w)")
+            for row, text in enumerate(whole):
+                if sought.search(text):
+                    yield row, item
+
+    def _search_long(self, codes: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(row, passage, edits)."""
         # A zero ends each text: no q-gram across it is in the index, as folded items hold none of their own there.
         whole = np.concatenate([x for c in codes for x in (c, np.zeros(Q, dtype=np.uint32))])
         sizes = np.array([len(c) + Q for c in codes], dtype=np.int64)
@@ -176,6 +213,14 @@ class Items:
         return [(row, item, edits) for (row, item), edits in best.items()]
 
 
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    key, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, np.bincount(which, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
 def _cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     a = 0
     while a < len(ends):
@@ -209,7 +254,7 @@ def _search(shared):
             hits = items.search(batch.column("text").to_pylist())
             if hits:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array([h[0] for h in hits])), pa.array([items.ids[h[1]] for h in hits]),
+                    [batch.column("doc_id").take(pa.array([h[0] for h in hits])), pa.array([items.every[h[1]] for h in hits]),
                      pa.array([h[2] for h in hits], pa.int64())], ["doc_id", "item_id", "edits"])
 
     return work

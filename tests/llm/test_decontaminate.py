@@ -1,6 +1,7 @@
 """Items found against an edit distance over whole small texts."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -47,6 +48,44 @@ def test_search_is_the_edit_distance():
     assert 100 < hits < 500
 
 
+def test_memory_follows_hits_not_texts_times_items():
+    """40,000 items and 10,000 lines in one slice: the counts of all pairs would take 3 GB."""
+    rng = random.Random(1)
+    items = D.Items(list(range(40_000)), ["".join(rng.choices("abcdefghijklmnop", k=24)) for _ in range(40_000)])
+    lines = [f"line {k}" for k in range(10_000)]
+    lines[77] = "see " + items.codes[123].tobytes().decode("utf-32-le")
+    tracemalloc.start()
+    got = items.search(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(77, 123, 0)] and peak < 300 << 20
+
+
+def test_parts_of_long_items_are_found():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(400)]
+    item = " ".join(words)
+    half, stray = " ".join(words[150:260]), " ".join(words[150:175])
+    items = D.Items([5], [item])
+    assert items.search([f"before {half} after", stray, item]) == [(0, 0, 0), (2, 0, 0)]
+    ((row, _, edits),) = items.search([damaged(rng, half, 12, "xyz")])
+    assert row == 0 and 0 < edits <= D.PASSAGE * D.EDITS // 100
+    parts = D.passages(D.fold(item))
+    assert all(len(p) == D.PASSAGE for p in parts) and np.array_equal(np.concatenate([parts[0], parts[-1]])[: D.PASSAGE], D.fold(item)[: D.PASSAGE])
+
+
+def test_short_items_are_whole_words():
+    items = D.Items([1, 2, 3, 4], ["Yes", "a+b", "", "中文"])
+    assert sorted(items.search(["well, yes!", "yesterday", "x a+b y", "中文 ok", "a+bc", None])) == [(0, 0, 0), (2, 1, 0), (3, 3, 0)]
+
+
+def test_a_very_long_text(docs_of, spark):
+    item = "the one question that nobody should train a model on, ever again"
+    docs = docs_of((1, "some words " * 150_000 + item + " and words" * 150_000), (2, "some words " * 150_000))
+    got = D.find_items(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 9, 0)]
+
+
 def test_small_parts_count_alike(monkeypatch):
     item, text = "a" * 40, "b" + "a" * 300 + "c"
     want = D.Items([1], [item]).search([text])
