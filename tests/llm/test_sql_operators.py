@@ -1,5 +1,7 @@
 """URL filter, licence scan and quality rules: odd rows against their SQL, plus what the methods promise."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -69,6 +71,44 @@ def test_templates_merge_and_are_rejected(spark, tmp_path):
     assert {r.verdict for r in U.filter_urls(mostly, {"net/a/x": "block"}).collect()} == {"block"}
 
 
+def judged(spark, urls, rules):
+    docs = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {u: r for r in U.filter_urls(docs, rules).collect() for u in [urls[r.page_id]]}
+
+
+def test_urls_without_a_label_are_rejected_by_their_template(spark):
+    """A rule names a few sections; the tree finds the rest of them, and leaves what looks otherwise."""
+    shops = [f"http://h.net/shop/{name}/buy/{k}" for name in ("ab", "cd", "ef") for k in range(40)]
+    strays = [f"http://h.net/shop/x{k}q/buy/{k}" for k in range(12)]
+    news = [f"http://h.net/news/story-of-{k}" for k in range(40)]
+    got = judged(spark, shops + strays + news, {"h.net/shop/ab/": "block", "h.net/shop/cd/": "block", "h.net/shop/x1": "block"})
+    assert {got[u].template for u in shops[:80]} == {"/shop/ab+cd/buy/*"}
+    assert {(got[u].verdict, got[u].rule) for u in strays if not u.startswith("http://h.net/shop/x1")} == {("allow", None)}
+    assert {got[u].verdict for u in news} == {"allow"} and {got[u].template for u in news} == {"/news/*"}
+    found = judged(spark, [f"http://h.net/s/{'x' if k % 5 else 'y'}{k}/{k}" for k in range(100)], {"h.net/s/x": "block"})
+    assert {r.verdict for u, r in found.items() if r.rule is None} == {"block"} and {r.template for r in found.values()} == {"/s/*/*"}
+
+
+def test_few_labels_reject_nothing(spark):
+    urls = [f"http://h.net/s/{'x' if k < 4 else 'y'}{k}" for k in range(50)]
+    assert {r.verdict for u, r in judged(spark, urls, {"h.net/s/x": "block"}).items() if r.rule is None} == {"allow"}
+
+
+def test_paths_that_differ_at_level_six_are_told_apart(spark):
+    urls = [f"http://h.net/a/b/c/d/e/{end}/{k}" for end in ("bad", "good") for k in range(30)]
+    got = judged(spark, urls, {"h.net/a/b/c/d/e/bad/": "block"})
+    assert {r.template for r in got.values()} == {"/a/b/c/d/e/bad/*", "/a/b/c/d/e/good/*"}
+    assert {r.verdict for u, r in got.items() if "good" in u} == {"allow"}
+
+
+def test_deep_paths_equal_the_sql(spark, tmp_path):
+    rng = random.Random(9)
+    urls = ["http://" + rng.choice(["a.net", "b.org", "example.com"]) + "".join(
+        "/" + rng.choice(["de", "fr", "en", "p", str(rng.randrange(9)), f"x{rng.randrange(3)}"]) for _ in range(rng.randrange(8))) for _ in range(900)]
+    folder = pages(spark, tmp_path, urls + urls[:200])
+    same(U.op3_url_filter(spark, folder), duck(pages=f"{folder}/pages.parquet/*.parquet"), registry.ORACLES["op3_url_filter"])
+
+
 def test_urls_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "http://a.b/c", 5, "t")], "page_id long, url string, host int, template string")
     assert [tuple(r)[:5] for r in U.filter_urls(docs).collect()] == [(1, "a.b", "/c", None, "allow")]
