@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlgrain.operators.cache import expire_cache
+from crawlgrain.operators.cache_store import CacheStore
 from crawlgrain.operators.status import expire_status
 
 STATUS_PERIOD_SECONDS = 60
@@ -42,3 +43,11 @@ def stream_maintenance(
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(
         processingTime=period).start()
+
+
+def stream_tidy(spark: SparkSession, store: CacheStore, clock: Callable[[], float], checkpoint: str,
+                period: str = f"{CACHE_PERIOD_SECONDS} seconds") -> StreamingQuery:
+    """Tidy a cache store in every period: drop the folders that have run out, compact it after many commits."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, batch_id: store.tidy(clock())).option(
+        "checkpointLocation", checkpoint).trigger(processingTime=period).start()

@@ -177,3 +177,17 @@ def test_incremental_analysis_of_bucketed_pages_moves_no_html(spark, store, tmp_
     assert {r.analysis for r in got if r.origin == "cache"} == {f"kept {k}" for k in range(10)}
     table_form = A.analyze_incremental(pages, store.read(), 2000.0)
     assert sorted(map(tuple, got)) == sorted(map(tuple, table_form.collect()))
+
+
+def test_the_maintenance_stream_tidies_the_store(spark, store, tmp_path):
+    from crawlgrain.streaming.maintenance import stream_tidy
+    store.upsert(frame(spark, entry("dead", 5.0), entry("live", 200_000.0)))
+    query = stream_tidy(spark, store, lambda: 200_000.0, str(tmp_path / "c"), "1 second")
+    try:
+        for _ in range(60):
+            if query.lastProgress:
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert store.parts() == [200_000 // 10_800] and {r.url for r in store.read().collect()} == {"live"}

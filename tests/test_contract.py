@@ -11,7 +11,7 @@ from crawlgrain.operators.dom import parse_pages
 from crawlgrain.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["pages", "documents", "conversations", "events", "labels"]
+TABLES = ["pages", "documents", "conversations", "events", "labels", "benchmark"]
 
 
 @pytest.fixture(scope="module")
