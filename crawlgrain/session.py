@@ -20,8 +20,15 @@ RUNTIME_SETTINGS = {
 }
 
 
+EXCLUDED_RULES = "spark.sql.optimizer.excludedRules"
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """Set what the operators rely on; rules that the caller excludes stay excluded."""
     for key, value in RUNTIME_SETTINGS.items():
+        if key == EXCLUDED_RULES:
+            own = [r.strip() for r in (spark.conf.get(key, None) or "").split(",") if r.strip()]
+            value = ",".join(dict.fromkeys([*own, value]))
         spark.conf.set(key, value)
     return spark
 
@@ -37,11 +44,23 @@ def get_session(master: str | None = None, app_name: str = "crawlgrain", **setti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or one in the warehouse, which driver and executors share as well."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    """The folder in ``spark.checkpoint.dir``, or one in the warehouse, which driver and executors share as well.
+
+    A warehouse on a local disk is shared only where the whole session runs on one machine; elsewhere it is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        if is_machine_local(folder, spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")
 
 
+def is_machine_local(folder: str, master: str) -> bool:
+    """Whether executors of this master may not see the folder."""
+    scheme = folder.split(":", 1)[0] if "://" in folder or folder.startswith("file:") else "file"
+    return scheme == "file" and not master.startswith("local")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
