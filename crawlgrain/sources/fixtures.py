@@ -74,10 +74,11 @@ ATTEMPT_LOG = """
 SELECT user_id || '-' || CAST(floor(event_id / 2000) AS BIGINT) AS request_id,
   CAST(row_number() OVER (PARTITION BY user_id, floor(event_id / 2000) ORDER BY event_id) AS INT) AS attempt_no,
   event_type <> 'error' AS success,
-  CASE event_type WHEN 'view' THEN '{"results":[1,2]}' WHEN 'click' THEN 'Done: [1, 2] ok' WHEN 'purchase' THEN '{bad json' WHEN 'signup' THEN '  ' ELSE '' END AS stdout,
+  CASE event_type WHEN 'view' THEN coalesce(props, '') WHEN 'click' THEN 'Done: ' || coalesce(props, '[]') || ' ok'
+    WHEN 'purchase' THEN substr(coalesce(props, ''), 1, 4 + CAST(event_id % 5 AS INT)) WHEN 'signup' THEN '  ' ELSE '' END AS stdout,
   CASE WHEN event_type <> 'error' THEN '' ELSE CASE event_id % 8 WHEN 0 THEN 'Connection refused by host' WHEN 1 THEN 'httperror: 403 Forbidden'
     WHEN 2 THEN 'HTTPError: 429 timeout' WHEN 3 THEN 'Timeout reached' WHEN 4 THEN 'NoSuchElementException: x' WHEN 5 THEN 'ElementNotVisibleException'
-    WHEN 6 THEN 'solve the CAPTCHA' ELSE 'SyntaxError: bad' END END AS stderr,
+    WHEN 6 THEN 'solve the CAPTCHA' ELSE 'SyntaxError: bad' END || ' in ' || coalesce(props, '') END AS stderr,
   value AS execution_time, event_type = 'error' AND event_id % 16 = 15 AS timed_out,
   'import requests' || chr(10) || 'x = ' || event_id AS code,
   event_type = 'view' AND value > 50 AS is_valid
