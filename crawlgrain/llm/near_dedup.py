@@ -326,9 +326,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         F.min("text_hash").alias("best"), F.count("*").alias("rows")).where("rows > 1")
     other = rows.join(again, ["doc_id", "digest"]).where("text_hash != best").select("doc_id", "text_hash").distinct()
     hashed = docs.withColumn(_HASH, F.xxhash64("text"))
-    left = hashed.join(gone.unionByName(other).withColumnRenamed("text_hash", _HASH), ["doc_id", _HASH], "left_anti")
-    # Only the few rows that still occur more than once are compared as whole rows.
+    # Only the few rows that still occur more than once are compared as whole rows; texts move once, to leave out the others.
     twice = again.select("doc_id", F.col("best").alias(_HASH)).distinct()
-    one = left.join(twice, ["doc_id", _HASH], "left_semi").dropDuplicates(["doc_id", _HASH])
+    out = gone.unionByName(other).withColumnRenamed("text_hash", _HASH).unionByName(twice)
+    one = hashed.join(twice, ["doc_id", _HASH], "left_semi").dropDuplicates(["doc_id", _HASH])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return left.join(twice, ["doc_id", _HASH], "left_anti").select(*columns).unionByName(one.select(*columns))
+    left = hashed.join(out, ["doc_id", _HASH], "left_anti")
+    return left.select(*columns).unionByName(one.select(*columns))
