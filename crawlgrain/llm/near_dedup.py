@@ -326,8 +326,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         F.min("text_hash").alias("best"), F.count("*").alias("rows")).where("rows > 1")
     other = rows.join(again, ["doc_id", "digest"]).where("text_hash != best").select("doc_id", "text_hash").distinct()
     hashed = docs.withColumn(_HASH, F.xxhash64("text"))
-    # Only the few rows that still occur more than once are compared as whole rows; texts move once, to leave out the others.
-    twice = again.select("doc_id", F.col("best").alias(_HASH)).distinct()
+    # Only the few rows that still occur more than once are compared as whole rows. As a written table their size is known, so
+    # texts need not be shuffled for them; they are once, to leave out the others.
+    twice = work.write(again.select("doc_id", F.col("best").alias(_HASH)).distinct(), "twice")
     out = gone.unionByName(other).withColumnRenamed("text_hash", _HASH).unionByName(twice)
     one = hashed.join(twice, ["doc_id", _HASH], "left_semi").dropDuplicates(["doc_id", _HASH])
     columns = [F.col(f"`{c}`") for c in docs.columns]
