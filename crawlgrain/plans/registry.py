@@ -15,7 +15,7 @@ from crawlgrain.operators import (
     attempts, cache, context, dom, job_logs, language, ledger, page_features as P, patterns, selectors as S, status,
 )
 from crawlgrain.plans import analysis
-from crawlgrain.session import configure, new_folder
+from crawlgrain.session import configure, is_folder, new_folder
 from crawlgrain.sources import tables
 from crawlgrain.sources.fixtures import NOW
 from crawlgrain.streaming import maintenance, pages as page_streams, stages
@@ -585,11 +585,17 @@ def _finish(stream):
     return stream
 
 
+def _table_stream(t, name: str, read, *schema):
+    """The rows of a given table as a stream, whether the table is one file or a folder of files by any names."""
+    path = tables.table_path(t.folder, name)
+    return read(t.spark, path, *schema, "*") if is_folder(t.spark, path) else read(t.spark, t.folder, *schema, f"{name}.parquet")
+
+
 @query
 def stream_stage_status(t):
     work = new_folder(t.spark, "stage-stream")
     schema = t.events.select("event_id", "user_id", "event_type", "props").schema
-    raw = stages.stage_event_stream(t.spark, t.folder, schema, "events.parquet")
+    raw = _table_stream(t, "events", stages.stage_event_stream, schema)
     run = _finish(stages.stream_stages(stages.as_stage_events(raw), f"{work}/state", f"{work}/checkpoint", lambda _: STATUS_NOW))
     return _rounded(stages.stored_status(t.spark, run, f"{work}/state"))
 
@@ -600,7 +606,7 @@ def stream_status_expiry(t):
     what a user does within a thousand events."""
     work = new_folder(t.spark, "expiry-stream")
     schema = t.events.select("event_id", "user_id", "event_type", "props").schema
-    raw = stages.stage_event_stream(t.spark, t.folder, schema, "events.parquet")
+    raw = _table_stream(t, "events", stages.stage_event_stream, schema)
     events = stages.as_stage_events(raw).withColumn("request_id", F.expr("event_id div 1000 * 1000000 + request_id"))
     run = _finish(stages.stream_stages(events, f"{work}/state", f"{work}/checkpoint", late="1 hour"))
     return _rounded(stages.stored_status(t.spark, run, f"{work}/state"))
@@ -609,6 +615,6 @@ def stream_status_expiry(t):
 @query
 def stream_page_analysis(t):
     work = new_folder(t.spark, "page-stream")
-    source = page_streams.page_stream(t.spark, t.folder, "pages.parquet")
+    source = _table_stream(t, "pages", page_streams.page_stream)
     _finish(page_streams.stream_analyze(source, f"{work}/out", f"{work}/checkpoint", lambda: NOW, context=lambda: _context(t)))
     return t.spark.read.parquet(f"{work}/out/analysis").select("page_id", *_stored_fields())

@@ -65,6 +65,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of this package's own tables, in whatever store it lies; nothing happens if there is none."""
     jvm = spark.sparkContext._jvm

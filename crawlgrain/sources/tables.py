@@ -13,8 +13,12 @@ SPREAD = "spark.crawlgrain.spread"
 PAGES_SCHEMA = "page_id long, url string, html string"
 
 
+def table_path(folder: str, name: str) -> str:
+    return f"{folder}/{name}.parquet"
+
+
 def base_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.parquet(table_path(folder, name))
 
 
 def load_pages(spark: SparkSession, folder: str) -> DataFrame:

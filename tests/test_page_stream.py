@@ -3,7 +3,9 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from crawlgrain.plans.registry import QUERIES
 from crawlgrain.sources.tables import PAGES_SCHEMA
 from crawlgrain.streaming import pages as P
 
@@ -87,3 +89,17 @@ def test_settings_come_back(spark, tmp_path, parts):
     before = spark.conf.get(key)
     Stream(spark, tmp_path).run(*[[page(k)] for k in range(parts)])
     assert spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_the_query_reads_a_table_that_is_a_file_or_a_folder(spark, tmp_path, as_folder):
+    rows = spark.createDataFrame([page(k, f"https://h{k}.org/{k}") for k in range(6)], PAGES_SCHEMA)
+    rows.repartition(1 + 2 * as_folder).write.parquet(f"{tmp_path}/{'pages.parquet' if as_folder else 'made'}")
+    if not as_folder:
+        (file,) = (tmp_path / "made").glob("part-*")
+        (tmp_path / "pages.parquet").write_bytes(file.read_bytes())
+    events = [(k, k, "view", 1.0, "{}") for k in range(12)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.current_timestamp()).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["stream_page_analysis"](spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in got) == list(range(6))
