@@ -1,12 +1,13 @@
 """Live stage status as keyed state.
 
 Events are folded to mergeable facts (``operators.status``) per request, stage and minute in the map tasks, so a request with
-very many events sends a few rows a task. The state of a request is a map from stage to facts in RocksDB, which logs what a
-batch changes: a batch reads and writes the requests it names and no others. The status of all requests is read from the
+very many events sends a few rows a task. Requests are dealt by hash to ``shards``, whose facts lie together in RocksDB, which
+logs what a batch changes: a batch reads and writes the shards of the requests it names and no others. A call to the state costs far
+more than a row in it, so a shard's requests share their calls. The status of all requests is read from the
 state of the last finished batch (``read_status``); the requests that a batch touched are written beside it.
 
-With ``late``, event time rules: events behind the watermark no longer count and are counted as late, and a timer per request
-removes it when its status runs out by the watermark, also when it stays silent. Without it nothing is late and every request
+With ``late``, event time rules: events behind the watermark no longer count and are counted as late, and a timer per shard
+removes a request when its status runs out by the watermark, also when it stays silent. Without it nothing is late and every request
 stays; ``now``, the reader's clock, then hides those that have run out.
 
 Defined cases: events without a stage or request are a stage or request of their own. An event without a time is
@@ -15,7 +16,10 @@ never late. A request that comes again after its removal begins anew.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
+import operator
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,7 +46,13 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+# Keys of the state, fixed for a checkpoint: some dozens of the requests held to a shard are cheapest.
+SHARDS = 1 << 15
 LIFETIMES = (tuple(V.FINAL_STAGES), float(V.STATUS_SECONDS), float(V.FINISHED_STATUS_SECONDS))
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_FLAT = pa.schema([("request_id", pa.int64()), ("stage_key", pa.string()), *((n, _ARROW[t]) for n, t in fold.FIELDS)])
+_FOLDED = pa.schema([*list(_FLAT)[:2], ("newest", pa.float64()), ("events", pa.int64()), *list(_FLAT)[2:]])
+_KEPT_ROW = Row("request_id", "stage_key", "events", "removed", *(n for n, _ in fold.FIELDS))
 
 
 class StageStream:
@@ -67,82 +77,112 @@ class StageStream:
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = fold.fold_events(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-            ("request_id", pa.int64()), ("stage_key", pa.string()), ("newest", pa.float64()), ("events", pa.int64()),
-            *((n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]) for n, t in fold.FIELDS)]))
+        yield pa.RecordBatch.from_pylist(rows, schema=_FOLDED)
+
+
+@functools.lru_cache(maxsize=4)
+def _folded_fields(names: tuple[str, ...]) -> Callable:
+    """Reads the folded fields of a row by their places."""
+    return operator.itemgetter(*map(names.index, ("request_id", "stage_key", "newest", "events", *(n for n, _ in fold.FIELDS))))
+
+
+def _unpack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("request_id", "stage_key", *(n for n, _ in fold.FIELDS))
+    for batch in batches:
+        for text in batch.column("requests").to_pylist():
+            rows = [(request, stage, *facts) for request, _, stages in json.loads(text) for stage, facts in stages]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in rows], schema=_FLAT)
 
 
 class StageKeeper(StatefulProcessor):
-    """Merges folded facts into a request's map; with lifetimes, removes the request when its status runs out."""
+    """Merges folded facts into the requests of a shard; with lifetimes, removes a request when its status runs out."""
 
     def __init__(self, expires: bool):
         self.expires = expires
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._facts = handle.getMapState("facts", "stage_key string", fold.FACTS)
-        self._due = handle.getValueState("due", "at long")
+        self._held = handle.getValueState("held", "requests string")
 
     def handleInputRows(self, key, rows, timerValues):
-        # Each call to the state is a round trip: the map is read once, and only touched stages are written.
-        every, events, touched = self._read(), 0, set()
+        # Each call to the state is a round trip, so a shard is read once and written once for all its requests.
+        every, events = self._read(), {}
         watermark = timerValues.getCurrentWatermarkInMs() if self.expires else 0
-        if self._run_out(every, watermark):
-            yield self._remove(key)
-            every = {}
+        old, gone = self._next(every), self._drop(every, watermark)
+        changed = set()
         for row in rows:
+            request, stage, newest, n, *facts = _folded_fields(tuple(row.__fields__))(row)
+            events.setdefault(request, 0)
             # Spark itself drops what lay behind the watermark of the batch before.
-            if row["newest"] is not None and row["newest"] * 1000 < watermark:
+            if newest is not None and newest * 1000 < watermark:
                 continue
-            stage = row["stage_key"]
-            every[stage] = fold.merge(every.get(stage), tuple(row[n] for n, _ in fold.FIELDS))
-            touched.add(stage)
-            events += row["events"]
-        for stage in touched:
-            self._facts.updateValue((stage,), every[stage])
-        self._schedule(every)
-        yield from self._rows(key, every, events)
+            stages = every.setdefault(request, [None, {}])[1]
+            stages[stage] = fold.merge(stages.get(stage), tuple(facts))
+            events[request] += n
+            changed.add(request)
+        for request in changed:
+            held = every[request]
+            held[0] = fold.due(held[1], *LIFETIMES) if self.expires else None
+        if changed or gone:
+            self._write(every, old)
+        for request in gone:
+            yield self._removed(request)
+        for request, n in events.items():
+            yield from self._rows(request, every[request][1] if request in every else {}, n)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self._run_out(self._read(), timerValues.getCurrentWatermarkInMs()):
-            yield self._remove(key)
+        every = self._read()
+        gone = self._drop(every, timerValues.getCurrentWatermarkInMs())
+        if gone:
+            # Spark itself deletes the timer that has run out.
+            self._write(every, None)
+        for request in gone:
+            yield self._removed(request)
 
     def close(self) -> None:
         pass
 
-    def _read(self) -> dict[str, tuple]:
-        return {k[0]: tuple(v) for k, v in self._facts.iterator()}
-
-    def _run_out(self, every: dict[str, tuple], watermark: int) -> bool:
-        due = fold.due(every, *LIFETIMES) if self.expires else None
-        return due is not None and due * 1000 < watermark
-
-    def _remove(self, key) -> Row:
-        self._facts.clear()
-        self._schedule({})
-        return Row(request_id=key[0], stage_key=None, events=0, removed=1, **dict.fromkeys(n for n, _ in fold.FIELDS))
-
-    def _schedule(self, every: dict[str, tuple]) -> None:
-        """One timer per request, at the millisecond after its status runs out."""
-        if not self.expires:
-            return
-        due = fold.due(every, *LIFETIMES)
-        at = None if due is None else math.ceil(due * 1000) + 1
-        held = self._due.get()
-        old = held[0] if held else None
+    def _read(self) -> dict[int | None, list]:
+        """Of each request of the shard, when it runs out and the facts of its stages."""
+        held = self._held.get()
+        return {request: [due, {stage: tuple(facts) for stage, facts in stages}] for request, due, stages in json.loads(held[0])} if held else {}
+
+    def _write(self, every: dict[int | None, list], old: int | None) -> None:
+        """One timer per shard, for its request that runs out first; ``old`` is the one it has."""
+        if every:
+            self._held.update((json.dumps([(request, due, [*stages.items()]) for request, (due, stages) in every.items()]),))
+        else:
+            self._held.clear()
+        at = self._next(every)
         if at == old:
             return
         if old is not None:
             self._handle.deleteTimer(old)
-            self._due.clear()
         if at is not None:
             self._handle.registerTimer(at)
-            self._due.update((at,))
 
-    def _rows(self, key, every: dict, events: int):
-        for n, (stage, facts) in enumerate(every.items()):
-            yield Row(request_id=key[0], stage_key=stage, events=0 if n else events, removed=0,
-                      **{name: value for (name, _), value in zip(fold.FIELDS, facts, strict=True)})
+    @staticmethod
+    def _next(every: dict[int | None, list]) -> int | None:
+        """The millisecond after the first status runs out."""
+        due = min((due for due, _ in every.values() if due is not None), default=None)
+        return None if due is None else math.ceil(due * 1000) + 1
+
+    @staticmethod
+    def _drop(every: dict[int | None, list], watermark: int) -> list[int | None]:
+        """Requests whose status has run out by the watermark; they leave ``every``."""
+        gone = [request for request, (due, _) in every.items() if due is not None and due * 1000 < watermark]
+        for request in gone:
+            del every[request]
+        return gone
+
+    @staticmethod
+    def _removed(request: int | None) -> Row:
+        return Row(request_id=request, stage_key=None, events=0, removed=1, **dict.fromkeys(n for n, _ in fold.FIELDS))
+
+    @staticmethod
+    def _rows(request: int | None, stages: dict[str, tuple], events: int):
+        for n, (stage, facts) in enumerate(stages.items()):
+            yield _KEPT_ROW(request, stage, 0 if n else events, 0, *facts)
 
 
 def as_facts(flat: DataFrame) -> DataFrame:
@@ -160,11 +200,12 @@ def as_facts(flat: DataFrame) -> DataFrame:
 
 
 def stream_stages(events: DataFrame, state_dir: str, checkpoint: str, now: Callable[[int], float] | None = None,
-                  late: str | None = None, **trigger) -> StageStream:
+                  late: str | None = None, shards: int = SHARDS, **trigger) -> StageStream:
     """Keep the status of each request under ``checkpoint``. ``state_dir/changes/batch=n`` holds the facts of the requests
     that batch ``n`` touched (``read_changes``) and is overwritten when the batch is retried; the last ``KEPT_CHANGES`` stay.
 
-    ``late``: how far events may lie behind the newest one, for instance ``5 minutes``. ``now(batch)``: the reader's clock."""
+    ``late``: how far events may lie behind the newest one, for instance ``5 minutes``. ``now(batch)``: the reader's clock.
+    ``shards``: keys of the state, the same at each start on a checkpoint."""
     spark = events.sparkSession
     folded = events.select("event_id", "request_id", "stage", "action", "ts_s", "details").mapInArrow(_fold_batches, fold.FOLDED)
     # Spark drops what lies at the watermark, too: a microsecond keeps that, and an event at time 0.
@@ -172,7 +213,8 @@ def stream_stages(events: DataFrame, state_dir: str, checkpoint: str, now: Calla
         "stage_input", F.sum("events").alias("seen"))
     if late:
         timed = timed.withWatermark("ts", late)
-    kept = timed.groupBy("request_id").transformWithState(
+    shard = F.pmod(F.xxhash64("request_id"), F.lit(shards)).cast("int")
+    kept = timed.withColumn("shard", shard).groupBy("shard").transformWithState(
         StageKeeper(bool(late)), f"request_id long, stage_key string, events long, removed int, {fold.FACTS}", "Update",
         "EventTime" if late else "None")
     kept = kept.observe("stage_output", F.sum("events").alias("taken"), F.sum("removed").alias("removed"))
@@ -190,8 +232,8 @@ def stream_stages(events: DataFrame, state_dir: str, checkpoint: str, now: Calla
 
 def read_status(spark: SparkSession, checkpoint: str, now: float | None = None) -> DataFrame:
     """The status of every request in the state of the last finished batch; with ``now``, of those that have not run out."""
-    state = spark.read.format("statestore").option("stateVarName", "facts").load(checkpoint)
-    flat = state.select("key.request_id", "user_map_key.stage_key", "user_map_value.*")
+    state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    flat = state.select("value.requests").mapInArrow(_unpack_shards, f"request_id long, stage_key string, {fold.FACTS}")
     found = request_status(as_facts(flat))
     return found if now is None else expire_status(found, now)
 

@@ -141,3 +141,13 @@ def test_states_of_all_events_match_the_replay(spark, tmp_path):
     stream = Stream(spark, tmp_path)
     stream.run(rows[:70], rows[70:])
     assert states(stream.status()) == expected_states(rows)
+
+
+def test_requests_of_one_shard_share_their_state_and_go_one_by_one(spark, tmp_path):
+    stream = Stream(spark, tmp_path, late="1 second", shards=1)
+    query = stream.run([start(k, k, 10 * k) for k in range(30)] + [start(90, None, 3)], [start(100, 40, 400)], [start(101, 40, 400)])
+    kept = {r.request_id for r in stream.status().collect()}
+    assert kept == {k for k in range(30) if 10 * k + V.STATUS_SECONDS >= 399} | {40}
+    assert query.counts() == {"seen": 33, "taken": 33, "removed": 11, "late": 0}
+    # The state is written once a shard and batch, not once a request; the timer is another row.
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] <= 4
