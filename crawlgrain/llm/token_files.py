@@ -23,7 +23,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crawlgrain.llm.bpe import byte_symbols
 from crawlgrain.llm.common import Scratch, map_arrow, read_table, text_slices
 
-MAGIC = b"TIDS1\n"
+MAGIC = b"TIDS2\n"
 BLOCK = 4096
 #: Ids of one file at most, plus those of its last document.
 FILE_IDS = 8_000_000
@@ -44,14 +46,26 @@ _ONE_BITS, _TWO_BITS = 11, 12
 _CONFIDENCES = 8
 _TOTAL = 1 << 16
 _WORD = np.uint64(0xFFFFFFFF)
-_32 = np.uint64(32)
-WORDS_KEPT = 700_000
+_1, _32 = np.uint64(1), np.uint64(32)
+#: Ids below this are counted and numbered by a table, others by sorting.
+_COUNTED = 1 << 22
+#: Pieces, and their ids, that a task remembers; a full table is emptied, which costs time but no result.
+WORDS_KEPT, IDS_KEPT = 700_000, 6_000_000
+#: Pieces that a worker remembers between tasks.
+WORDS_LEFT = 400_000
 
 
 # -- texts to ids --------------------------------------------------------------------------------
-_WIDE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_ODD_SPACE = re.compile(f"[\t\x0b-\r\x1c-\x1f{_WIDE}]")
+_ODD_ASCII = [*map(chr, [9, 0xB, 0xC, 0xD, *range(0x1C, 0x20)])]
+_ODD_WIDE = [*map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# Signs whose runs the byte-level pattern surely takes apart: no apostrophe (contractions), no < (special tokens), line ends
+# one at a time, and letters that every version of Unicode counts as such.
+_LETTERS, _DIGITS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9", "!-&(-/:;=-@\\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}{_DIGITS}{_MARKS}]+(?:\n[{_LETTERS}{_DIGITS}{_MARKS}]+)*")
+_PARTS = re.compile(f" ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[{_MARKS}]+|\n")
+#: Parts given to the library in one text: it takes longer for each with one or with very many.
+_AT_ONCE = 200
 
 
 def default_path() -> str:
@@ -60,53 +74,168 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _longer(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, or a copy with room for ``n`` and as many again."""
+    return a if n <= len(a) else np.concatenate((a, np.zeros(2 * n - len(a), dtype=a.dtype)))
+
+
 class Encoder:
     """The tokenizers library over the pieces of a text, each distinct piece once.
 
     The byte-level pattern never looks across a space between two visible characters: what follows takes the space along.
-    So the ids of a text are those of its pieces cut before such spaces.
+    So the ids of a text are those of its pieces cut before such spaces. A plain piece is cut on, as the pattern would, and
+    the library merges its parts, given as words in its signs for bytes; other pieces it cuts itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for own in (self.tokenizer, self.merger):
+            own.no_truncation()
+            own.no_padding()
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.merger.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        self.bytes_of[list(vocab.values())] = [len(token) for token in vocab]
+        self.signs = np.array([ord(c) for c in byte_symbols()], dtype="<u2")
+        self.signs[0] = 32  # parts do not hold it; it stands between them
+        self.forget()
+
+    def forget(self, kept: int = 0) -> None:
+        """Keep only the ``kept`` pieces met first, which are mostly the frequent ones."""
+        if not kept:
+            # A piece that starts a text is known by a space and itself, another, which has a space before it, by itself.
+            self.known: dict[str, int] = {}
+            self.count = 0
+            # Ids of the pieces, and by the number of a piece where its ids start and how many they are.
+            self.store, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+            self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        elif self.count > kept:
+            self.known, self.count = {p: k for p, k in self.known.items() if k < kept}, kept
+            self.start, self.length = self.start[:kept].copy(), self.length[:kept].copy()
+            self.used = int((self.start + self.length).max())
+            self.store = self.store[: self.used].copy()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Parts between the spaces at which the text may be cut."""
-        parts = text.split(" ")
-        if "" in parts or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
+        holds = text.__contains__
+        if (text[:1] == " " or text[-1:] == " " or holds("  ") or holds(" \n") or holds("\n ") or any(map(holds, _ODD_ASCII))
+                or not text.isascii() and any(map(holds, _ODD_WIDE))):
             return _CUT.split(text)
-        return parts
+        return text.split(" ")
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece: given as ready cut, all are one encoding that says which piece an id is of."""
-        if not pieces:
-            return []
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many each has: given as ready cut, all are one encoding that says which piece an id is of."""
         found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ends = np.searchsorted(np.array(found.word_ids), np.arange(len(pieces)), side="right").tolist()
-        raw = np.array(found.ids, dtype="<u4").tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+        ends = np.searchsorted(np.array(found.word_ids), np.arange(len(pieces)), side="right")
+        return np.array(found.ids, dtype="<u4"), np.diff(ends, prepend=0)
+
+    def _merged(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that the pattern does not cut, and how many each has: tokens are told apart by their bytes."""
+        raw = np.frombuffer("\0".join([*parts, ""]).encode(), dtype=np.uint8)
+        shown = self.signs[raw].tobytes().decode("utf-16-le")
+        gaps = np.flatnonzero(raw == 0)
+        cuts = [*gaps[_AT_ONCE - 1 : -1 : _AT_ONCE].tolist(), len(shown) - 1]
+        found = self.merger.encode_batch_fast([shown[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable([f.ids for f in found])), dtype="<u4")
+        stands, wanted = np.cumsum(self.bytes_of[ids]), gaps - np.arange(len(gaps))
+        ends = np.searchsorted(stands, wanted)
+        if ends[-1] != len(ids) - 1 or (stands[ends] != wanted).any():
+            return self._ids(parts)  # a vocabulary that does not know every byte
+        return ids, np.diff(ends + 1, prepend=0)
+
+    def _number(self, pieces: list[str]) -> range:
+        """Numbers for new pieces."""
+        first, self.count = self.count, self.count + len(pieces)
+        numbers = range(first, self.count)
+        self.known.update(zip(pieces, numbers, strict=True))
+        self.start, self.length = _longer(self.start, self.count), _longer(self.length, self.count)
+        return numbers
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Put ids away; where those of each length start."""
+        begin = self.used
+        self.used += len(ids)
+        self.store = _longer(self.store, self.used)
+        self.store[begin : self.used] = ids
+        return begin + np.cumsum(lengths) - lengths
+
+    def _gather(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The ids that stand at the given places, one after the other."""
+        ends = np.cumsum(length)
+        at = np.repeat(start - ends + length, length)
+        at += np.arange(len(at))
+        return self.store.take(at)
+
+    def _learn(self, keys: list[str], first: int) -> None:
+        """Find the ids of new pieces, which are numbered from ``first`` on."""
+        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, keys)), dtype=bool, count=len(keys))
+        if plain.any():
+            self._learn_plain(list(compress(keys, plain)), first + np.flatnonzero(plain), first)
+        if not plain.all():
+            odd = first + np.flatnonzero(~plain)
+            ids, length = self._ids([key[1:] if key[0] == " " else " " + key for key in compress(keys, ~plain)])
+            self.start[odd], self.length[odd] = self._add(ids, length), length
+
+    def _learn_plain(self, keys: list[str], numbers: np.ndarray, first: int) -> None:
+        cut = _PARTS.findall(" " + " ".join(keys))
+        parts = list(dict.fromkeys(cut))
+        of = np.fromiter(map(dict(zip(parts, range(len(parts)), strict=True)).__getitem__, cut), dtype=np.int64, count=len(cut))
+        # Each key's parts begin where its text does.
+        size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        long = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) + 1
+        begin = np.searchsorted(np.cumsum(size) - size, np.cumsum(long) - long)
+        # A part may be a piece of an earlier batch.
+        own, none = self.known.get, self.count
+        old = np.array([own(part[1:], none) if part[0] == " " else first for part in parts])
+        fresh, added = old >= first, np.flatnonzero(old == none)
+        old[fresh] = 0
+        start, length = self.start[old], self.length[old]
+        if fresh.any():
+            ids, length[fresh] = self._merged(list(compress(parts, fresh)))
+            start[fresh] = self._add(ids, length[fresh])
+        if len(added):  # and is one from now on
+            now = self._number([parts[k][1:] for k in added.tolist()])
+            self.start[now.start : now.stop], self.length[now.start : now.stop] = start[added], length[added]
+        start, length = start[of], length[of]
+        count = np.diff(begin, append=len(cut))
+        single, total = count == 1, np.add.reduceat(length, begin)
+        self.start[numbers], self.length[numbers] = start[begin], total
+        several = np.repeat(~single, count)
+        self.start[numbers[~single]] = self._add(self._gather(start[several], length[several]), total[~single])
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        heads = iter(self._ids([c[0] for c in cut if c]))
-        if len(self.known) > WORDS_KEPT:
-            self.known = {}
-        known = self.known
-        new = list({p for c in cut for p in c[1:]}.difference(known))
-        known.update(zip(new, self._ids([" " + p for p in new]), strict=True))
+        if self.count > WORDS_KEPT or self.used > IDS_KEPT:
+            self.forget()
+        every, counts = [], []
+        for text in texts:
+            if text:
+                cut = self.pieces(text)
+                cut[0] = " " + cut[0]
+                every += cut
+                counts.append(len(cut))
+            else:
+                counts.append(0)
+        of = np.fromiter(map(self.known.get, every, repeat(-1)), dtype=np.int64, count=len(every))
+        unknown, new = np.flatnonzero(of < 0), []
+        if len(unknown):
+            asked = [every[k] for k in unknown.tolist()]
+            new = list(dict.fromkeys(asked))
+            first = self._number(new).start
+            of[unknown] = np.fromiter(map(self.known.__getitem__, asked), dtype=np.int64, count=len(asked))
+            self._learn(new, first)
+        lengths = self.length[of]
+        raw = self._gather(self.start[of], lengths).tobytes()
+        ends = (4 * np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]).tolist()
         tail = struct.pack("<I", end)
-        out = [b"".join([next(heads), *[known[p] for p in c[1:]], tail]) if c else tail for c in cut]
-        for p in new:
-            if len(p) > 100:
-                del known[p]
+        out = [raw[a:b] + tail for a, b in zip([0, *ends], ends, strict=False)]
+        for key in new:
+            if len(key) > 100:
+                del self.known[key]
         return out
 
 
@@ -117,54 +246,101 @@ def encoder(path: str) -> Encoder:
 
 # -- the model -----------------------------------------------------------------------------------
 class _Model:
-    """Order-1 and order-2 tables of many lanes and the chances that their names are right."""
+    """Order-2 and order-1 tables of many lanes and the chances that their names are right, in two rows: order 2 and order 1.
+
+    ``kinds`` is the number of symbols. It stands for a name where nothing was named yet, which is never right.
+    """
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
+    def __init__(self, lanes: int, kinds: int):
+        lane = np.arange(lanes, dtype=np.int64)
         # An entry: the id named, times the number of confidences, plus the confidence; 0: nothing named yet.
-        self.one = np.zeros(lanes << _ONE_BITS, dtype=np.int64)
-        self.two = np.zeros(lanes << _TWO_BITS, dtype=np.int64)
-        self.base1, self.base2 = self.lane << _ONE_BITS, self.lane << _TWO_BITS
-        # Chances in 1 / 65536, by confidence; for order 2 also by whether order 1 names the same id.
+        self.entries = np.full((lanes << _TWO_BITS) + (lanes << _ONE_BITS), kinds * _CONFIDENCES, dtype=np.int32)
+        self.base = np.stack((lane << _TWO_BITS, (lane << _ONE_BITS) + (lanes << _TWO_BITS)))
+        # Chances in 1 / 65536, by confidence and whether both orders name the same id. Without confidence there is none, and
+        # order 1 has none where it names what order 2 does.
         start = np.minimum(np.arange(_CONFIDENCES) * 9000, 60000)
-        self.chance2 = np.tile(np.concatenate((start, np.minimum(start + 6000, 62000))), lanes).astype(np.int64)
-        self.chance1 = np.tile(start, lanes).astype(np.int64)
-        self.rows2, self.rows1 = self.lane * (2 * _CONFIDENCES), self.lane * _CONFIDENCES
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids named by order 2 and 1, and their shares of 256; the rest, at least 1, is order 0's."""
-        self.at1 = self.base1 + ((self.last * 40503 >> 5) & ((1 << _ONE_BITS) - 1))
-        self.at2 = self.base2 + (((self.last * 40503 + self.before * 60493) >> 4) & ((1 << _TWO_BITS) - 1))
-        self.entry1, self.entry2 = self.one[self.at1], self.two[self.at2]
-        name1, self.sure1 = self.entry1 >> 3, self.entry1 & 7
-        name2, self.sure2 = self.entry2 >> 3, self.entry2 & 7
-        self.same = name1 == name2
-        self.ctx2 = self.rows2 + self.sure2 + self.same * _CONFIDENCES
-        self.ctx1 = self.rows1 + self.sure1
-        self.p2, self.p1 = self.chance2[self.ctx2], self.chance1[self.ctx1]
-        share2 = (self.p2 >> 8) * (self.sure2 > 0)
-        np.minimum(share2, 254, out=share2)
-        share1 = ((255 - share2) * self.p1 >> 16) * ((self.sure1 > 0) & ~self.same)
-        self.name1, self.name2 = name1, name2
-        return name2, name1, share2, share1
-
-    def update(self, x: np.ndarray) -> None:
-        hit2, hit1 = x == self.name2, x == self.name1
-        self.chance2[self.ctx2] = self.p2 + (((hit2 * 65535) - self.p2) >> 4)
-        # Order 1 is asked where order 2 was wrong.
-        self.chance1[self.ctx1] = np.where(hit2 & ~self.same, self.p1, self.p1 + (((hit1 * 65535) - self.p1) >> 4))
-        up2, up1 = np.minimum(self.sure2 + 1, 7), np.minimum(self.sure1 + 1, 7)
-        fresh = (x << 3) + 1
-        self.two[self.at2] = np.where(hit2 & (self.sure2 > 0), (x << 3) + up2, np.where(self.sure2 > 2, self.entry2 - 2, fresh))
-        self.one[self.at1] = np.where(hit1 & (self.sure1 > 0), (x << 3) + up1, np.where(self.sure1 > 2, self.entry1 - 2, fresh))
-        self.before, self.last = self.last, x
+        agreed = np.where(start > 0, np.minimum(start + 6000, 62000), 0)
+        self.chances = np.concatenate((np.tile(np.concatenate((start, agreed)), lanes), np.tile(np.concatenate((start, 0 * start)), lanes))).astype(np.int32)
+        self.rows = np.stack((lane, lane + lanes)) * (2 * _CONFIDENCES)
+        self.last = np.zeros(lanes, dtype=np.uint16)
+        self.before = np.zeros(lanes, dtype=np.uint16)
+        self.spread = np.zeros((2, lanes), dtype=np.uint16)
+        self.at, self.ctx = np.zeros((2, lanes), dtype=np.int64), np.zeros((2, lanes), dtype=np.int64)
+        self.entry, self.chance, self.share = (np.zeros((2, lanes), dtype=np.int32) for _ in range(3))
+        # Numpy takes a row of constants faster than a Python number.
+        self.factors = np.array([[60493], [40503]], dtype=np.uint16) + np.zeros((2, lanes), dtype=np.uint16)
+        self.shifts = np.array([[4], [5]], dtype=np.uint16) + np.zeros((2, lanes), dtype=np.uint16)
+        self.n1, self.n2, self.n3, self.n4, self.n6, self.n7, self.n8, self.n16, self.n254, self.n255, self.full = (
+            np.full((2, lanes), k, dtype=np.int32) for k in (1, 2, 3, 4, 6, 7, 8, 16, 254, 255, 65535))
+        # Rows of both, as taking one out each time costs as much as adding two.
+        self.spread2, self.spread1 = self.spread
+        self.factor2, self.factor1 = self.factors
+        self.chance2, self.chance1 = self.chance
+        self.share2, self.share1 = self.share
+        self.r1, self.r3, self.r8, self.r16, self.r254, self.r255 = (n[0] for n in (self.n1, self.n3, self.n8, self.n16, self.n254, self.n255))
+        self.n24, self.word = np.full(lanes, 24, dtype=np.uint64), np.full(lanes, _WORD)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids named by order 2 and 1, their shares of 256 times 65536, and what is left of 256, at least 1, for order 0."""
+        spread = self.spread  # the hashes are bits of the low 16
+        np.multiply(self.last, self.factor1, out=self.spread1)
+        np.multiply(self.before, self.factor2, out=self.spread2)
+        np.add(self.spread2, self.spread1, out=self.spread2)
+        np.add(self.base, spread >> self.shifts, out=self.at)
+        entry = self.entries.take(self.at, out=self.entry, mode="clip")
+        self.names = names = entry >> self.n3
+        self.sure = entry & self.n7
+        name2, name1 = names
+        self.other = name2 != name1
+        ctx = self.sure + self.n8
+        ctx -= self.other * self.r8
+        np.add(self.rows, ctx, out=self.ctx)
+        self.chances.take(self.ctx, out=self.chance, mode="clip")
+        share, share2, share1 = self.share, self.share2, self.share1
+        np.right_shift(self.chance2, self.r8, out=share2)
+        np.minimum(share2, self.r254, out=share2)
+        rest = self.r255 - share2
+        np.multiply(rest, self.chance1, out=share1)
+        np.right_shift(share1, self.r16, out=share1)
+        rest -= share1
+        rest += self.r1
+        share <<= self.n16
+        return names, share, rest
+
+    def update(self, x: np.ndarray, narrow: np.ndarray, hits: np.ndarray) -> None:
+        """``x`` came, ``narrow`` in 16 bits, which order 2 and 1 did or did not name."""
+        hit2, hit1 = hits
+        fresh = x << self.r3
+        fresh += self.r1
+        # Named rightly: surer by one, 7 at most. Else a name that is sure by 3 stays, less sure by 2, and others are replaced.
+        made = np.minimum(self.sure, self.n6)
+        made *= hits
+        made += fresh
+        stays = self.entry - self.n2
+        stays -= made
+        stays *= (self.sure >= self.n3) > hits
+        made += stays
+        self.entries[self.at] = made
+        # Order 1 is asked where order 2 named another id and was wrong.
+        np.logical_and(hit1, self.other, out=hit1)
+        change = hits * self.full
+        change -= self.chance
+        change >>= self.n4
+        change1 = change[1]
+        change1 *= ~hit2
+        change += self.chance
+        self.chances[self.ctx] = change
+        self.before, self.last = self.last, narrow
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids of a file and their order-0 frequencies, which sum to ``_TOTAL``."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and int(ids.max()) < _COUNTED:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     if len(symbols) > _TOTAL:
         raise ValueError("more distinct ids in a file than the coder can tell apart")
     freq = 1 + counts * (_TOTAL - len(symbols)) // counts.sum()
@@ -172,6 +348,15 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbols, freq
 
 
+def _numbers(ids: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The place of each id among the symbols."""
+    if int(symbols[-1]) >= _COUNTED:
+        return np.searchsorted(symbols, ids).astype(np.uint16)
+    place = np.zeros(int(symbols[-1]) + 1, dtype=np.uint16)
+    place[symbols] = np.arange(len(symbols))
+    return place[ids]
+
+
 def _shape(n: int) -> tuple[int, np.ndarray]:
     blocks = -(-n // BLOCK)
     sizes = np.full(blocks, BLOCK)
@@ -179,113 +364,135 @@ def _shape(n: int) -> tuple[int, np.ndarray]:
     return blocks, sizes
 
 
+def _order0(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums below each symbol and the frequencies, with an end for the name that stands for none."""
+    return np.concatenate(([0], np.cumsum(freq))).astype(np.int32), np.append(freq, 0).astype(np.int32)
+
+
 def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
     """Words of each block. ``ids`` are numbers of the file's symbols."""
     blocks, sizes = _shape(len(ids))
-    padded = np.zeros(blocks * BLOCK, dtype=np.int64)
+    padded = np.zeros(blocks * BLOCK, dtype=np.uint16)
     padded[: len(ids)] = ids
     table = padded.reshape(blocks, BLOCK)
-    below = np.concatenate(([0], np.cumsum(freq)[:-1]))
+    below, freq = _order0(freq)
     out: list[np.ndarray] = []
     for first in range(0, blocks, LANES):
         own = np.ascontiguousarray(table[first : first + LANES].T)
         size = sizes[first : first + LANES]
         lanes = len(size)
-        model = _Model(lanes)
+        model = _Model(lanes, len(freq) - 1)
         low = np.zeros(lanes, dtype=np.uint64)
         span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        words = np.zeros((lanes, 2 * BLOCK + 4), dtype=np.uint32)
-        filled = np.zeros(lanes, dtype=np.int64)
+        room = 2 * BLOCK + 4
+        words = np.zeros(lanes * room, dtype=np.uint32)
+        begin = np.arange(lanes) * room
+        free = begin.copy()
         for step in range(int(size.max())):
-            x = own[step]
-            name2, name1, share2, share1 = model.predict()
-            rest = 256 - share2 - share1
-            start = below[x] * rest + (((name2 < x) * share2 + (name1 < x) * share1) << 16)
-            width = freq[x] * rest + (((name2 == x) * share2 + (name1 == x) * share1) << 16)
-            unit = span >> np.uint64(24)
-            low = low + unit * start.astype(np.uint64)
-            span = unit * width.astype(np.uint64)
-            low, span, done, top = _settle(low, span)
-            if len(done):
-                if size[-1] <= step:  # only the last block is shorter: what follows its end is not kept
-                    live = size[done] > step
-                    done, top = done[live], top[live]
-                words[done, filled[done]] = top
-                filled[done] += 1
-            model.update(x)
+            narrow = own[step]
+            x = narrow.astype(np.int32)
+            names, share, rest = model.predict()
+            low, span, hits = _narrow(low, span >> model.n24, x, names, share, rest, below, freq)
+            done, leading = _settle(low, span, model.word)
+            if size[-1] <= step and len(done) and done[-1] == lanes - 1:  # only the last block is shorter: what follows its end is not kept
+                done, leading = done[:-1], leading[:-1]
+            at = free[done]
+            words[at] = leading >> _32
+            at += 1
+            free[done] = at
+            model.update(x, narrow, hits)
             if size[-1] == step + 1 and step + 1 < size.max():
-                words[-1, filled[-1] : filled[-1] + 2] = int(low[-1]) >> 32, int(low[-1]) & 0xFFFFFFFF
-                filled[-1] += 2
+                words[free[-1] : free[-1] + 2] = int(low[-1]) >> 32, int(low[-1]) & 0xFFFFFFFF
+                free[-1] += 2
                 closed = True
             elif step == 0:
                 closed = False
         for lane in range(lanes):
             if not (closed and lane == lanes - 1):
-                words[lane, filled[lane] : filled[lane] + 2] = int(low[lane]) >> 32, int(low[lane]) & 0xFFFFFFFF
-                filled[lane] += 2
-        out += [words[lane, : filled[lane]].copy() for lane in range(lanes)]
+                words[free[lane] : free[lane] + 2] = int(low[lane]) >> 32, int(low[lane]) & 0xFFFFFFFF
+                free[lane] += 2
+        out += [words[a:b].copy() for a, b in zip(begin.tolist(), free.tolist(), strict=True)]
     return out
 
 
-def _settle(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lanes whose leading word is settled, or made so by giving up a little of the span, shift it out."""
-    equal = ((low ^ (low + span - np.uint64(1))) >> _32) == 0
-    done = np.flatnonzero(equal | (span <= _WORD))
-    if not len(done):
-        return low, span, done, done
+def _narrow(
+    low: np.ndarray, unit: np.ndarray, x: np.ndarray, names: np.ndarray, share: np.ndarray, rest: np.ndarray, below: np.ndarray, freq: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each lane's span, of 2 ** 24 units, narrowed to that of its symbol ``x``, and which names were right."""
+    at = x.astype(np.int64)
+    hits = names == x
+    start = below.take(at, mode="clip")
+    start *= rest
+    raised = (names < x) * share
+    raised2, raised1 = raised
+    start += raised2
+    start += raised1
+    width = freq.take(at, mode="clip")
+    width *= rest
+    np.multiply(hits, share, out=raised)
+    width += raised2
+    width += raised1
+    return low + unit * start.view(np.uint32), unit * width.view(np.uint32), hits
+
+
+def _settle(low: np.ndarray, span: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose span fits a word shift their leading word out, settled or made so by giving up a little of the span.
+
+    Returns those lanes and what ``low`` was there.
+    """
+    done = np.flatnonzero(span <= word)
     own, wide = low[done], span[done]
-    cross = ~equal[done]
-    wide[cross] = (~own[cross] & _WORD) + np.uint64(1)
+    cross = (own ^ (own + wide - _1)) > _WORD
+    if cross.any():
+        wide[cross] = (~own[cross] & _WORD) + _1
     low[done] = own << _32
-    # A full span of 2 ** 32 would overflow by one.
-    span[done] = np.where(wide > _WORD, np.uint64(0xFFFFFFFFFFFFFFFF), wide << _32)
-    return low, span, done, (own >> _32).astype(np.uint32)
+    span[done] = wide << _32
+    return done, own
 
 
 def decode_blocks(words: list[np.ndarray], n: int, freq: np.ndarray) -> np.ndarray:
     """The ``n`` symbol numbers that ``encode_blocks`` was given."""
     blocks, sizes = _shape(n)
-    below = np.concatenate(([0], np.cumsum(freq)[:-1]))
-    symbol_at = np.repeat(np.arange(len(freq)), freq)
-    out = np.zeros((blocks, BLOCK), dtype=np.int64)
+    symbol_at = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
+    below, freq = _order0(freq)
+    out = np.zeros((blocks, BLOCK), dtype=np.uint16)
     for first in range(0, blocks, LANES):
         own = words[first : first + LANES]
         lanes = len(own)
-        flat = np.concatenate([np.concatenate((w, np.zeros(2 * BLOCK + 4 - len(w) if k == lanes - 1 else 4, np.uint32))) for k, w in enumerate(own)]).astype(np.uint64)
+        flat = np.concatenate([np.concatenate((w, np.zeros(2 * BLOCK + 4 - len(w) if k == lanes - 1 else 4, np.uint32))) for k, w in enumerate(own)])
         reads = np.cumsum([0, *[len(w) + 4 for w in own[:-1]]])
-        code = (flat[reads] << _32) | flat[reads + 1]
+        code = (flat[reads].astype(np.uint64) << _32) | flat[reads + 1]
         reads = reads + 2
-        model = _Model(lanes)
+        model = _Model(lanes, len(freq) - 1)
         low = np.zeros(lanes, dtype=np.uint64)
         span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        table = np.zeros((BLOCK, lanes), dtype=np.int64)
+        table, zeros, last = np.zeros((BLOCK, lanes), dtype=np.uint16), np.zeros((2, lanes), dtype=np.int32), np.full(lanes, (1 << 24) - 1, dtype=np.uint64)
         for step in range(int(sizes[first : first + LANES].max())):
-            name2, name1, share2, share1 = model.predict()
-            rest = 256 - share2 - share1
-            unit = span >> np.uint64(24)
-            value = np.minimum((code - low) // unit, np.uint64((1 << 24) - 1)).astype(np.int64)
-            # The two names raise the distribution at their places, the smaller id first.
-            swap = name1 < name2
-            a, b = np.where(swap, name1, name2), np.where(swap, name2, name1)
-            up_a, up_b = np.where(swap, share1, share2) << 16, np.where(swap, share2, share1) << 16
-            at_a = below[a] * rest
-            is_a = (value >= at_a) & (value < at_a + freq[a] * rest + up_a)
-            left = np.where(value >= at_a + up_a, value - up_a, value)
-            at_b = below[b] * rest
-            is_b = ~is_a & (left >= at_b) & (left < at_b + freq[b] * rest + up_b)
-            left = np.where(~is_b & (left >= at_b + up_b), left - up_b, left)
-            x = symbol_at[np.minimum(left // rest, _TOTAL - 1)]
-            x = np.where(is_a, a, np.where(is_b, b, x))
-            start = below[x] * rest + (((name2 < x) * share2 + (name1 < x) * share1) << 16)
-            width = freq[x] * rest + (((name2 == x) * share2 + (name1 == x) * share1) << 16)
-            low = low + unit * start.astype(np.uint64)
-            span = unit * width.astype(np.uint64)
-            low, span, done, _ = _settle(low, span)
-            if len(done):
-                code[done] = (code[done] << _32) | flat[np.minimum(reads[done], len(flat) - 1)]
-                reads[done] += 1
-            table[step] = x
-            model.update(x)
+            names, share, rest = model.predict()
+            value = code - low
+            unit = span >> model.n24
+            value //= unit
+            value = np.minimum(value, last, out=value).astype(np.int32)
+            # The two names raise the distribution at their places: what is raised is taken out again.
+            raised = below.take(names, mode="clip")
+            raised *= rest
+            raised[0] += (names[1] < names[0]) * share[1]
+            raised[1] += (names[0] < names[1]) * share[0]
+            np.subtract(value, raised, out=raised)
+            np.maximum(raised, zeros, out=raised)
+            np.minimum(raised, share, out=raised)
+            value -= raised[0]
+            value -= raised[1]
+            narrow = symbol_at.take((value / rest).astype(np.int64), mode="clip")
+            x = narrow.astype(np.int32)
+            low, span, hits = _narrow(low, unit, x, names, share, rest, below, freq)
+            done, _ = _settle(low, span, model.word)
+            at = reads[done]
+            code[done] = (code[done] << _32) | flat.take(at, mode="clip")
+            at += 1
+            reads[done] = at
+            table[step] = narrow
+            model.update(x, narrow, hits)
         out[first : first + LANES] = table.T
     return out.reshape(-1)[:n]
 
@@ -295,8 +502,7 @@ def pack_file(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """The bytes of one file."""
     every = np.frombuffer(b"".join(ids), dtype="<u4")
     symbols, freq = _frequencies(every)
-    numbers = np.searchsorted(symbols, every)
-    words = encode_blocks(numbers, freq)
+    words = encode_blocks(_numbers(every, symbols), freq)
     checks = [zlib.crc32(every[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(len(words))]
     head = zlib.compress(b"".join([
         np.array([0 if i is None else i for i in doc_ids], dtype="<i8").tobytes(),
@@ -373,7 +579,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
                     yield flush()
         if doc_ids:
             yield flush()
-        encoder(path).known = {}
+        encoder(path).forget(WORDS_LEFT)
 
     return map_arrow(ordered, work, "file string, partition long, number long, docs long, ids long")
 

@@ -57,6 +57,43 @@ def test_pieces_give_the_library_s_ids():
     assert [np.frombuffer(x, "<u4").tolist() for x in T.Encoder(T.default_path()).encode(texts)] == want
 
 
+def test_plain_pieces_are_merged_without_the_pattern():
+    """Cutting by the pattern takes most of the library's time; only heads and odd pieces still need it."""
+    e, cut = T.Encoder(T.default_path()), []
+    ids = e._ids
+    e._ids = lambda pieces: cut.extend(pieces) or ids(pieces)
+    text = "alpha beta, gamma.\nDelta don't élan 12 x-y 3rd $5.00 中文 beta."
+    whole = Tokenizer.from_file(T.default_path())
+    want = [whole.encode(text, add_special_tokens=False).ids + [0]] * 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([text, text])] == want
+    assert cut == ["alpha", " don't", " 中文"]
+
+
+def test_pieces_outlive_a_task():
+    """Between tasks the first pieces stay, and ids are the same with any table."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé1.,\n-", k=rng.randint(1, 9))) for _ in range(2000)] + ["w" * 150 + ".", "w" * 150]
+    batches = [[" ".join(rng.choices(words, k=300)) for _ in range(4)] for _ in range(6)]
+    whole = Tokenizer.from_file(T.default_path())
+    e = T.Encoder(T.default_path())
+    for k, batch in enumerate(batches):
+        want = [whole.encode(t, add_special_tokens=False).ids + [0] for t in batch]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(batch)] == want
+        before = len(e.known)
+        e.forget(100 if k % 2 else 10_000)
+        assert len(e.known) == before if k % 2 == 0 else 90 < len(e.known) <= 100
+    e.forget()
+    assert not e.known and e.encode([None, ""]) == [bytes(4)] * 2
+
+
+def test_every_number_of_symbols():
+    """As many distinct ids as the coder can tell apart, and ids too large to be counted in a table."""
+    ids = np.random.default_rng(6).permutation(np.arange(1 << 16)).astype("<u4")
+    for own in (ids, ids + np.uint32(1 << 31)):
+        _, (got,) = T.unpack_file(T.pack_file([1], [own.tobytes()]))
+        assert got.tolist() == own.tolist()
+
+
 def test_query_reads_the_files_in_order(spark, table):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "no id"), (3, "again three"), (50, TEXTS[-1])]
     got = [tuple(r) for r in T.op2_token_files(spark, table(*rows)).collect()]
