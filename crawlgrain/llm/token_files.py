@@ -23,8 +23,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, compress, repeat
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,14 @@ _ONE_BITS, _TWO_BITS = 11, 12
 _CONFIDENCES = 8
 _TOTAL = 1 << 16
 _WORD = np.uint64(0xFFFFFFFF)
-_1, _32 = np.uint64(1), np.uint64(32)
+_1, _24, _32 = np.uint64(1), np.uint64(24), np.uint64(32)
+_LAST = np.uint64((1 << 24) - 1)
 #: Ids below this are counted and numbered by a table, others by sorting.
 _COUNTED = 1 << 22
 #: Pieces, and their ids, that a task remembers; a full table is emptied, which costs time but no result.
 WORDS_KEPT, IDS_KEPT = 700_000, 6_000_000
 #: Pieces that a worker remembers between tasks.
-WORDS_LEFT = 400_000
+WORDS_LEFT = 200_000
 
 
 # -- texts to ids --------------------------------------------------------------------------------
@@ -74,6 +76,20 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Numbers(dict):
+    """Gives each key that it is asked for a number, and lists the new ones."""
+
+    def __init__(self, known: Iterable[tuple[str, int]] = (), count: int = 0):
+        super().__init__(known)
+        self.count, self.new = count, []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = self.count
+        self.count = number + 1
+        self.new.append(key)
+        return number
+
+
 def _longer(a: np.ndarray, n: int) -> np.ndarray:
     """``a``, or a copy with room for ``n`` and as many again."""
     return a if n <= len(a) else np.concatenate((a, np.zeros(2 * n - len(a), dtype=a.dtype)))
@@ -107,13 +123,12 @@ class Encoder:
         """Keep only the ``kept`` pieces met first, which are mostly the frequent ones."""
         if not kept:
             # A piece that starts a text is known by a space and itself, another, which has a space before it, by itself.
-            self.known: dict[str, int] = {}
-            self.count = 0
+            self.known = _Numbers()
             # Ids of the pieces, and by the number of a piece where its ids start and how many they are.
             self.store, self.used = np.zeros(1 << 16, dtype="<u4"), 0
             self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        elif self.count > kept:
-            self.known, self.count = {p: k for p, k in self.known.items() if k < kept}, kept
+        elif self.known.count > kept:
+            self.known = _Numbers(((p, k) for p, k in self.known.items() if k < kept), kept)
             self.start, self.length = self.start[:kept].copy(), self.length[:kept].copy()
             self.used = int((self.start + self.length).max())
             self.store = self.store[: self.used].copy()
@@ -147,14 +162,6 @@ class Encoder:
             return self._ids(parts)  # a vocabulary that does not know every byte
         return ids, np.diff(ends + 1, prepend=0)
 
-    def _number(self, pieces: list[str]) -> range:
-        """Numbers for new pieces."""
-        first, self.count = self.count, self.count + len(pieces)
-        numbers = range(first, self.count)
-        self.known.update(zip(pieces, numbers, strict=True))
-        self.start, self.length = _longer(self.start, self.count), _longer(self.length, self.count)
-        return numbers
-
     def _add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Put ids away; where those of each length start."""
         begin = self.used
@@ -172,6 +179,7 @@ class Encoder:
 
     def _learn(self, keys: list[str], first: int) -> None:
         """Find the ids of new pieces, which are numbered from ``first`` on."""
+        self.start, self.length = _longer(self.start, self.known.count), _longer(self.length, self.known.count)
         plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, keys)), dtype=bool, count=len(keys))
         if plain.any():
             self._learn_plain(list(compress(keys, plain)), first + np.flatnonzero(plain), first)
@@ -181,25 +189,21 @@ class Encoder:
             self.start[odd], self.length[odd] = self._add(ids, length), length
 
     def _learn_plain(self, keys: list[str], numbers: np.ndarray, first: int) -> None:
-        cut = _PARTS.findall(" " + " ".join(keys))
-        parts = list(dict.fromkeys(cut))
-        of = np.fromiter(map(dict(zip(parts, range(len(parts)), strict=True)).__getitem__, cut), dtype=np.int64, count=len(cut))
+        cut, parts = _PARTS.findall(" " + " ".join(keys)), _Numbers()
+        of = np.fromiter(map(parts.__getitem__, cut), dtype=np.int64, count=len(cut))
         # Each key's parts begin where its text does.
         size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         long = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) + 1
         begin = np.searchsorted(np.cumsum(size) - size, np.cumsum(long) - long)
         # A part may be a piece of an earlier batch.
-        own, none = self.known.get, self.count
-        old = np.array([own(part[1:], none) if part[0] == " " else first for part in parts])
-        fresh, added = old >= first, np.flatnonzero(old == none)
+        number_of = self.known.get
+        old = np.array([number_of(part[1:], first) if part[0] == " " else first for part in parts.new])
+        fresh = old >= first
         old[fresh] = 0
         start, length = self.start[old], self.length[old]
         if fresh.any():
-            ids, length[fresh] = self._merged(list(compress(parts, fresh)))
+            ids, length[fresh] = self._merged(list(compress(parts.new, fresh)))
             start[fresh] = self._add(ids, length[fresh])
-        if len(added):  # and is one from now on
-            now = self._number([parts[k][1:] for k in added.tolist()])
-            self.start[now.start : now.stop], self.length[now.start : now.stop] = start[added], length[added]
         start, length = start[of], length[of]
         count = np.diff(begin, append=len(cut))
         single, total = count == 1, np.add.reduceat(length, begin)
@@ -209,25 +213,22 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit integers."""
-        if self.count > WORDS_KEPT or self.used > IDS_KEPT:
+        if self.known.count > WORDS_KEPT or self.used > IDS_KEPT:
             self.forget()
-        every, counts = [], []
+        known, first = self.known, self.known.count
+        numbers, counts = array("q"), []
         for text in texts:
             if text:
                 cut = self.pieces(text)
                 cut[0] = " " + cut[0]
-                every += cut
+                numbers.extend(map(known.__getitem__, cut))
                 counts.append(len(cut))
             else:
                 counts.append(0)
-        of = np.fromiter(map(self.known.get, every, repeat(-1)), dtype=np.int64, count=len(every))
-        unknown, new = np.flatnonzero(of < 0), []
-        if len(unknown):
-            asked = [every[k] for k in unknown.tolist()]
-            new = list(dict.fromkeys(asked))
-            first = self._number(new).start
-            of[unknown] = np.fromiter(map(self.known.__getitem__, asked), dtype=np.int64, count=len(asked))
+        new, known.new = known.new, []
+        if new:
             self._learn(new, first)
+        of = np.frombuffer(numbers, dtype=np.int64)
         lengths = self.length[of]
         raw = self._gather(self.start[of], lengths).tobytes()
         ends = (4 * np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]).tolist()
@@ -235,7 +236,7 @@ class Encoder:
         out = [raw[a:b] + tail for a, b in zip([0, *ends], ends, strict=False)]
         for key in new:
             if len(key) > 100:
-                del self.known[key]
+                del known[key]
         return out
 
 
@@ -272,46 +273,37 @@ class _Model:
         self.shifts = np.array([[4], [5]], dtype=np.uint16) + np.zeros((2, lanes), dtype=np.uint16)
         self.n1, self.n2, self.n3, self.n4, self.n6, self.n7, self.n8, self.n16, self.n254, self.n255, self.full = (
             np.full((2, lanes), k, dtype=np.int32) for k in (1, 2, 3, 4, 6, 7, 8, 16, 254, 255, 65535))
-        # Rows of both, as taking one out each time costs as much as adding two.
-        self.spread2, self.spread1 = self.spread
-        self.factor2, self.factor1 = self.factors
-        self.chance2, self.chance1 = self.chance
-        self.share2, self.share1 = self.share
-        self.r1, self.r3, self.r8, self.r16, self.r254, self.r255 = (n[0] for n in (self.n1, self.n3, self.n8, self.n16, self.n254, self.n255))
-        self.n24, self.word = np.full(lanes, 24, dtype=np.uint64), np.full(lanes, _WORD)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids named by order 2 and 1, their shares of 256 times 65536, and what is left of 256, at least 1, for order 0."""
         spread = self.spread  # the hashes are bits of the low 16
-        np.multiply(self.last, self.factor1, out=self.spread1)
-        np.multiply(self.before, self.factor2, out=self.spread2)
-        np.add(self.spread2, self.spread1, out=self.spread2)
+        np.multiply(self.last, self.factors[1], out=spread[1])
+        np.multiply(self.before, self.factors[0], out=spread[0])
+        spread[0] += spread[1]
         np.add(self.base, spread >> self.shifts, out=self.at)
         entry = self.entries.take(self.at, out=self.entry, mode="clip")
         self.names = names = entry >> self.n3
         self.sure = entry & self.n7
-        name2, name1 = names
-        self.other = name2 != name1
+        self.other = names[0] != names[1]
         ctx = self.sure + self.n8
-        ctx -= self.other * self.r8
+        ctx -= self.other * self.n8[0]
         np.add(self.rows, ctx, out=self.ctx)
-        self.chances.take(self.ctx, out=self.chance, mode="clip")
-        share, share2, share1 = self.share, self.share2, self.share1
-        np.right_shift(self.chance2, self.r8, out=share2)
-        np.minimum(share2, self.r254, out=share2)
-        rest = self.r255 - share2
-        np.multiply(rest, self.chance1, out=share1)
-        np.right_shift(share1, self.r16, out=share1)
-        rest -= share1
-        rest += self.r1
+        chance = self.chances.take(self.ctx, out=self.chance, mode="clip")
+        share = self.share
+        np.right_shift(chance[0], self.n8[0], out=share[0])
+        np.minimum(share[0], self.n254[0], out=share[0])
+        rest = self.n255[0] - share[0]
+        np.multiply(rest, chance[1], out=share[1])
+        share[1] >>= self.n16[0]
+        rest -= share[1]
+        rest += self.n1[0]
         share <<= self.n16
         return names, share, rest
 
     def update(self, x: np.ndarray, narrow: np.ndarray, hits: np.ndarray) -> None:
         """``x`` came, ``narrow`` in 16 bits, which order 2 and 1 did or did not name."""
-        hit2, hit1 = hits
-        fresh = x << self.r3
-        fresh += self.r1
+        fresh = x << self.n3[0]
+        fresh += self.n1[0]
         # Named rightly: surer by one, 7 at most. Else a name that is sure by 3 stays, less sure by 2, and others are replaced.
         made = np.minimum(self.sure, self.n6)
         made *= hits
@@ -322,12 +314,11 @@ class _Model:
         made += stays
         self.entries[self.at] = made
         # Order 1 is asked where order 2 named another id and was wrong.
-        np.logical_and(hit1, self.other, out=hit1)
+        np.logical_and(hits[1], self.other, out=hits[1])
         change = hits * self.full
         change -= self.chance
         change >>= self.n4
-        change1 = change[1]
-        change1 *= ~hit2
+        change[1] *= ~hits[0]
         change += self.chance
         self.chances[self.ctx] = change
         self.before, self.last = self.last, narrow
@@ -392,14 +383,15 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
             narrow = own[step]
             x = narrow.astype(np.int32)
             names, share, rest = model.predict()
-            low, span, hits = _narrow(low, span >> model.n24, x, names, share, rest, below, freq)
-            done, leading = _settle(low, span, model.word)
-            if size[-1] <= step and len(done) and done[-1] == lanes - 1:  # only the last block is shorter: what follows its end is not kept
-                done, leading = done[:-1], leading[:-1]
-            at = free[done]
-            words[at] = leading >> _32
-            at += 1
-            free[done] = at
+            low, span, hits = _narrow(low, span, x, narrow, names, share, rest, below, freq)
+            low, span, done, top = _settle(low, span)
+            if len(done):
+                if size[-1] <= step and done[-1] == lanes - 1:  # only the last block is shorter: what follows its end is not kept
+                    done, top = done[:-1], top[:-1]
+                at = free[done]
+                words[at] = top
+                at += 1
+                free[done] = at
             model.update(x, narrow, hits)
             if size[-1] == step + 1 and step + 1 < size.max():
                 words[free[-1] : free[-1] + 2] = int(low[-1]) >> 32, int(low[-1]) & 0xFFFFFFFF
@@ -416,38 +408,41 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
 
 
 def _narrow(
-    low: np.ndarray, unit: np.ndarray, x: np.ndarray, names: np.ndarray, share: np.ndarray, rest: np.ndarray, below: np.ndarray, freq: np.ndarray,
+    low: np.ndarray, span: np.ndarray, x: np.ndarray, at: np.ndarray, names: np.ndarray, share: np.ndarray, rest: np.ndarray, below: np.ndarray, freq: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each lane's span, of 2 ** 24 units, narrowed to that of its symbol ``x``, and which names were right."""
-    at = x.astype(np.int64)
+    """Each lane's span narrowed to that of its symbol ``x``, and which names were right."""
     hits = names == x
     start = below.take(at, mode="clip")
     start *= rest
     raised = (names < x) * share
-    raised2, raised1 = raised
-    start += raised2
-    start += raised1
+    start += raised[0]
+    start += raised[1]
     width = freq.take(at, mode="clip")
     width *= rest
     np.multiply(hits, share, out=raised)
-    width += raised2
-    width += raised1
+    width += raised[0]
+    width += raised[1]
+    unit = span >> _24
     return low + unit * start.view(np.uint32), unit * width.view(np.uint32), hits
 
 
-def _settle(low: np.ndarray, span: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose span fits a word shift their leading word out, settled or made so by giving up a little of the span.
-
-    Returns those lanes and what ``low`` was there.
-    """
-    done = np.flatnonzero(span <= word)
+def _settle(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes whose leading word is settled, or made so by giving up a little of the span, shift it out."""
+    differ = low + span
+    differ -= _1
+    differ ^= low
+    equal = differ <= _WORD
+    done = np.flatnonzero(equal | (span <= _WORD))
+    if not len(done):
+        return low, span, done, done
     own, wide = low[done], span[done]
-    cross = (own ^ (own + wide - _1)) > _WORD
+    cross = ~equal[done]
     if cross.any():
         wide[cross] = (~own[cross] & _WORD) + _1
     low[done] = own << _32
-    span[done] = wide << _32
-    return done, own
+    # A full span of 2 ** 32 would overflow by one.
+    span[done] = np.where(wide > _WORD, np.uint64(0xFFFFFFFFFFFFFFFF), wide << _32)
+    return low, span, done, (own >> _32).astype(np.uint32)
 
 
 def decode_blocks(words: list[np.ndarray], n: int, freq: np.ndarray) -> np.ndarray:
@@ -466,13 +461,12 @@ def decode_blocks(words: list[np.ndarray], n: int, freq: np.ndarray) -> np.ndarr
         model = _Model(lanes, len(freq) - 1)
         low = np.zeros(lanes, dtype=np.uint64)
         span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        table, zeros, last = np.zeros((BLOCK, lanes), dtype=np.uint16), np.zeros((2, lanes), dtype=np.int32), np.full(lanes, (1 << 24) - 1, dtype=np.uint64)
+        table, zeros = np.zeros((BLOCK, lanes), dtype=np.uint16), np.zeros((2, lanes), dtype=np.int32)
         for step in range(int(sizes[first : first + LANES].max())):
             names, share, rest = model.predict()
             value = code - low
-            unit = span >> model.n24
-            value //= unit
-            value = np.minimum(value, last, out=value).astype(np.int32)
+            value //= span >> _24
+            value = np.minimum(value, _LAST).astype(np.int32)
             # The two names raise the distribution at their places: what is raised is taken out again.
             raised = below.take(names, mode="clip")
             raised *= rest
@@ -485,12 +479,13 @@ def decode_blocks(words: list[np.ndarray], n: int, freq: np.ndarray) -> np.ndarr
             value -= raised[1]
             narrow = symbol_at.take((value / rest).astype(np.int64), mode="clip")
             x = narrow.astype(np.int32)
-            low, span, hits = _narrow(low, unit, x, names, share, rest, below, freq)
-            done, _ = _settle(low, span, model.word)
-            at = reads[done]
-            code[done] = (code[done] << _32) | flat.take(at, mode="clip")
-            at += 1
-            reads[done] = at
+            low, span, hits = _narrow(low, span, x, narrow, names, share, rest, below, freq)
+            low, span, done, _ = _settle(low, span)
+            if len(done):
+                at = reads[done]
+                code[done] = (code[done] << _32) | flat.take(at, mode="clip")
+                at += 1
+                reads[done] = at
             table[step] = narrow
             model.update(x, narrow, hits)
         out[first : first + LANES] = table.T
