@@ -115,6 +115,18 @@ def test_urls_without_labels_or_rows(spark):
     assert U.filter_urls(docs.limit(0)).collect() == []
 
 
+def test_judged_paths_are_not_broadcast_and_only_hot_ones_copied(spark, tmp_path):
+    """Sixteen copies of all paths used to be broadcast where the file of the paths was small enough by itself."""
+    urls = ["http://a.net/hot/1"] * 200 + [f"http://h{k % 7}.net/{'xyz'[k % 3]}/{k}" for k in range(300)]
+    folder = pages(spark, tmp_path, urls)
+    found = U.op3_url_filter(spark, folder)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    same(found, duck(pages=f"{folder}/pages.parquet/*.parquet"), registry.ORACLES["op3_url_filter"])
+    paths = spark.createDataFrame([("a", ["p"], 200), ("a", ["q"], 63), ("b", ["p"], 64), ("", [], 1)], "host string, segments array<string>, n long")
+    assert sorted((r.host, *r.segments) for r in paths.where(U._hot_sql(paths)).collect()) == [("a", "p"), ("b", "p")]
+    assert paths.where(U._hot_sql(paths.limit(0))).collect() == []
+
+
 def test_url_plan_is_native(spark):
     plan = U.op3_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
