@@ -11,7 +11,8 @@
    smallest id of each, and the sorted runs are merged by binary search.
 6. The removed windows return to their chunks, which cut them out.
 
-Buckets, shards and splits grow with the input, so a task's share does not. Nothing is collected but sums.
+Buckets, shards and splits grow with the input, so a task's share does not. Shards go in blocks of up to ``BLOCK_SHARDS``: a chunk
+and a block exchange one row each way, and a block's shards are worked on one after the other. Nothing is collected but sums.
 
 Defined cases: a null text counts as empty. A document with a null id neither removes nor loses anything. Rows of one id
 are one document as to what is smaller, and are each judged. Texts under 50 bytes stay whole. Other columns are not read.
@@ -35,8 +36,10 @@ from crawlgrain.llm.common import Scratch, give_back, map_arrow, mix64, read_tab
 LENGTH, GRAM = 50, 16
 _WINDOW = LENGTH - GRAM + 1
 CHUNK_BYTES = 1 << 20
-#: Bytes of input for each hash bucket and for each shard.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
+#: Bytes of input for each hash bucket and for each shard. Rows between chunks and buckets grow with the product of the two.
+BUCKET_BYTES, SHARD_BYTES = 64 << 20, 1 << 20
+#: Most shards of a block (their numbers within it are bytes), and the number of blocks from which they are as large.
+BLOCK_SHARDS, BLOCKS = 32, 64
 #: Chunks whose pieces of one anchor may meet in one shard; anchors found in more are split.
 CHUNKS_A_SPLIT = 4096
 _PARTS = 16
@@ -148,14 +151,14 @@ def _repeated(split_at: int):
 
 
 # -- pieces --------------------------------------------------------------------------------------
-_PIECES = "kind int, shard long, split long, chunk long, ids binary, rows binary, starts binary, sizes binary, blob binary"
+_PIECES = "kind int, block long, split long, chunk long, shards binary, ids binary, rows binary, starts binary, sizes binary, blob binary"
 _CUTS = "chunk long, rows binary, starts binary, stops binary"
 
 
-def _send_pieces(bits: int, shards: int, splits: int):
+def _send_pieces(bits: int, shards: int, a_block: int, splits: int):
     def work(key, chunk: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        columns = ["kind", "shard", "split", "chunk", "ids", "rows", "starts", "sizes", "blob"]
+        columns = ["kind", "block", "split", "chunk", "shards", "ids", "rows", "starts", "sizes", "blob"]
         if len(chunk):
             row = chunk.iloc[0]
             ends = np.asarray(row["ends"], dtype=np.int64)
@@ -172,14 +175,14 @@ def _send_pieces(bits: int, shards: int, splits: int):
             order = np.argsort(wanted)
             wanted, many = wanted[order], many[order]
             if len(wanted):
-                out = _pieces(row, ends, copies, wanted, many, bits, shards, splits)
+                out = _pieces(row, ends, copies, wanted, many, bits, shards, a_block, splits)
         give_back()
         return pd.DataFrame(out, columns=columns)
 
     return work
 
 
-def _pieces(row, ends, copies, wanted, many, bits, shards, splits) -> list[tuple]:
+def _pieces(row, ends, copies, wanted, many, bits, shards, a_block, splits) -> list[tuple]:
     text = _unpack(row["blob"])
     raw = text.tobytes()
     h, first, last = anchors(text, ends)
@@ -209,16 +212,16 @@ def _pieces(row, ends, copies, wanted, many, bits, shards, splits) -> list[tuple
         if known < i:
             local.append((d, a - int(begin[d]), b - int(begin[d])))
         else:
-            sent.setdefault((s, p), []).append((i, d, a - int(begin[d]), piece))
+            sent.setdefault((s // a_block, p), []).append((s % a_block, i, d, a - int(begin[d]), piece))
     chunk = int(row["chunk"])
     squeeze = zstandard.ZstdCompressor(level=1)
     out = []
-    for (s, p), pieces in sent.items():
-        i, d, a, blobs = zip(*pieces, strict=True)
-        out.append((0, s, p, chunk, _pack8(i), _pack8(d), _pack8(a), bytes(map(len, blobs)), squeeze.compress(b"".join(blobs))))
+    for (block, p), pieces in sent.items():
+        s, i, d, a, blobs = zip(*pieces, strict=True)
+        out.append((0, block, p, chunk, bytes(s), _pack8(i), _pack8(d), _pack8(a), bytes(map(len, blobs)), squeeze.compress(b"".join(blobs))))
     if local:
         d, a, b = zip(*local, strict=True)
-        out.append((1, chunk % shards, -1, chunk, b"", _pack8(d), _pack8(a), _pack8(b), b""))
+        out.append((1, chunk % -(-shards // a_block), -1, chunk, b"", b"", _pack8(d), _pack8(a), _pack8(b), b""))
     return out
 
 
@@ -309,71 +312,90 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts: n
     return out
 
 
-def _shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """Removed parts of the pieces of one shard; for split anchors also the sorted run of its distinct windows."""
-    cuts: dict[int, list] = {}
-    for r in rows[rows["kind"] == 1].itertuples():
-        cuts.setdefault(r.chunk, []).append((_unpack8(r.rows), _unpack8(r.starts), _unpack8(r.sizes)))
-    pieces: dict[bytes, list[tuple[int, int, int, int]]] = {}
-    for r in rows[rows["kind"] == 0].itertuples():
-        raw = zstandard.ZstdDecompressor().decompress(r.blob)
-        a = 0
-        for i, d, s, size in zip(_unpack8(r.ids).tolist(), _unpack8(r.rows).tolist(), _unpack8(r.starts).tolist(), r.sizes, strict=True):
-            pieces.setdefault(raw[a : a + size], []).append((i, r.chunk, d, s))
-            a += size
-    run: dict[str, bytes] = {"strings": b"", "docs": b"", "entry": b"", "chunks": b"", "rows": b"", "starts": b""}
-    if pieces:
-        removed: list[tuple[int, int, int, int]] = []
-        smallest = []
-        for piece, places in pieces.items():
-            least = min(places)[0]
-            smallest.append(least)
+def _shard(pieces: dict[bytes, list[tuple[int, int, int, int]]], split: bool) -> tuple[np.ndarray, dict[str, bytes] | None]:
+    """Removed parts (chunk, row, start, stop) of the pieces of one shard, given by their places (id, chunk, row, start); for split
+    anchors also the sorted run of its distinct windows."""
+    removed: list[tuple[int, int, int, int]] = []
+    smallest = []
+    for piece, places in pieces.items():
+        least = min(places)[0]
+        smallest.append(least)
+        if len(places) > 1:
             removed += [(c, d, s, s + len(piece)) for i, c, d, s in places if i > least]
-        t = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        starts = np.cumsum(sizes) - sizes
-        counts = sizes - LENGTH + 1
-        sa = suffix_array(t)
-        prefix = common_prefixes(t, sa, starts, counts)
-        # Suffixes that start no window cannot stand between equal windows, or they would start with the same 50 bytes.
-        window = np.zeros(len(t) + 1, dtype=np.int64)
-        window[starts] += 1
-        np.add.at(window, starts + counts, -1)
-        window = np.cumsum(window[:-1]) > 0
-        run_of = _runs(t, sa, window, prefix)
-        at = np.flatnonzero(window)
-        piece_of = np.searchsorted(starts, at, side="right") - 1
-        doc = np.array(smallest, dtype=np.int64)[piece_of]
-        group = run_of[at]
-        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc)
-        places = list(pieces.values())
-        gone = at[doc > least[group]]
-        if len(gone):
-            owner = np.searchsorted(starts, gone, side="right") - 1
-            head = np.ones(len(gone), dtype=bool)
-            head[1:] = (gone[1:] != gone[:-1] + 1) | (owner[1:] != owner[:-1])
-            tail = np.append(head[1:], True)
-            for k, a, b in zip(owner[head].tolist(), gone[head].tolist(), gone[tail].tolist(), strict=True):
-                a, b = a - int(starts[k]), b - int(starts[k]) + LENGTH
-                removed += [(c, d, s + a, s + b) for i, c, d, s in places[k] if i == smallest[k]]
-        for c, d, a, b in removed:
-            cuts.setdefault(c, []).append((d, a, b))
-        if rows["split"].iloc[0] >= 0:
-            run = _sorted_run(t, at, group, doc, least, piece_of, starts, places)
-    out = []
-    for c, parts in cuts.items():
-        d, a, b = (np.concatenate([np.atleast_1d(p[k]) for p in parts]) for k in range(3))
-        out.append((c, _pack8(d), _pack8(a), _pack8(b)))
-    made = pd.DataFrame(out, columns=["chunk", "rows", "starts", "stops"])
-    made = made.assign(shard=rows["shard"].iloc[0], strings=b"", docs=b"", entry=b"", chunks=b"")
-    if run["strings"]:
-        made = pd.concat([made, pd.DataFrame([{**run, "chunk": -1, "stops": b"", "shard": rows["shard"].iloc[0]}])])
-    give_back()
-    return made[["chunk", "rows", "starts", "stops", "shard", "strings", "docs", "entry", "chunks"]]
+    t = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    starts = np.cumsum(sizes) - sizes
+    counts = sizes - LENGTH + 1
+    sa = suffix_array(t)
+    prefix = common_prefixes(t, sa, starts, counts)
+    # Suffixes that start no window cannot stand between equal windows, or they would start with the same 50 bytes.
+    window = np.zeros(len(t) + 1, dtype=np.int64)
+    window[starts] += 1
+    np.add.at(window, starts + counts, -1)
+    window = np.cumsum(window[:-1]) > 0
+    run_of = _runs(t, sa, window, prefix)
+    at = np.flatnonzero(window)
+    piece_of = np.searchsorted(starts, at, side="right") - 1
+    doc = np.array(smallest, dtype=np.int64)[piece_of]
+    group = run_of[at]
+    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc)
+    places = list(pieces.values())
+    gone = at[doc > least[group]]
+    if len(gone):
+        owner = np.searchsorted(starts, gone, side="right") - 1
+        head = np.ones(len(gone), dtype=bool)
+        head[1:] = (gone[1:] != gone[:-1] + 1) | (owner[1:] != owner[:-1])
+        tail = np.append(head[1:], True)
+        for k, a, b in zip(owner[head].tolist(), gone[head].tolist(), gone[tail].tolist(), strict=True):
+            a, b = a - int(starts[k]), b - int(starts[k]) + LENGTH
+            removed += [(c, d, s + a, s + b) for i, c, d, s in places[k] if i == smallest[k]]
+    run = _sorted_run(t, at, group, doc, least, piece_of, starts, places) if split else None
+    return np.array(removed, dtype=np.int64).reshape(-1, 4), run
+
+
+def _block(a_block: int):
+    """All shards of one block, one after the other: a row of removed parts for each chunk, and the runs of split anchors."""
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        block, split = int(rows["block"].iloc[0]), bool(rows["split"].iloc[0] >= 0)
+        columns = ["chunk", "rows", "starts", "stops", "shard", "strings", "docs", "entry", "chunks"]
+        removed, runs = [np.zeros((0, 4), np.int64)], []
+        for r in rows[rows["kind"] == 1].itertuples():
+            d, a, b = map(_unpack8, (r.rows, r.starts, r.sizes))
+            removed.append(np.column_stack((np.full(len(d), r.chunk), d, a, b)))
+        sent = rows[rows["kind"] == 0]
+        if len(sent):
+            squeezed = zstandard.ZstdDecompressor()
+            raw = b"".join(squeezed.decompress(blob) for blob in sent["blob"])
+            shard, size = (np.frombuffer(b"".join(sent[c]), dtype=np.uint8) for c in ("shards", "sizes"))
+            number, row, start = (np.frombuffer(b"".join(sent[c]), dtype="<i8") for c in ("ids", "rows", "starts"))
+            chunk = np.repeat(sent["chunk"].to_numpy(), [len(x) for x in sent["shards"]])
+            del sent, rows
+            end = np.cumsum(size, dtype=np.int64)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(a_block + 1))
+            for k in range(a_block):
+                own = order[bounds[k] : bounds[k + 1]]
+                if not len(own):
+                    continue
+                pieces: dict[bytes, list[tuple[int, int, int, int]]] = {}
+                for b, n, *place in zip(*(x[own].tolist() for x in (end, size, number, chunk, row, start)), strict=True):
+                    pieces.setdefault(raw[b - n : b], []).append(tuple(place))
+                gone, run = _shard(pieces, split)
+                removed.append(gone)
+                if run and run["strings"]:
+                    runs.append((-1, run["rows"], run["starts"], b"", block * a_block + k, run["strings"], run["docs"], run["entry"], run["chunks"]))
+        cuts = np.concatenate(removed)
+        cuts = cuts[np.argsort(cuts[:, 0], kind="stable")]
+        heads = np.flatnonzero(np.diff(cuts[:, 0], prepend=-1))
+        out = [(int(part[0, 0]), *(_pack8(part[:, c]) for c in (1, 2, 3)), -1, b"", b"", b"", b"") for part in np.split(cuts, heads[1:]) if len(part)]
+        give_back()
+        return pd.DataFrame(out + runs, columns=columns)
+
+    return work
 
 
-_SHARD = "chunk long, rows binary, starts binary, stops binary, shard long, strings binary, docs binary, entry binary, chunks binary"
+_BLOCK = "chunk long, rows binary, starts binary, stops binary, shard long, strings binary, docs binary, entry binary, chunks binary"
 
 
 def _runs(t: np.ndarray, sa: np.ndarray, window: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -504,6 +526,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, chunks_a_split: int
     total = size.bytes or 0
     bits = max(6, (total // BUCKET_BYTES).bit_length())
     shards, splits = max(64, total // SHARD_BYTES), -(-size.chunks // chunks_a_split)
+    a_block = min(BLOCK_SHARDS, -(-shards // BLOCKS))
     counted = map_arrow(packed.select("chunk", "ends", "blob"), _count_anchors(bits), "bucket long, chunk long, keys binary, twice binary")
     repeated = counted.groupBy("bucket").applyInPandas(_repeated(chunks_a_split), "chunk long, bucket long, keys binary, many binary")
     repeated = work.write(repeated, "repeated")
@@ -514,8 +537,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, chunks_a_split: int
     pack = F.pandas_udf(lambda rows: rows.map(_pack8), "binary")
     flags = repeated.union(copies.select("chunk", F.lit(-1).cast("long"), pack("rows"), F.lit(b"")))
     pieces = packed.select("chunk", "ids", "ends", "blob").groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(
-        _send_pieces(bits, shards, splits), _PIECES)
-    found = work.write(pieces.groupBy("shard", "split").applyInPandas(_shard, _SHARD), "found")
+        _send_pieces(bits, shards, a_block, splits), _PIECES)
+    found = work.write(pieces.groupBy("block", "split").applyInPandas(_block(a_block), _BLOCK), "found")
     cuts = found.where("chunk >= 0").select("chunk", "rows", "starts", "stops")
     if splits > 1:
         runs = found.where("chunk < 0").select("shard", "strings", "docs", "entry", "chunks", "rows", "starts").mapInPandas(

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from crawlgrain.llm import repeated_bytes as R
 
@@ -104,3 +105,22 @@ def test_texts_longer_than_a_piece(monkeypatch):
     h, first, last = R.anchors(t, np.array([400, 430, 1000]))
     starts = [s for x, y in zip(first, last, strict=True) for s in range(x, y + 1)]
     assert starts == [*range(351), *range(430, 951)]
+
+
+@pytest.mark.parametrize("split", [R.CHUNKS_A_SPLIT, 1])
+def test_blocks_of_many_shards(docs_of, monkeypatch, split):
+    """Shards that share a block remove what shards by themselves do."""
+    monkeypatch.setattr(R, "BLOCKS", 3)
+    rows = sample(7)
+    got = R.remove_repeats(docs_of(*rows, parts=5), chunks_a_split=split)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_a_chunk_sends_one_row_a_block_however_many_shards():
+    """The number of rows between chunks and shards grew with the square of the input."""
+    t = np.random.default_rng(6).integers(97, 123, 200_000).astype(np.uint8)
+    ends = np.array([len(t)])
+    key = np.unique(R._keys(R.anchors(t, ends)[0], 7))
+    row = {"blob": zstandard.ZstdCompressor().compress(t.tobytes()), "ids": [5], "chunk": 9}
+    out = R._pieces(row, ends, set(), key, np.zeros(len(key)), 7, 6144, 32, 1)
+    assert len(key) > 9000 and len(out) == 192 and sum(len(r[8]) for r in out) >= len(key)
