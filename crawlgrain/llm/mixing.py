@@ -174,8 +174,9 @@ def plan(sources: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST) -
             break
         stopped, rest, weight = n, total - (used or 0), left or 0
     share = _big("weight") * F.lit(rest).cast("decimal(19,0)")
+    # A literal below 2^31 is an int, as the weight is: their product would not hold the words of some gigabytes.
     target = F.when(above, (most * F.col("size")).cast("double")).otherwise(
-        (F.col("weight") * F.lit(rest)).cast("double") / F.lit(float(weight or 1)))
+        (F.col("weight").cast("long") * F.lit(rest).cast("long")).cast("double") / F.lit(float(weight or 1)))
     nearest = F.call_function("div", 2 * share + F.lit(weight).cast("decimal(16,0)"), F.lit(2 * weight or 1).cast("decimal(17,0)"))
     words = F.least(F.when(above, most * F.col("size")).otherwise(nearest), most * F.col("size"))
     found = sources.withColumns({"target": target, "take": words, "blocks": F.ceil(F.col("size") / block_words)})
@@ -296,7 +297,8 @@ def slot_table(planned: DataFrame, work: Scratch, shard_slots: int = SHARD_SLOTS
 # -- the mix -------------------------------------------------------------------------------------
 def join_blocks(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """shard, place, at, src, doc_id, before_size, first, words and text: what the mix holds, in order of shard, place and at."""
-    met = slots.withColumnRenamed("words", "wanted").join(pieces, ["src", "block"]).where("at < wanted")
+    # Slots grow with the input, but their files are packed so well that they would be broadcast over some gigabytes.
+    met = slots.withColumnRenamed("words", "wanted").hint("merge").join(pieces, ["src", "block"]).where("at < wanted")
     return met.select("shard", "place", "at", "src", "doc_id", "before_size", "first", F.least("words", F.col("wanted") - F.col("at")).alias("words"),
                       "text")
 

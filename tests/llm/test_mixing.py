@@ -46,6 +46,20 @@ def targets(sizes):
         open_ -= above
 
 
+@pytest.mark.parametrize("size", [150_000_000, 3_000_000_000])
+def test_targets_of_many_words(spark, size):
+    """Weight times words is above 2^31 from 430 million words on."""
+    sizes = {"a": size, "b": size + 1, "c": 7, "d": 2 * size}
+    rows = [(s, k, M.WEIGHTS[k % 3], n, 0) for k, (s, n) in enumerate(sizes.items())]
+    got = M.plan(spark.createDataFrame(rows, "source string, src long, weight int, size long, base long")).collect()
+    want = targets(sizes)
+    assert {r.source: r.target for r in got} == pytest.approx({s: float(t) for s, t in want.items()})
+    for r in got:
+        take = min(int(want[r.source] + Fraction(1, 2)), 3 * r["size"])
+        assert r.blocks == -(-r["size"] // 512)
+        assert r.quota == take // r["size"] * r.blocks + -(-(take % r["size"]) // 512)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 16, 17, 1000, 4097])
 def test_permutations(n):
     i = np.arange(n)
@@ -101,6 +115,15 @@ def test_mix(spark, block, shard, fan):
     assert texts
 
 
+def test_slots_are_not_broadcast(spark):
+    slots = spark.createDataFrame([(0, 0, 0, 0, 2), (0, 1, 0, 0, 1)], "shard long, place long, src long, block long, words int")
+    pieces = spark.createDataFrame([(0, 0, 0, 2, 7, 0, 0, "a b"), (0, 1, 0, 2, 7, 0, 2, "c d")],
+                                   "src long, block long, at int, words int, doc_id long, before_size long, first long, text string")
+    met = M.join_blocks(slots, pieces)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.place, r.words, r.text) for r in met.collect()) == [(0, 2, "a b"), (1, 1, "a b")]
+
+
 def test_reruns_agree_whatever_the_partitions(spark):
     one, two = (M.Mix(frame(spark, corpus(), parts), 8, 16) for parts in (1, 7))
     key = lambda m: sorted(map(tuple, m.rows().collect()), key=repr)
